@@ -12,19 +12,19 @@ from pyspark.sql import types as T
 # --- fixed values -----------------------------------------------------------
 # Wire schema, domains, reason codes and labels that consumers of the tables
 # depend on.
-ORDER_EVENT_DDL = """
-    event_id string,
-    order_id string,
-    customer_id string,
-    product_id string,
-    category string,
-    province string,
-    quantity int,
-    unit_price_vnd double,
-    event_type string,
-    event_ts timestamp,
-    ingest_ts timestamp
-"""
+ORDER_EVENT_FIELDS = (
+    ("event_id", "string"),
+    ("order_id", "string"),
+    ("customer_id", "string"),
+    ("product_id", "string"),
+    ("category", "string"),
+    ("province", "string"),
+    ("quantity", "integer"),
+    ("unit_price_vnd", "double"),
+    ("event_type", "string"),
+    ("event_ts", "timestamp"),
+    ("ingest_ts", "timestamp"),
+)
 PROVINCES = (
     "Ha Noi", "Ho Chi Minh City", "Da Nang", "Hai Phong", "Can Tho", "Quang Ninh",
     "Thanh Hoa", "Nghe An", "Khanh Hoa", "Lam Dong", "Binh Duong", "Dong Nai",
@@ -41,7 +41,16 @@ DEFAULT_TOPIC = "ecommerce.order_events"
 WIRE_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # --- end of fixed values ----------------------------------------------------
 
-ORDER_EVENT_SCHEMA = T.StructType.fromDDL(ORDER_EVENT_DDL)
+
+def schema_of(*fields: tuple[str, str]) -> T.StructType:
+    """A schema of nullable (name, type) fields; unlike DDL text it needs no running session."""
+    schema = T.StructType()
+    for name, kind in fields:
+        schema = schema.add(name, kind)
+    return schema
+
+
+ORDER_EVENT_SCHEMA = schema_of(*ORDER_EVENT_FIELDS)
 EVENT_COLUMNS = tuple(ORDER_EVENT_SCHEMA.fieldNames())
 
 

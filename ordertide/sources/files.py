@@ -9,17 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordertide.contract import ORDER_EVENT_SCHEMA
+from ordertide.contract import ORDER_EVENT_FIELDS, schema_of
 
 CORRUPT = "_corrupt_record"
 DIMENSION_DDL = "province string, latitude double, longitude double"
 
 
 def _wire_schema(keep_corrupt: bool) -> T.StructType:
-    fields = list(ORDER_EVENT_SCHEMA.fields)
-    if keep_corrupt:
-        fields.append(T.StructField(CORRUPT, T.StringType()))
-    return T.StructType(fields)
+    return schema_of(*ORDER_EVENT_FIELDS, *([(CORRUPT, "string")] if keep_corrupt else []))
 
 
 def read_event_files(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
@@ -54,17 +51,15 @@ def stream_event_files(
     )
 
 
-def bronze_schema(*provenance: T.StructField) -> T.StructType:
-    return T.StructType(
-        [*ORDER_EVENT_SCHEMA.fields, *provenance, T.StructField("event_date", T.DateType())]
-    )
-
-
-FILE_BRONZE_SCHEMA = bronze_schema(T.StructField("source_file", T.StringType()))
-KAFKA_BRONZE_SCHEMA = bronze_schema(
-    T.StructField("kafka_topic", T.StringType()),
-    T.StructField("kafka_partition", T.IntegerType()),
-    T.StructField("kafka_offset", T.LongType()),
+FILE_BRONZE_SCHEMA = schema_of(
+    *ORDER_EVENT_FIELDS, ("source_file", "string"), ("event_date", "date")
+)
+KAFKA_BRONZE_SCHEMA = schema_of(
+    *ORDER_EVENT_FIELDS,
+    ("kafka_topic", "string"),
+    ("kafka_partition", "integer"),
+    ("kafka_offset", "long"),
+    ("event_date", "date"),
 )
 
 

@@ -23,30 +23,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ordertide.contract import DEFAULT_CONTRACT, ORDER_EVENT_SCHEMA, OrderContract
+from ordertide.contract import (
+    DEFAULT_CONTRACT,
+    EVENT_COLUMNS,
+    ORDER_EVENT_FIELDS,
+    OrderContract,
+    schema_of,
+)
 from ordertide.functions.money import AMOUNT_TYPE
 from ordertide.operators import marts, quality, resolve
 from ordertide.sources.files import read_parquet_if_exists
 
-BATCH = T.StructField("batch_id", T.LongType())
 # ``present`` is false where an order has no state any more.
-STATE_SCHEMA = T.StructType(
-    [
-        *ORDER_EVENT_SCHEMA.fields,
-        T.StructField("order_date", T.DateType()),
-        T.StructField("revenue_vnd", T.DoubleType()),
-        T.StructField("present", T.BooleanType()),
-    ]
+STATE_FIELDS = (
+    *ORDER_EVENT_FIELDS,
+    ("order_date", "date"),
+    ("revenue_vnd", "double"),
+    ("present", "boolean"),
 )
-TOUCHED_SCHEMA = T.StructType.fromDDL("order_id string")
-MARK_SCHEMA = T.StructType.fromDDL("done boolean")
-CELL_SCHEMA = T.StructType.fromDDL(
-    "sales_hour timestamp, province string, category string, rows bigint, orders bigint,"
-    f" units bigint, counted bigint, priced bigint, amount {AMOUNT_TYPE}, stray double"
+CELL_FIELDS = (
+    ("sales_hour", "timestamp"),
+    ("province", "string"),
+    ("category", "string"),
+    *((name, "long") for name in marts.CELL_COUNTS),
+    ("amount", AMOUNT_TYPE),
+    ("stray", "double"),
 )
+TOUCHED_FIELDS = (("order_id", "string"),)
+MARK_FIELDS = (("done", "boolean"),)
 
 
 def semi_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -80,9 +86,9 @@ class IncrementalMarts:
     def _write(self, frame: DataFrame, log: str, batch_id: int) -> None:
         frame.write.mode("overwrite").parquet(f"{self._path(log)}/batch_id={batch_id}")
 
-    def _read(self, log: str, schema: T.StructType, after: int, upto: int) -> DataFrame:
+    def _read(self, log: str, fields: tuple, after: int, upto: int) -> DataFrame:
         """Log rows of the batches ``after`` < id <= ``upto``; the filter selects directories."""
-        stored = T.StructType([*schema.fields, BATCH])
+        stored = schema_of(*fields, ("batch_id", "long"))
         rows = read_parquet_if_exists(self.spark, self._path(log), stored)
         if rows is None:
             rows = self.spark.createDataFrame([], stored)
@@ -92,7 +98,7 @@ class IncrementalMarts:
         self._write(self.spark.range(1).select(F.lit(True).alias("done")), log, batch_id)
 
     def _last_mark(self, log: str) -> int:
-        marks = self._read(log, MARK_SCHEMA, -1, sys.maxsize)
+        marks = self._read(log, MARK_FIELDS, -1, sys.maxsize)
         last = marks.agg(F.max("batch_id")).first()[0]
         return -1 if last is None else last
 
@@ -100,11 +106,11 @@ class IncrementalMarts:
         """The last complete batch, -1 before the first."""
         return self._last_mark("commits")
 
-    def _since_snapshot(self, log: str, schema: T.StructType) -> DataFrame:
+    def _since_snapshot(self, log: str, fields: tuple) -> DataFrame:
         """The latest snapshot of a log and the committed batches after it."""
         base = self._last_mark("snapshots/commits")
-        snapshot = self._read(f"snapshots/{log}", schema, base - 1, base)
-        return snapshot.unionByName(self._read(log, schema, base, self.committed_batch()))
+        snapshot = self._read(f"snapshots/{log}", fields, base - 1, base)
+        return snapshot.unionByName(self._read(log, fields, base, self.committed_batch()))
 
     def snapshot(self) -> int:
         """Fold the state and cell logs up to the last committed batch, to keep reads short.
@@ -124,8 +130,8 @@ class IncrementalMarts:
 
     def refresh(self, batch: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch; the function for ``foreachBatch``."""
-        self._write(batch.select(*ORDER_EVENT_SCHEMA.fieldNames()), "events", batch_id)
-        events = self._read("events", ORDER_EVENT_SCHEMA, -1, batch_id)
+        self._write(batch.select(*EVENT_COLUMNS), "events", batch_id)
+        events = self._read("events", ORDER_EVENT_FIELDS, -1, batch_id)
         keys = events.select("event_id", "order_id")
 
         arrived = events.filter(F.col("batch_id") == batch_id).select("event_id").distinct()
@@ -136,7 +142,7 @@ class IncrementalMarts:
             batch_id,
         )
         touched = self._read(
-            "touched_orders", TOUCHED_SCHEMA, batch_id - 1, batch_id
+            "touched_orders", TOUCHED_FIELDS, batch_id - 1, batch_id
         ).drop("batch_id")
         related = semi_join(keys, touched, ["order_id"]).select("event_id").distinct()
         # Every copy of every event of a touched order: a copy may name another order.
@@ -177,13 +183,13 @@ class IncrementalMarts:
 
     def order_state(self) -> DataFrame:
         """Current order state as of the last committed batch."""
-        versions = self._since_snapshot("state", STATE_SCHEMA)
+        versions = self._since_snapshot("state", STATE_FIELDS)
         latest = resolve.latest_per_key(versions, ["order_id"], [F.col("batch_id").desc()])
         return latest.filter("present").drop("present", "batch_id")
 
     def sales_cells(self) -> DataFrame:
         """Sales cells as of the last committed batch."""
-        changes = self._since_snapshot("cells", CELL_SCHEMA)
+        changes = self._since_snapshot("cells", CELL_FIELDS)
         summed = marts.sum_cells(changes.drop("batch_id"), *marts.CELL_KEYS).filter("rows > 0")
         exact = summed.filter("stray IS NULL")
         # Doubles outside the decimal range cannot be subtracted again, so those cells are rebuilt.
