@@ -31,14 +31,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def session_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+def session_settings(
+    input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 40_000
+) -> dict[str, str]:
     """Runtime SQL settings for a run over ``input_bytes`` of bronze Parquet.
 
     Adaptive execution merges small shuffle partitions but cannot add any, so the initial number is
-    sized for the data: rows grow about threefold when Parquet is decoded. Concurrent writers avoid
-    sorting rows by partition value before a partitioned write.
+    sized for the data: rows grow about threefold when Parquet is decoded. A shuffle has one block
+    per map task and partition, so beyond ``max_partitions`` partitions and scan splits grow instead
+    of multiplying; sorts and aggregates spill. Concurrent writers avoid sorting rows by partition
+    value before a partitioned write.
     """
-    partitions = max(8, math.ceil(3 * input_bytes / partition_bytes))
+    partitions = min(max(8, math.ceil(3 * input_bytes / partition_bytes)), max_partitions)
+    split_bytes = min(max(partition_bytes, input_bytes // max_partitions), 1 << 30)
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -46,7 +51,7 @@ def session_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.maxConcurrentOutputFileWriters": "32",
     }
 
