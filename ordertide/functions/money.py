@@ -2,9 +2,10 @@
 
 Adding doubles gives different last bits for different partitionings, which then flips half-cent
 roundings. Amounts are therefore added as decimals. A price becomes a decimal from its shortest
-decimal text, so 123.45 is exactly 123.45, and quantity * price is exact as well. The few doubles a
-decimal cannot hold (NaN, infinities, 1e12 and above) go into a separate double sum, so they still
-reach the result the way plain double arithmetic would carry them.
+decimal text, so 123.45 is exactly 123.45, and quantity * price is exact as well. The few amounts that do not
+fit (NaN, infinities, prices from 1e12 and amounts from 1e15) go into a separate double sum, so they
+still reach the result the way plain double arithmetic would carry them. With that bound a decimal
+sum cannot overflow below 1e15 orders.
 """
 
 from __future__ import annotations
@@ -13,21 +14,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PRICE_TYPE = "decimal(20,8)"
+ORDER_AMOUNT_TYPE = "decimal(23,8)"
 AMOUNT_TYPE = "decimal(38,8)"
 
 
-def exact_price(price: Column) -> Column:
-    return price.try_cast(PRICE_TYPE)
-
-
 def exact_amount(quantity: Column, price: Column) -> Column:
-    """quantity * price as a decimal; NULL if either is NULL or the price is not representable."""
-    return quantity.cast("decimal(10,0)") * exact_price(price)
+    """quantity * price as a decimal; NULL if either is NULL or the amount does not fit."""
+    product = quantity.cast("decimal(10,0)") * price.try_cast(PRICE_TYPE)
+    return product.try_cast(ORDER_AMOUNT_TYPE).cast(AMOUNT_TYPE)
 
 
 def stray_amount(quantity: Column, price: Column) -> Column:
-    """quantity * price as a double, only where ``exact_amount`` cannot hold a non-NULL price."""
-    return F.when(price.isNotNull() & exact_price(price).isNull(), quantity * price)
+    """quantity * price as a double, only where ``exact_amount`` cannot hold it."""
+    return F.when(exact_amount(quantity, price).isNull(), quantity * price)
 
 
 def rounded_total(exact: Column, stray: Column) -> Column:
@@ -43,9 +42,7 @@ def rounded_mean(exact: Column, stray: Column, n: Column) -> Column:
     Decimal division would round to eight places first and then again to two. The integral
     division below finds floor(mean / 0.01 + 1/2) in one exact step.
     """
-    half_up = (
-        exact.cast("decimal(34,8)") * F.lit(2) + n * F.expr("0.01BD")
-    )
+    half_up = exact.cast("decimal(34,8)") * F.lit(2) + n * F.expr("0.01BD")
     cents = F.call_function("div", half_up, n * F.expr("0.02BD"))
     mixed = F.round((F.coalesce(exact.cast("double"), F.lit(0.0)) + stray) / n, 2)
     return F.when(n > 0, F.when(stray.isNull(), cents / F.lit(100.0)).otherwise(mixed))

@@ -34,7 +34,7 @@ def order_cells(active: DataFrame) -> DataFrame:
         quantity.cast("long").alias("units"),
         quantity.isNotNull().cast("long").alias("counted"),
         (quantity * price).isNotNull().cast("long").alias("priced"),
-        money.exact_amount(quantity, price).cast(money.AMOUNT_TYPE).alias("amount"),
+        money.exact_amount(quantity, price).alias("amount"),
         money.stray_amount(quantity, price).alias("stray"),
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from ordertide.contract import (
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, quality, reconcile, resolve
 from ordertide.plans.layout import Layout
+from ordertide.plans.settings import at_once
 from ordertide.sinks.files import export_csv, write_report, write_table
 from ordertide.sources.files import read_bronze
 
@@ -135,9 +137,12 @@ def curate_and_publish(
     classified = stage(_with_outcome(classified), "order_events_clean", "outcome")
     state = stage(resolve.current_order_state(_clean(classified)), "current_order_state")
     cells = stage(marts.sales_cells(resolve.active_orders(state)), "sales_cells")
-    daily = stage(marts.daily_sales(cells), "daily_sales")
-    province = stage(marts.province_sales(cells), "province_sales")
-    velocity = stage(marts.sales_velocity(cells), "sales_velocity")
+    daily, province, velocity = at_once(
+        spark,
+        lambda: stage(marts.daily_sales(cells), "daily_sales"),
+        lambda: stage(marts.province_sales(cells), "province_sales"),
+        lambda: stage(marts.sales_velocity(cells), "sales_velocity"),
+    )
     if daily.isEmpty():
         raise RuntimeError("Cannot forecast: the daily sales series is empty")
     outlook = stage(fc.sales_forecast(daily, horizon), "sales_forecast")
@@ -162,9 +167,19 @@ def curate_and_publish(
 
     _publish(spark, layout, run_id)
     target = str(export_dir or layout.exports)
-    for table, order_by in EXPORT_ORDER.items():
-        frame = open_table(spark, root, table, run_id)
-        export_csv(frame, f"{target}/{table}.csv", order_by)
+    gold = {
+        "daily_sales": daily,
+        "province_sales": province,
+        "sales_velocity": velocity,
+        "sales_forecast": outlook,
+    }
+    at_once(
+        spark,
+        *(
+            partial(export_csv, frame, f"{target}/{table}.csv", EXPORT_ORDER[table])
+            for table, frame in gold.items()
+        ),
+    )
     return report
 
 

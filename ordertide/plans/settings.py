@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -59,3 +62,12 @@ def session_settings(
 def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
     for key, value in settings.items():
         spark.conf.set(key, value)
+
+
+def at_once(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Run independent Spark jobs side by side, so that small ones do not leave executors idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [
+            running.result()
+            for running in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ordertide.contract import DEFAULT_TOPIC
@@ -17,6 +18,15 @@ from ordertide.sources.kafka import records_to_bronze, stream_records
 POLL_SECONDS = 1
 
 
+def gather_dates(events: DataFrame, files_per_date: int) -> DataFrame:
+    """Shuffle events so that a micro-batch writes at most ``files_per_date`` files per date.
+
+    Without it every task writes a file for every date it meets. The salt spreads a hot date.
+    """
+    salt = F.pmod(F.xxhash64("event_id", "order_id", "ingest_ts"), F.lit(files_per_date))
+    return events.repartition("event_date", salt)
+
+
 def start_bronze_append(
     events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -60,13 +70,22 @@ def bronze_rows(spark: SparkSession, path: str) -> int:
 
 
 def land_file_stream(
-    spark: SparkSession, incoming: str, root: str, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    incoming: str,
+    root: str,
+    max_files_per_trigger: int | None = None,
+    files_per_date: int | None = None,
 ) -> dict[str, int | None]:
-    """Land every file not seen before exactly once, then stop."""
+    """Land every file not seen before exactly once, then stop.
+
+    ``files_per_date`` bounds the files a micro-batch writes per date, at the price of a shuffle; it
+    pays off when input files mix many dates.
+    """
     layout = Layout(str(root))
     before = bronze_rows(spark, layout.file_bronze)
+    events = stream_event_files(spark, str(incoming), max_files_per_trigger)
     query = start_bronze_append(
-        stream_event_files(spark, str(incoming), max_files_per_trigger),
+        events if files_per_date is None else gather_dates(events, files_per_date),
         layout.file_bronze,
         layout.checkpoint("file_orders_to_bronze"),
         {"availableNow": True},

@@ -78,6 +78,20 @@ def test_bronze_has_provenance_and_is_partitioned_by_event_date(spark, tmp_path)
     assert one_day.count() == 26
 
 
+def test_files_per_date_bounds_the_files_of_a_micro_batch(spark, tmp_path):
+    """Input files that mix dates: each task would write one file for each of them."""
+    rows = [row for _, day in history() for row in day]
+    for n in range(16):
+        write_jsonl(tmp_path / "incoming" / f"{n}.jsonl", rows[n::16])
+    files = {}
+    for bound in (None, 2):
+        root = tmp_path / f"data-{bound}"
+        result = land_file_stream(spark, tmp_path / "incoming", root, files_per_date=bound)
+        assert result["rows_landed"] == 208
+        files[bound] = len(list((root / "lakehouse").glob("**/event_date=*/*.parquet")))
+    assert files[2] <= 2 * 8 < files[None]
+
+
 def test_empty_input_directory_lands_nothing(spark, tmp_path):
     (tmp_path / "incoming").mkdir()
     result = land_file_stream(spark, tmp_path / "incoming", tmp_path / "data")
