@@ -1,18 +1,21 @@
 """Marts that follow the stream: each micro-batch refreshes only what it touches.
 
-Per batch ``i`` three append-only logs grow, each in a directory ``batch_id=i`` of its own:
-
-* events - the batch's occurrences,
-* state  - the new state of every order the batch may have changed (or its removal),
-* cells  - sales cells of those orders after the batch, minus the same before it.
-
-A mart is the sum of all cell rows, so an order that moves to another day or province leaves its old
-group by subtraction. A batch is a function of the events up to it, and rerunning one overwrites the
-same directories: replay after a failure changes nothing. Readers stop at the last committed batch.
-
-An order is touched when any copy of an event in the batch was ever delivered for it, which needs a
-scan of the two key columns of the event log; the other columns are read only for matching rows.
-Refreshing every few minutes therefore costs a key scan per refresh, not a full recompute.
+Logs grow by one directory ``batch_id=i`` per batch:
+
+* occurrences - the batch as it arrived,
+* events      - events whose winning copy the batch changed, with the new winner,
+* state       - orders the batch may have changed, with their new state (or its removal),
+* cells       - sales cells of those orders after the batch, minus the same before it.
+
+Events and state are versioned: the row of the highest batch counts. A mart is the sum of all cell
+rows, so an order that moves to another day or province leaves its old group by subtraction. A batch
+is a function of the batches before it, and rerunning one overwrites the same directories: replay
+after a failure changes nothing. Readers stop at the last committed batch.
+
+A refresh finds its keys by scanning one key column of the events and state logs, and then reads full
+rows only from batches that hold one of them. An event with millions of copies is one row per batch
+that changed it. Only orders that lost a winning event are resolved again from all their events; the
+others compare their state with what arrived.
 """
 
 from __future__ import annotations
@@ -51,21 +54,29 @@ CELL_FIELDS = (
     ("amount", AMOUNT_TYPE),
     ("stray", "double"),
 )
-TOUCHED_FIELDS = (("order_id", "string"),)
+KEY_FIELDS = (("order_id", "string"),)
 MARK_FIELDS = (("done", "boolean"),)
 
 
+def same_key(names: Sequence[str]) -> Column:
+    """Equality of the aliases ``f`` and ``k`` on ``names``, NULL equal to NULL."""
+    return reduce(
+        Column.__and__, [F.col(f"f.{name}").eqNullSafe(F.col(f"k.{name}")) for name in names]
+    )
+
+
 def semi_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``frame`` whose key, NULL included, occurs in ``keys``.
 
     An equi-join: Spark broadcasts ``keys`` while they are below the broadcast threshold; beyond it
     both sides shuffle, and adaptive execution splits hot keys.
     """
-    f, k = frame.alias("f"), keys.alias("k")
-    same = reduce(
-        Column.__and__, [F.col(f"f.{name}").eqNullSafe(F.col(f"k.{name}")) for name in on]
-    )
-    return f.join(k, same, "left_semi")
+    return frame.alias("f").join(keys.alias("k"), same_key(on), "left_semi")
+
+
+def anti_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``frame`` whose key, NULL included, does not occur in ``keys``."""
+    return frame.alias("f").join(keys.alias("k"), same_key(on), "left_anti")
 
 
 class IncrementalMarts:
@@ -94,11 +105,16 @@ class IncrementalMarts:
             rows = self.spark.createDataFrame([], stored)
         return rows.filter(F.col("batch_id").between(after + 1, upto))
 
+    def _written(self, frame: DataFrame, log: str, fields: tuple, batch_id: int) -> DataFrame:
+        """Write one batch of a log and read it back: lineage is cut and Spark knows the size."""
+        self._write(frame, log, batch_id)
+        return self._read(log, fields, batch_id - 1, batch_id).drop("batch_id")
+
     def _mark(self, log: str, batch_id: int) -> None:
         self._write(self.spark.range(1).select(F.lit(True).alias("done")), log, batch_id)
 
-    def _last_mark(self, log: str) -> int:
-        marks = self._read(log, MARK_FIELDS, -1, sys.maxsize)
+    def _last_mark(self, log: str, upto: int = sys.maxsize) -> int:
+        marks = self._read(log, MARK_FIELDS, -1, upto)
         last = marks.agg(F.max("batch_id")).first()[0]
         return -1 if last is None else last
 
@@ -106,20 +122,43 @@ class IncrementalMarts:
         """The last complete batch, -1 before the first."""
         return self._last_mark("commits")
 
-    def _since_snapshot(self, log: str, fields: tuple) -> DataFrame:
-        """The latest snapshot of a log and the committed batches after it."""
-        base = self._last_mark("snapshots/commits")
-        snapshot = self._read(f"snapshots/{log}", fields, base - 1, base)
-        return snapshot.unionByName(self._read(log, fields, base, self.committed_batch()))
+    def _last_snapshot(self, upto: int) -> int:
+        return self._last_mark("snapshots/commits", upto)
+
+    def _versions(self, log: str, fields: tuple, base: int, upto: int) -> DataFrame:
+        """A log up to a batch: the snapshot of batch ``base`` and the batches after that."""
+        later = self._read(log, fields, base, upto)
+        if base < 0:
+            return later
+        return self._read(f"snapshots/{log}", fields, base - 1, base).unionByName(later)
+
+    def _latest(
+        self, versions: DataFrame, key: str, wanted: DataFrame, label: str, batch_id: int
+    ) -> DataFrame:
+        """The latest versions of the ``wanted`` keys.
+
+        The first scan reads the key column only. Its hits are written, so that Spark knows their
+        size: while they are small the second scan is filtered by a broadcast instead of shuffling
+        the log, and skips the directories of batches without a hit.
+        """
+        hits = semi_join(versions.select(key, "batch_id"), wanted, [key])
+        hits = hits.groupBy(key).agg(F.max("batch_id").alias("version"))
+        hits = self._written(hits, f"hits/{label}", ((key, "string"), ("version", "long")), batch_id)
+        on = same_key([key]) & (F.col("f.batch_id") == F.col("k.version"))
+        return versions.alias("f").join(hits.alias("k"), on, "left_semi").drop("batch_id")
 
     def snapshot(self) -> int:
-        """Fold the state and cell logs up to the last committed batch, to keep reads short.
+        """Fold the logs up to the last committed batch, to keep scans short.
 
         Nothing is deleted or replaced: readers move to the snapshot once its mark is written.
         """
         upto = self.committed_batch()
-        if upto == self._last_mark("snapshots/commits"):
+        base = self._last_snapshot(upto)
+        if upto == base:
             return upto
+        events = self._versions("events", ORDER_EVENT_FIELDS, base, upto)
+        newest = resolve.latest_per_key(events, ["event_id"], [F.col("batch_id").desc()])
+        self._write(newest.drop("batch_id"), "snapshots/events", upto)
         state = self.order_state().withColumn("present", F.lit(True))
         self._write(state, "snapshots/state", upto)
         self._write(self.sales_cells(), "snapshots/cells", upto)
@@ -130,36 +169,77 @@ class IncrementalMarts:
 
     def refresh(self, batch: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch; the function for ``foreachBatch``."""
-        self._write(batch.select(*EVENT_COLUMNS), "events", batch_id)
-        events = self._read("events", ORDER_EVENT_FIELDS, -1, batch_id)
-        keys = events.select("event_id", "order_id")
-
-        arrived = events.filter(F.col("batch_id") == batch_id).select("event_id").distinct()
-        # Written, not only planned: it is used several times and its size is then known to Spark.
-        self._write(
-            semi_join(keys, arrived, ["event_id"]).select("order_id").distinct(),
+        base = self._last_snapshot(batch_id - 1)
+        arrived = resolve.dedup_latest_event(
+            self._written(
+                batch.select(*EVENT_COLUMNS), "occurrences", ORDER_EVENT_FIELDS, batch_id
+            )
+        )
+        events = self._versions("events", ORDER_EVENT_FIELDS, base, batch_id - 1)
+        known = self._latest(
+            events, "event_id", arrived.select("event_id"), "known_events", batch_id
+        ).persist()
+        changed = self._written(
+            self._new_winners(known, arrived), "events", ORDER_EVENT_FIELDS, batch_id
+        )
+        lost = self._written(
+            semi_join(known, changed, ["event_id"]).select("order_id").distinct(),
+            "lost_orders",
+            KEY_FIELDS,
+            batch_id,
+        )
+        known.unpersist()
+
+        gained = self._accepted(changed)
+        touched = self._written(
+            gained.select("order_id").unionByName(lost).distinct(),
             "touched_orders",
+            KEY_FIELDS,
             batch_id,
         )
-        touched = self._read(
-            "touched_orders", TOUCHED_FIELDS, batch_id - 1, batch_id
-        ).drop("batch_id")
-        related = semi_join(keys, touched, ["order_id"]).select("event_id").distinct()
-        # Every copy of every event of a touched order: a copy may name another order.
-        copies = semi_join(events, related, ["event_id"]).persist()
-        try:
-            after = self._state_of(copies, touched)
-            before = self._state_of(copies.filter(F.col("batch_id") < batch_id), touched)
-            self._write(self._state_changes(before, after), "state", batch_id)
-            self._write(self._cell_changes(before, after), "cells", batch_id)
-        finally:
-            copies.unpersist()
+        states = self._versions("state", STATE_FIELDS, base, batch_id - 1)
+        before = self._latest(states, "order_id", touched, "known_orders", batch_id)
+        before = before.filter("present").drop("present").persist()
+        unharmed = anti_join(before, lost, ["order_id"]).select(*EVENT_COLUMNS)
+        candidates = unharmed.unionByName(gained)
+        if not lost.isEmpty():
+            events = self._versions("events", ORDER_EVENT_FIELDS, base, batch_id)
+            theirs = self._events_of(lost, events, batch_id)
+            candidates = candidates.unionByName(self._accepted(theirs))
+        after = resolve.current_order_state(candidates)
+        state = self._written(
+            self._state_changes(before, after), "state", STATE_FIELDS, batch_id
+        )
+        now = state.filter("present")
+        self._write(self._cell_changes(before, now), "cells", batch_id)
+        before.unpersist()
         self._mark("commits", batch_id)
 
-    def _state_of(self, copies: DataFrame, touched: DataFrame) -> DataFrame:
-        resolved = resolve.dedup_latest_event(copies.drop("batch_id"))
-        accepted = quality.accepted_events(quality.classify_events(resolved, self.contract))
-        return resolve.current_order_state(semi_join(accepted, touched, ["order_id"]))
+    def _accepted(self, events: DataFrame) -> DataFrame:
+        return quality.accepted_events(quality.classify_events(events, self.contract))
+
+    @staticmethod
+    def _new_winners(known: DataFrame, arrived: DataFrame) -> DataFrame:
+        """Arrived copies that beat the known winner. An exact copy of it does not."""
+        both = known.withColumn("new", F.lit(False)).unionByName(
+            arrived.withColumn("new", F.lit(True))
+        )
+        recency = [F.col(name).desc() for name in resolve.EVENT_RECENCY]
+        winners = resolve.latest_per_key(both, ["event_id"], [*recency, F.col("new").asc()])
+        return winners.filter("new").drop("new")
+
+    def _events_of(self, orders: DataFrame, versions: DataFrame, batch_id: int) -> DataFrame:
+        """Winning events that belong to ``orders`` now. Any version may have named them."""
+        named = self._written(
+            semi_join(versions.select("event_id", "order_id"), orders, ["order_id"])
+            .select("event_id")
+            .distinct(),
+            "hits/named_events",
+            (("event_id", "string"),),
+            batch_id,
+        )
+        current = self._latest(versions, "event_id", named, "events_of_lost", batch_id)
+        return semi_join(current, orders, ["order_id"])
 
     @staticmethod
     def _state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -183,20 +263,23 @@ class IncrementalMarts:
 
     def order_state(self) -> DataFrame:
         """Current order state as of the last committed batch."""
-        versions = self._since_snapshot("state", STATE_FIELDS)
+        upto = self.committed_batch()
+        versions = self._versions("state", STATE_FIELDS, self._last_snapshot(upto), upto)
         latest = resolve.latest_per_key(versions, ["order_id"], [F.col("batch_id").desc()])
         return latest.filter("present").drop("present", "batch_id")
 
     def sales_cells(self) -> DataFrame:
         """Sales cells as of the last committed batch."""
-        changes = self._since_snapshot("cells", CELL_FIELDS)
+        upto = self.committed_batch()
+        changes = self._versions("cells", CELL_FIELDS, self._last_snapshot(upto), upto)
         summed = marts.sum_cells(changes.drop("batch_id"), *marts.CELL_KEYS).filter("rows > 0")
-        exact = summed.filter("stray IS NULL")
-        # Doubles outside the decimal range cannot be subtracted again, so those cells are rebuilt.
         marked = summed.filter("stray IS NOT NULL").select(*marts.CELL_KEYS)
+        if marked.isEmpty():
+            return summed
+        # Doubles outside the decimal range cannot be subtracted again, so those cells are rebuilt.
         orders = marts.order_cells(resolve.active_orders(self.order_state()))
         rebuilt = marts.sum_cells(semi_join(orders, marked, marts.CELL_KEYS), *marts.CELL_KEYS)
-        return exact.unionByName(rebuilt)
+        return summed.filter("stray IS NULL").unionByName(rebuilt)
 
     def daily_sales(self) -> DataFrame:
         return marts.daily_sales(self.sales_cells())
