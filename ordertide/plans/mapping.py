@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.contract import EVENT_COLUMNS, OrderContract
+from ordertide.contract import OrderContract
 
 LINEITEM_CONTRACT = OrderContract(
     provinces=tuple(f"NATION_{n}" for n in range(24)),
@@ -21,12 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _later(unit: str, amount: Column, start: Column) -> Column:
-    """``start`` plus ``amount`` units, as a UTC timestamp."""
-    interval = {unit: amount.cast("int")}
-    return start + F.make_dt_interval(**interval)
-
-
 def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event occurrence per line item.
 
@@ -43,8 +37,8 @@ def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(read_table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
     )
     shipped = F.col("l_shipdate").cast("timestamp")
-    on_the_hour = _later("hours", F.col("l_partkey") % 24, shipped)
-    event_ts = _later("mins", F.col("l_suppkey") % 60, on_the_hour)
+    on_the_hour = F.timestamp_add("HOUR", F.expr("int(l_partkey % 24)"), shipped)
+    event_ts = F.timestamp_add("MINUTE", F.expr("int(l_suppkey % 60)"), on_the_hour)
     event_type = (
         F.when(F.expr("l_linenumber = 7 AND l_linestatus = 'O'"), "returned")
         .when(F.col("l_returnflag") == "N", "created")
@@ -62,7 +56,7 @@ def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_extendedprice") - 1000.0, 2).alias("unit_price_vnd"),
         event_type.alias("event_type"),
         event_ts.alias("event_ts"),
-        _later("secs", F.col("l_partkey") % 120 + 1, event_ts).alias("ingest_ts"),
+        F.timestamp_add("SECOND", F.expr("int(l_partkey % 120 + 1)"), event_ts).alias("ingest_ts"),
     )
 
 
@@ -90,7 +84,7 @@ def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("unit_price_vnd"),
         event_type.alias("event_type"),
         event_ts.alias("event_ts"),
-        _later("secs", number % 120 + 1, event_ts).alias("ingest_ts"),
+        F.timestamp_add("SECOND", F.expr("int(event_id % 120 + 1)"), event_ts).alias("ingest_ts"),
     )
 
 
@@ -100,7 +94,3 @@ def nation_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, F.expr("n_regionkey = r_regionkey"), "left").select(
         F.col("n_name").alias("province"), F.col("r_name").alias("region")
     )
-
-
-def same_columns(events: DataFrame) -> DataFrame:
-    return events.select(*EVENT_COLUMNS)
