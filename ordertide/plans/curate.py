@@ -23,7 +23,7 @@ from ordertide.contract import (
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, quality, reconcile, resolve
 from ordertide.plans.layout import Layout
-from ordertide.plans.settings import at_once
+from ordertide.plans.settings import at_once, require_utc
 from ordertide.sinks.files import export_csv, write_report, write_table
 from ordertide.sources.files import read_bronze
 
@@ -123,6 +123,7 @@ def curate_and_publish(
     otherwise. ``recount_copies`` verifies the duplicate count with its own pass over the event ids.
     ``stream`` is the result of the landing, for the report.
     """
+    require_utc(spark)
     layout = Layout(str(root))
     bronze = read_bronze(spark, layout.bronze_sources)
     if enforce_required:

@@ -7,11 +7,18 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
+@cache
+def _local_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="ordertide-")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"Set {CHECKPOINT_DIR} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="ordertide-")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Event dates and sales hours are UTC; refuse a session that would cut them elsewhere."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_ZONES:
+        raise RuntimeError(f"Set spark.sql.session.timeZone to UTC, it is {zone}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -37,6 +37,7 @@ from ordertide.contract import (
 )
 from ordertide.functions.money import AMOUNT_TYPE
 from ordertide.operators import marts, quality, resolve
+from ordertide.plans.settings import require_utc
 from ordertide.sources.files import read_parquet_if_exists
 
 # ``present`` is false where an order has no state any more.
@@ -169,6 +170,11 @@ class IncrementalMarts:
 
     def refresh(self, batch: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch; the function for ``foreachBatch``."""
+        if batch_id < self.committed_batch():
+            raise RuntimeError(
+                f"Batch {batch_id} is older than the last committed one: a new checkpoint needs a"
+                f" new root, {self.root} belongs to another"
+            )
         base = self._last_snapshot(batch_id - 1)
         arrived = resolve.dedup_latest_event(
             self._written(
@@ -295,6 +301,7 @@ def start_incremental(
     events: DataFrame, target: IncrementalMarts, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Refresh ``target`` with every micro-batch of a stream of order events."""
+    require_utc(events.sparkSession)
     writer = (
         events.writeStream.foreachBatch(target.refresh)
         .option("checkpointLocation", checkpoint)

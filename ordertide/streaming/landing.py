@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ordertide.contract import DEFAULT_TOPIC
 from ordertide.plans.layout import Layout
+from ordertide.plans.settings import require_utc
 from ordertide.sources.files import (
     FILE_BRONZE_SCHEMA,
     read_parquet_if_exists,
@@ -36,6 +37,7 @@ def start_bronze_append(
     back. Restarting with the same checkpoint resumes after the last committed batch, a new path and
     checkpoint replay everything.
     """
+    require_utc(events.sparkSession)
     writer = (
         events.writeStream.format("parquet")
         .option("path", path)
@@ -75,14 +77,16 @@ def land_file_stream(
     root: str,
     max_files_per_trigger: int | None = None,
     files_per_date: int | None = None,
+    count_bronze: bool = True,
 ) -> dict[str, int | None]:
     """Land every file not seen before exactly once, then stop.
 
     ``files_per_date`` bounds the files a micro-batch writes per date, at the price of a shuffle; it
-    pays off when input files mix many dates.
+    pays off when input files mix many dates. The counts before and after open the footers of all
+    bronze files; ``count_bronze=False`` reports the rows the stream read instead.
     """
     layout = Layout(str(root))
-    before = bronze_rows(spark, layout.file_bronze)
+    before = bronze_rows(spark, layout.file_bronze) if count_bronze else None
     events = stream_event_files(spark, str(incoming), max_files_per_trigger)
     query = start_bronze_append(
         events if files_per_date is None else gather_dates(events, files_per_date),
@@ -91,11 +95,11 @@ def land_file_stream(
         {"availableNow": True},
     )
     progress = drain(query)
-    after = bronze_rows(spark, layout.file_bronze)
+    after = bronze_rows(spark, layout.file_bronze) if count_bronze else None
     return {
         "rows_before": before,
         "rows_after": after,
-        "rows_landed": after - before,
+        "rows_landed": after - before if count_bronze else progress["input_rows"],
         **progress,
     }
 

@@ -35,11 +35,11 @@ def history(days=8, per_day=25):
         day = f"2025-01-{d + 1:02d}"
         rows = [
             event(
-                f"E-{day}-{n}",
-                order_id=f"O-{day}-{n if n < 20 else n - 20}",
+                f"{day}/{n}",
+                order_id=f"{day}#{n if n < 20 else n - 20}",
                 event_type="created" if n < 20 else rng.choice(["updated", "cancelled"]),
                 quantity=rng.randint(1, 5),
-                unit_price_vnd=float(rng.randrange(50_000, 5_000_000, 10_000)),
+                unit_price_vnd=1000.0 * rng.randint(1, 400),
                 event_ts=f"{day}T{rng.randrange(24):02d}:{rng.randrange(60):02d}:00+00:00",
             )
             for n in range(per_day)
@@ -64,6 +64,8 @@ def test_drain_lands_every_row_once_and_a_rerun_lands_none(spark, tmp_path):
 
     day_file(incoming, "2025-02-01", [event("late", event_ts="2025-02-01T00:00:00+00:00")])
     assert land_file_stream(spark, incoming, root)["rows_landed"] == 1
+    quick = land_file_stream(spark, incoming, tmp_path / "quick", count_bronze=False)
+    assert (quick["rows_before"], quick["rows_landed"]) == (None, 209)
     # A fresh root replays everything.
     assert land_file_stream(spark, incoming, tmp_path / "fresh")["rows_landed"] == 209
 
@@ -242,6 +244,14 @@ def test_readers_ignore_a_batch_that_did_not_commit(spark, tmp_path):
     assert rows_of(target.daily_sales()) == before
 
 
+def test_a_new_checkpoint_cannot_overwrite_the_logs_of_another(spark, tmp_path):
+    target = IncrementalMarts(spark, tmp_path / "inc")
+    for batch_id in (0, 1):
+        target.refresh(frame(spark, [event(f"e{batch_id}")]), batch_id)
+    with pytest.raises(RuntimeError, match="new checkpoint"):
+        target.refresh(frame(spark, [event("e2")]), 0)
+
+
 def test_empty_incremental_tables(spark, tmp_path):
     target = IncrementalMarts(spark, tmp_path / "inc")
     assert target.committed_batch() == -1
