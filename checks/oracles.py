@@ -268,6 +268,11 @@ FROM ({_COUNTS})"""
     ),
     "province_geo": _lineitem(f"SELECT * FROM provinces LEFT JOIN ({_GEO}) g USING (province)"),
     "daily_sales_geo": _lineitem(f"SELECT * FROM daily LEFT JOIN ({_GEO}) g USING (province)"),
+    "province_map": _lineitem(
+        "SELECT * FROM provinces LEFT JOIN (SELECT n_name AS province,"
+        " CAST(n_nationkey AS DOUBLE) / 2 AS latitude,"
+        " 100 + CAST(n_regionkey AS DOUBLE) * 1.5 AS longitude FROM nation) USING (province)"
+    ),
     "ranked_provinces": _lineitem(
         "SELECT *, CAST(rank() OVER (ORDER BY revenue_vnd DESC) AS INTEGER) AS revenue_rank"
         " FROM provinces"
@@ -302,6 +307,10 @@ FROM ({_COUNTS})"""
     "stream_landed_events": _activity(
         "SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"
     ),
+    "stream_landed_records": _activity(
+        "SELECT *, 'events' AS kafka_topic, CAST(event_ts AS DATE) AS event_date FROM bronze"
+    ),
+    "replayed_daily_sales": _activity("SELECT * FROM daily"),
     "stream_landing_metrics": _activity(
         "SELECT 'first' AS drain, CAST(0 AS BIGINT) AS rows_before, count(*) AS rows_after,"
         " count(*) AS rows_landed, count(*) AS input_rows FROM bronze UNION ALL "

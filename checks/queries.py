@@ -17,9 +17,15 @@ from ordertide.plans.layout import Layout
 from ordertide.plans.mapping import ACTIVITY_CONTRACT, LINEITEM_CONTRACT
 from ordertide.plans.settings import scratch_path
 from ordertide.sinks.files import write_event_files, write_table
-from ordertide.sources.files import read_bronze, stream_event_files, union_bronze
+from ordertide.sources.files import (
+    read_bronze,
+    read_province_dimension,
+    stream_event_files,
+    union_bronze,
+)
+from ordertide.sources.kafka import records_to_bronze
 from ordertide.streaming.incremental import IncrementalMarts, start_incremental
-from ordertide.streaming.landing import drain, land_file_stream
+from ordertide.streaming.landing import drain, land_file_stream, start_bronze_append
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,6 +296,21 @@ def daily_sales_geo(spark, sf_dir):
     )
 
 
+@query
+def province_map(spark, sf_dir):
+    """Province sales on a coordinates dimension read from CSV (derived from the nation keys)."""
+    nation = mapping.read_table(spark, sf_dir, "nation")
+    coordinates = nation.select(
+        F.col("n_name").alias("province"),
+        (F.col("n_nationkey") / 2).alias("latitude"),
+        (100 + F.col("n_regionkey") * 1.5).alias("longitude"),
+    )
+    path = scratch_path(spark, "dimension")
+    coordinates.write.option("header", "true").csv(path)
+    mart = marts.province_sales(_cells(spark, sf_dir))
+    return measures.with_geography(mart, read_province_dimension(spark, path))
+
+
 @query
 def ranked_provinces(spark, sf_dir):
     return measures.ranked_provinces(marts.province_sales(_cells(spark, sf_dir)))
@@ -370,6 +391,46 @@ def stream_landed_events(spark, sf_dir):
     return read_bronze(spark, Layout(root).bronze_sources).drop("source_file")
 
 
+@query
+def stream_landed_records(spark, sf_dir):
+    """Record payloads through the topic landing; text files stand in for the topic."""
+    root = scratch_path(spark, "run")
+    encode_payload(mapping.activity_events(spark, sf_dir)).select("value").write.text(
+        f"{root}/topic"
+    )
+    records = (
+        spark.readStream.schema("value string")
+        .text(f"{root}/topic")
+        .select(
+            F.col("value").cast("binary").alias("value"),
+            F.lit("events").alias("topic"),
+            F.lit(0).alias("partition"),
+            F.lit(0).cast("long").alias("offset"),
+        )
+    )
+    layout = Layout(root)
+    landing = start_bronze_append(
+        records_to_bronze(records),
+        layout.kafka_bronze,
+        layout.checkpoint("kafka_orders_to_bronze"),
+        {"availableNow": True},
+    )
+    drain(landing)
+    return read_bronze(spark, layout.bronze_sources).drop("kafka_partition", "kafka_offset")
+
+
+@query
+def replayed_daily_sales(spark, sf_dir):
+    """Every event delivered twice: the daily mart is that of one delivery."""
+    incoming, root = _incoming(spark, sf_dir)
+    write_event_files(mapping.activity_events(spark, sf_dir), incoming)
+    land_file_stream(spark, incoming, root, files_per_date=2)
+    events = resolve.dedup_latest_event(read_bronze(spark, Layout(root).bronze_sources))
+    accepted = quality.accepted_events(quality.classify_events(events, ACTIVITY_CONTRACT))
+    state = resolve.current_order_state(accepted)
+    return marts.daily_sales(marts.order_cells(resolve.active_orders(state)))
+
+
 @query
 def stream_landing_metrics(spark, sf_dir):
     """First drain in several micro-batches, then a rerun that finds nothing new."""

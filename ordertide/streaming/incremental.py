@@ -197,12 +197,7 @@ class IncrementalMarts:
         known.unpersist()
 
         gained = self._accepted(changed)
-        touched = self._written(
-            gained.select("order_id").unionByName(lost).distinct(),
-            "touched_orders",
-            KEY_FIELDS,
-            batch_id,
-        )
+        touched = gained.select("order_id").unionByName(lost).distinct()
         states = self._versions("state", STATE_FIELDS, base, batch_id - 1)
         before = self._latest(states, "order_id", touched, "known_orders", batch_id)
         before = before.filter("present").drop("present").persist()

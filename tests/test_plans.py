@@ -9,7 +9,7 @@ from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 STREAMS = {
-    name for name in QUERIES if name.startswith(("stream_", "incremental_", "curated_", "exported_"))
+    name for name in QUERIES if name.startswith(("stream_", "incremental_", "curated_", "exported_", "replayed_"))
 } | {"quality_report", "quality_counts", "release_gates"}
 
 

@@ -1,6 +1,7 @@
 """Landing, replay, several sources and the incremental marts."""
 
 import random
+import time
 
 import pytest
 from events import as_dicts, event, frame, write_jsonl
@@ -17,6 +18,7 @@ from ordertide.sources.files import read_bronze, read_event_files, stream_event_
 from ordertide.sources.kafka import records_to_bronze
 from ordertide.streaming.incremental import IncrementalMarts, start_incremental
 from ordertide.streaming.landing import (
+    bronze_rows,
     drain,
     land_file_stream,
     start_bronze_append,
@@ -70,6 +72,27 @@ def test_drain_lands_every_row_once_and_a_rerun_lands_none(spark, tmp_path):
     assert land_file_stream(spark, incoming, tmp_path / "fresh")["rows_landed"] == 209
 
 
+def test_a_stopped_stream_resumes_after_its_last_batch(spark, tmp_path):
+    incoming, root = tmp_path / "incoming", tmp_path / "data"
+    for day, rows in history():
+        day_file(incoming, day, rows)
+    layout = Layout(str(root))
+    query = start_bronze_append(
+        stream_event_files(spark, str(incoming), max_files_per_trigger=1),
+        layout.file_bronze,
+        layout.checkpoint("file_orders_to_bronze"),
+        {"processingTime": "1 second"},
+    )
+    while not query.recentProgress:
+        time.sleep(0.1)
+    query.stop()
+    landed = bronze_rows(spark, layout.file_bronze)
+    assert 26 <= landed < 208
+    rest = land_file_stream(spark, incoming, root)
+    assert (rest["rows_before"], rest["rows_after"]) == (landed, 208)
+    assert read_bronze(spark, layout.bronze_sources).count() == 208
+
+
 def test_bronze_has_provenance_and_is_partitioned_by_event_date(spark, tmp_path):
     _, root, _ = land_history(spark, tmp_path)
     bronze = read_bronze(spark, Layout(str(root)).bronze_sources)
