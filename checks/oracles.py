@@ -192,7 +192,8 @@ _COUNTS = """
          (SELECT CAST(sum(n - 1) AS BIGINT) FROM
             (SELECT count(*) AS n FROM bronze GROUP BY event_id)) AS surplus_copies,
          (SELECT count(*) - count(DISTINCT event_id) FROM bronze) AS duplicates"""
-_GEO = "SELECT n_name AS province, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"
+_GEO = """SELECT n_name AS province, r_name AS region
+  FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
 
 ORACLES: dict[str, str] = {
     "bronze_events": _lineitem("SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"),
@@ -211,7 +212,8 @@ ORACLES: dict[str, str] = {
     ),
     "required_field_violations": _lineitem(
         "\nUNION ALL\n".join(
-            f"SELECT '{name}' AS field, count(*) FILTER (WHERE {name} IS NULL) AS null_rows FROM bronze"
+            f"SELECT '{name}' AS field, count(*) FILTER (WHERE {name} IS NULL) AS null_rows"
+            " FROM bronze"
             for name in _EVENT_COLUMNS
         )
     ),
@@ -318,6 +320,7 @@ FROM ({_COUNTS})"""
     ),
     "incremental_refresh_marts": _activity("SELECT * FROM daily"),
     "incremental_sales_velocity": _activity("SELECT * FROM velocity"),
+    "incremental_sales_forecast": _activity("SELECT * FROM forecast"),
     "incremental_order_state": _activity("SELECT * FROM state"),
     "curated_daily_sales": _activity("SELECT * FROM daily"),
     "curated_rejected_events": _activity(

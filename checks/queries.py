@@ -464,6 +464,11 @@ def incremental_sales_velocity(spark, sf_dir):
     return _refreshed(spark, sf_dir).sales_velocity()
 
 
+@query
+def incremental_sales_forecast(spark, sf_dir):
+    return _refreshed(spark, sf_dir).sales_forecast()
+
+
 @query
 def incremental_order_state(spark, sf_dir):
     return _refreshed(spark, sf_dir).order_state()

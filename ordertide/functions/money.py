@@ -2,10 +2,10 @@
 
 Adding doubles gives different last bits for different partitionings, which then flips half-cent
 roundings. Amounts are therefore added as decimals. A price becomes a decimal from its shortest
-decimal text, so 123.45 is exactly 123.45, and quantity * price is exact as well. The few amounts that do not
-fit (NaN, infinities, prices from 1e12 and amounts from 1e15) go into a separate double sum, so they
-still reach the result the way plain double arithmetic would carry them. With that bound a decimal
-sum cannot overflow below 1e15 orders.
+decimal text, so 123.45 is exactly 123.45, and quantity * price is exact as well. The few amounts
+that do not fit (NaN, infinities, prices from 1e12 and amounts from 1e15) go into a separate double
+sum, so they still reach the result the way plain double arithmetic would carry them. With that
+bound a decimal sum cannot overflow below 1e11 orders per group, even if all are that large.
 """
 
 from __future__ import annotations

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.contract import CANCELLED, FORECAST_HORIZON
-from ordertide.functions import money
 from ordertide.operators.quality import REASON
 
 

@@ -31,11 +31,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ordertide.contract import (
     DEFAULT_CONTRACT,
     EVENT_COLUMNS,
+    FORECAST_HORIZON,
     ORDER_EVENT_FIELDS,
     OrderContract,
     schema_of,
 )
 from ordertide.functions.money import AMOUNT_TYPE
+from ordertide.operators import forecast as fc
 from ordertide.operators import marts, quality, resolve
 from ordertide.plans.settings import require_utc
 from ordertide.sources.files import read_parquet_if_exists
@@ -291,6 +293,12 @@ class IncrementalMarts:
     def sales_velocity(self) -> DataFrame:
         return marts.sales_velocity(self.sales_cells())
 
+    def sales_forecast(
+        self, horizon: int = FORECAST_HORIZON, by: Sequence[str] = ()
+    ) -> DataFrame:
+        """Fitted anew on every read: the daily mart is small."""
+        return fc.sales_forecast(self.daily_sales(), horizon, by)
+
 
 def start_incremental(
     events: DataFrame, target: IncrementalMarts, checkpoint: str, trigger: dict | None = None

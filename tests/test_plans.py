@@ -8,9 +8,13 @@ import __spark_entry__ as entry_module
 from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-STREAMS = {
-    name for name in QUERIES if name.startswith(("stream_", "incremental_", "curated_", "exported_", "replayed_"))
-} | {"quality_report", "quality_counts", "release_gates"}
+# Queries that run jobs of their own and then read files back.
+PREFIXES = ("stream_", "incremental_", "curated_", "exported_", "replayed_")
+STREAMS = {name for name in QUERIES if name.startswith(PREFIXES)} | {
+    "quality_report",
+    "quality_counts",
+    "release_gates",
+}
 
 
 def plan_of(capsys, frame) -> str:
