@@ -83,14 +83,23 @@ def anti_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame
 
 
 class IncrementalMarts:
-    """The logs under one root and the tables read from them."""
+    """The logs under one root and the tables read from them.
+
+    With ``snapshot_every`` the logs are folded after every so many batches. A snapshot rewrites the
+    winning events and the order state, and scans start from it.
+    """
 
     def __init__(
-        self, spark: SparkSession, root: str, contract: OrderContract = DEFAULT_CONTRACT
+        self,
+        spark: SparkSession,
+        root: str,
+        contract: OrderContract = DEFAULT_CONTRACT,
+        snapshot_every: int | None = None,
     ) -> None:
         self.spark = spark
         self.root = str(root)
         self.contract = contract
+        self.snapshot_every = snapshot_every
 
     # --- logs ---------------------------------------------------------------------------------
 
@@ -101,12 +110,16 @@ class IncrementalMarts:
         frame.write.mode("overwrite").parquet(f"{self._path(log)}/batch_id={batch_id}")
 
     def _read(self, log: str, fields: tuple, after: int, upto: int) -> DataFrame:
-        """Log rows of the batches ``after`` < id <= ``upto``; the filter selects directories."""
+        """Log rows of the batches ``after`` < id <= ``upto``.
+
+        Batches are consecutive, so their directories are named instead of listing the whole log.
+        """
         stored = schema_of(*fields, ("batch_id", "long"))
-        rows = read_parquet_if_exists(self.spark, self._path(log), stored)
-        if rows is None:
-            rows = self.spark.createDataFrame([], stored)
-        return rows.filter(F.col("batch_id").between(after + 1, upto))
+        path = self._path(log)
+        batches = [f"{path}/batch_id={batch_id}" for batch_id in range(after + 1, upto + 1)]
+        if not batches:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).option("basePath", path).parquet(*batches)
 
     def _written(self, frame: DataFrame, log: str, fields: tuple, batch_id: int) -> DataFrame:
         """Write one batch of a log and read it back: lineage is cut and Spark knows the size."""
@@ -117,8 +130,13 @@ class IncrementalMarts:
         self._write(self.spark.range(1).select(F.lit(True).alias("done")), log, batch_id)
 
     def _last_mark(self, log: str, upto: int = sys.maxsize) -> int:
-        marks = self._read(log, MARK_FIELDS, -1, upto)
-        last = marks.agg(F.max("batch_id")).first()[0]
+        """The highest marked batch up to ``upto``, -1 if there is none."""
+        marks = read_parquet_if_exists(
+            self.spark, self._path(log), schema_of(*MARK_FIELDS, ("batch_id", "long"))
+        )
+        if marks is None:
+            return -1
+        last = marks.filter(F.col("batch_id") <= upto).agg(F.max("batch_id")).first()[0]
         return -1 if last is None else last
 
     def committed_batch(self) -> int:
@@ -172,10 +190,11 @@ class IncrementalMarts:
 
     def refresh(self, batch: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch; the function for ``foreachBatch``."""
-        if batch_id < self.committed_batch():
+        committed = self.committed_batch()
+        if batch_id not in (committed, committed + 1):
             raise RuntimeError(
-                f"Batch {batch_id} is older than the last committed one: a new checkpoint needs a"
-                f" new root, {self.root} belongs to another"
+                f"Batch {batch_id} does not follow {committed}, the last one in {self.root}:"
+                " a checkpoint and a root belong together, start both anew"
             )
         base = self._last_snapshot(batch_id - 1)
         arrived = resolve.dedup_latest_event(
@@ -217,6 +236,8 @@ class IncrementalMarts:
         self._write(self._cell_changes(before, now), "cells", batch_id)
         before.unpersist()
         self._mark("commits", batch_id)
+        if self.snapshot_every and (batch_id + 1) % self.snapshot_every == 0:
+            self.snapshot()
 
     def _accepted(self, events: DataFrame) -> DataFrame:
         return quality.accepted_events(quality.classify_events(events, self.contract))
