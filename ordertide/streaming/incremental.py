@@ -127,7 +127,8 @@ class IncrementalMarts:
         return self._read(log, fields, batch_id - 1, batch_id).drop("batch_id")
 
     def _mark(self, log: str, batch_id: int) -> None:
-        self._write(self.spark.range(1).select(F.lit(True).alias("done")), log, batch_id)
+        mark = self.spark.range(0, 1, numPartitions=1).select(F.lit(True).alias("done"))
+        self._write(mark, log, batch_id)
 
     def _last_mark(self, log: str, upto: int = sys.maxsize) -> int:
         """The highest marked batch up to ``upto``, -1 if there is none."""

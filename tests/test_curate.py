@@ -99,6 +99,16 @@ def test_failing_gate_writes_the_report_but_publishes_nothing(spark, tmp_path):
         latest_run(spark, root)
 
 
+def test_nan_revenue_fails_its_gate(spark, tmp_path):
+    rows = [event("e1"), event("e2", order_id="O2", unit_price_vnd=float("nan"))]
+    root = land(spark, tmp_path, rows)
+    with pytest.raises(GateFailure):
+        curate_and_publish(spark, root)
+    (report,) = as_dicts(read_reports(spark, root))
+    assert report["assertions"]["positive_revenue"] is False
+    assert str(report["gold"]["revenue_vnd"]) == "nan"
+
+
 def test_only_cancelled_orders_cannot_be_forecast(spark, tmp_path):
     root = land(spark, tmp_path, [event("e1", event_type="cancelled")])
     with pytest.raises(RuntimeError, match="Cannot forecast"):

@@ -246,9 +246,8 @@ def assert_matches_recompute(target, events):
     assert rows_of(target.sales_velocity()) == rows_of(marts.sales_velocity(cells))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_incremental_marts_equal_the_full_recompute(spark, tmp_path, seed):
-    rows = list(random_events(seed))
+def test_incremental_marts_equal_the_full_recompute(spark, tmp_path):
+    rows = list(random_events(seed=1))
     target = IncrementalMarts(spark, tmp_path / "inc", snapshot_every=2)
     for i, start in enumerate(range(0, len(rows), 100)):
         target.refresh(frame(spark, rows[start : start + 100]), i)
