@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ordertide.llm.common import stored, table
 from ordertide.llm.quality_rules import clean_documents
+from ordertide.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +18,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("simhash_near_dedup", near_dedup),
 ]
 
 # Fingerprints, the trained labeller and the balanced sample have no SQL; tests hold each stage against brute force.

@@ -1,0 +1,103 @@
+import random
+
+import pytest
+import xxhash
+from helpers import awkward, documents, empty
+
+from ordertide.llm import queries
+from ordertide.llm.components import components
+from ordertide.llm.simhash import drop_near_duplicates, links, near_duplicates
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def brute_print(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\f\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    values = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in values) > len(values))
+
+
+def brute_groups(prints, same=lambda a, b: (a ^ b).bit_count() <= 2):
+    """Least member of the group of each print."""
+    nodes = sorted(set(prints))
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if same(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def expected(rows):
+    prints = [brute_print(text) for _, text in rows]
+    group = brute_groups(prints)
+    least = {}
+    for (doc_id, _), p in zip(rows, prints, strict=True):
+        if doc_id is not None:
+            least[group[p]] = min(doc_id, least.get(group[p], doc_id))
+    return sorted(
+        ((i, f"{p:016x}", least.get(group[p])) for (i, _), p in zip(rows, prints, strict=True)), key=repr
+    )
+
+
+def test_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = [tuple(r) for r in queries.op3_simhash_near_dedup(spark, SF_DIR).collect()]
+    assert sorted(found, key=repr) == expected(rows)
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = near_duplicates(docs).collect()
+    unsigned = [(r.doc_id, f"{r['print'] % (1 << 64):016x}", r.component_id) for r in found]
+    assert sorted(unsigned, key=repr) == expected(rows)
+    assert drop_near_duplicates(docs).columns == docs.columns
+    assert near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+@pytest.mark.parametrize("segments", [3, 7])
+def test_no_link_is_lost(spark, limit, segments):
+    """Random prints with many neighbours; crowded keys (limit 1) and pairs give the same components."""
+    rng = random.Random(7)
+    prints = set()
+    for _ in range(25):
+        p = rng.getrandbits(64)
+        for _ in range(8):
+            prints.add(p)
+            for _ in range(rng.randint(1, 3)):
+                p ^= 1 << rng.randrange(64)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "print bigint")
+    found = links(frame, segments=segments, bucket_limit=limit, label="t")
+    assert all((r.a % (1 << 64) ^ r.b % (1 << 64)).bit_count() <= 2 for r in found.collect())
+    roots = {r.node: r.root for r in components(found, "t").collect()}
+    want = brute_groups(signed, lambda a, b: (a % (1 << 64) ^ b % (1 << 64)).bit_count() <= 2)
+    assert {p: roots.get(p, p) for p in signed} == want
+
+
+def test_long_chain_of_links_is_one_component(spark):
+    chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.root for r in components(chain, "t").collect()} == {0}
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"word{i}" for i in range(300))
+    rows = [(3, text), (2, text), (2, text), (9, text.upper()), (7, "something else entirely"), (None, text)]
+    kept = drop_near_duplicates(documents(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, text), (7, "something else entirely")]
