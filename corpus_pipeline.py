@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ordertide.llm.common import stored, table
+from ordertide.llm.decontaminate import drop_contaminated
 from ordertide.llm.quality_rules import clean_documents
 from ordertide.llm.simhash import drop_near_duplicates
 
@@ -23,9 +24,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
 ]
 
 # Fingerprints, the trained labeller and the balanced sample have no SQL; tests hold each stage against brute force.

@@ -54,3 +54,42 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_removed AS BIGINT) AS n_removed
 FROM figures
 """
+
+DECONTAMINATE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM (SELECT item_id, words, least(10, len(words)) AS size,
+               unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i
+        FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT rid, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM (SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM docs, sizes WHERE len(words) >= size)),
+found AS (
+  SELECT d.rid, d.i, d.size, w.item_id FROM doc_windows d JOIN item_windows w USING (size, win)),
+spans AS (
+  SELECT rid, i, max(i + size) AS upto FROM found GROUP BY rid, i),
+hit AS (
+  SELECT rid, sum(greatest(0, upto - greatest(i, coalesce(before, 0)))) AS n_hit
+  FROM (SELECT rid, i, upto, max(upto) OVER (PARTITION BY rid ORDER BY i
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans)
+  GROUP BY rid),
+ids AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
+"""

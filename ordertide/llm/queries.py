@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from ordertide.llm import oracles
 from ordertide.llm.common import table
+from ordertide.llm.decontaminate import decontaminate
 from ordertide.llm.quality_rules import quality_rules
 from ordertide.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate(docs, items).drop("text_hash")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -38,9 +44,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": oracles.DECONTAMINATE,
     "op10_quality_rules": oracles.QUALITY_RULES,
 }
