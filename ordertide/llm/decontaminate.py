@@ -28,67 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.llm.common import stored
+from ordertide.llm.wordhash import ALPHANUMERIC, Words, mixed
 
 WINDOW = 10  # fixed
 GRAM = 5
 MAX_BITMAP_BITS = 29  # 64 MiB
 BITS_PER_HASH = 256
-BLOCK_BYTES = 4 << 20
 
-# Bytes of words stay, A-Z become lower case, all others separate words.
-_TABLE = bytes(
-    b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
-    for b in range(256)
-)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-class Words:
-    """The words of one text: where they begin and end in its normalised bytes, and their hashes."""
+class Windows(Words):
+    """The windows of one text and the hash that winnowing keeps of each."""
 
     def __init__(self, text: bytes | None):
-        self.plain = (text or b"").translate(_TABLE)
-        inside = np.frombuffer(self.plain, np.uint8) != 32
-        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.count = len(self.starts)
-        self.hashes = np.empty(self.count, np.uint64)
-        first = 0
-        while first < self.count:  # blocks of whole words, so that memory does not follow the text
-            last = int(np.searchsorted(self.ends, self.starts[first] + BLOCK_BYTES, "right"))
-            last = max(last, first + 1)
-            self.hashes[first:last] = self._hash(first, last)
-            first = last
-
-    def _hash(self, first: int, last: int) -> np.ndarray:
-        """Polynomial hashes of words from running sums of the block's bytes."""
-        low, high = int(self.starts[first]), int(self.ends[last - 1])
-        values = np.frombuffer(self.plain, np.uint8)[low:high].astype(np.uint64) + np.uint64(1)
-        lengths = (self.ends[first:last] - self.starts[first:last]).astype(np.int64)
-        offsets = self.starts[first:last] - low
-        place = np.arange(high - low) - np.repeat(
-            offsets, np.diff(offsets, append=high - low)
-        )
-        powers = _powers(int(lengths.max()) + 1)
-        word = np.repeat(lengths, np.diff(offsets, append=high - low))
-        terms = np.where(place < word, values * powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
-        return _mixed(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64))
-
-    def grams(self, size: int) -> np.ndarray:
-        """Hashes of all runs of ``size`` words."""
-        n = self.count - size + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        total = np.full(n, size, np.uint64)
-        for i in range(size):
-            total = _mixed(total * _BASE + self.hashes[i : i + n])
-        return total
+        super().__init__(text, ALPHANUMERIC)
 
     def kept(self, length: int) -> np.ndarray:
         """For every window of ``length`` words the hash that winnowing keeps."""
@@ -108,12 +59,6 @@ class Words:
         return b" ".join(raw.split()).decode()
 
 
-def _powers(n: int) -> np.ndarray:
-    powers = np.full(n, _BASE, np.uint64)
-    powers[0] = 1
-    return np.multiply.accumulate(powers)
-
-
 _HITS = pa.list_(
     pa.struct([("print", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.string())])
 )
@@ -121,7 +66,7 @@ _HITS = pa.list_(
 
 def _bits(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The two places of a hash in a bitmap of ``2 ** bits``."""
-    return prints >> np.uint64(64 - bits), _mixed(prints) >> np.uint64(64 - bits)
+    return prints >> np.uint64(64 - bits), mixed(prints) >> np.uint64(64 - bits)
 
 
 def _scan(bitmap, lengths: list[int] | None):
@@ -135,7 +80,7 @@ def _scan(bitmap, lengths: list[int] | None):
         for batch in parts:
             counts, hits = [], []
             for text in batch.column("text"):
-                words = Words(text.as_py())
+                words = Windows(text.as_py())
                 counts.append(words.count)
                 found = []
                 for length in lengths or [min(WINDOW, words.count)]:

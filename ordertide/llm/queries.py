@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordertide.llm import oracles
 from ordertide.llm.common import table
 from ordertide.llm.decontaminate import decontaminate
+from ordertide.llm.hpylm import score_texts
 from ordertide.llm.quality_rules import quality_rules
 from ordertide.llm.simhash import near_duplicates
 
@@ -21,6 +22,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(docs, items).drop("text_hash")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -45,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
