@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ordertide.llm.common import stored, table
 from ordertide.llm.decontaminate import drop_contaminated
+from ordertide.llm.mixing import mixed_documents
 from ordertide.llm.quality_rules import clean_documents
 from ordertide.llm.simhash import drop_near_duplicates
 
@@ -29,10 +30,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of all sources, as often as the target weights take them; ``copy`` counts from 1."""
+    return mixed_documents(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
+    ("source_mixing", mixing),
 ]
 
 # Fingerprints, the trained labeller and the balanced sample have no SQL; tests hold each stage against brute force.

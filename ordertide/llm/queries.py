@@ -11,6 +11,7 @@ from ordertide.llm import oracles
 from ordertide.llm.common import table
 from ordertide.llm.decontaminate import decontaminate
 from ordertide.llm.hpylm import score_texts
+from ordertide.llm.mixing import mixture
 from ordertide.llm.quality_rules import quality_rules
 from ordertide.llm.simhash import near_duplicates
 
@@ -34,6 +35,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
