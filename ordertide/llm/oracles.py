@@ -93,3 +93,24 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
 """
+
+URL_FILTER = f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS host FROM rests),
+parts AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(host, '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path
+  FROM hosts),
+rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT p.rid, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY p.rid ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM parts p JOIN rules r
+    ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (rid)
+"""

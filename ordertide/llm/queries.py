@@ -14,6 +14,16 @@ from ordertide.llm.hpylm import score_texts
 from ordertide.llm.mixing import mixture
 from ordertide.llm.quality_rules import quality_rules
 from ordertide.llm.simhash import near_duplicates
+from ordertide.llm.url_filter import filter_urls
+
+# Fixed: the rules of the url query.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +45,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "entry string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -57,10 +72,12 @@ QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_source_mixing": op5_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.DECONTAMINATE,
+    "op4_url_filter": oracles.URL_FILTER,
     "op10_quality_rules": oracles.QUALITY_RULES,
 }
