@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ordertide.llm.hpylm import score_texts
 from ordertide.llm.mixing import mixture
 from ordertide.llm.quality_rules import quality_rules
 from ordertide.llm.simhash import near_duplicates
+from ordertide.llm.token_counts import count_tokens
 from ordertide.llm.url_filter import filter_urls
 
 # Fixed: the rules of the url query.
@@ -54,6 +56,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return count_tokens(table(spark, sf_dir, "documents"), path)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -74,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_source_mixing": op5_source_mixing,
+    "op6_token_counts": op6_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
