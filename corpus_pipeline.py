@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ordertide.llm.common import stored, table
 from ordertide.llm.decontaminate import drop_contaminated
 from ordertide.llm.mixing import mixed_documents
+from ordertide.llm.pii import mask_personal_data
 from ordertide.llm.quality_rules import clean_documents
 from ordertide.llm.simhash import drop_near_duplicates
 
@@ -30,6 +31,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked in their texts."""
+    return mask_personal_data(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of all sources, as often as the target weights take them; ``copy`` counts from 1."""
     return mixed_documents(docs)
@@ -39,6 +45,7 @@ STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
+    ("personal_data", personal_data),
     ("source_mixing", mixing),
 ]
 

@@ -13,6 +13,8 @@ from ordertide.llm.common import table
 from ordertide.llm.decontaminate import decontaminate
 from ordertide.llm.hpylm import score_texts
 from ordertide.llm.mixing import mixture
+from ordertide.llm.pii import find_personal_data
+from ordertide.llm.quality_model import score_quality
 from ordertide.llm.quality_rules import quality_rules
 from ordertide.llm.simhash import near_duplicates
 from ordertide.llm.token_counts import count_tokens
@@ -61,6 +63,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -82,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op5_source_mixing": op5_source_mixing,
     "op6_token_counts": op6_token_counts,
+    "op8_personal_data": op8_personal_data,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
