@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ordertide.llm import oracles
 from ordertide.llm.common import table
 from ordertide.llm.decontaminate import decontaminate
+from ordertide.llm.html_text import extract_text
 from ordertide.llm.hpylm import score_texts
 from ordertide.llm.mixing import mixture
 from ordertide.llm.pii import find_personal_data
@@ -63,6 +64,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op5_source_mixing": op5_source_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
     "op8_personal_data": op8_personal_data,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,

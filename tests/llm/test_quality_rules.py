@@ -1,0 +1,104 @@
+import random
+import re
+
+import pytest
+from helpers import awkward, documents, empty
+
+from ordertide.llm.quality_rules import clean_documents, quality_rules
+from ordertide.llm.queries import op10_quality_rules
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def figures(text):
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    starts = {}
+    for i in range(len(words) - 7):
+        starts.setdefault(tuple(words[i : i + 8]), []).append(i)
+    again = {j for at in starts.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    n = len(words)
+    failed = n < 20 or 100 * len(again) > 30 * n
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(again), failed
+
+
+def plain(line):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in line))
+    return re.sub("[0-9]", "0", " ".join(words))
+
+
+def brute(rows):
+    """Verdicts of (doc_id, text, source) rows."""
+    texts, holders = {}, {}
+    for _, text, source in rows:
+        texts.setdefault(source, set()).add(text or "")
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                holders.setdefault((source, plain(line)), set()).add(text)
+    bad = {k for k, v in holders.items() if len(v) > 8 and len(v) > 0.10 * len(texts[k[0]])}
+    for doc_id, text, source in rows:
+        lines = (text or "").split("\n")
+        gone = sum(len(WORD.findall(x)) for x in lines if (source, plain(x)) in bad)
+        f = figures(text)
+        yield doc_id, *f, not f[5] and gone <= 0.5 * f[0], gone
+
+
+COLUMNS = [
+    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed",
+]
+
+
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.select(COLUMNS).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)] + ["É", "日本", "#x", "a|b", "12"]
+    shared = ["All  rights reserved 2019", "all rights RESERVED 2024", "Share this page now please"]
+    rows = []
+    for i in range(300):
+        lines = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 12))]
+        if i % 3 == 0:
+            lines.insert(rng.randint(0, len(lines)), rng.choice(shared))
+        if i % 10 == 0 and lines:
+            lines += lines[:3] * rng.randint(1, 3)
+        rows.append((i, rng.choice(["\n", "\n\n", "\t\n"]).join(lines), rng.choice(["a", "b", None])))
+    return rows + rows[:5] + [(i, rows[1][1], "a") for i in range(400, 460)]
+
+
+def test_rules_equal_brute_force(spark, corpus):
+    found = rows_of(quality_rules(documents(spark, corpus)))
+    assert found == sorted(brute(corpus), key=repr)
+    assert any(r[-1] for r in found) and any(r[5] for r in found)
+
+
+def test_boilerplate_is_removed_and_the_rest_kept(spark, corpus):
+    docs = documents(spark, corpus)
+    clean = clean_documents(docs)
+    assert clean.columns == docs.columns
+    kept = {(r[0], r[8]) for r in brute(corpus) if r[7]}
+    found = clean.collect()
+    assert len(found) == sum(r[7] for r in brute(corpus))
+    assert {r.doc_id for r in found} == {i for i, _ in kept}
+    texts = {i: t for i, t, _ in corpus}
+    lost = {i: n for i, n in kept}
+    for r in found:
+        assert r.n_chars == len(r.text)
+        assert len(WORD.findall(texts[r.doc_id])) - len(WORD.findall(r.text)) == lost[r.doc_id]
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    assert rows_of(quality_rules(docs)) == sorted(brute(rows), key=repr)
+    assert quality_rules(empty(spark)).count() == 0
+    assert [r.doc_id for r in clean_documents(docs).collect()] == [5]
+
+
+def test_no_python_runs_on_the_executors(spark, capsys):
+    op10_quality_rules(spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
