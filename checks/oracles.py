@@ -1,6 +1,7 @@
 """DuckDB SQL for the registered queries.
 
-Money is added as integer cents here, which is exact for the test prices (two decimals).
+Money is added as integer cents here, which is exact for the test prices (two decimals), and as
+doubles where prices have more digits.
 """
 
 from __future__ import annotations
@@ -170,6 +171,27 @@ def _activity(select: str) -> str:
 _LISTED_NATION = "province IN (" + ", ".join(f"'NATION_{n}'" for n in range(24)) + ")"
 _LISTED_PROV = "province IN (" + ", ".join(f"'PROV_{n}'" for n in range(12)) + ")"
 
+# Sums of doubles, for prices that are no whole cents.
+_MANY_DIGITS = (
+    f"WITH {ACTIVITY.replace('value AS unit_price_vnd', 'value / 7 AS unit_price_vnd')}"
+    + _chain(_LISTED_PROV)
+    + """
+SELECT province, count(DISTINCT order_id) AS orders, CAST(sum(quantity) AS BIGINT) AS units,
+       round(sum(revenue_vnd), 2) AS revenue_vnd,
+       round(sum(revenue_vnd) / count(*), 2) AS average_order_value_vnd
+FROM active GROUP BY province"""
+)
+# Some fields missing, by the number of the order.
+_GAPS = {"quantity": 11, "unit_price_vnd": 13, "event_type": 17, "event_id": 19}
+_GAPPY = ACTIVITY.replace("bronze AS", "whole AS") + (
+    ", bronze AS (SELECT * REPLACE ("
+    + ", ".join(
+        f"CASE WHEN CAST(substr(order_id, 2) AS INTEGER) % {n} <> 0 THEN {c} END AS {c}"
+        for c, n in _GAPS.items()
+    )
+    + ") FROM whole)"
+)
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in _GAPS)
 _EVENT_COLUMNS = (
     "event_id", "order_id", "customer_id", "product_id", "category", "province", "quantity",
     "unit_price_vnd", "event_type", "event_ts", "ingest_ts",
@@ -309,6 +331,13 @@ FROM ({_COUNTS})"""
     "stream_landed_events": _activity(
         "SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"
     ),
+    "stream_restarted_events": _activity(
+        "SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"
+    ),
+    "stream_landed_sources": _activity(
+        "SELECT CAST(CAST(event_ts AS DATE) AS VARCHAR) AS directory,"
+        " CAST(event_ts AS DATE) AS event_date, count(*) AS events FROM bronze GROUP BY 2"
+    ),
     "stream_landed_records": _activity(
         "SELECT *, 'events' AS kafka_topic, CAST(event_ts AS DATE) AS event_date FROM bronze"
     ),
@@ -319,10 +348,43 @@ FROM ({_COUNTS})"""
         "SELECT 'rerun', count(*), count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM bronze"
     ),
     "incremental_refresh_marts": _activity("SELECT * FROM daily"),
+    "many_digit_sales": _MANY_DIGITS,
+    "incremental_many_digit_sales": _MANY_DIGITS,
     "incremental_sales_velocity": _activity("SELECT * FROM velocity"),
     "incremental_sales_forecast": _activity("SELECT * FROM forecast"),
     "incremental_order_state": _activity("SELECT * FROM state"),
+    "curated_clean_events": _activity(
+        "SELECT *, CAST(event_ts AS DATE) AS event_date FROM accepted"
+    ),
+    "curated_order_state": _activity("SELECT *, CAST(event_ts AS DATE) AS event_date FROM state"),
     "curated_daily_sales": _activity("SELECT * FROM daily"),
+    "curated_province_sales": _activity("SELECT * FROM provinces"),
+    "curated_sales_velocity": _activity("SELECT * FROM velocity"),
+    "curated_sales_forecast": _activity("SELECT * FROM forecast"),
+    "exported_daily_sales": _activity("SELECT * FROM daily"),
+    "exported_province_sales": _activity("SELECT * FROM provinces"),
+    "exported_sales_forecast": _activity("SELECT * FROM forecast"),
+    "missing_field_violations": f"WITH {_GAPPY}\n"
+    + "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS field, count(*) FILTER (WHERE {name} IS NULL) AS null_rows FROM bronze"
+        for name in _EVENT_COLUMNS
+    ),
+    "quarantined_missing_events": (
+        f"WITH {_GAPPY.replace('bronze AS', 'gappy AS')},"
+        f" bronze AS (SELECT * FROM gappy WHERE {_COMPLETE}){_chain(_LISTED_PROV)}"
+        " SELECT *, CAST(event_ts AS DATE) AS event_date FROM classified"
+        " WHERE rejection_reason IS NOT NULL UNION ALL"
+        " SELECT *, 'missing_required_field', CAST(event_ts AS DATE) FROM gappy"
+        f" WHERE NOT ({_COMPLETE})"
+    ),
+    "failed_quality_report": f"""WITH {_GAPPY}{_chain(_LISTED_PROV)}
+SELECT 'FAIL' AS status, bronze = deduplicated + surplus_copies AS event_occurrences_reconcile,
+       deduplicated = accepted + quarantined AS classification_reconciles,
+       "current" = active + cancelled AS current_state_reconciles,
+       daily_sales > 0 AS daily_sales_nonempty, province_sales > 0 AS province_sales_nonempty,
+       forecast_rows = 7 AS forecast_horizon_is_seven, revenue_vnd > 0 AS positive_revenue,
+       "current", deduplicated
+FROM ({_COUNTS})""",
     "curated_rejected_events": _activity(
         "SELECT *, CAST(event_ts AS DATE) AS event_date FROM classified"
         " WHERE rejection_reason IS NOT NULL"

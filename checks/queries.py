@@ -12,12 +12,19 @@ from ordertide.functions.payload import decode_payload, encode_payload
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, measures, quality, reconcile, resolve
 from ordertide.plans import mapping
-from ordertide.plans.curate import curate_and_publish, open_table, read_reports
+from ordertide.plans.curate import (
+    GateFailure,
+    curate_and_publish,
+    exported_path,
+    open_table,
+    read_reports,
+)
 from ordertide.plans.layout import Layout
 from ordertide.plans.mapping import ACTIVITY_CONTRACT, LINEITEM_CONTRACT
 from ordertide.plans.settings import scratch_path
 from ordertide.sinks.files import write_event_files, write_table
 from ordertide.sources.files import (
+    RAW,
     read_bronze,
     read_province_dimension,
     stream_event_files,
@@ -229,8 +236,8 @@ def _quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return write_table(frame, f"{root}/{table}")
 
     bronze = stage(mapping.lineitem_events(spark, sf_dir), "bronze")
-    classified = quality.classify_events(resolve.dedup_latest_event(bronze), LINEITEM_CONTRACT)
-    classified = stage(classified, "classified")
+    resolved = resolve.dedup_counting_copies(bronze)
+    classified = stage(quality.classify_events(resolved, LINEITEM_CONTRACT), "classified")
     state = resolve.current_order_state(quality.accepted_events(classified))
     state = stage(state, "state")
     cells = stage(marts.sales_cells(resolve.active_orders(state)), "cells")
@@ -357,8 +364,10 @@ def multi_source_bronze(spark, sf_dir):
 # --- the events table as a second data set ----------------------------------------------------
 
 
-def _activity_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = resolve.dedup_latest_event(mapping.activity_events(spark, sf_dir))
+def _activity_cells(
+    spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame] = lambda e: e
+) -> DataFrame:
+    events = resolve.dedup_latest_event(change(mapping.activity_events(spark, sf_dir)))
     accepted = quality.accepted_events(quality.classify_events(events, ACTIVITY_CONTRACT))
     return marts.order_cells(resolve.active_orders(resolve.current_order_state(accepted)))
 
@@ -368,6 +377,17 @@ def activity_daily_sales(spark, sf_dir):
     return marts.daily_sales(_activity_cells(spark, sf_dir))
 
 
+def _many_digits(events: DataFrame) -> DataFrame:
+    """The same events with prices of up to 17 digits."""
+    return events.withColumn("unit_price_vnd", F.col("unit_price_vnd") / 7)
+
+
+@query
+def many_digit_sales(spark, sf_dir):
+    """Prices that no decimal of a fixed scale holds."""
+    return marts.province_sales(_activity_cells(spark, sf_dir, _many_digits))
+
+
 @query
 def activity_forecast(spark, sf_dir):
     return fc.sales_forecast(marts.daily_sales(_activity_cells(spark, sf_dir)))
@@ -376,10 +396,15 @@ def activity_forecast(spark, sf_dir):
 # --- streams and the full run -----------------------------------------------------------------
 
 
-def _incoming(spark: SparkSession, sf_dir: str, files: int | None = None) -> tuple[str, str]:
+def _incoming(
+    spark: SparkSession,
+    sf_dir: str,
+    files: int | None = None,
+    change: Callable[[DataFrame], DataFrame] = lambda e: e,
+) -> tuple[str, str]:
     """The events table as JSON lines under a new scratch path; returns (incoming, root)."""
     root = scratch_path(spark, "run")
-    events = mapping.activity_events(spark, sf_dir)
+    events = change(mapping.activity_events(spark, sf_dir))
     write_event_files(events if files is None else events.repartition(files), f"{root}/incoming")
     return f"{root}/incoming", root
 
@@ -388,7 +413,31 @@ def _incoming(spark: SparkSession, sf_dir: str, files: int | None = None) -> tup
 def stream_landed_events(spark, sf_dir):
     incoming, root = _incoming(spark, sf_dir)
     land_file_stream(spark, incoming, root)
-    return read_bronze(spark, Layout(root).bronze_sources).drop("source_file")
+    return read_bronze(spark, Layout(root).bronze_sources).drop("source_file", RAW)
+
+
+@query
+def stream_landed_sources(spark, sf_dir):
+    """Events by the directory of the file that each came from; files are written one per date."""
+    incoming, root = _incoming(spark, sf_dir)
+    land_file_stream(spark, incoming, root)
+    directory = F.regexp_extract("source_file", r"event_date=([0-9-]+)/[^/]+\.json$", 1)
+    bronze = read_bronze(spark, Layout(root).bronze_sources)
+    return bronze.groupBy(directory.alias("directory"), "event_date").agg(
+        F.count("*").alias("events")
+    )
+
+
+@query
+def stream_restarted_events(spark, sf_dir):
+    """Landed in two runs of one checkpoint, with files that arrive in between."""
+    root = scratch_path(spark, "run")
+    events = mapping.activity_events(spark, sf_dir)
+    first = F.dayofmonth("event_ts") <= 15
+    for part in (first, ~first):
+        write_event_files(events.filter(part), f"{root}/incoming")
+        land_file_stream(spark, f"{root}/incoming", root, max_files_per_trigger=7)
+    return read_bronze(spark, Layout(root).bronze_sources).drop("source_file", RAW)
 
 
 @query
@@ -416,7 +465,8 @@ def stream_landed_records(spark, sf_dir):
         {"availableNow": True},
     )
     drain(landing)
-    return read_bronze(spark, layout.bronze_sources).drop("kafka_partition", "kafka_offset")
+    bronze = read_bronze(spark, layout.bronze_sources)
+    return bronze.drop("kafka_partition", "kafka_offset", RAW)
 
 
 @query
@@ -438,16 +488,20 @@ def stream_landing_metrics(spark, sf_dir):
     names = ("rows_before", "rows_after", "rows_landed", "input_rows")
     rows = []
     for run in ("first", "rerun"):
-        result = land_file_stream(spark, incoming, root, max_files_per_trigger=10)
+        result = land_file_stream(
+            spark, incoming, root, max_files_per_trigger=10, count_bronze=True
+        )
         rows.append((run, *(result[name] for name in names)))
     return spark.createDataFrame(
         rows, "drain string, " + ", ".join(f"{name} bigint" for name in names)
     )
 
 
-def _refreshed(spark: SparkSession, sf_dir: str) -> IncrementalMarts:
+def _refreshed(
+    spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame] = lambda e: e
+) -> IncrementalMarts:
     """The events table through the incremental marts, in several micro-batches."""
-    incoming, root = _incoming(spark, sf_dir, files=4)
+    incoming, root = _incoming(spark, sf_dir, files=4, change=change)
     target = IncrementalMarts(spark, root, ACTIVITY_CONTRACT)
     stream = stream_event_files(spark, incoming, max_files_per_trigger=40)
     drain(start_incremental(stream, target, f"{root}/checkpoint", {"availableNow": True}))
@@ -459,6 +513,11 @@ def incremental_refresh_marts(spark, sf_dir):
     return _refreshed(spark, sf_dir).daily_sales()
 
 
+@query
+def incremental_many_digit_sales(spark, sf_dir):
+    return _refreshed(spark, sf_dir, _many_digits).province_sales()
+
+
 @query
 def incremental_sales_velocity(spark, sf_dir):
     return _refreshed(spark, sf_dir).sales_velocity()
@@ -474,40 +533,104 @@ def incremental_order_state(spark, sf_dir):
     return _refreshed(spark, sf_dir).order_state()
 
 
-def _curated(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
-    incoming, root = _incoming(spark, sf_dir)
+def _curated(
+    spark: SparkSession,
+    sf_dir: str,
+    change: Callable[[DataFrame], DataFrame] = lambda e: e,
+    **options,
+) -> str:
+    """Root of a full run over the events table."""
+    incoming, root = _incoming(spark, sf_dir, change=change)
     landing = land_file_stream(spark, incoming, root)
-    report = curate_and_publish(
-        spark, root, contract=ACTIVITY_CONTRACT, recount_copies=True, stream=landing
+    curate_and_publish(spark, root, contract=ACTIVITY_CONTRACT, stream=landing, **options)
+    return root
+
+
+def _stored(table: str) -> Query:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stored = open_table(spark, _curated(spark, sf_dir), table)
+        return stored.drop("source_file", RAW)
+
+    return read
+
+
+def _exported(table: str, columns: str) -> Query:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = exported_path(spark, _curated(spark, sf_dir), table)
+        return spark.read.schema(columns).option("header", "true").csv(path)
+
+    return read
+
+
+_SALES = "orders bigint, units bigint, revenue_vnd double, average_order_value_vnd double"
+_EXPORTS = {
+    "daily_sales": f"order_date date, province string, category string, {_SALES}",
+    "province_sales": f"province string, {_SALES}",
+    "sales_velocity": "sales_hour timestamp, province string, orders_per_hour bigint,"
+    " revenue_per_hour_vnd double",
+    "sales_forecast": "forecast_date string, forecast_revenue_vnd double, model string,"
+    " training_days bigint",
+}
+for _name, _table in {
+    "curated_clean_events": "order_events_clean",
+    "curated_rejected_events": "order_events_rejected",
+    "curated_order_state": "current_order_state",
+    "curated_daily_sales": "daily_sales",
+    "curated_province_sales": "province_sales",
+    "curated_sales_velocity": "sales_velocity",
+    "curated_sales_forecast": "sales_forecast",
+}.items():
+    _read = _stored(_table)
+    _read.__name__ = _name
+    query(_read)
+for _table, _columns in _EXPORTS.items():
+    _read = _exported(_table, _columns)
+    _read.__name__ = f"exported_{_table}"
+    query(_read)
+
+
+def _with_gaps(events: DataFrame) -> DataFrame:
+    """The same events without some quantities, prices, types and ids."""
+    number = F.regexp_extract("order_id", "[0-9]+", 0).cast("int")
+    return events.withColumns(
+        {
+            "quantity": F.when(number % 11 != 0, F.col("quantity")),
+            "unit_price_vnd": F.when(number % 13 != 0, F.col("unit_price_vnd")),
+            "event_type": F.when(number % 17 != 0, F.col("event_type")),
+            "event_id": F.when(number % 19 != 0, F.col("event_id")),
+        }
     )
-    return root, report
 
 
 @query
-def curated_daily_sales(spark, sf_dir):
-    root, _ = _curated(spark, sf_dir)
-    return open_table(spark, root, "daily_sales")
+def missing_field_violations(spark, sf_dir):
+    return quality.required_field_violations(_with_gaps(mapping.activity_events(spark, sf_dir)))
 
 
 @query
-def curated_rejected_events(spark, sf_dir):
-    root, _ = _curated(spark, sf_dir)
-    return open_table(spark, root, "order_events_rejected").drop("source_file")
+def quarantined_missing_events(spark, sf_dir):
+    """What a run rejects that quarantines incomplete occurrences: each of them, and broken rules."""
+    root = _curated(spark, sf_dir, _with_gaps, quarantine_missing=True)
+    return open_table(spark, root, "order_events_rejected").drop("source_file", RAW)
 
 
 @query
-def exported_sales_velocity(spark, sf_dir):
-    """The CSV export read back."""
-    root, _ = _curated(spark, sf_dir)
-    schema = "sales_hour timestamp, province string, orders_per_hour bigint, revenue_per_hour_vnd double"
-    reader = spark.read.schema(schema).option("header", "true")
-    return reader.csv(f"{Layout(root).exports}/sales_velocity.csv")
+def failed_quality_report(spark, sf_dir):
+    """A run with orders of no event type: it leaves its report and is not published."""
+    incoming, root = _incoming(spark, sf_dir, change=_with_gaps)
+    land_file_stream(spark, incoming, root)
+    try:
+        curate_and_publish(spark, root, contract=ACTIVITY_CONTRACT)
+    except GateFailure:
+        report = read_reports(spark, root)
+        return report.select("status", "assertions.*", "orders.current", "events.deduplicated")
+    raise AssertionError("the gates must fail")
 
 
 @query
 def quality_report(spark, sf_dir):
     """The stored report of a full run, flattened, without its clock."""
-    root, _ = _curated(spark, sf_dir)
+    root = _curated(spark, sf_dir)
     revenue = F.round("gold.revenue_vnd", 2)
     return read_reports(spark, root).select(
         "status",

@@ -2,10 +2,9 @@
 
 Adding doubles gives different last bits for different partitionings, which then flips half-cent
 roundings. Amounts are therefore added as decimals. A price becomes a decimal from its shortest
-decimal text, so 123.45 is exactly 123.45, and quantity * price is exact as well. The few amounts
-that do not fit (NaN, infinities, prices from 1e12 and amounts from 1e15) go into a separate double
-sum, so they still reach the result the way plain double arithmetic would carry them. With that
-bound a decimal sum cannot overflow below 1e11 orders per group, even if all are that large.
+decimal text, so 123.45 is exactly 123.45, and quantity * price is exact as well. No digit is ever
+dropped: an amount that a decimal does not hold exactly (a price with more digits, NaN, infinities)
+goes into a separate double sum and reaches the result the way plain double arithmetic carries it.
 """
 
 from __future__ import annotations
@@ -18,9 +17,15 @@ ORDER_AMOUNT_TYPE = "decimal(23,8)"
 AMOUNT_TYPE = "decimal(38,8)"
 
 
+def _exactly(value: Column, kind: str) -> Column:
+    """``value`` as a decimal; NULL unless the decimal is the same double again."""
+    held = value.try_cast(kind)
+    return F.when(held.cast("double") == value, held)
+
+
 def exact_amount(quantity: Column, price: Column) -> Column:
-    """quantity * price as a decimal; NULL if either is NULL or the amount does not fit."""
-    product = quantity.cast("decimal(10,0)") * price.try_cast(PRICE_TYPE)
+    """quantity * price as a decimal; NULL if either is NULL or a decimal does not hold the amount."""
+    product = quantity.cast("decimal(10,0)") * _exactly(price, PRICE_TYPE)
     return product.try_cast(ORDER_AMOUNT_TYPE).cast(AMOUNT_TYPE)
 
 
@@ -50,7 +55,8 @@ def rounded_mean(exact: Column, stray: Column, n: Column) -> Column:
 
 def total(value: Column) -> Column:
     """Aggregate: order-independent sum of a double column, as a double; NULL if all are NULL."""
-    exact = F.sum(value.try_cast("decimal(28,8)"))
-    stray = F.sum(F.when(value.try_cast("decimal(28,8)").isNull(), value))
+    held = _exactly(value, "decimal(28,8)")
+    exact = F.sum(held)
+    stray = F.sum(F.when(held.isNull(), value))
     mixed = F.coalesce(exact.cast("double"), F.lit(0.0)) + stray
     return F.when(stray.isNull(), exact.cast("double")).otherwise(mixed)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ordertide.functions import money
 
+MAX_RANKED = 100_000
+
 
 def _measure_columns() -> list:
     revenue, orders = money.total(F.col("revenue_vnd")), F.sum("orders")
@@ -53,15 +55,29 @@ def with_geography(mart: DataFrame, dimension: DataFrame) -> DataFrame:
     return mart.join(dimension, "province", "left")
 
 
-def ranked_provinces(provinces: DataFrame, top: int | None = None) -> DataFrame:
+def ranked_provinces(
+    provinces: DataFrame, top: int | None = None, max_rows: int = MAX_RANKED
+) -> DataFrame:
     """Provinces by revenue, equal revenue sharing a rank; ``top`` keeps the best ranks.
 
-    The window has no partition key. Its input is the province mart, which has one row per value of
-    the closed province domain (plus at most one NULL), whatever the number of orders.
+    The best ranks come from the ``top`` largest revenues, which Spark finds without a global sort:
+    a revenue has as many ahead of it as there are larger ones among them. Ranking everything sorts
+    the mart in one task, so a mart of more than ``max_rows`` rows is refused.
     """
-    rank = F.rank().over(Window.orderBy(F.col("revenue_vnd").desc()))
-    ranked = provinces.withColumn("revenue_rank", rank)
-    return ranked if top is None else ranked.filter(F.col("revenue_rank") <= top)
+    if top is None:
+        if provinces.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"More than {max_rows} provinces; ask for the top ones")
+        rank = F.rank().over(Window.orderBy(F.col("revenue_vnd").desc()))
+        return provinces.withColumn("revenue_rank", rank)
+    largest = provinces.select(F.struct("revenue_vnd").alias("r")).orderBy(F.desc("r")).limit(top)
+    ahead = largest.agg(F.sort_array(F.collect_list("r"), asc=False).alias("all"))
+    ranks = (
+        ahead.select(F.posexplode("all").alias("position", "r"))
+        .groupBy(F.col("r.revenue_vnd").alias("value"))
+        .agg((F.min("position") + 1).alias("revenue_rank"))
+    )
+    same = F.col("revenue_vnd").eqNullSafe(F.col("value"))
+    return provinces.join(ranks, same).drop("value")
 
 
 def category_matrix(daily: DataFrame, categories: Sequence[str]) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.contract import DEFAULT_CONTRACT, EVENT_COLUMNS, OrderContract, Rule
+from ordertide.operators.resolve import COPIES
 
 REASON = "rejection_reason"
+MISSING_FIELD = "missing_required_field"
 
 
 def rejection_reason(rules: Iterable[Rule]) -> Column:
@@ -58,6 +61,20 @@ def required_field_violations(events: DataFrame) -> DataFrame:
     return nulls.unpivot([], list(EVENT_COLUMNS), "field", "null_rows")
 
 
+def is_complete() -> Column:
+    """Whether a row has all required fields."""
+    return reduce(Column.__and__, [F.col(name).isNotNull() for name in EVENT_COLUMNS])
+
+
+def quarantine_incomplete(bronze: DataFrame) -> DataFrame:
+    """Occurrences that lack a required field, each rejected as it is.
+
+    A broken line has no event id, so collapsing copies would merge all of them into one row.
+    """
+    broken = bronze.filter(~is_complete())
+    return broken.withColumns({COPIES: F.lit(1).cast("long"), REASON: F.lit(MISSING_FIELD)})
+
+
 def repeated_event_ids(events: DataFrame) -> DataFrame:
     """Event ids that occur more than once. Empty after ``dedup_latest_event``."""
     return events.groupBy("event_id").agg(F.count("*").alias("copies")).filter("copies > 1")

@@ -9,23 +9,20 @@ from pyspark.sql import functions as F
 
 from ordertide.contract import CANCELLED, FORECAST_HORIZON
 from ordertide.operators.quality import REASON
+from ordertide.operators.resolve import COPIES
 
 
 def bronze_counts(bronze: DataFrame) -> DataFrame:
     return bronze.agg(F.count("*").alias("bronze"))
 
 
-def copy_counts(bronze: DataFrame) -> DataFrame:
-    """Surplus copies, counted per event id without using the deduplicated table."""
-    copies = bronze.groupBy("event_id").agg(F.count("*").alias("copies"))
-    return copies.agg(F.sum(F.col("copies") - 1).alias("surplus_copies"))
-
-
 def classification_counts(classified: DataFrame) -> DataFrame:
+    """Rows by outcome, and the copies that were collapsed into them."""
     return classified.agg(
         F.count("*").alias("deduplicated"),
         F.count_if(F.col(REASON).isNull()).alias("accepted"),
         F.count_if(F.col(REASON).isNotNull()).alias("quarantined"),
+        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("surplus_copies"),
     )
 
 
@@ -64,14 +61,13 @@ def quality_counts(
     province: DataFrame,
     velocity: DataFrame,
     forecast: DataFrame,
-    recount_copies: bool = True,
 ) -> DataFrame:
     """All reconciliation numbers of one run in one row.
 
-    ``surplus_copies`` costs a shuffle of the event ids of the whole bronze table; without
-    ``recount_copies`` it is derived from the two row counts instead.
+    ``classified`` carries ``copies`` (see `dedup_counting_copies`): bronze rows and the sum of
+    copies are counted on either side of the deduplication, so they differ if a row got lost.
     """
-    counts = one_row(
+    return one_row(
         bronze_counts(bronze),
         classification_counts(classified),
         state_counts(state),
@@ -80,11 +76,7 @@ def quality_counts(
         row_count(velocity, "sales_velocity"),
         row_count(forecast, "forecast_rows"),
         cell_revenue(cells),
-        *([copy_counts(bronze)] if recount_copies else []),
     ).withColumn("duplicates", F.col("bronze") - F.col("deduplicated"))
-    if recount_copies:
-        return counts.withColumn("surplus_copies", F.coalesce("surplus_copies", F.lit(0)))
-    return counts.withColumn("surplus_copies", F.greatest("duplicates", F.lit(0)))
 
 
 def gate_columns(horizon: int = FORECAST_HORIZON) -> list[Column]:

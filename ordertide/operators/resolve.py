@@ -13,6 +13,7 @@ from ordertide.contract import CANCELLED, EVENT_COLUMNS
 EVENT_RECENCY = ("ingest_ts", "event_ts") + tuple(
     name for name in EVENT_COLUMNS if name not in ("event_id", "ingest_ts", "event_ts")
 )
+COPIES = "copies"
 STATE_RECENCY = ("event_ts", "ingest_ts", "event_id")
 
 
@@ -38,6 +39,20 @@ def dedup_latest_event(events: DataFrame) -> DataFrame:
     return latest_per_key(events, ["event_id"], recency)
 
 
+def dedup_counting_copies(events: DataFrame) -> DataFrame:
+    """``dedup_latest_event`` with ``copies``, the occurrences each surviving row stands for.
+
+    Copies are counted while they are collapsed, so their sum tells whether an occurrence got lost.
+    Partial aggregates run before the shuffle, so a hot event id costs one row per map task.
+    """
+    columns = events.columns
+    provenance = [name for name in columns if name not in EVENT_COLUMNS]
+    recency = F.struct(*[n for n in EVENT_RECENCY if n in columns], *provenance)
+    latest = F.max_by(F.struct(*[n for n in columns if n != "event_id"]), recency).alias("latest")
+    grouped = events.groupBy("event_id").agg(latest, F.count("*").alias(COPIES))
+    return grouped.select("event_id", "latest.*", COPIES).select(*columns, COPIES)
+
+
 def current_order_state(accepted: DataFrame) -> DataFrame:
     """The latest accepted event of every order, with its order date and revenue."""
     recency = [F.col(name).desc() for name in STATE_RECENCY]

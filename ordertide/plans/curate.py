@@ -1,12 +1,14 @@
-"""Curate bronze into silver and gold, check the gates, then publish.
+"""Curate bronze into silver and gold, check the gates, export, then publish.
 
-Every run writes to its own directory. Readers follow the publication log, to which a run is
-appended only after its gates passed; nothing that readers see is ever overwritten.
+Every run writes tables and exports to its own directory. Readers follow the publication log, to
+which a run is appended only after its gates passed and its exports are complete; nothing that
+readers reach through the log is ever overwritten.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial
 
@@ -23,7 +25,14 @@ from ordertide.contract import (
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, quality, reconcile, resolve
 from ordertide.plans.layout import Layout
-from ordertide.plans.settings import at_once, require_utc
+from ordertide.plans.settings import (
+    applied,
+    at_once,
+    file_system,
+    path_bytes,
+    require_utc,
+    session_settings,
+)
 from ordertide.sinks.files import export_csv, write_report, write_table
 from ordertide.sources.files import read_bronze
 
@@ -82,7 +91,13 @@ def require_fields(bronze: DataFrame) -> None:
         raise ContractViolation(f"NULL in required fields ({found})")
 
 
-def quality_report(numbers: Row, gates: list[str], stream: dict | None = None) -> dict:
+def quality_report(
+    numbers: Row,
+    gates: list[str],
+    stream: dict | None = None,
+    profile: str = REPORT_PROFILE,
+    seed: int = REPORT_SEED,
+) -> dict:
     """The report document from one row that holds the counts and the columns named ``gates``."""
 
     def pick(*names: str) -> dict:
@@ -92,8 +107,8 @@ def quality_report(numbers: Row, gates: list[str], stream: dict | None = None) -
 
     return {
         "status": "PASS" if all(assertions.values()) else "FAIL",
-        "profile": REPORT_PROFILE,
-        "seed": REPORT_SEED,
+        "profile": profile,
+        "seed": seed,
         "generated_at": datetime.now(timezone.utc).isoformat(),
         "events": pick("bronze", "deduplicated", "duplicates", "accepted", "quarantined"),
         "orders": pick("current", "active", "cancelled"),
@@ -113,18 +128,50 @@ def curate_and_publish(
     contract: OrderContract = DEFAULT_CONTRACT,
     horizon: int = FORECAST_HORIZON,
     enforce_required: bool = False,
-    recount_copies: bool = False,
+    quarantine_missing: bool = False,
     stream: dict | None = None,
+    profile: str = REPORT_PROFILE,
+    seed: int = REPORT_SEED,
+    settings: dict[str, str] | None = None,
 ) -> dict:
-    """Resolve, classify, build state, marts and forecast, check the gates and publish.
+    """Resolve, classify, build state, marts and forecast, check the gates, export and publish.
 
     Each table is written once and read back, so bronze is resolved once and the order state is
-    scanned once for all marts. ``enforce_required`` refuses NULLs in required fields, which pass
-    otherwise. ``recount_copies`` verifies the duplicate count with its own pass over the event ids.
-    ``stream`` is the result of the landing, for the report.
+    scanned once for all marts. NULLs in required fields pass by default; ``enforce_required``
+    refuses to curate them, ``quarantine_missing`` rejects those occurrences one by one instead.
+    ``stream`` (the result of the landing), ``profile`` and ``seed`` go into the report.
+    ``settings`` replaces the session settings that follow from the size of bronze; they hold for
+    this run only. ``export_dir`` gets a copy of the exports after the run is published.
     """
     require_utc(spark)
     layout = Layout(str(root))
+    if settings is None:
+        size = sum(path_bytes(spark, path) for path in layout.bronze_sources)
+        settings = session_settings(size)
+    with applied(spark, settings):
+        run_id, report = _curate(
+            spark, layout, contract, horizon, enforce_required, quarantine_missing,
+            partial(quality_report, stream=stream, profile=profile, seed=seed),
+        )
+        if report["status"] != "PASS":
+            raise GateFailure(f"Release gates failed; see {layout.report(run_id)}")
+        export_tables(spark, root, run_id)
+        _publish(spark, layout, run_id)
+        if export_dir is not None:
+            export_tables(spark, root, run_id, str(export_dir))
+    return report
+
+
+def _curate(
+    spark: SparkSession,
+    layout: Layout,
+    contract: OrderContract,
+    horizon: int,
+    enforce_required: bool,
+    quarantine_missing: bool,
+    report_of: Callable[[Row, list[str]], dict],
+) -> tuple[str, dict]:
+    """Write all tables and the report of a new run; its id and report."""
     bronze = read_bronze(spark, layout.bronze_sources)
     if enforce_required:
         require_fields(bronze)
@@ -134,7 +181,10 @@ def curate_and_publish(
         layer, stored = TABLES[table]
         return write_table(frame, layout.run_table(run_id, layer, stored), *partition_by)
 
-    classified = quality.classify_events(resolve.dedup_latest_event(bronze), contract)
+    whole = bronze.filter(quality.is_complete()) if quarantine_missing else bronze
+    classified = quality.classify_events(resolve.dedup_counting_copies(whole), contract)
+    if quarantine_missing:
+        classified = classified.unionByName(quality.quarantine_incomplete(bronze))
     classified = stage(_with_outcome(classified), "order_events_clean", "outcome")
     state = stage(resolve.current_order_state(_clean(classified)), "current_order_state")
     cells = stage(marts.sales_cells(resolve.active_orders(state)), "sales_cells")
@@ -157,31 +207,57 @@ def curate_and_publish(
         province=province,
         velocity=velocity,
         forecast=outlook,
-        recount_copies=recount_copies,
     )
     gates = reconcile.release_gates(counts, horizon)
     numbers = counts.select("*", *reconcile.gate_columns(horizon)).first()
-    report = quality_report(numbers, gates.columns, stream)
+    report = report_of(numbers, gates.columns)
     write_report(spark.createDataFrame([report], REPORT_DDL), layout.report(run_id))
-    if report["status"] != "PASS":
-        raise GateFailure(f"Release gates failed; see {layout.report(run_id)}")
-
-    _publish(spark, layout, run_id)
-    target = str(export_dir or layout.exports)
-    gold = {
-        "daily_sales": daily,
-        "province_sales": province,
-        "sales_velocity": velocity,
-        "sales_forecast": outlook,
-    }
+    return run_id, report
+
+
+def export_tables(
+    spark: SparkSession, root: str, run_id: str | None = None, export_dir: str | None = None
+) -> None:
+    """Sorted CSV of the gold tables, into the run's directory or a copy to ``export_dir``."""
+    layout = Layout(str(root))
+    run = run_id or latest_run(spark, root)
     at_once(
         spark,
         *(
-            partial(export_csv, frame, f"{target}/{table}.csv", EXPORT_ORDER[table])
-            for table, frame in gold.items()
+            partial(
+                export_csv,
+                open_table(spark, root, table, run),
+                f"{export_dir}/{table}.csv" if export_dir else layout.run_export(run, table),
+                order,
+            )
+            for table, order in EXPORT_ORDER.items()
         ),
     )
-    return report
+
+
+def exported_path(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> str:
+    """Where the CSV export of a published table is, of the latest run unless one is named."""
+    return Layout(str(root)).run_export(run_id or latest_run(spark, root), table)
+
+
+def expire_runs(spark: SparkSession, root: str, keep: int) -> list[str]:
+    """Delete all runs before the last ``keep`` published ones; the ids of the deleted runs.
+
+    Runs that failed go with the published ones around them. A run in progress is later than every
+    published run, so it is never touched, nor is the published one.
+    """
+    if keep < 1:
+        raise ValueError("The published run must be kept")
+    layout = Layout(str(root))
+    published = spark.read.parquet(layout.published).select("run_id").distinct()
+    kept = [row.run_id for row in published.orderBy(F.desc("run_id")).limit(keep).collect()]
+    oldest = min([*kept, latest_run(spark, root)])
+    target, files = file_system(spark, layout.runs)
+    found = sorted(status.getPath().getName() for status in files.listStatus(target))
+    expired = [run_id for run_id in found if run_id < oldest]
+    for run_id in expired:
+        files.delete(file_system(spark, layout.run(run_id))[0], True)
+    return expired
 
 
 def _with_outcome(classified: DataFrame) -> DataFrame:
@@ -190,11 +266,11 @@ def _with_outcome(classified: DataFrame) -> DataFrame:
 
 
 def _clean(stored: DataFrame) -> DataFrame:
-    return stored.filter("outcome = 'accepted'").drop("outcome", quality.REASON)
+    return stored.filter("outcome = 'accepted'").drop("outcome", quality.REASON, resolve.COPIES)
 
 
 def _rejected(stored: DataFrame) -> DataFrame:
-    return stored.filter("outcome = 'rejected'").drop("outcome")
+    return stored.filter("outcome = 'rejected'").drop("outcome", resolve.COPIES)
 
 
 def _publish(spark: SparkSession, layout: Layout, run_id: str) -> None:

@@ -35,15 +35,21 @@ class Layout:
         return f"{self.root}/checkpoints/{stream}"
 
     def run_table(self, run_id: str, layer: str, table: str) -> str:
-        return f"{self.root}/lakehouse/runs/{run_id}/{layer}/{table}"
+        return f"{self.run(run_id)}/{layer}/{table}"
 
     @property
-    def published(self) -> str:
-        return f"{self.root}/lakehouse/published"
+    def runs(self) -> str:
+        return f"{self.root}/lakehouse/runs"
+
+    def run(self, run_id: str) -> str:
+        return f"{self.runs}/{run_id}"
+
+    def run_export(self, run_id: str, table: str) -> str:
+        return f"{self.run(run_id)}/exports/{table}.csv"
 
     @property
-    def exports(self) -> str:
-        return f"{self.root}/exports"
+    def published(self) -> str:
+        return f"{self.root}/lakehouse/published"
 
     @property
     def reports(self) -> str:

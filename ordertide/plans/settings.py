@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark import inheritable_thread_target
@@ -47,18 +48,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def session_settings(
-    input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 40_000
+    input_bytes: int, partition_bytes: int = 256 << 20, max_blocks: int = 4_000_000_000
 ) -> dict[str, str]:
     """Runtime SQL settings for a run over ``input_bytes`` of bronze Parquet.
 
     Adaptive execution merges small shuffle partitions but cannot add any, so the initial number is
-    sized for the data: rows grow about threefold when Parquet is decoded. A shuffle has one block
-    per map task and partition, so beyond ``max_partitions`` partitions and scan splits grow instead
-    of multiplying; sorts and aggregates spill. Concurrent writers avoid sorting rows by partition
-    value before a partitioned write.
+    sized for the data: rows grow about threefold when Parquet is decoded, and a reducer gets about
+    ``partition_bytes`` of them. A shuffle has one block per map task and partition. Beyond
+    ``max_blocks`` scan splits and partitions grow by the same factor, so that their product stays
+    there: at 100 TB that is about 37,000 map tasks over 3 GB each and 110,000 reducers with 3 GB of
+    decoded rows, which sorts and aggregates spill. Concurrent writers avoid sorting rows by
+    partition value before a partitioned write.
     """
-    partitions = min(max(8, math.ceil(3 * input_bytes / partition_bytes)), max_partitions)
-    split_bytes = min(max(partition_bytes, input_bytes // max_partitions), 1 << 30)
+    partitions = max(8, math.ceil(3 * input_bytes / partition_bytes))
+    splits = max(1, math.ceil(input_bytes / partition_bytes))
+    growth = max(1.0, math.sqrt(partitions * splits / max_blocks))
+    partitions, split_bytes = math.ceil(partitions / growth), math.ceil(partition_bytes * growth)
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -76,6 +81,30 @@ def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
         spark.conf.set(key, value)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path object of ``path`` and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, 0 if nothing is there; asked of its file system."""
+    target, files = file_system(spark, path)
+    return files.getContentSummary(target).getLength() if files.exists(target) else 0
+
+
+@contextmanager
+def applied(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` for the time of a block; the session's own come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    apply_settings(spark, settings)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def at_once(spark: SparkSession, *jobs: Callable[[], object]) -> list:
     """Run independent Spark jobs side by side, so that small ones do not leave executors idle."""
     with ThreadPoolExecutor(len(jobs)) as pool:

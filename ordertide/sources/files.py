@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ordertide.contract import ORDER_EVENT_FIELDS, schema_of
 
 CORRUPT = "_corrupt_record"
+RAW = "raw_record"
 DIMENSION_DDL = "province string, latitude double, longitude double"
 
 
@@ -30,35 +31,33 @@ def read_event_files(spark: SparkSession, path: str, keep_corrupt: bool = False)
 
 
 def stream_event_files(
-    spark: SparkSession,
-    path: str,
-    max_files_per_trigger: int | None = None,
-    keep_corrupt: bool = False,
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """Streaming form of ``read_event_files`` with the columns bronze stores.
 
     ``source_file`` and ``event_date`` are added; ``event_date`` is the UTC date of the event time.
+    ``raw_record`` is the text of lines that are broken or hold a field of another type.
     """
-    reader = (
-        spark.readStream.schema(_wire_schema(keep_corrupt)).option("recursiveFileLookup", "true")
-    )
+    reader = spark.readStream.schema(_wire_schema(True)).option("recursiveFileLookup", "true")
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(path).select(
-        "*",
+        *(name for name, _ in ORDER_EVENT_FIELDS),
         F.col("_metadata.file_path").alias("source_file"),
+        F.col(CORRUPT).alias(RAW),
         F.to_date("event_ts").alias("event_date"),
     )
 
 
 FILE_BRONZE_SCHEMA = schema_of(
-    *ORDER_EVENT_FIELDS, ("source_file", "string"), ("event_date", "date")
+    *ORDER_EVENT_FIELDS, ("source_file", "string"), (RAW, "string"), ("event_date", "date")
 )
 KAFKA_BRONZE_SCHEMA = schema_of(
     *ORDER_EVENT_FIELDS,
     ("kafka_topic", "string"),
     ("kafka_partition", "integer"),
     ("kafka_offset", "long"),
+    (RAW, "string"),
     ("event_date", "date"),
 )
 

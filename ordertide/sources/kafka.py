@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ordertide.contract import DEFAULT_TOPIC
 from ordertide.functions.payload import decode_payload
+from ordertide.operators.quality import is_complete
+from ordertide.sources.files import RAW
 
 OFFSETS = ("kafka_topic", "kafka_partition", "kafka_offset")
 
@@ -30,11 +32,17 @@ def stream_records(
 
 
 def records_to_bronze(records: DataFrame) -> DataFrame:
-    """Decode records and keep where each came from; ``event_date`` is the UTC event date."""
+    """Decode records and keep where each came from; ``event_date`` is the UTC event date.
+
+    ``raw_record`` is the value of records that lack a required field, so that they can be traced
+    after the topic has dropped them.
+    """
     located = records.select(
         "value",
         F.col("topic").alias("kafka_topic"),
         F.col("partition").alias("kafka_partition"),
         F.col("offset").alias("kafka_offset"),
     )
-    return decode_payload(located, *OFFSETS).withColumn("event_date", F.to_date("event_ts"))
+    decoded = decode_payload(located, *OFFSETS, "value")
+    raw = F.when(~is_complete(), F.col("value").cast("string"))
+    return decoded.withColumns({RAW: raw, "event_date": F.to_date("event_ts")}).drop("value")

@@ -17,13 +17,16 @@ from ordertide.sources.files import (
 from ordertide.sources.kafka import records_to_bronze, stream_records
 
 POLL_SECONDS = 1
+FILES_PER_DATE = 8
 
 
-def gather_dates(events: DataFrame, files_per_date: int) -> DataFrame:
+def gather_dates(events: DataFrame, files_per_date: int | None) -> DataFrame:
     """Shuffle events so that a micro-batch writes at most ``files_per_date`` files per date.
 
-    Without it every task writes a file for every date it meets. The salt spreads a hot date.
+    Without it (None) every task writes a file for every date it meets. The salt spreads a hot date.
     """
+    if files_per_date is None:
+        return events
     salt = F.pmod(F.xxhash64("event_id", "order_id", "ingest_ts"), F.lit(files_per_date))
     return events.repartition("event_date", salt)
 
@@ -76,20 +79,20 @@ def land_file_stream(
     incoming: str,
     root: str,
     max_files_per_trigger: int | None = None,
-    files_per_date: int | None = None,
-    count_bronze: bool = True,
+    files_per_date: int | None = FILES_PER_DATE,
+    count_bronze: bool = False,
 ) -> dict[str, int | None]:
     """Land every file not seen before exactly once, then stop.
 
-    ``files_per_date`` bounds the files a micro-batch writes per date, at the price of a shuffle; it
-    pays off when input files mix many dates. The counts before and after open the footers of all
-    bronze files; ``count_bronze=False`` reports the rows the stream read instead.
+    ``files_per_date`` bounds the files a micro-batch writes per date, at the price of a shuffle;
+    None saves it where input files hold few dates. ``rows_landed`` is what the stream read;
+    ``count_bronze`` counts the bronze rows before and after, which opens all footers.
     """
     layout = Layout(str(root))
     before = bronze_rows(spark, layout.file_bronze) if count_bronze else None
     events = stream_event_files(spark, str(incoming), max_files_per_trigger)
     query = start_bronze_append(
-        events if files_per_date is None else gather_dates(events, files_per_date),
+        gather_dates(events, files_per_date),
         layout.file_bronze,
         layout.checkpoint("file_orders_to_bronze"),
         {"availableNow": True},
@@ -111,13 +114,14 @@ def stream_from_kafka(
     bootstrap: str,
     topic: str = DEFAULT_TOPIC,
     trigger: dict | None = None,
+    files_per_date: int | None = FILES_PER_DATE,
     **options: str,
 ) -> None:
     """Land a topic until stopped (or until drained, with an availableNow trigger)."""
     layout = Layout(str(root))
     records = stream_records(spark, bootstrap, topic, **options)
     query = start_bronze_append(
-        records_to_bronze(records),
+        gather_dates(records_to_bronze(records), files_per_date),
         layout.kafka_bronze,
         layout.checkpoint("kafka_orders_to_bronze"),
         trigger,

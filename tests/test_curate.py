@@ -1,16 +1,21 @@
 """Curation end to end: tables, gates, report, exports and publication."""
 
+import json
 import re
+from pathlib import Path
 
 import pytest
 from events import as_dicts, event, write_jsonl
 from test_streaming import land_history, rows_of
 
+from ordertide.operators import forecast as fc
 from ordertide.operators import marts, quality, resolve
 from ordertide.plans.curate import (
     ContractViolation,
     GateFailure,
     curate_and_publish,
+    expire_runs,
+    exported_path,
     latest_run,
     open_table,
     read_reports,
@@ -31,9 +36,7 @@ def land(spark, tmp_path, rows):
 def test_full_run(spark, tmp_path):
     _, root, landing = land_history(spark, tmp_path)
     exports = tmp_path / "exports"
-    report = curate_and_publish(
-        spark, root, export_dir=exports, recount_copies=True, stream=landing
-    )
+    report = curate_and_publish(spark, root, export_dir=exports, stream=landing)
     assert report["status"] == "PASS" and all(report["assertions"].values())
     assert len(report["assertions"]) == 7
     events, orders, gold = report["events"], report["orders"], report["gold"]
@@ -54,6 +57,7 @@ def test_full_run(spark, tmp_path):
         "daily_sales": marts.daily_sales(cells),
         "province_sales": marts.province_sales(cells),
         "sales_velocity": marts.sales_velocity(cells),
+        "sales_forecast": fc.sales_forecast(marts.daily_sales(cells)),
     }
     for table, frame in expected.items():
         stored = open_table(spark, root, table)
@@ -74,6 +78,109 @@ def test_full_run(spark, tmp_path):
         assert not re.search(r"\dE\d", "".join(lines)) and "T" not in lines[1].split(",")[0]
 
 
+def test_failing_export_leaves_the_old_run_published(spark, tmp_path, monkeypatch):
+    root = land(spark, tmp_path, [event("e1")])
+    curate_and_publish(spark, root)
+    first = latest_run(spark, root)
+    exported = exported_path(spark, root, "daily_sales")
+    before = sorted(Path(exported).iterdir())
+
+    def refuse(*_):
+        raise OSError("no space")
+
+    monkeypatch.setattr("ordertide.plans.curate.export_csv", refuse)
+    with pytest.raises(OSError, match="no space"):
+        curate_and_publish(spark, root)
+    assert latest_run(spark, root) == first
+    assert exported_path(spark, root, "daily_sales") == exported
+    assert sorted(Path(exported).iterdir()) == before
+    assert read_reports(spark, root).count() == 2
+
+
+def test_a_lost_row_fails_the_occurrence_gate_only(spark, tmp_path, monkeypatch):
+    rows = [event("e1"), event("e1", ingest_ts="2025-01-06T11:00:00+00:00"), event("e2", order_id="O2")]
+    root = land(spark, tmp_path, rows)
+    assert curate_and_publish(spark, root)["assertions"]["event_occurrences_reconcile"] is True
+    whole = resolve.dedup_counting_copies
+
+    def lossy(events):
+        return whole(events).filter("event_id <> 'e2'")
+
+    monkeypatch.setattr("ordertide.plans.curate.resolve.dedup_counting_copies", lossy)
+    with pytest.raises(GateFailure):
+        curate_and_publish(spark, root)
+    failed = read_reports(spark, root).filter("status = 'FAIL'").select("assertions.*").first()
+    assert [name for name, holds in failed.asDict().items() if not holds] == [
+        "event_occurrences_reconcile"
+    ]
+
+
+def test_broken_lines_through_landing_and_curation(spark, tmp_path):
+    rows = [
+        event("e1"),
+        "{broken",
+        "not json",
+        "{broken",
+        json.dumps(event("e2", order_id="O2")).replace('"quantity": 2', '"quantity": "7"'),
+    ]
+    root = land(spark, tmp_path, rows)
+    bronze = read_bronze(spark, Layout(str(root)).bronze_sources)
+    raw = [r.raw_record for r in bronze.filter("raw_record IS NOT NULL").collect()]
+    assert sorted(raw) == sorted(rows[1:])
+    with pytest.raises(ContractViolation, match="event_id: 3"):
+        curate_and_publish(spark, root, enforce_required=True)
+    with pytest.raises(GateFailure):
+        curate_and_publish(spark, root)  # broken lines have no event type
+    report = curate_and_publish(spark, root, quarantine_missing=True)
+    assert report["events"] == {
+        "bronze": 5, "deduplicated": 5, "duplicates": 0, "accepted": 1, "quarantined": 4,
+    }
+    rejected = open_table(spark, root, "order_events_rejected")
+    assert {r.rejection_reason for r in rejected.collect()} == {"missing_required_field"}
+    assert sorted(r.raw_record for r in rejected.collect()) == sorted(raw)
+
+
+def test_a_run_uses_settings_for_its_size_and_gives_them_back(spark, tmp_path, monkeypatch):
+    root = land(spark, tmp_path, [event("e1")])
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    seen = []
+    stage = resolve.current_order_state
+
+    def spy(accepted):
+        seen.append(spark.conf.get(key, None))
+        return stage(accepted)
+
+    monkeypatch.setattr("ordertide.plans.curate.resolve.current_order_state", spy)
+    before = spark.conf.get(key, None)
+    curate_and_publish(spark, root)
+    curate_and_publish(spark, root, settings={key: "3"})
+    curate_and_publish(spark, root, settings={})
+    assert seen == ["8", "3", before]
+    assert spark.conf.get(key, None) == before
+
+
+def test_old_runs_expire_and_the_published_one_stays(spark, tmp_path):
+    root = land(spark, tmp_path, [event("e1")])
+    runs = []
+    for _ in range(3):
+        curate_and_publish(spark, root)
+        runs.append(latest_run(spark, root))
+    later = Path(Layout(str(root)).run("99991231T000000000000Z-running"))
+    later.mkdir(parents=True)
+    assert expire_runs(spark, root, keep=2) == runs[:1]
+    assert expire_runs(spark, root, keep=1) == runs[1:2]
+    assert expire_runs(spark, root, keep=1) == [] and later.exists()
+    assert open_table(spark, root, "daily_sales").count() == 1
+    with pytest.raises(ValueError, match="published"):
+        expire_runs(spark, root, keep=0)
+
+
+def test_report_names_its_profile(spark, tmp_path):
+    root = land(spark, tmp_path, [event("e1")])
+    report = curate_and_publish(spark, root, profile="nightly", seed=7)
+    assert (report["profile"], report["seed"]) == ("nightly", 7)
+
+
 def test_second_run_publishes_beside_the_first(spark, tmp_path):
     root = land(spark, tmp_path, [event("e1")])
     curate_and_publish(spark, root)
@@ -176,8 +283,11 @@ def test_local_session_without_shared_folder_gets_its_own(spark, monkeypatch):
 def test_settings_grow_with_the_input(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     small, middle, large = (session_settings(n) for n in (1 << 20, 1 << 40, 100 << 40))
-    assert [int(s[key]) for s in (small, middle, large)] == [8, 12_288, 40_000]
-    assert large["spark.sql.files.maxPartitionBytes"] == str(1 << 30)
+    assert [int(s[key]) for s in (small, middle)] == [8, 12_288]
+    split = int(large["spark.sql.files.maxPartitionBytes"])
+    splits, partitions = (100 << 40) / split, int(large[key])
+    assert splits * partitions == pytest.approx(4e9, rel=0.01)
+    assert 3 * (100 << 40) / partitions == pytest.approx(split, rel=0.01)
     before = {name: spark.conf.get(name, None) for name in small}
     apply_settings(spark, small)
     assert spark.conf.get(key) == "8"

@@ -262,6 +262,48 @@ def test_ranked_provinces_share_ranks(spark):
     assert measures.ranked_provinces(mart, top=2).count() == 3
 
 
+def test_top_provinces_with_ties_and_nulls(spark):
+    rows = [(f"p{i}", None if i % 9 == 0 else float(i % 7)) for i in range(60)] + [("n", float("nan"))]
+    mart = spark.createDataFrame(rows, "province string, revenue_vnd double")
+    every = measures.ranked_provinces(mart)
+    for top in (1, 5, 9, 60, 100):
+        best = measures.ranked_provinces(mart, top=top)
+        want = every.filter(F.col("revenue_rank") <= top)
+        assert sorted(map(repr, best.collect())) == sorted(map(repr, want.collect()))
+    assert measures.ranked_provinces(mart.limit(0), top=3).count() == 0
+    with pytest.raises(ValueError, match="top"):
+        measures.ranked_provinces(mart, max_rows=60)
+
+
+@pytest.mark.parametrize(
+    ("price", "revenue"),
+    [
+        (4e-9, 8.0),
+        (0.123456784, 246_913_568.0),
+        (12345.678901234567, 24_691_357_802_469.13),
+        (1e13, 2e22),
+        (0.1, 200_000_000.0),
+    ],
+)
+def test_no_digit_of_a_price_is_lost(spark, price, revenue):
+    rows = [event("e1", quantity=2_000_000_000, unit_price_vnd=price), event("e2", order_id="O2")]
+    mart = marts.province_sales(marts.sales_cells(resolve.active_orders(state(spark, rows[:1]))))
+    (row,) = as_dicts(mart)
+    assert row["revenue_vnd"] == pytest.approx(revenue, rel=1e-15)
+    both = as_dicts(marts.province_sales(cells(spark, rows)))[0]
+    assert both["revenue_vnd"] == pytest.approx(revenue + 200.0, rel=1e-15)
+
+
+def test_copies_are_counted_while_they_are_collapsed(spark):
+    rows = [event(None if i % 7 == 0 else f"e{i % 5}", quantity=i % 4 + 1) for i in range(100)]
+    events = frame(spark, rows).withColumn("source_file", F.lit("a"))
+    counted = resolve.dedup_counting_copies(events)
+    plain = resolve.dedup_latest_event(events)
+    assert counted.columns == [*plain.columns, "copies"]
+    assert sorted(map(repr, counted.drop("copies").collect())) == sorted(map(repr, plain.collect()))
+    assert counted.agg(F.sum("copies")).first()[0] == 100
+
+
 def test_exact_amounts_are_decimals(spark):
     (row,) = as_dicts(
         cells(spark, [event("e1", quantity=3, unit_price_vnd=0.1)]).select(

@@ -6,12 +6,16 @@ import pytest
 
 import __spark_entry__ as entry_module
 from checks.queries import QUERIES
+from ordertide.operators import resolve
+from ordertide.plans import mapping
 
 SF_DIR = "/root/testdata/sf0.001"
 # Queries that run jobs of their own and then read files back.
 PREFIXES = ("stream_", "incremental_", "curated_", "exported_", "replayed_")
 STREAMS = {name for name in QUERIES if name.startswith(PREFIXES)} | {
     "quality_report",
+    "failed_quality_report",
+    "quarantined_missing_events",
     "quality_counts",
     "release_gates",
 }
@@ -48,6 +52,20 @@ def test_a_single_mart_shuffles_orders_once(spark, capsys):
     assert len(re.findall(r"\+- Exchange", top)) == 2
 
 
+def test_top_provinces_need_no_window_over_all_rows(spark, capsys):
+    plan = tree_of(plan_of(capsys, QUERIES["top_provinces"](spark, SF_DIR)))
+    assert "TakeOrderedAndProject" in plan
+    assert not re.search(r"Window \(\d+\)\n +\+- .*Sort \(\d+\)\n +\+- Exchange SinglePartition", plan)
+
+
+def test_copies_are_counted_before_the_shuffle(spark, capsys):
+    events = mapping.activity_events(spark, SF_DIR)
+    plan = tree_of(plan_of(capsys, resolve.dedup_counting_copies(events)))
+    above, below = plan.split("Exchange", 1)
+    assert "Aggregate" in above and "Aggregate" in below
+    assert plan.count("Exchange") == 1
+
+
 def test_mart_scans_read_only_the_columns_they_need(spark, capsys):
     plan = plan_of(capsys, entry_module.queries()["province_sales"](spark, SF_DIR))
     schemas = re.findall(r"ReadSchema: struct<(.*)>", plan)

@@ -58,10 +58,10 @@ def land_history(spark, tmp_path, **options):
 
 
 def test_drain_lands_every_row_once_and_a_rerun_lands_none(spark, tmp_path):
-    incoming, root, first = land_history(spark, tmp_path, max_files_per_trigger=3)
+    incoming, root, first = land_history(spark, tmp_path, max_files_per_trigger=3, count_bronze=True)
     assert (first["rows_before"], first["rows_after"], first["rows_landed"]) == (0, 208, 208)
     assert first["input_rows"] == 208 and first["batch_id"] == 2
-    second = land_file_stream(spark, incoming, root)
+    second = land_file_stream(spark, incoming, root, count_bronze=True)
     assert (second["rows_before"], second["rows_landed"], second["input_rows"]) == (208, 0, 0)
 
     day_file(incoming, "2025-02-01", [event("late", event_ts="2025-02-01T00:00:00+00:00")])
@@ -88,7 +88,7 @@ def test_a_stopped_stream_resumes_after_its_last_batch(spark, tmp_path):
     query.stop()
     landed = bronze_rows(spark, layout.file_bronze)
     assert 26 <= landed < 208
-    rest = land_file_stream(spark, incoming, root)
+    rest = land_file_stream(spark, incoming, root, count_bronze=True)
     assert (rest["rows_before"], rest["rows_after"]) == (landed, 208)
     assert read_bronze(spark, layout.bronze_sources).count() == 208
 
@@ -96,7 +96,7 @@ def test_a_stopped_stream_resumes_after_its_last_batch(spark, tmp_path):
 def test_bronze_has_provenance_and_is_partitioned_by_event_date(spark, tmp_path, capsys):
     _, root, _ = land_history(spark, tmp_path)
     bronze = read_bronze(spark, Layout(str(root)).bronze_sources)
-    assert bronze.columns == [*EVENT_COLUMNS, "source_file", "event_date"]
+    assert bronze.columns == [*EVENT_COLUMNS, "source_file", "raw_record", "event_date"]
     assert bronze.filter(~F.col("source_file").contains("order_events.jsonl")).isEmpty()
     assert bronze.filter("event_date <> to_date(event_ts)").isEmpty()
     one_day = bronze.filter("event_date = DATE'2025-01-03'")
