@@ -214,6 +214,14 @@ _COUNTS = """
          (SELECT CAST(sum(n - 1) AS BIGINT) FROM
             (SELECT count(*) AS n FROM bronze GROUP BY event_id)) AS surplus_copies,
          (SELECT count(*) - count(DISTINCT event_id) FROM bronze) AS duplicates"""
+_GATES = f"""SELECT bronze = deduplicated + surplus_copies AS event_occurrences_reconcile,
+  deduplicated = accepted + quarantined AS classification_reconciles,
+  "current" = active + cancelled AS current_state_reconciles,
+  daily_sales > 0 AS daily_sales_nonempty,
+  province_sales > 0 AS province_sales_nonempty,
+  forecast_rows = 7 AS forecast_horizon_is_seven,
+  revenue_vnd > 0 AS positive_revenue
+FROM ({_COUNTS})"""
 _GEO = """SELECT n_name AS province, r_name AS region
   FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
 
@@ -270,16 +278,7 @@ ORACLES: dict[str, str] = {
     "sales_forecast": _lineitem("SELECT * FROM forecast"),
     "sales_forecast_by_province": _lineitem("SELECT * FROM forecast_province"),
     "quality_counts": _lineitem(_COUNTS),
-    "release_gates": _lineitem(
-        f"""SELECT bronze = deduplicated + surplus_copies AS event_occurrences_reconcile,
-  deduplicated = accepted + quarantined AS classification_reconciles,
-  "current" = active + cancelled AS current_state_reconciles,
-  daily_sales > 0 AS daily_sales_nonempty,
-  province_sales > 0 AS province_sales_nonempty,
-  forecast_rows = 7 AS forecast_horizon_is_seven,
-  revenue_vnd > 0 AS positive_revenue
-FROM ({_COUNTS})"""
-    ),
+    "release_gates": _lineitem(_GATES),
     "measures_total": _lineitem(f"SELECT {_MEASURES} FROM daily"),
     "measures_by_category": _lineitem(f"SELECT category, {_MEASURES} FROM daily GROUP BY category"),
     "measures_sliced": _lineitem(
@@ -350,6 +349,15 @@ FROM ({_COUNTS})"""
     "incremental_refresh_marts": _activity("SELECT * FROM daily"),
     "many_digit_sales": _MANY_DIGITS,
     "incremental_many_digit_sales": _MANY_DIGITS,
+    "incremental_rejected_events": _activity(
+        "SELECT * FROM classified WHERE rejection_reason IS NOT NULL"
+    ),
+    "incremental_quality_report": _activity(
+        "SELECT 'PASS' AS status, 'fixture-stream' AS profile,"
+        f" * EXCLUDE (surplus_copies) FROM ({_COUNTS})"
+    ),
+    "incremental_release_gates": _activity(_GATES),
+    "incremental_published_sales": _activity("SELECT * FROM daily"),
     "incremental_sales_velocity": _activity("SELECT * FROM velocity"),
     "incremental_sales_forecast": _activity("SELECT * FROM forecast"),
     "incremental_order_state": _activity("SELECT * FROM state"),
@@ -378,17 +386,7 @@ FROM ({_COUNTS})"""
         f" WHERE NOT ({_COMPLETE})"
     ),
     "failed_quality_report": f"""WITH {_GAPPY}{_chain(_LISTED_PROV)}
-SELECT 'FAIL' AS status, bronze = deduplicated + surplus_copies AS event_occurrences_reconcile,
-       deduplicated = accepted + quarantined AS classification_reconciles,
-       "current" = active + cancelled AS current_state_reconciles,
-       daily_sales > 0 AS daily_sales_nonempty, province_sales > 0 AS province_sales_nonempty,
-       forecast_rows = 7 AS forecast_horizon_is_seven, revenue_vnd > 0 AS positive_revenue,
-       "current", deduplicated
-FROM ({_COUNTS})""",
-    "curated_rejected_events": _activity(
-        "SELECT *, CAST(event_ts AS DATE) AS event_date FROM classified"
-        " WHERE rejection_reason IS NOT NULL"
-    ),
+SELECT 'FAIL' AS status, g.*, c."current", c.deduplicated FROM ({_GATES}) g, ({_COUNTS}) c""",
     "exported_sales_velocity": _activity("SELECT * FROM velocity"),
     "quality_report": _activity(
         "SELECT 'PASS' AS status, 'fixture-stream' AS profile, bronze AS rows_landed,"

@@ -518,6 +518,36 @@ def incremental_many_digit_sales(spark, sf_dir):
     return _refreshed(spark, sf_dir, _many_digits).province_sales()
 
 
+@query
+def incremental_rejected_events(spark, sf_dir):
+    return _refreshed(spark, sf_dir).rejected_events()
+
+
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """Root of a run published from the incremental logs."""
+    target = _refreshed(spark, sf_dir)
+    target.publish(target.root)
+    return target.root
+
+
+@query
+def incremental_quality_report(spark, sf_dir):
+    report = read_reports(spark, _published(spark, sf_dir))
+    return report.select("status", "profile", "events.*", "orders.*", "gold.*").withColumn(
+        "revenue_vnd", F.round("revenue_vnd", 2)
+    )
+
+
+@query
+def incremental_release_gates(spark, sf_dir):
+    return read_reports(spark, _published(spark, sf_dir)).select("assertions.*")
+
+
+@query
+def incremental_published_sales(spark, sf_dir):
+    return open_table(spark, _published(spark, sf_dir), "daily_sales")
+
+
 @query
 def incremental_sales_velocity(spark, sf_dir):
     return _refreshed(spark, sf_dir).sales_velocity()

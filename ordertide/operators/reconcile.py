@@ -53,7 +53,8 @@ def one_row(*parts: DataFrame) -> DataFrame:
 
 def quality_counts(
     *,
-    bronze: DataFrame,
+    bronze: DataFrame | None = None,
+    occurrences: DataFrame | None = None,
     classified: DataFrame,
     state: DataFrame,
     cells: DataFrame,
@@ -66,10 +67,14 @@ def quality_counts(
 
     ``classified`` carries ``copies`` (see `dedup_counting_copies`): bronze rows and the sum of
     copies are counted on either side of the deduplication, so they differ if a row got lost.
+    ``occurrences`` (one row: bronze, surplus_copies) stands for both where they were counted before.
     """
+    outcomes = classification_counts(classified)
+    if occurrences is not None:
+        outcomes = outcomes.drop("surplus_copies")
     return one_row(
-        bronze_counts(bronze),
-        classification_counts(classified),
+        bronze_counts(bronze) if occurrences is None else occurrences,
+        outcomes,
         state_counts(state),
         row_count(daily, "daily_sales"),
         row_count(province, "province_sales"),

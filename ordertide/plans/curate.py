@@ -153,15 +153,22 @@ def curate_and_publish(
             spark, layout, contract, horizon, enforce_required, quarantine_missing,
             partial(quality_report, stream=stream, profile=profile, seed=seed),
         )
-        if report["status"] != "PASS":
-            raise GateFailure(f"Release gates failed; see {layout.report(run_id)}")
-        export_tables(spark, root, run_id)
-        _publish(spark, layout, run_id)
-        if export_dir is not None:
-            export_tables(spark, root, run_id, str(export_dir))
+        release(spark, layout, run_id, report, export_dir)
     return report
 
 
+def release(
+    spark: SparkSession, layout: Layout, run_id: str, report: dict, export_dir: str | None = None
+) -> None:
+    """Export and publish a run whose gates passed."""
+    if report["status"] != "PASS":
+        raise GateFailure(f"Release gates failed; see {layout.report(run_id)}")
+    export_tables(spark, layout.root, run_id)
+    _publish(spark, layout, run_id)
+    if export_dir is not None:
+        export_tables(spark, layout.root, run_id, str(export_dir))
+
+
 def _curate(
     spark: SparkSession,
     layout: Layout,
@@ -171,23 +178,46 @@ def _curate(
     quarantine_missing: bool,
     report_of: Callable[[Row, list[str]], dict],
 ) -> tuple[str, dict]:
-    """Write all tables and the report of a new run; its id and report."""
+    """Write all tables and the report of a new run from bronze; its id and report."""
     bronze = read_bronze(spark, layout.bronze_sources)
     if enforce_required:
         require_fields(bronze)
+    whole = bronze.filter(quality.is_complete()) if quarantine_missing else bronze
+    classified = quality.classify_events(resolve.dedup_counting_copies(whole), contract)
+    if quarantine_missing:
+        classified = classified.unionByName(quality.quarantine_incomplete(bronze))
+    return write_run(spark, layout, classified, horizon, report_of, bronze=bronze)
+
+
+def write_run(
+    spark: SparkSession,
+    layout: Layout,
+    classified: DataFrame,
+    horizon: int,
+    report_of: Callable[[Row, list[str]], dict],
+    *,
+    bronze: DataFrame | None = None,
+    occurrences: DataFrame | None = None,
+    state: DataFrame | None = None,
+    cells: DataFrame | None = None,
+) -> tuple[str, dict]:
+    """Write the tables that follow from ``classified`` events, and their report; run id and report.
+
+    Order ``state`` and sales ``cells`` are derived unless they are known already.
+    """
     run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%fZ}-{uuid.uuid4().hex[:8]}"
 
     def stage(frame: DataFrame, table: str, *partition_by: str) -> DataFrame:
         layer, stored = TABLES[table]
         return write_table(frame, layout.run_table(run_id, layer, stored), *partition_by)
 
-    whole = bronze.filter(quality.is_complete()) if quarantine_missing else bronze
-    classified = quality.classify_events(resolve.dedup_counting_copies(whole), contract)
-    if quarantine_missing:
-        classified = classified.unionByName(quality.quarantine_incomplete(bronze))
     classified = stage(_with_outcome(classified), "order_events_clean", "outcome")
-    state = stage(resolve.current_order_state(_clean(classified)), "current_order_state")
-    cells = stage(marts.sales_cells(resolve.active_orders(state)), "sales_cells")
+    if state is None:
+        state = resolve.current_order_state(_clean(classified))
+    state = stage(state, "current_order_state")
+    if cells is None:
+        cells = marts.sales_cells(resolve.active_orders(state))
+    cells = stage(cells, "sales_cells")
     daily, province, velocity = at_once(
         spark,
         lambda: stage(marts.daily_sales(cells), "daily_sales"),
@@ -200,6 +230,7 @@ def _curate(
 
     counts = reconcile.quality_counts(
         bronze=bronze,
+        occurrences=occurrences,
         classified=classified,
         state=state,
         cells=cells,

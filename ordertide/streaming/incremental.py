@@ -2,15 +2,22 @@
 
 Logs grow by one directory ``batch_id=i`` per batch:
 
-* occurrences - the batch as it arrived,
-* events      - events whose winning copy the batch changed, with the new winner,
-* state       - orders the batch may have changed, with their new state (or its removal),
-* cells       - sales cells of those orders after the batch, minus the same before it.
+* events - events whose winning copy the batch changed, with the new winner,
+* state  - orders the batch may have changed, with their new state (or its removal),
+* cells  - sales cells of those orders after the batch, minus the same before it,
+* counts - occurrences in the batch, and how many event ids were new.
 
 Events and state are versioned: the row of the highest batch counts. A mart is the sum of all cell
 rows, so an order that moves to another day or province leaves its old group by subtraction. A batch
-is a function of the batches before it, and rerunning one overwrites the same directories: replay
-after a failure changes nothing. Readers stop at the last committed batch.
+is a function of the batches before it; one that failed half-way overwrites its directories, one that
+is committed is not computed again. Readers stop at the last committed batch.
+
+What only one batch needs is written to a work directory, which goes when the batch is committed.
+Every ``snapshot_every`` batches the logs are folded, and what only snapshots before the last
+``KEPT_SNAPSHOTS`` need is removed, so the logs hold the folded tables and a bounded number of batches.
+
+``publish`` writes all tables, counts, gates, report and exports as a run beside those of full
+curations, and publishes it in the same log.
 
 A refresh finds its keys by scanning one key column of the events and state logs, and then reads full
 rows only from batches that hold one of them. An event with millions of copies is one row per batch
@@ -22,7 +29,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +45,10 @@ from ordertide.contract import (
 )
 from ordertide.functions.money import AMOUNT_TYPE
 from ordertide.operators import forecast as fc
-from ordertide.operators import marts, quality, resolve
-from ordertide.plans.settings import require_utc
+from ordertide.operators import marts, quality, reconcile, resolve
+from ordertide.plans import curate
+from ordertide.plans.layout import Layout
+from ordertide.plans.settings import file_system, require_utc
 from ordertide.sources.files import read_parquet_if_exists
 
 # ``present`` is false where an order has no state any more.
@@ -49,6 +58,9 @@ STATE_FIELDS = (
     ("revenue_vnd", "double"),
     ("present", "boolean"),
 )
+COUNT_FIELDS = (("occurrences", "long"), ("fresh", "long"))
+SNAPSHOT_EVERY = 50
+KEPT_SNAPSHOTS = 2
 CELL_FIELDS = (
     ("sales_hour", "timestamp"),
     ("province", "string"),
@@ -58,7 +70,8 @@ CELL_FIELDS = (
     ("stray", "double"),
 )
 KEY_FIELDS = (("order_id", "string"),)
-MARK_FIELDS = (("done", "boolean"),)
+MARK_FIELDS = (("source", "string"),)
+LOGS = ("events", "state", "cells", "counts")
 
 
 def same_key(names: Sequence[str]) -> Column:
@@ -85,8 +98,8 @@ def anti_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame
 class IncrementalMarts:
     """The logs under one root and the tables read from them.
 
-    With ``snapshot_every`` the logs are folded after every so many batches. A snapshot rewrites the
-    winning events and the order state, and scans start from it.
+    The logs are folded every ``snapshot_every`` batches (None: only by calling `snapshot`). A snapshot
+    rewrites the winning events and the order state, and scans start from it.
     """
 
     def __init__(
@@ -94,7 +107,7 @@ class IncrementalMarts:
         spark: SparkSession,
         root: str,
         contract: OrderContract = DEFAULT_CONTRACT,
-        snapshot_every: int | None = None,
+        snapshot_every: int | None = SNAPSHOT_EVERY,
     ) -> None:
         self.spark = spark
         self.root = str(root)
@@ -126,10 +139,22 @@ class IncrementalMarts:
         self._write(frame, log, batch_id)
         return self._read(log, fields, batch_id - 1, batch_id).drop("batch_id")
 
-    def _mark(self, log: str, batch_id: int) -> None:
-        mark = self.spark.range(0, 1, numPartitions=1).select(F.lit(True).alias("done"))
+    def _mark(self, log: str, batch_id: int, source: str = "") -> None:
+        mark = self.spark.range(0, 1, numPartitions=1).select(F.lit(source).alias("source"))
         self._write(mark, log, batch_id)
 
+    def _remove(self, path: str) -> None:
+        target, files = file_system(self.spark, path)
+        files.delete(target, True)
+
+    def _remove_before(self, log: str, batch_id: int) -> None:
+        """Remove the directories of a log's batches before ``batch_id``."""
+        target, files = file_system(self.spark, self._path(log))
+        found = files.listStatus(target) if files.exists(target) else []
+        for name in [status.getPath().getName() for status in found]:
+            if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) < batch_id:
+                self._remove(f"{self._path(log)}/{name}")
+
     def _last_mark(self, log: str, upto: int = sys.maxsize) -> int:
         """The highest marked batch up to ``upto``, -1 if there is none."""
         marks = read_parquet_if_exists(
@@ -165,14 +190,15 @@ class IncrementalMarts:
         """
         hits = semi_join(versions.select(key, "batch_id"), wanted, [key])
         hits = hits.groupBy(key).agg(F.max("batch_id").alias("version"))
-        hits = self._written(hits, f"hits/{label}", ((key, "string"), ("version", "long")), batch_id)
+        hits = self._written(hits, f"work/{label}", ((key, "string"), ("version", "long")), batch_id)
         on = same_key([key]) & (F.col("f.batch_id") == F.col("k.version"))
         return versions.alias("f").join(hits.alias("k"), on, "left_semi").drop("batch_id")
 
     def snapshot(self) -> int:
         """Fold the logs up to the last committed batch, to keep scans short.
 
-        Nothing is deleted or replaced: readers move to the snapshot once its mark is written.
+        Nothing is replaced: readers move to the snapshot once its mark is written, and those of the
+        snapshot before still find it.
         """
         upto = self.committed_batch()
         base = self._last_snapshot(upto)
@@ -184,23 +210,47 @@ class IncrementalMarts:
         state = self.order_state().withColumn("present", F.lit(True))
         self._write(state, "snapshots/state", upto)
         self._write(self.sales_cells(), "snapshots/cells", upto)
+        counts = self._versions("counts", COUNT_FIELDS, base, upto)
+        summed = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name, _ in COUNT_FIELDS]
+        self._write(counts.agg(*summed), "snapshots/counts", upto)
         self._mark("snapshots/commits", upto)
+        self._expire()
         return upto
 
+    def _expire(self) -> None:
+        """Remove what no snapshot from the last ``KEPT_SNAPSHOTS`` on needs."""
+        marks = read_parquet_if_exists(
+            self.spark,
+            self._path("snapshots/commits"),
+            schema_of(*MARK_FIELDS, ("batch_id", "long")),
+        )
+        kept = marks.select("batch_id").orderBy(F.desc("batch_id")).limit(KEPT_SNAPSHOTS).collect()
+        oldest = min(row.batch_id for row in kept)
+        for log in (*LOGS, "commits"):
+            self._remove_before(log, oldest + (log != "commits"))
+        for log in (*LOGS, "commits"):
+            self._remove_before(f"snapshots/{log}", oldest)
+
     # --- refresh ------------------------------------------------------------------------------
 
-    def refresh(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in one micro-batch; the function for ``foreachBatch``."""
+    def _source_of(self, batch_id: int) -> str | None:
+        marks = self._read("commits", MARK_FIELDS, batch_id - 1, batch_id)
+        return marks.first()["source"] if batch_id >= 0 else None
+
+    def refresh(self, batch: DataFrame, batch_id: int, source: str = "") -> None:
+        """Take in one micro-batch of the stream ``source``; the function for ``foreachBatch``."""
         committed = self.committed_batch()
-        if batch_id not in (committed, committed + 1):
+        if batch_id == committed and self._source_of(committed) == source:
+            return
+        if batch_id != committed + 1:
             raise RuntimeError(
                 f"Batch {batch_id} does not follow {committed}, the last one in {self.root}:"
                 " a checkpoint and a root belong together, start both anew"
             )
         base = self._last_snapshot(batch_id - 1)
         arrived = resolve.dedup_latest_event(
-            self._written(
-                batch.select(*EVENT_COLUMNS), "occurrences", ORDER_EVENT_FIELDS, batch_id
+            occurrences := self._written(
+                batch.select(*EVENT_COLUMNS), "work/occurrences", ORDER_EVENT_FIELDS, batch_id
             )
         )
         events = self._versions("events", ORDER_EVENT_FIELDS, base, batch_id - 1)
@@ -212,10 +262,15 @@ class IncrementalMarts:
         )
         lost = self._written(
             semi_join(known, changed, ["event_id"]).select("order_id").distinct(),
-            "lost_orders",
+            "work/lost_orders",
             KEY_FIELDS,
             batch_id,
         )
+        fresh = anti_join(arrived.select("event_id"), known, ["event_id"])
+        counts = reconcile.one_row(
+            reconcile.row_count(occurrences, "occurrences"), reconcile.row_count(fresh, "fresh")
+        )
+        self._write(counts, "counts", batch_id)
         known.unpersist()
 
         gained = self._accepted(changed)
@@ -236,7 +291,8 @@ class IncrementalMarts:
         now = state.filter("present")
         self._write(self._cell_changes(before, now), "cells", batch_id)
         before.unpersist()
-        self._mark("commits", batch_id)
+        self._mark("commits", batch_id, source)
+        self._remove(self._path("work"))
         if self.snapshot_every and (batch_id + 1) % self.snapshot_every == 0:
             self.snapshot()
 
@@ -259,7 +315,7 @@ class IncrementalMarts:
             semi_join(versions.select("event_id", "order_id"), orders, ["order_id"])
             .select("event_id")
             .distinct(),
-            "hits/named_events",
+            "work/named_events",
             (("event_id", "string"),),
             batch_id,
         )
@@ -306,6 +362,49 @@ class IncrementalMarts:
         rebuilt = marts.sum_cells(semi_join(orders, marked, marts.CELL_KEYS), *marts.CELL_KEYS)
         return summed.filter("stray IS NULL").unionByName(rebuilt)
 
+    def classified_events(self) -> DataFrame:
+        """The winning copy of every event as of the last committed batch, with its rejection reason."""
+        upto = self.committed_batch()
+        versions = self._versions("events", ORDER_EVENT_FIELDS, self._last_snapshot(upto), upto)
+        latest = resolve.latest_per_key(versions, ["event_id"], [F.col("batch_id").desc()])
+        return quality.classify_events(latest.drop("batch_id"), self.contract)
+
+    def rejected_events(self) -> DataFrame:
+        return quality.rejected_events(self.classified_events())
+
+    def occurrence_counts(self) -> DataFrame:
+        """One row: all occurrences taken in, and those beyond the first of an event id."""
+        upto = self.committed_batch()
+        counts = self._versions("counts", COUNT_FIELDS, self._last_snapshot(upto), upto)
+        taken, fresh = (F.coalesce(F.sum(name), F.lit(0)) for name, _ in COUNT_FIELDS)
+        return counts.agg(taken.alias("bronze"), (taken - fresh).alias("surplus_copies"))
+
+    def publish(
+        self,
+        root: str,
+        *,
+        horizon: int = FORECAST_HORIZON,
+        export_dir: str | None = None,
+        stream: dict | None = None,
+    ) -> dict:
+        """Publish the last committed batch under ``root`` like a full curation; its report.
+
+        Nothing is resolved again: winners, order state and cells are those of the logs.
+        """
+        layout = Layout(str(root))
+        run_id, report = curate.write_run(
+            self.spark,
+            layout,
+            self.classified_events().withColumn(resolve.COPIES, F.lit(1).cast("long")),
+            horizon,
+            partial(curate.quality_report, stream=stream),
+            occurrences=self.occurrence_counts(),
+            state=self.order_state(),
+            cells=self.sales_cells(),
+        )
+        curate.release(self.spark, layout, run_id, report, export_dir)
+        return report
+
     def daily_sales(self) -> DataFrame:
         return marts.daily_sales(self.sales_cells())
 
@@ -328,7 +427,7 @@ def start_incremental(
     """Refresh ``target`` with every micro-batch of a stream of order events."""
     require_utc(events.sparkSession)
     writer = (
-        events.writeStream.foreachBatch(target.refresh)
+        events.writeStream.foreachBatch(lambda batch, i: target.refresh(batch, i, str(checkpoint)))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ordertide.contract import DEFAULT_CONTRACT, EVENT_COLUMNS
 from ordertide.functions.payload import decode_payload, encode_payload
 from ordertide.operators import marts, quality, resolve
+from ordertide.plans.curate import GateFailure, latest_run, open_table
 from ordertide.plans.layout import Layout
 from ordertide.sinks.files import write_event_files
 from ordertide.sinks.kafka import publish_events
@@ -294,3 +295,63 @@ def test_incremental_marts_follow_a_stream(spark, tmp_path):
         drain(start_incremental(stream, target, checkpoint, {"availableNow": True}))
         assert target.committed_batch() == 2
         assert_matches_recompute(target, read_event_files(spark, str(incoming)))
+
+
+def test_committed_batches_are_not_computed_again(spark, tmp_path):
+    target = IncrementalMarts(spark, tmp_path / "inc")
+    target.refresh(frame(spark, [event("e1")]), 0, "a")
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "inc").glob("**/*.parquet")}
+    target.refresh(frame(spark, [event("e1")]), 0, "a")
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "inc").glob("**/*.parquet")} == files
+    with pytest.raises(RuntimeError, match="belong together"):
+        target.refresh(frame(spark, [event("e9")]), 0, "another checkpoint")
+
+
+def test_logs_are_folded_and_what_is_folded_goes(spark, tmp_path):
+    rows = list(random_events(seed=2))
+    target = IncrementalMarts(spark, tmp_path / "inc", snapshot_every=2)
+    for i in range(8):
+        target.refresh(frame(spark, rows[i * 40 : i * 40 + 40]), i)
+    logs = tmp_path / "inc" / "incremental"
+    assert not (logs / "work").exists()
+    for log in ("events", "state", "cells", "counts", "commits"):
+        assert len(list((logs / log).glob("batch_id=*"))) <= 3, log
+        assert len(list((logs / "snapshots" / log).glob("batch_id=*"))) == 2, log
+    assert target.committed_batch() == 7
+    assert_matches_recompute(target, frame(spark, rows[:320]))
+
+
+def test_incremental_rejects_and_counts_equal_the_full_run(spark, tmp_path):
+    rows = list(random_events(seed=3))
+    target = IncrementalMarts(spark, tmp_path / "inc", snapshot_every=3)
+    for i, start in enumerate(range(0, len(rows), 100)):
+        target.refresh(frame(spark, rows[start : start + 100]), i)
+    events = frame(spark, rows)
+    classified = quality.classify_events(resolve.dedup_counting_copies(events))
+    expected = quality.rejected_events(classified.drop("copies"))
+    assert rows_of(target.rejected_events()) == rows_of(expected)
+    surplus = classified.selectExpr("sum(copies - 1)").first()[0]
+    assert tuple(target.occurrence_counts().first()) == (len(rows), surplus)
+
+
+def test_publication_from_the_logs(spark, tmp_path):
+    target = IncrementalMarts(spark, tmp_path / "inc")
+    target.refresh(frame(spark, [event("e1"), event("e1"), event("e2", order_id="O2", quantity=0)]), 0)
+    report = target.publish(tmp_path / "data")
+    assert all(report["assertions"].values())
+    assert report["events"] == {
+        "bronze": 3, "deduplicated": 2, "duplicates": 1, "accepted": 1, "quarantined": 1,
+    }
+    target.refresh(frame(spark, [event("e3", order_id="O3")]), 1)
+    first = latest_run(spark, tmp_path / "data")
+    target.publish(tmp_path / "data")
+    assert latest_run(spark, tmp_path / "data") != first
+    assert open_table(spark, tmp_path / "data", "daily_sales").first()["orders"] == 2
+    assert open_table(spark, tmp_path / "data", "order_events_rejected").count() == 1
+    # A winner that is lost from the log fails the occurrence gate and is not published.
+    lost = target.classified_events
+    target.classified_events = lambda: lost().filter("event_id <> 'e3'")
+    published = latest_run(spark, tmp_path / "data")
+    with pytest.raises(GateFailure):
+        target.publish(tmp_path / "data")
+    assert latest_run(spark, tmp_path / "data") == published
