@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry_module
 from checks.queries import QUERIES
@@ -72,6 +73,29 @@ def test_mart_scans_read_only_the_columns_they_need(spark, capsys):
     assert not any("l_tax" in s or "l_discount" in s or "p_name" in s for s in schemas)
 
 
+@pytest.mark.parametrize(
+    "name", ["curated_sales_forecast", "incremental_release_gates", "stream_landing_metrics"]
+)
+def test_plans_of_the_jobs_that_write(spark, monkeypatch, name):
+    """Runs, refreshes and streams: the plan of every table and file they write."""
+    plans = []
+
+    def spied(write):
+        def call(self, *args, **options):
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+            return write(self, *args, **options)
+
+        return call
+
+    for kind in ("parquet", "json", "csv"):
+        monkeypatch.setattr(DataFrameWriter, kind, spied(getattr(DataFrameWriter, kind)))
+    QUERIES[name](spark, SF_DIR)
+    assert plans
+    for plan in plans:
+        for operator in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert operator not in plan
+
+
 def test_filters_on_the_dedup_key_reach_the_scan(spark, tmp_path, capsys):
     from events import event, frame
 
