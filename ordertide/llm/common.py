@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ordertide.plans.settings import scratch_path
 
-BLANKS = " \t\n\x0b\f\r"  # fixed: the characters between words, [\x20\x09-\x0D]
+# Fixed: what words are, and what is between them.
+WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,10 +35,16 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null has none."""
-    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
 
+    def without_ends(parts: Column) -> Column:
+        """Splitting leaves an empty string before a leading and after a trailing gap."""
+        last = F.size(parts) - 1
+        leading = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+        trailing = F.when((last > 0) & (F.get(parts, last) == ""), 1).otherwise(0)
+        return F.slice(parts, 1 + leading, F.greatest(last + 1 - leading - trailing, F.lit(0)))
 
-def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are one of ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    return let(F.split(F.coalesce(text, F.lit("")), GAP), without_ends)
+
+
+def count_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

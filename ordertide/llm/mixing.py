@@ -28,16 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import stored
+from ordertide.llm.common import count_words, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)  # fixed: by the rank of the source
 SHARE, MAX_EPOCHS = 1.5, 2.0  # fixed
 GROUP, FAN = 512, 256
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 # --- targets -------------------------------------------------------------------------------------
@@ -191,7 +186,7 @@ def _units(docs: DataFrame, id_col: Column, text: Column, source: Column) -> Dat
     # Null ids are told apart by their row, so that many of them do not share a group.
     row = F.monotonically_increasing_id()
     order = F.when(id_col.isNull(), F.xxhash64(text, row)).otherwise(F.xxhash64(id_col, text))
-    return docs.select(row.alias("row"), order.alias("order"), source.alias("source"), n_words(text).alias("size"), id_col.alias("doc_id"))
+    return docs.select(row.alias("row"), order.alias("order"), source.alias("source"), count_words(text).alias("size"), id_col.alias("doc_id"))
 
 
 def mixture(
@@ -217,7 +212,7 @@ def mixed_documents(docs: DataFrame, label: str = "mixing") -> DataFrame:
         "row",
         F.xxhash64(doc["doc_id"], doc["text"]).alias("order"),
         doc["source"].alias("source"),
-        n_words(doc["text"]).alias("size"),
+        count_words(doc["text"]).alias("size"),
     )
     counts = copies(stored(units, f"{label}-units"), label).filter("copies > 0").select("row", "copies")
     repeated = whole.join(counts, "row").select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))

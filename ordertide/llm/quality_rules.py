@@ -23,19 +23,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import BLANKS, count_chars, let, lower_ascii, stored, words_of
+from ordertide.llm.common import GAP, count_words, let, lower_ascii, stored, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8  # fixed: the base rules
-SYMBOLS = "[#*$%&|<>]"[1:-1]  # fixed
+SYMBOL = "[#*$%&|<>]"  # fixed
 MIN_DOCS, MAX_SHARE, MAX_REMOVED = 8, 0.10, 0.5
 
 A_WORD = r"[^\x20\x09-\x0D]"
-GAP = r"[\x20\x09-\x0D]+"
+NOT_PLAIN = r"[1-9]|[\x09-\x0D]|  "
 
 
 def normalised_line(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(lower_ascii(line), GAP, " "))
-    return F.translate(plain, "123456789", "000000000")
+    def rewritten(plain: Column) -> Column:
+        single = F.trim(F.regexp_replace(plain, GAP, " "))
+        return F.translate(single, "123456789", "000000000")
+
+    # Most lines are lower case words with single blanks already.
+    return let(
+        F.trim(lower_ascii(line)),
+        lambda plain: F.when(plain.rlike(NOT_PLAIN), rewritten(plain)).otherwise(plain),
+    )
 
 
 def _repeat_words(words: Column) -> Column:
@@ -94,9 +101,9 @@ def text_statistics(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(full, "\n"), lambda x: x.rlike(A_WORD))
     repeats = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return {
-        "n_words": F.size(words_of(text)).cast("long"),
-        "word_chars": F.length(F.translate(full, BLANKS, "")).cast("long"),
-        "n_symbols": count_chars(full, SYMBOLS),
+        "n_words": count_words(text),
+        "word_chars": F.length(F.regexp_replace(full, GAP, "")).cast("long"),
+        "n_symbols": F.regexp_count(full, F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": repeats.cast("long"),
         "n_repeat_words": let(words_of(text), _repeat_words),
     }
@@ -110,7 +117,7 @@ def _line_hashes(text: Column, host: Column) -> Column:
     return F.transform(
         lines,
         lambda x: F.struct(
-            _line_hash(x, host).alias("line"), F.size(words_of(x)).cast("long").alias("words")
+            _line_hash(x, host).alias("line"), count_words(x).alias("words")
         ),
     )
 
