@@ -186,7 +186,13 @@ def _units(docs: DataFrame, id_col: Column, text: Column, source: Column) -> Dat
     # Null ids are told apart by their row, so that many of them do not share a group.
     row = F.monotonically_increasing_id()
     order = F.when(id_col.isNull(), F.xxhash64(text, row)).otherwise(F.xxhash64(id_col, text))
-    return docs.select(row.alias("row"), order.alias("order"), source.alias("source"), count_words(text).alias("size"), id_col.alias("doc_id"))
+    return docs.select(
+        row.alias("row"),
+        order.alias("order"),
+        source.alias("source"),
+        count_words(text).alias("size"),
+        id_col.alias("doc_id"),
+    )
 
 
 def mixture(
@@ -205,8 +211,15 @@ def mixture(
 
 
 def mixed_documents(docs: DataFrame, label: str = "mixing") -> DataFrame:
-    """The mix itself: each row of ``docs`` (doc_id, text, source, ...) as often as it is taken, with ``copy`` from 1."""
-    whole = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), f"{label}-docs")
+    """The mix itself: each row of ``docs`` (doc_id, text, source, ...) as often as it is taken.
+
+    ``copy`` counts a row's copies from 1; underscores follow its name if ``docs`` has that column.
+    """
+    copy = "copy"
+    while copy in docs.columns:
+        copy += "_"
+    row = F.monotonically_increasing_id().alias("row")
+    whole = stored(docs.select(row, F.struct("*").alias("doc")), f"{label}-docs")
     doc = F.col("doc")
     units = whole.select(
         "row",
@@ -215,5 +228,5 @@ def mixed_documents(docs: DataFrame, label: str = "mixing") -> DataFrame:
         count_words(doc["text"]).alias("size"),
     )
     counts = copies(stored(units, f"{label}-units"), label).filter("copies > 0").select("row", "copies")
-    repeated = whole.join(counts, "row").select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return repeated.select("doc.*", "copy")
+    taken = F.explode(F.sequence(F.lit(1), "copies")).alias(copy)
+    return whole.join(counts, "row").select("doc", taken).select("doc.*", copy)

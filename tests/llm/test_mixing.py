@@ -74,6 +74,9 @@ def test_the_mix_repeats_documents(spark):
     mix = mixed_documents(docs)
     assert mix.columns == [*docs.columns, "copy"]
     assert sum(copies.values()) == mix.count()
+    clash = mixed_documents(docs.withColumn("copy", docs.doc_id).withColumn("row", docs.doc_id))
+    assert clash.columns == [*docs.columns, "copy", "row", "copy_"]
+    assert clash.filter("copy <> doc_id").isEmpty() and clash.count() == mix.count()
 
 
 @pytest.mark.parametrize("rounds", [(8, 2), (16, 256)])
