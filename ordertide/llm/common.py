@@ -29,6 +29,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart; null differs from empty."""
+    return F.xxhash64(text.isNull(), text)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import stored
+from ordertide.llm.common import stored, text_hash
 from ordertide.llm.wordhash import ALPHANUMERIC, Words, mixed
 
 WINDOW = 10  # fixed
@@ -159,9 +159,7 @@ def decontaminate(
     bitmap = spark.sparkContext.broadcast(_bitmap(windows.select("print").distinct()))
 
     texts = docs.select(
-        F.struct(
-            F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("text_hash")
-        ).alias("id"),
+        F.struct(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash")).alias("id"),
         F.col(text_col).alias("text"),
     )
     scanned = stored(
@@ -174,7 +172,8 @@ def decontaminate(
     known = windows.select("print", "words").distinct()
     found = stored(hits.join(known, ["print", "words"]), f"{label}-hits")
     end = F.col("start") + F.col("length")
-    spans = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", end.alias("end")))).alias("spans"))
+    span = F.struct("start", end.alias("end"))
+    spans = found.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     nothing = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("upto"))
     n_hit = F.aggregate(
         "spans",
@@ -185,9 +184,8 @@ def decontaminate(
         ),
         lambda acc: acc.hit.cast("long"),
     )
-    held = (
-        found.select("row", "print", "words").distinct().join(windows, ["print", "words"]).select("row", "id").distinct()
-    )
+    windows_held = found.select("row", "print", "words").distinct()
+    held = windows_held.join(windows, ["print", "words"]).select("row", "id").distinct()
     ids = held.groupBy("row").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     result = scanned.drop("hits").join(spans.select("row", n_hit.alias("n_hit")), "row", "left")
     zero = F.lit(0).cast("long")
@@ -206,7 +204,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns) that share no window with the benchmark."""
     marked = decontaminate(docs, benchmark).filter("contaminated")
     marked = marked.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    text = F.col("doc.text")
     whole = docs.select(F.struct("*").alias("doc"))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(text.isNull(), text) == F.col("hash"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (text_hash(F.col("doc.text")) == F.col("hash"))
     return whole.join(marked, same, "left_anti").select("doc.*")

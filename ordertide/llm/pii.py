@@ -404,7 +404,8 @@ def training_windows(text: str, draw: int) -> list[tuple[list[int], list[int], b
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("order", pa.int64()), ("span", pa.bool_()), ("codes", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64()))])
+    numbers = pa.list_(pa.int64())
+    schema = pa.schema([("order", pa.int64()), ("span", pa.bool_()), ("codes", numbers), ("tags", numbers)])
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
@@ -496,7 +497,9 @@ def _mask(model: Labeller | None, text_at: int, length_at: int | None):
     return batches
 
 
-def mask_personal_data(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = TRAIN_WINDOWS) -> DataFrame:
+def mask_personal_data(
+    docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = TRAIN_WINDOWS
+) -> DataFrame:
     """All rows of ``docs`` (text and any other columns) with personal data masked; ``n_chars`` follows."""
     model = train(docs, "text", sample_docs, windows)
     length_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -131,7 +131,10 @@ def _text_hash(text: Column) -> Column:
 
 
 def boilerplate_lines(lines: DataFrame, texts: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """``line`` hashes above the limit, of ``lines`` (host_hash, line, text_hash) and ``texts`` (host_hash, text_hash)."""
+    """``line`` hashes above the limit.
+
+    ``lines`` has host_hash, line and text_hash, ``texts`` has host_hash and text_hash.
+    """
     counts = lines.groupBy("host_hash", "line").agg(F.count_distinct("text_hash").alias("n"))
     hosts = texts.groupBy("host_hash").agg(F.count_distinct("text_hash").alias("n_texts"))
     return (
@@ -157,7 +160,8 @@ def quality_rules(
     Also ``text_hash`` and ``bad_lines`` (the hashes of its boilerplate lines) for `clean_documents`.
     """
     text, host = F.col("text"), F.col("host")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    names = {id_col: "doc_id", text_col: "text", host_col: "host"}
+    rows = docs.select(*[F.col(name).alias(alias) for name, alias in names.items()])
     measured = stored(
         rows.select(
             F.monotonically_increasing_id().alias("row"),

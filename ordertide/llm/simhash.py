@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import stored
+from ordertide.llm.common import stored, text_hash
 from ordertide.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 64  # fixed
@@ -79,10 +79,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches, f"doc_id {id_type}, text_hash bigint, print bigint")
 
 
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(text.isNull(), text)
-
-
 # --- pigeonring ---------------------------------------------------------------------------------
 
 

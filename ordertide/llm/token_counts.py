@@ -197,8 +197,8 @@ class Transducer:
         found = self.ends.get(key)
         if found is None:
             suffix, history = self.states[state]
-            found = self._last(suffix + self.characters[byte], history, self.final if self.mark else self.inner)[1]
-            self.ends[key] = found
+            table = self.final if self.mark else self.inner
+            found = self.ends[key] = self._last(suffix + self.characters[byte], history, table)[1]
         return found
 
     def run(self, state: int, data: bytes) -> tuple[int, int]:
@@ -348,7 +348,8 @@ def count_tokens(
 ) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) of every row. The file must exist on every executor."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
+    n_bytes = F.octet_length(text).cast("bigint").alias("n_bytes")
+    rows = docs.select(F.col(id_col).alias("id"), n_bytes, text.alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     counted = rows.mapInArrow(_counts(tokenizer_path), f"id {id_type}, n_bytes bigint, n_tokens bigint")
     return counted.select(
