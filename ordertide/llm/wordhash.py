@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20  # of texts taken together
+HASH_BYTES = 256 << 10  # hashed at a time; a byte takes about fifty bytes of working memory
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 GAP = 32  # the byte that separates words in a normalised text
 
@@ -45,7 +46,7 @@ class Words:
         self.hashes = np.empty(self.count, np.uint64)
         first = 0
         while first < self.count:  # blocks of whole words, so that memory does not follow the text
-            last = int(np.searchsorted(self.ends, self.starts[first] + BLOCK_BYTES, "right"))
+            last = int(np.searchsorted(self.ends, self.starts[first] + HASH_BYTES, "right"))
             last = max(last, first + 1)
             self.hashes[first:last] = self._hash(first, last)
             first = last

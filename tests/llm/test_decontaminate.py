@@ -79,9 +79,9 @@ def test_awkward_rows(spark):
 def test_word_hashes_do_not_depend_on_place_or_blocks(monkeypatch):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcé", k=rng.randint(1, 12))) for _ in range(3000)]
-    monkeypatch.setattr("ordertide.llm.wordhash.BLOCK_BYTES", 64)
+    monkeypatch.setattr("ordertide.llm.wordhash.HASH_BYTES", 64)
     small = Words(("  " + "\t ".join(words) + "\n").encode(), NOT_BLANK)
-    monkeypatch.setattr("ordertide.llm.wordhash.BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr("ordertide.llm.wordhash.HASH_BYTES", 1 << 20)
     large = Words(" ".join(words).encode(), NOT_BLANK)
     assert np.array_equal(small.hashes, large.hashes)
     by_word = dict(zip(words, large.hashes, strict=True))
