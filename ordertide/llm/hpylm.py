@@ -1,31 +1,32 @@
 """Language-model scores from a hierarchical Pitman-Yor model, trained by Gibbs sampling.
 
-Tokens are lower-cased words and one end per text. The restaurants form three levels: a root; one for each of
-the ``CONTEXT_WORDS`` commonest training words (and the start of a text) as previous word u; and below it one for
-each pair (v, u) of such words. A token sits in the deepest restaurant its two previous words name, so pairs
-share the parent u and all share the root, whose base is uniform over the vocabulary and one unknown.
-
-Seating. What a customer does depends on the tables of its own word and on two totals of the restaurant. The
-number of restaurants is fixed, so the customers are partitioned by word and the totals of all restaurants are a
-table of about a thousand rows. A sweep takes each word's customers out of each restaurant, seats them anew one
-by one given the parent's predictive probability (beyond 64 in blocks of 1/32 of those seated), and passes the
-tables up as customers of the parent. After ``BURN_IN`` sweeps, predictive probabilities are averaged over
-``SAMPLES`` sweeps. Draws are seeded by the stored data, so a sweep can be computed again from the totals of the
-sweeps before it: no state is written and a lost executor changes nothing.
+Tokens are lower-cased words and one end per text. The restaurants form three levels: a root; one for every
+word u of the training texts (and the start of a text) as the previous word; and below it one for every pair
+(v, u) of words before a token. A token sits in the restaurant of its two previous words, the first of a text in
+that of the start. Pairs share the parent u and all share the root, whose base is uniform over the vocabulary and
+one unknown. A context that no training text has gives the probabilities of its parent.
+
+Seating. A sweep takes each dish's customers out of its restaurant, seats them anew one by one given the parent's
+predictive probability (beyond 64 in blocks of 1/32 of those seated), and passes the tables up as customers of the
+parent; the totals of all restaurants are those before the sweep. After ``BURN_IN`` sweeps, predictive
+probabilities are averaged over ``SAMPLES`` sweeps. Draws are seeded by level, sweep and sorted keys.
 
 Defined results: a null or empty text is one end token. A null id counts as the text '' in the hold-out rule.
 Repeated rows are scored, and learnt from, each. Without training rows all probabilities are the unknown's.
-An empty table gives an empty result. Other columns are not read. Words are told apart by 64-bit hashes.
-
-Scale: counts are summed within Arrow batches before they are shuffled; word tables stay partitioned
-throughout. Scores of keys that make up at least one ``1 / HOT`` of all tokens (so HOT rows at most, whatever
-the corpus) are broadcast and added up while texts are read; other tokens join the model by key, and none of
-those keys can be hot.
+An empty table gives an empty result. Other columns are not read. Words and contexts are told apart by 64-bit
+hashes.
+
+Scale: counts are summed within Arrow batches before they are shuffled. Dishes, restaurants and their totals are
+stored tables joined by context; none is gathered in a task or the driver, so the model grows with the corpus. A
+dish with one customer always has one table: such dishes are counted once and stay out of the sweeps. Scores of
+keys that make up at least one ``1 / HOT`` of all tokens (so HOT rows at most, whatever the corpus) are broadcast
+and added up while texts are read; other tokens join the model by key, and none of those keys can be hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ from ordertide.llm.common import stored
 from ordertide.llm.wordhash import BLOCK_BYTES, NOT_BLANK, Words, joined
 
 FOLDS, HELD_OUT_FOLD = 7, 2  # fixed
-CONTEXT_WORDS = 32
 BURN_IN, SAMPLES = 2, 2
 DISCOUNT = (0.6, 0.7, 0.8)  # root, one word, two words
 STRENGTH = (10.0, 5.0, 2.0)
 HOT = 1 << 20
+TASK_ROWS = 500_000  # dishes that a task seats
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
 
 
@@ -77,17 +78,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, counts
 
 
-def restaurants(found: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """The restaurant of every token: 0 the root, i * (K + 2) for word i, plus j for the word before it."""
-    size = len(top) + 2
-    kind = np.zeros(len(found) + 2, np.int64)  # of the tokens before: other, common word, start of text
-    if len(top):
-        at = np.minimum(np.searchsorted(top, found), len(top) - 1)
-        kind[2:] = np.where(top[at] == found, at + 1, 0)
-    kind[2:][found == END] = size - 1
-    kind[1] = size - 1
-    last, before = kind[1:-1], kind[:-2]
-    return np.where(last == 0, 0, last * size + np.where(last == size - 1, 0, before))
+def contexts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token the word before it, and its restaurant: the two words before it, or END for a first word."""
+    last = np.concatenate([np.array([END]), found[:-1]])
+    before = np.concatenate([np.array([END, END]), found[:-2]])[: len(found)]
+    return last, np.where(last == END, END, joined(before, last))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,28 +92,24 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def _dish_counts(top: np.ndarray):
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            for first, group in _groups(batch.column("text").to_pylist()):
-                found, counts = tokens(group)
-                place = restaurants(found, top)
-                _, index, inverse = np.unique(
-                    joined(found, place.astype(np.uint64)), return_index=True, return_inverse=True
-                )
-                learnt = np.repeat(train[first : first + len(group)], counts)
-                columns = [
-                    found[index].view(np.int64),
-                    place[index],
-                    np.bincount(inverse, weights=learnt).astype(np.int64),
-                    np.bincount(inverse),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["word", "place", "train", "total"]
-                )
-
-    return batches
+def _dish_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        for first, group in _groups(batch.column("text").to_pylist()):
+            found, counts = tokens(group)
+            last, place = contexts(found)
+            _, index, inverse = np.unique(joined(found, place), return_index=True, return_inverse=True)
+            learnt = np.repeat(train[first : first + len(group)], counts)
+            columns = [
+                found[index].view(np.int64),
+                last[index].view(np.int64),
+                place[index].view(np.int64),
+                np.bincount(inverse, weights=learnt).astype(np.int64),
+                np.bincount(inverse),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], ["word", "last", "place", "train", "total"]
+            )
 
 
 # --- seating -------------------------------------------------------------------------------------
@@ -140,7 +131,7 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.
 
 
 class Seating:
-    """The customers of some words in all restaurants. ``size`` is K + 2."""
+    """The sampler in memory, for all words and K + 2 = ``size`` contexts; the tables' sampler is held against it."""
 
     def __init__(self, word: np.ndarray, place: np.ndarray, train: np.ndarray, n_words: int, size: int):
         self.word, self.place, self.size = word, place, size
@@ -232,79 +223,232 @@ class Seating:
         return root, mid, own
 
 
-def _seatings(parts: Iterator[pa.RecordBatch], size: int, uniform: float, history: list[np.ndarray]):
-    """For every batch of words its rows, and its seating after each sweep that ``history`` allows."""
-    for batch in parts:
-        dishes = batch.column("dishes")
-        lengths = np.diff(dishes.offsets.to_numpy())
-        flat = dishes.flatten()
-        place, train, total = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        names = batch.column("word").to_numpy().view(np.uint64)
-        word = np.repeat(np.arange(len(names)), lengths)
-        seating = Seating(word, place, train, len(names), size)
+class State(NamedTuple):
+    """Customers and tables of the dishes that can change, by (place, word), (last, word) and word."""
 
-        def states(seating=seating, names=names):
-            yield seating
-            for turn, totals in enumerate(history):
-                seating.sweep(totals, uniform, np.random.default_rng([int(names[0]), len(names), turn]))
-                yield seating
+    leaves: DataFrame
+    pairs: DataFrame
+    roots: DataFrame
 
-        yield names, word, place, train, total, states()
 
+def _predictive(level: int, customers, tables, all_customers, all_tables, parent) -> Column:
+    """The probability of a dish, from its restaurant's totals and its parent's probability."""
+    d, s = DISCOUNT[level], STRENGTH[level]
+    mass = F.greatest(customers - d * tables, F.lit(0.0))
+    return (mass + (s + d * all_tables) * parent) / (s + all_customers)
 
-def _totals(dishes: DataFrame, size: int, uniform: float, history: list[np.ndarray]) -> np.ndarray:
-    """Customers and tables of all restaurants after ``len(history)`` sweeps."""
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, size * size), np.int64)
-        for *_, states in _seatings(parts, size, uniform, history):
-            for state in states:
-                last = state.totals
-            sums += last()
-        used = np.flatnonzero(sums[0])
-        columns = [pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])]
-        yield pa.RecordBatch.from_arrays(columns, ["place", "customers", "tables"])
-
-    sums = (
-        dishes.mapInArrow(batches, "place bigint, customers bigint, tables bigint")
-        .groupBy("place")
-        .agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"))
-        .toArrow()
-    )
-    totals = np.zeros((2, size * size))
-    totals[0][sums["place"].to_numpy()] = sums["customers"].to_numpy()
-    totals[1][sums["place"].to_numpy()] = sums["tables"].to_numpy()
-    return totals
+def _weight(level: int, all_tables, parent) -> Column:
+    return (STRENGTH[level] + DISCOUNT[level] * all_tables) * parent
+
+
+def _col(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
+def _without_own(customers: str, tables: str) -> tuple[Column, Column]:
+    """The parent's customers and tables of a dish whose own tables have left it."""
+    left = F.greatest(F.col(customers) - F.col("tables"), F.lit(0))
+    return left, F.least(F.col(tables), left)
 
 
-def _model(dishes: DataFrame, size: int, uniform: float, history: list[np.ndarray], n: int, v: int) -> DataFrame:
-    """(key, total, known, base, score) of every word in every restaurant where some text has it."""
+def _seated(rows: DataFrame, keys: list[str], level: int, turn: int, n: int, label: str) -> DataFrame:
+    """``rows`` with the tables that their customers take, given ``weight``. The same rows give the same tables."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, word, place, train, total, states in _seatings(parts, size, uniform, history[:-1]):
-            averaged = np.zeros(len(word))
-            for turn, state in enumerate(states):
-                if turn >= BURN_IN + 1:
-                    averaged += state.predictions(history[turn], uniform)[2] / SAMPLES
-            count = np.bincount(word, weights=train, minlength=len(names))[word]
-            columns = [
-                joined(names[word], place.astype(np.uint64)).view(np.int64),
-                total,
-                count > 0,
-                np.log10((count + 1) / (n + v + 1)),
-                np.log10(averaged),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], ["key", "total", "known", "base", "score"]
+        for batch in parts:
+            customers, weight = (batch.column(c).to_numpy() for c in ("customers", "weight"))
+            first = [batch.column(k).to_numpy()[:1].view(np.uint64) for k in keys] if len(customers) else []
+            rng = np.random.default_rng([level, turn, len(customers), *(int(f[0]) for f in first)])
+            columns = [batch.column(c) for c in kept]
+            tables = seat(customers, weight, DISCOUNT[level], rng)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tables)], [*kept, "tables"])
+
+    kept = [c for c in rows.columns if c != "weight"]
+    schema = ", ".join(f"{c} bigint" for c in [*kept, "tables"])
+    ordered = rows.repartition(1 + n // TASK_ROWS, *keys).sortWithinPartitions(*keys)
+    return stored(ordered.mapInArrow(batches, schema), f"{label}-seats{level}")
+
+
+class Model:
+    """The restaurants of ``dishes`` (word, last, place, train, total); ``words`` has the training counts."""
+
+    def __init__(self, dishes: DataFrame, words: DataFrame, n: int, v: int, label: str):
+        self.dishes, self.words, self.n, self.v, self.label = dishes, words, n, v, label
+        self.uniform = 1.0 / (v + 1)
+        direct = F.col("place") == int(END.astype(np.int64))
+        self.many, own = ~direct & (F.col("train") > 1), F.when(direct, 0).otherwise(F.col("train"))
+        self.own = own.cast("bigint")
+        self.places = stored(
+            dishes.filter(~direct)
+            .groupBy("place")
+            .agg(F.sum("train").alias("all_customers"), F.sum((F.col("train") == 1).cast("bigint")).alias("alone")),
+            f"{label}-places",
+        )
+        fixed = F.when(direct, F.col("train")).otherwise((F.col("train") == 1).cast("bigint"))
+        self.pairs = stored(
+            dishes.groupBy("last", "word").agg(
+                F.sum(fixed).alias("fixed"), F.sum(self.many.cast("bigint")).alias("many")
+            ),
+            f"{label}-pairs",
+        )
+        self.active = (F.col("fixed") > 1) | (F.col("many") > 0)
+        self.settled = ~self.active & (F.col("fixed") == 1)
+        self.lasts = stored(
+            self.pairs.filter(self.settled).groupBy("last").agg(F.count("*").alias("alone")), f"{label}-lasts"
+        )
+
+    def start(self) -> State:
+        """One table for every dish that has customers."""
+        one = F.lit(1).cast("bigint").alias("tables")
+        leaves = (
+            self.dishes.filter(self.many)
+            .join(self.places.select("place", "alone"), "place")
+            .select("word", "last", "place", "alone", F.col("train").alias("customers"), one)
+        )
+        pairs = self.pairs.filter(self.active).select(
+            "last", "word", "fixed", (F.col("fixed") + F.col("many")).alias("customers"), one
+        )
+        settled, active = (F.sum(c.cast("bigint")) for c in (self.settled, self.active))
+        roots = self.pairs.groupBy("word").agg(settled.alias("settled"), active.alias("active"))
+        roots = roots.select("word", "settled", (F.col("settled") + F.col("active")).alias("customers"), one)
+        frames = leaves, pairs, roots.filter("customers > 0")
+        return State(*(stored(f, f"{self.label}-seats{2 - i}") for i, f in enumerate(frames)))
+
+    def _last_totals(self, state: State, suffix: str = "") -> DataFrame:
+        """Customers and tables of every one-word restaurant."""
+        alone = self.lasts.select("last", F.col("alone").alias("customers"), F.col("alone").alias("tables"))
+        return (
+            state.pairs.select("last", "customers", "tables")
+            .unionByName(alone)
+            .groupBy("last")
+            .agg(F.sum("customers").alias(f"all_customers{suffix}"), F.sum("tables").alias(f"all_tables{suffix}"))
+        )
+
+    @staticmethod
+    def _root_totals(state: State) -> tuple[int, int]:
+        sums = state.roots.agg(F.sum("customers"), F.sum("tables")).first()
+        return sums[0] or 0, sums[1] or 0
+
+    def sweep(self, state: State, turn: int) -> State:
+        """Seat all customers anew, from the deepest restaurants up, given everybody's totals."""
+        root = [F.lit(x) for x in self._root_totals(state)]
+        roots = state.roots.select(
+            "word", F.col("customers").alias("root_customers"), F.col("tables").alias("root_tables")
+        )
+        pairs = stored(
+            state.pairs.join(self._last_totals(state), "last").join(roots, "word"), f"{self.label}-parents"
+        )
+        share = _predictive(0, F.col("root_customers"), F.col("root_tables"), *root, F.lit(self.uniform))
+        parents = pairs.select(
+            "last",
+            "word",
+            F.col("customers").alias("mid_customers"),
+            F.col("tables").alias("mid_tables"),
+            "all_customers",
+            "all_tables",
+            share.alias("share"),
+        )
+        totals = state.leaves.groupBy("place").agg(F.sum("tables").alias("place_tables"))
+        left = _without_own("mid_customers", "mid_tables")
+        parent = _predictive(1, *left, F.col("all_customers"), F.col("all_tables"), F.col("share"))
+        weight = _weight(2, F.col("alone") + F.col("place_tables"), parent).alias("weight")
+        leaves = _seated(
+            state.leaves.join(totals, "place")
+            .join(parents, ["last", "word"])
+            .select("word", "last", "place", "alone", "customers", weight),
+            ["place", "word"], 2, turn, state.leaves.count(), self.label,
+        )
+
+        passed = leaves.groupBy("last", "word").agg(F.sum("tables").alias("passed"))
+        left = _without_own("root_customers", "root_tables")
+        parent = _predictive(0, *left, *root, F.lit(self.uniform))
+        customers = (F.col("fixed") + _col("passed")).alias("customers")
+        weight = _weight(1, F.col("all_tables"), parent).alias("weight")
+        pairs = _seated(
+            pairs.join(passed, ["last", "word"], "left").select("last", "word", "fixed", customers, weight),
+            ["last", "word"], 1, turn, state.pairs.count(), self.label,
+        )
+
+        passed = pairs.groupBy("word").agg(F.sum("tables").alias("passed"))
+        customers = (F.col("settled") + _col("passed")).alias("customers")
+        weight = _weight(0, root[1], F.lit(self.uniform)).alias("weight")
+        roots = _seated(
+            state.roots.join(passed, "word", "left").select("word", "settled", customers, weight),
+            ["word"], 0, turn, state.roots.count(), self.label,
+        )
+        return State(leaves, pairs, roots)
+
+    def _pair_probabilities(self, samples: list[State]) -> DataFrame:
+        """``mid0``, ``mid1`` ... of every (last, word), and the training count of the word."""
+        pairs, lasts, roots = self.pairs.select("last", "word", "fixed"), None, self.words
+        for i, state in enumerate(samples):
+            seats = state.pairs.select(
+                "last", "word", F.col("customers").alias(f"customers{i}"), F.col("tables").alias(f"tables{i}")
             )
+            pairs = pairs.join(seats, ["last", "word"], "left")
+            totals = self._last_totals(state, str(i))
+            lasts = totals if lasts is None else lasts.join(totals, "last")
+            base = _predictive(
+                0, F.col("customers"), F.col("tables"), *map(F.lit, self._root_totals(state)), F.lit(self.uniform)
+            )
+            roots = roots.join(state.roots.select("word", base.alias(f"root{i}")), "word")
+        mids = []
+        for i, state in enumerate(samples):
+            unknown = _predictive(0, F.lit(0), F.lit(0), *map(F.lit, self._root_totals(state)), F.lit(self.uniform))
+            customers, tables = (F.coalesce(f"{c}{i}", "fixed") for c in ("customers", "tables"))
+            totals = _col(f"all_customers{i}"), _col(f"all_tables{i}")
+            mids.append(_predictive(1, customers, tables, *totals, F.coalesce(F.col(f"root{i}"), unknown)).alias(f"mid{i}"))
+        return (
+            pairs.join(lasts, "last", "left")
+            .join(roots, "word", "left")
+            .select("last", "word", _col("n").alias("n"), *mids)
+        )
 
-    return dishes.mapInArrow(batches, "key bigint, total bigint, known boolean, base double, score double")
+    def scores(self, samples: list[State]) -> DataFrame:
+        """(key, total, known, base, score) of every word in every restaurant where some text has it."""
+        names = [f"tables{i}" for i in range(len(samples))]
+        rows = self.dishes.select("word", "last", "place", "train", "total", self.own.alias("own"))
+        once = rows.filter(~self.many).withColumns({name: F.col("own") for name in names})
+        more, places = rows.filter(self.many), self.places
+        for i, state in enumerate(samples):
+            seats = state.leaves.select("word", "last", "place", F.col("tables").alias(names[i]))
+            more = more.join(seats, ["word", "last", "place"])
+            totals = state.leaves.groupBy("place").agg(F.sum("tables").alias(f"place_tables{i}"))
+            places = places.join(totals, "place", "left")
+        both = (
+            once.unionByName(more)
+            .join(places, "place", "left")
+            .join(self._pair_probabilities(samples), ["last", "word"])
+        )
+        averaged = F.lit(0.0)
+        for i, name in enumerate(names):
+            tables = _col("alone") + _col(f"place_tables{i}")
+            p = _predictive(2, F.col("own"), F.col(name), _col("all_customers"), tables, F.col(f"mid{i}"))
+            averaged = averaged + p / len(samples)
+        n = F.col("n")
+        return both.select(
+            "word",
+            "place",
+            "total",
+            (n > 0).alias("known"),
+            F.log10((n + 1) / F.lit(self.n + self.v + 1)).alias("base"),
+            F.log10(averaged).alias("score"),
+        ).mapInArrow(_keyed, "key bigint, total bigint, known boolean, base double, score double")
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        word, place = (batch.column(c).to_numpy().view(np.uint64) for c in ("word", "place"))
+        names = ["total", "known", "base", "score"]
+        columns = [pa.array(joined(word, place).view(np.int64)), *(batch.column(c) for c in names)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", *names])
 
 
 # --- scoring -------------------------------------------------------------------------------------
 
 
-def _score_texts(top: np.ndarray, hot):
+def _score_texts(hot):
     """Per text: its number of tokens, sums over its hot keys, and its other keys."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +456,7 @@ def _score_texts(top: np.ndarray, hot):
         for batch in parts:
             for first, group in _groups(batch.column("text").to_pylist()):
                 found, counts = tokens(group)
-                wanted = joined(found, restaurants(found, top).astype(np.uint64)).view(np.int64)
+                wanted = joined(found, contexts(found)[1]).view(np.int64)
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 hit = keys[at] == wanted
                 text_of = np.repeat(np.arange(len(group)), counts)
@@ -343,7 +487,6 @@ def score_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    context_words: int = CONTEXT_WORDS,
     label: str = "hpylm",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
@@ -359,26 +502,17 @@ def score_texts(
         f"{label}-words",
     )
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end = int(END.astype(np.int64))
-    common = words.filter(F.col("word") != end).orderBy(F.desc("n"), "word").limit(context_words).collect()
-    top = np.sort(np.array([r.word for r in common], np.int64).view(np.uint64))
-    size, uniform = len(top) + 2, 1.0 / (v + 1)
-
     counted = (
         rows.select("held_out", "text")
-        .mapInArrow(_dish_counts(top), "word bigint, place bigint, train bigint, total bigint")
-        .groupBy("word", "place")
+        .mapInArrow(_dish_counts, "word bigint, last bigint, place bigint, train bigint, total bigint")
+        .groupBy("word", "last", "place")
         .agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
     )
-    # A word has at most as many dishes as there are restaurants.
-    dishes = stored(
-        counted.groupBy("word").agg(F.collect_list(F.struct("place", "train", "total")).alias("dishes")),
-        f"{label}-dishes",
-    )
-    history: list[np.ndarray] = []
-    for _ in range(BURN_IN + SAMPLES + 1):
-        history.append(_totals(dishes, size, uniform, history))
-    model = stored(_model(dishes, size, uniform, history, n, v), f"{label}-model")
+    restaurants = Model(stored(counted, f"{label}-dishes"), words, n, v, label)
+    states = [restaurants.start()]
+    for turn in range(BURN_IN + SAMPLES):
+        states.append(restaurants.sweep(states[-1], turn))
+    model = stored(restaurants.scores(states[-SAMPLES:]), f"{label}-model")
 
     floor = (model.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) / HOT
     common_keys = model.filter(F.col("total") >= floor).orderBy("key").toArrow()  # HOT rows at most
@@ -390,7 +524,7 @@ def score_texts(
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sums = "known bigint, base double, score double"
     scored = rows.mapInArrow(
-        _score_texts(top, hot),
+        _score_texts(hot),
         f"doc_id {id_type}, held_out boolean, n_tokens bigint, {sums}, rest array<bigint>",
     )
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), f"{label}-texts")

@@ -1,5 +1,6 @@
 import binascii
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,58 @@ def test_seats_of_a_common_dish_follow_the_restaurant_process():
             t += rng.random() < 2.0 / (2.0 + c - d * t)
         single.append(t)
     assert blocked == pytest.approx(np.mean(single), rel=0.1)
+
+
+def out(doc_id):
+    return binascii.crc32(str(doc_id).encode()) % 7 == 2
+
+
+def test_every_context_is_learnt(spark):
+    """400 words, each with one follower: whatever its frequency, a word's follower is not scored as a unigram."""
+    rows = []
+    for i in range(1400):
+        rng = random.Random(i)
+        rows.append((i, " ".join(f"a{k} b{k} c{k}" for k in rng.choices(range(400), k=10))))
+    found = [r for r in score_texts(documents(spark, rows)).collect() if r.held_out]
+    assert len(found) > 100
+    gained = [(r.score - r.base_score) / r.n_tokens for r in found]
+    assert min(gained) > 1.2  # two of three words are nearly certain, and one in 400 * 3 by itself
+
+
+def test_tables_agree_with_the_sampler_in_memory(spark):
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(300):
+        text = [rng.choice(names)]
+        while len(text) < 30:
+            text.append(names[(names.index(text[-1]) + rng.choice([1, 1, 1, 2, 5])) % 12])
+        rows.append((i, " ".join(text)))
+    size = len(names) + 2
+    start, ids = size - 1, {w: k + 1 for k, w in enumerate(names)}
+
+    def dishes(text):
+        last, before = start, 0
+        for w in [*text.split(), None]:
+            yield (ids[w] if w else 0), last * size + (0 if last == start else before)
+            last, before = (ids[w] if w else start), last
+
+    counts, every = Counter(), set()
+    for i, text in rows:
+        every.update(dishes(text))
+        counts.update({} if out(i) else Counter(dishes(text)))
+    keys = sorted(every)
+    word, place = (np.array(c) for c in zip(*keys, strict=True))
+    n_words = len(names) + 1
+    seating = Seating(word, place, np.array([counts[k] for k in keys]), n_words, size)
+    averaged = np.zeros(len(keys))
+    draws = np.random.default_rng(1)
+    for turn in range(5):
+        totals = seating.totals().astype(float)
+        if turn > 2:
+            averaged += seating.predictions(totals, 1 / (n_words + 1))[2] / 2
+        seating.sweep(totals, 1 / (n_words + 1), draws)
+    score = dict(zip(keys, np.log10(averaged), strict=True))
+    for r in score_texts(documents(spark, rows)).collect():
+        text = dict(rows)[r.doc_id]
+        assert r.score == pytest.approx(sum(score[k] for k in dishes(text)), rel=0.05)
