@@ -1,4 +1,5 @@
 import pytest
+from helpers import documents
 from test_decontaminate import brute as brute_hits
 from test_mixing import brute_targets
 from test_pii import brute as brute_spans
@@ -41,6 +42,19 @@ def test_quality_rules(steps):
     assert ids(after) == sorted(r[0] for r in brute_rules(rows) if r[7])
 
 
+def test_boilerplate_is_found_in_large_sources(spark):
+    """Nine texts hold the line, in a source of 12 and in one of 300."""
+    line, rows = "subscribe to our newsletter", []
+    for source, size in (("small", 12), ("large", 300)):
+        for i in range(size):
+            name = source + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10]
+            own = " ".join(name + c for c in "abcdefghijklmnopqrstuvwxyz")
+            rows.append((len(rows), f"{own}\n{line}" if i < 9 else own, source))
+    clean = corpus_pipeline.quality(spark, documents(spark, rows), SF_DIR).collect()
+    assert len(clean) == len(rows)
+    assert not [r.doc_id for r in clean if line in r.text]
+
+
 def test_near_dedup(steps):
     before, after = steps["simhash_near_dedup"]
     prints = {r.doc_id: brute_print(r.text) for r in before.collect()}
