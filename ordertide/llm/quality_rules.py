@@ -9,7 +9,7 @@ own lines boilerplate. Boilerplate lines are removed, and a document that loses
 ``max_removed`` of its words is rejected, as is one that fails the base rules.
 
 Defined results: a null or empty text has no words and fails the base rules. Null hosts form one host.
-Rows are judged by id and text, so repeated rows get the same verdict and each stays one row. An
+Rows are judged by id, host and text, so repeated rows get the same verdict and each stays one row. An
 empty table gives an empty result. Extra columns do not matter, whatever their names.
 
 Scale: one pass over the texts leaves numbers and line hashes in a stored table of a few hundredths of
@@ -126,6 +126,10 @@ def _line_hash(line: Column, host: Column) -> Column:
     return F.xxhash64(host.isNull(), host, normalised_line(line))
 
 
+def _host_hash(host: Column) -> Column:
+    return F.xxhash64(host.isNull(), host)
+
+
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -157,7 +161,7 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: id, the base figures, ``base_failed``, ``n_removed`` words and ``kept``.
 
-    Also ``text_hash`` and ``bad_lines`` (the hashes of its boilerplate lines) for `clean_documents`.
+    Also ``host_hash``, ``text_hash`` and ``bad_lines`` (the hashes of its boilerplate lines) for `clean_documents`.
     """
     text, host = F.col("text"), F.col("host")
     names = {id_col: "doc_id", text_col: "text", host_col: "host"}
@@ -166,7 +170,7 @@ def quality_rules(
         rows.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
-            F.xxhash64(host.isNull(), host).alias("host_hash"),
+            _host_hash(host).alias("host_hash"),
             _text_hash(text).alias("text_hash"),
             *[column.alias(name) for name, column in text_statistics(text).items()],
             _line_hashes(text, host).alias("lines"),
@@ -184,7 +188,7 @@ def quality_rules(
     n_words = F.col("n_words")
     failed = (n_words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n_words)
     return (
-        measured.drop("lines", "host_hash")
+        measured.drop("lines")
         .join(lost, "row", "left")
         .drop("row")
         .withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
@@ -201,12 +205,22 @@ def clean_documents(docs: DataFrame, **options) -> DataFrame:
     verdicts = (
         quality_rules(docs, **options)
         .filter("kept")
-        .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "bad_lines")
-        .groupBy("id", "hash")
+        .select(
+            F.col("doc_id").alias("id"),
+            F.col("text_hash").alias("hash"),
+            F.col("host_hash").alias("of_host"),
+            "bad_lines",
+        )
+        .groupBy("id", "hash", "of_host")
         .agg(F.first("bad_lines", ignorenulls=True).alias("bad"))
     )
-    whole = docs.select(F.struct("*").alias("doc"), _text_hash(F.col("text")).alias("hash"))
-    joined = whole.join(verdicts, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (whole.hash == verdicts.hash))
+    whole = docs.select(
+        F.struct("*").alias("doc"),
+        _text_hash(F.col("text")).alias("hash"),
+        _host_hash(F.col("source")).alias("of_host"),
+    )
+    same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (whole.hash == verdicts.hash)
+    joined = whole.join(verdicts, same & (whole.of_host == verdicts.of_host))
     text, host = F.col("doc.text"), F.col("doc.source")
     rest = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("bad"), _line_hash(x, host)))
     cleaned = F.when(F.col("bad").isNull(), text).otherwise(F.array_join(rest, "\n"))

@@ -90,6 +90,22 @@ def test_boilerplate_is_removed_and_the_rest_kept(spark, corpus):
         assert len(WORD.findall(texts[r.doc_id])) - len(WORD.findall(r.text)) == lost[r.doc_id]
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_one_id_and_text_in_several_sources(spark, doc_id):
+    """A line that is boilerplate in one source only, in texts that lose a little and texts that lose most of it."""
+    most = " ".join(f"common{i}" for i in range(40))
+    own = " ".join(f"own{i}" for i in range(30))
+    little, much = f"{own}\nfollow us", f"{own}\n{most}"
+    rows = [(100 + i, f"{i}\n{line}", "a") for i in range(20) for line in ("follow us", most)]
+    rows += [(doc_id, text, source) for text in (little, much) for source in ("a", None, "b", "a")]
+    clean = clean_documents(documents(spark, rows)).collect()
+    found = [(r.source, r.text) for r in clean if r.doc_id == doc_id]
+    kept = [(r[8], r[7]) for r in brute(rows) if r[0] == doc_id]
+    assert len(found) == sum(k for _, k in kept)
+    assert sorted(s or "" for s, t in found if most in t) == ["", "b"]
+    assert sorted(s or "" for s, t in found if "follow us" in t) == ["", "b"]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
