@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 def test_every_operator_has_one_query():
     registered = entry_module.queries()
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(registered)
     assert set(ORACLES) <= set(entry_module.oracle_sql())
 

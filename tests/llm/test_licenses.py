@@ -1,0 +1,122 @@
+import random
+import re
+
+import pytest
+from helpers import awkward, documents, empty
+
+from ordertide.llm import queries
+from ordertide.llm.licenses import TEMPLATES, Template, scan_licenses, words_of
+
+
+def alternatives(wording):
+    """The parts of a template as nested lists: words, ("any", n) and lists that may be left out."""
+    stack = [[]]
+    for part in re.split(r"(<<[^>]*>>)", wording):
+        if part == "<<optional>>":
+            stack.append([])
+        elif part == "<<end>>":
+            closed = stack.pop()
+            stack[-1].append(closed)
+        elif part.startswith("<<any:"):
+            stack[-1].append(("any", int(part[6:-2])))
+        else:
+            stack[-1] += words_of(part)
+    return stack[0]
+
+
+def ends(parts, words, at):
+    """All ends of runs from ``at`` that ``parts`` accept, by trying everything."""
+    if not parts:
+        return {at}
+    head, rest = parts[0], parts[1:]
+    if isinstance(head, list):
+        return ends(rest, words, at) | {e for m in ends(head, words, at) for e in ends(rest, words, m)}
+    if isinstance(head, tuple):
+        return {e for k in range(head[1] + 1) if at + k <= len(words) for e in ends(rest, words, at + k)}
+    return ends(rest, words, at + 1) if at < len(words) and words[at] == head else set()
+
+
+WORDINGS = [
+    "a <<optional>> b <<optional>> c <<end>> <<end>> d",
+    "<<optional>> a <<end>> b <<any:2>> c",
+    "a b <<any:3>> <<optional>> a b <<end>> c <<any:1>>",
+    "b <<any:2>> b <<any:2>> b",
+]
+
+
+@pytest.mark.parametrize("wording", WORDINGS)
+def test_automaton_equals_trying_everything(wording):
+    rng, template, parts = random.Random(1), Template("t", wording), alternatives(wording)
+    for _ in range(400):
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 12))]
+        for start in range(len(words)):
+            longest = max((e for e in ends(parts, words, start) if e > start), default=-1)
+            assert template.end(words, start) == longest
+        upto, expected = 0, []
+        for start in range(len(words)):
+            end = max((e for e in ends(parts, words, start) if e > start), default=-1)
+            if start >= upto and end > start:
+                expected.append((start, end))
+                upto = end
+        assert template.matches(words) == expected
+
+
+@pytest.mark.parametrize("label, wording", TEMPLATES)
+def test_every_template_accepts_its_wording_and_no_other(spark, label, wording):
+    kept = re.sub(r"<<optional>>|<<end>>", " ", re.sub(r"<<any:\d+>>", "anything", wording))
+    words, template = words_of(kept), Template(label, wording)
+    assert template.matches([b"before", *words, b"after"])[0][1] >= 1
+    needle = template.needle.split()
+    at = next(i for i in range(len(words)) if words[i : i + len(needle)] == needle)
+    changed = [*words[:at], words[at] + b"x", *words[at + 1 :]]
+    assert not template.matches(changed)
+
+
+def test_places_labels_and_scores(spark):
+    text = (
+        "Released under the MIT License.\nCC BY and cc by-nc. This work is licensed under the GNU General Public"
+        " License, version 3 or any later version. apache   license"
+    )
+    rows = [(1, text), (2, "mit license mit licenses"), (3, "nothing of the kind"), (4, "MIT LICENSE, MIT license")]
+    found = {r.doc_id: r for r in scan_licenses(documents(spark, rows)).collect()}
+    assert found[1].labels == ["apache", "cc-by", "gpl", "gpl-3.0", "mit"]
+    assert [(p.label, p.start, p.end) for p in found[1].places if p.kind == "template"] == [
+        ("gpl-3.0", 14, 27),
+        ("mit", 0, 5),
+    ]
+    assert [(found[i].labels, found[i].score) for i in (2, 3, 4)] == [(["mit"], 0.5), ([], 0.0), (["mit"], 0.5)]
+    assert [(p.start, p.end) for p in found[4].places] == [(0, 2), (2, 4)]
+    assert found[1].score == 1.0
+
+
+def test_phrases_may_overlap(spark):
+    found = scan_licenses(documents(spark, [(1, "a b a b a")]), phrases=[("a b a", "x")], templates=[]).first()
+    assert [(p.start, p.end) for p in found.places] == [(0, 3), (2, 5)]
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    found = scan_licenses(docs)
+    assert found.count() == docs.count()
+    assert found.filter("size(places) > 0 or score > 0").count() == 0
+    by_id = {r.doc_id: r.n_words for r in found.collect()}
+    assert (by_id[2], by_id[3], by_id[4], by_id[5], by_id[6]) == (0, 0, 0, 30_000, 5)
+    assert scan_licenses(empty(spark)).count() == 0
+
+
+def test_very_long_text(spark):
+    filler = "the license of this software " * 60_000
+    text = f"{filler} Permission is hereby granted {filler} licensed under the Apache License, Version 2.0"
+    found = scan_licenses(documents(spark, [(1, text)])).first()
+    assert found.labels == ["apache", "apache-2.0"] and found.n_words == 2 * 300_000 + 4 + 8
+
+
+@pytest.mark.parametrize("wording", ["<<optional>> a", "a <<end>>", "<<any:3>>", "<<optional>> a <<end>>"])
+def test_broken_templates_are_refused(spark, wording):
+    with pytest.raises(ValueError):
+        scan_licenses(documents(spark, [(1, "a")]), templates=[("t", wording)])
+
+
+def test_query_keeps_every_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert queries.op12_license_scan(spark, "/root/testdata/sf0.001").count() == docs.count()
