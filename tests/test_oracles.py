@@ -1,6 +1,7 @@
 """Every registered query equals its SQL on the test tables."""
 
 import os
+import sys
 
 import pytest
 from compare import duckdb_rows, spark_rows
@@ -21,6 +22,15 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
 
+def test_queries_do_not_need_the_optional_packages(monkeypatch):
+    """Without a package that only the corpus operators use, all other queries stay."""
+    for name in [n for n in sys.modules if n.startswith(("ordertide.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(entry_module.queries()) == set(QUERIES)
+    assert set(entry_module.oracle_sql()) == set(ORACLES)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, name):
     columns, rows = spark_rows(QUERIES[name](spark, SF_DIR))
