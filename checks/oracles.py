@@ -225,6 +225,22 @@ FROM ({_COUNTS})"""
 _GEO = """SELECT n_name AS province, r_name AS region
   FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
 
+# The preview judges events as they arrive; orders of odd number arrive when the watermark has moved on.
+_SOLD = f"""WITH {ACTIVITY},
+sold AS (
+  SELECT *, CAST(substr(order_id, 2) AS INTEGER) % 2 = 0 AS first_to_arrive,
+         CAST(round(quantity * unit_price_vnd * 100) AS BIGINT) AS cents
+  FROM bronze
+  WHERE CASE WHEN quantity <= 0 THEN 1 WHEN unit_price_vnd <= 0 THEN 1 WHEN NOT ({_LISTED_PROV}) THEN 1
+             WHEN event_type NOT IN ('created', 'updated', 'cancelled') THEN 1 END IS NULL
+    AND event_type <> 'cancelled'),
+in_time AS (
+  SELECT * FROM sold
+  WHERE first_to_arrive
+     OR date_trunc('hour', event_ts) + INTERVAL 1 HOUR >
+        (SELECT date_trunc('millisecond', max(event_ts)) - INTERVAL 10 DAY FROM sold WHERE first_to_arrive))
+"""
+
 ORACLES: dict[str, str] = {
     "bronze_events": _lineitem("SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"),
     "dedup_latest_event": _lineitem("SELECT * FROM deduped"),
@@ -277,6 +293,14 @@ ORACLES: dict[str, str] = {
     "weekday_factors": _lineitem("SELECT weekday, round(factor, 9) AS factor FROM factors"),
     "sales_forecast": _lineitem("SELECT * FROM forecast"),
     "sales_forecast_by_province": _lineitem("SELECT * FROM forecast_province"),
+    "trend_fit_from_moments": _lineitem(
+        "SELECT round(slope, 6) AS slope, round(intercept, 3) AS intercept,"
+        " round(mean_revenue, 3) AS mean_revenue, training_days, last_date FROM trend"
+    ),
+    "weekday_factors_from_moments": _lineitem(
+        "SELECT weekday, round(factor, 9) AS factor FROM factors"
+    ),
+    "sales_forecast_from_moments": _lineitem("SELECT * FROM forecast_province"),
     "quality_counts": _lineitem(_COUNTS),
     "release_gates": _lineitem(_GATES),
     "measures_total": _lineitem(f"SELECT {_MEASURES} FROM daily"),
@@ -346,6 +370,25 @@ ORACLES: dict[str, str] = {
         " count(*) AS rows_landed, count(*) AS input_rows FROM bronze UNION ALL "
         "SELECT 'rerun', count(*), count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM bronze"
     ),
+    "stream_deduplicated_events": _activity(
+        "SELECT DISTINCT *, CAST(event_ts AS DATE) AS event_date FROM bronze"
+    ),
+    "stream_archived_events": _activity(
+        "SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"
+    ),
+    "stream_progress_batches": _activity(
+        "SELECT count(*) AS input_rows, TRUE AS each_batch_once FROM bronze"
+    ),
+    "stream_velocity_preview": _SOLD
+    + "SELECT date_trunc('hour', event_ts) AS sales_hour, province, count(*) AS events,"
+    " CAST(sum(cents) AS DOUBLE) / 100 AS revenue_per_hour_vnd, TRUE AS approximate"
+    " FROM in_time GROUP BY 1, 2",
+    "stream_late_rows": _SOLD
+    + "SELECT (SELECT count(*) FROM in_time) AS taken,"
+    " (SELECT count(*) FROM sold) - (SELECT count(*) FROM in_time) AS late",
+    "stream_distinct_orders": _SOLD
+    + "SELECT CAST(event_ts AS DATE) AS day, count(DISTINCT order_id) AS orders, TRUE AS within_bound"
+    " FROM sold GROUP BY ROLLUP (CAST(event_ts AS DATE))",
     "incremental_refresh_marts": _activity("SELECT * FROM daily"),
     "many_digit_sales": _MANY_DIGITS,
     "incremental_many_digit_sales": _MANY_DIGITS,

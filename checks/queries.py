@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.functions.payload import decode_payload, encode_payload
@@ -21,7 +21,7 @@ from ordertide.plans.curate import (
 )
 from ordertide.plans.layout import Layout
 from ordertide.plans.mapping import ACTIVITY_CONTRACT, LINEITEM_CONTRACT
-from ordertide.plans.settings import scratch_path
+from ordertide.plans.settings import at_once, scratch_path
 from ordertide.sinks.files import write_event_files, write_table
 from ordertide.sources.files import (
     RAW,
@@ -31,8 +31,18 @@ from ordertide.sources.files import (
     union_bronze,
 )
 from ordertide.sources.kafka import records_to_bronze
-from ordertide.streaming.incremental import IncrementalMarts, start_incremental
+from ordertide.streaming.incremental import IncrementalMarts
 from ordertide.streaming.landing import drain, land_file_stream, start_bronze_append
+from ordertide.streaming.progress import read_progress, recorded_progress
+from ordertide.streaming.velocity import (
+    STANDARD_ERROR,
+    late_rows,
+    merged_orders,
+    preview_name,
+    read_hours,
+    start_velocity_preview,
+    velocity_preview,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,33 +235,64 @@ def sales_forecast_by_province(spark, sf_dir):
     return fc.sales_forecast(_daily(spark, sf_dir), by=["province"])
 
 
+def _moments(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Moments of the daily mart, taken batch by batch (a category each) and added up."""
+    batches = fc.series_moments(_daily(spark, sf_dir), [*by, "category"])
+    return fc.merge_moments(batches, by)
+
+
+@query
+def trend_fit_from_moments(spark, sf_dir):
+    return _rounded_trend(fc.fit_moments(_moments(spark, sf_dir)))
+
+
+@query
+def weekday_factors_from_moments(spark, sf_dir):
+    factors = fc.weekday_factors(fc.fit_moments(_moments(spark, sf_dir)))
+    return factors.withColumn("factor", F.round("factor", 9))
+
+
+@query
+def sales_forecast_from_moments(spark, sf_dir):
+    fitted = fc.fit_moments(_moments(spark, sf_dir, "province"), ["province"])
+    return fc.project_trend(fitted, by=["province"])
+
+
 # --- reconciliation ---------------------------------------------------------------------------
 
 
 def _quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table is written once and counted from there, as in a curation run."""
+    """Each table is counted while it is written and read from there, as in a curation run."""
     root = scratch_path(spark, "counts")
+    numbers: dict = {}
 
-    def stage(frame: DataFrame, table: str) -> DataFrame:
-        return write_table(frame, f"{root}/{table}")
+    def stage(frame: DataFrame, table: str, columns: list) -> DataFrame:
+        stored, found = reconcile.observed_write(frame, f"{root}/{table}", columns)
+        numbers.update(found)
+        return stored
 
-    bronze = stage(mapping.lineitem_events(spark, sf_dir), "bronze")
-    resolved = resolve.dedup_counting_copies(bronze)
-    classified = stage(quality.classify_events(resolved, LINEITEM_CONTRACT), "classified")
+    events = mapping.lineitem_events(spark, sf_dir)
+    bronze = stage(events, "bronze", reconcile.row_columns("bronze"))
+    resolved = quality.classify_events(resolve.dedup_counting_copies(bronze), LINEITEM_CONTRACT)
+    classified = stage(resolved, "classified", reconcile.classification_columns())
     state = resolve.current_order_state(quality.accepted_events(classified))
-    state = stage(state, "state")
-    cells = stage(marts.sales_cells(resolve.active_orders(state)), "cells")
-    daily = marts.daily_sales(cells)
-    return reconcile.quality_counts(
-        bronze=bronze,
-        classified=classified,
-        state=state,
-        cells=cells,
-        daily=daily,
-        province=marts.province_sales(cells),
-        velocity=marts.sales_velocity(cells),
-        forecast=fc.sales_forecast(daily),
+    state = stage(state, "state", reconcile.state_columns())
+    cells = stage(
+        marts.sales_cells(resolve.active_orders(state)), "cells", reconcile.revenue_columns()
+    )
+    daily, _, _ = at_once(
+        spark,
+        *(
+            partial(stage, mart(cells), table, reconcile.row_columns(table))
+            for table, mart in (
+                ("daily_sales", marts.daily_sales),
+                ("province_sales", marts.province_sales),
+                ("sales_velocity", marts.sales_velocity),
+            )
+        ),
     )
+    stage(fc.sales_forecast(daily), "forecast", reconcile.row_columns("forecast_rows"))
+    return reconcile.counts_of(spark, numbers)
 
 
 @query
@@ -497,14 +538,100 @@ def stream_landing_metrics(spark, sf_dir):
     )
 
 
+@query
+def stream_deduplicated_events(spark, sf_dir):
+    """Every file delivered twice: exact copies stop before bronze."""
+    incoming, root = _incoming(spark, sf_dir)
+    write_event_files(mapping.activity_events(spark, sf_dir), incoming)
+    land_file_stream(spark, incoming, root, max_files_per_trigger=20, replays_within="30 days")
+    return read_bronze(spark, Layout(root).bronze_sources).drop("source_file", RAW)
+
+
+@query
+def stream_archived_events(spark, sf_dir):
+    """Landed in two runs; files of the first are moved away while the second lands the others."""
+    root = scratch_path(spark, "run")
+    events = mapping.activity_events(spark, sf_dir)
+    first = F.dayofmonth("event_ts") <= 15
+    for part in (first, ~first):
+        write_event_files(events.filter(part), f"{root}/incoming")
+        land_file_stream(spark, f"{root}/incoming", root, archive=f"{root}/archive")
+    return read_bronze(spark, Layout(root).bronze_sources).drop("source_file", RAW)
+
+
+@query
+def stream_progress_batches(spark, sf_dir):
+    """The table of all batches of two drains: no batch is missing or counted twice."""
+    incoming, root = _incoming(spark, sf_dir)
+    for _ in range(2):
+        land_file_stream(spark, incoming, root, max_files_per_trigger=10, metrics=f"{root}/progress")
+    batches = read_progress(spark, f"{root}/progress")
+    once = F.max("batch_id") + 1 == F.count("*")
+    return batches.agg(F.sum("input_rows").alias("input_rows"), once.alias("each_batch_once"))
+
+
+def _previewed(
+    spark: SparkSession, sf_dir: str, late: str, parts: list[Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Hours of the velocity preview and its progress; ``parts`` of the events arrive one after the other."""
+    root = scratch_path(spark, "preview")
+    hours = f"{root}/hours"
+    for part in parts:
+        write_event_files(mapping.activity_events(spark, sf_dir).filter(part), f"{root}/incoming")
+        with recorded_progress(spark, f"{root}/progress", [preview_name(hours)]):
+            events = stream_event_files(spark, f"{root}/incoming")
+            drain(
+                start_velocity_preview(
+                    events, hours, f"{root}/checkpoint", late, ACTIVITY_CONTRACT, {"availableNow": True}
+                )
+            )
+    return read_hours(spark, hours), read_progress(spark, f"{root}/progress")
+
+
+def _half_late(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders of odd number arrive after the watermark of the others has moved on."""
+    even = F.substring("order_id", 2, 20).cast("int") % 2 == 0
+    return _previewed(spark, sf_dir, "10 days", [even, ~even])
+
+
+@query
+def stream_velocity_preview(spark, sf_dir):
+    hours, _ = _half_late(spark, sf_dir)
+    return velocity_preview(hours).drop("orders_per_hour")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    hours, progress = _half_late(spark, sf_dir)
+    late = late_rows(hours, progress)
+    taken = F.sum("events").alias("taken")
+    return hours.agg(taken).withColumn("late", F.lit(late).cast("long"))
+
+
+@query
+def stream_distinct_orders(spark, sf_dir):
+    """Distinct orders per day and in all, from hourly sketches: whether they are within three standard errors."""
+    hours, _ = _previewed(spark, sf_dir, "60 days", [F.lit(True)])
+    day = F.to_date("sales_hour").alias("day")
+    days = merged_orders(hours, day)
+    total = merged_orders(days).withColumn("day", F.lit(None).cast("date"))
+    estimates = days.unionByName(total).select("day", F.col("orders").alias("estimate"))
+    events = mapping.activity_events(spark, sf_dir)
+    accepted = quality.accepted_events(quality.classify_events(events, ACTIVITY_CONTRACT))
+    sold = resolve.active_orders(accepted).withColumn("day", F.to_date("event_ts"))
+    exact = sold.rollup("day").agg(F.countDistinct("order_id").alias("orders")).alias("x")
+    pairs = exact.join(estimates.alias("e"), F.col("x.day").eqNullSafe(F.col("e.day")), "left")
+    bound = F.abs(F.col("estimate") - F.col("orders")) <= 3 * STANDARD_ERROR * F.col("orders")
+    return pairs.select("x.day", "orders", bound.alias("within_bound"))
+
+
 def _refreshed(
     spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame] = lambda e: e
 ) -> IncrementalMarts:
     """The events table through the incremental marts, in several micro-batches."""
     incoming, root = _incoming(spark, sf_dir, files=4, change=change)
     target = IncrementalMarts(spark, root, ACTIVITY_CONTRACT)
-    stream = stream_event_files(spark, incoming, max_files_per_trigger=40)
-    drain(start_incremental(stream, target, f"{root}/checkpoint", {"availableNow": True}))
+    target.refresh(stream_event_files(spark, incoming, max_files_per_trigger=64))
     return target
 
 
@@ -524,7 +651,7 @@ def incremental_rejected_events(spark, sf_dir):
 
 
 def _published(spark: SparkSession, sf_dir: str) -> str:
-    """Root of a run published from the incremental logs."""
+    """Root of a run published from the keyed state."""
     target = _refreshed(spark, sf_dir)
     target.publish(target.root)
     return target.root

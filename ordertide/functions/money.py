@@ -53,6 +53,24 @@ def rounded_mean(exact: Column, stray: Column, n: Column) -> Column:
     return F.when(n > 0, F.when(stray.isNull(), cents / F.lit(100.0)).otherwise(mixed))
 
 
+def exact_sum(value: Column, factor: Column) -> Column:
+    """Aggregate: sum of value * factor (a whole number) over the values that a decimal holds; 0 if there are none."""
+    held = _exactly(value, "decimal(28,8)")
+    return F.coalesce(F.sum((held * factor).cast(AMOUNT_TYPE)), F.lit(0)).cast(AMOUNT_TYPE)
+
+
+def stray_sum(value: Column, factor: Column) -> Column:
+    """Aggregate: sum of value * factor over the other values, as a double; NULL if there are none."""
+    held = _exactly(value, "decimal(28,8)")
+    return F.sum(F.when(held.isNull(), value * factor))
+
+
+def joined_sum(exact: Column, stray: Column) -> Column:
+    """The sum that `exact_sum` and `stray_sum` are the parts of, as a double."""
+    plain = exact.cast("double")
+    return F.when(stray.isNull(), plain).otherwise(plain + stray)
+
+
 def total(value: Column) -> Column:
     """Aggregate: order-independent sum of a double column, as a double; NULL if all are NULL."""
     held = _exactly(value, "decimal(28,8)")

@@ -69,6 +69,77 @@ def fit_trend(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# --- moments: a fit that batches add up to --------------------------------------------------------
+
+MOMENTS = ("total", "weighted", *(f"weekday_{d}" for d in range(7)))
+
+
+def series_moments(revenue: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sufficient statistics of the trend and weekday fit, one row per series.
+
+    ``revenue`` has dates and revenues, any number of rows a date (of the daily mart, or of changes to it: a row
+    that left counts negative). Dates without a row are zeros and add nothing, so only sums over rows are kept:
+    revenue, revenue times the day's number since 1970, revenue per weekday, all as exact decimals, and the
+    first and last date. Revenues that no decimal holds travel as doubles.
+    """
+    y = F.col("revenue_vnd")
+    day, weekday = F.unix_date("order_date"), F.weekday("order_date")
+    parts = {"total": F.lit(1), "weighted": day} | {
+        f"weekday_{d}": F.when(weekday == d, F.lit(1)) for d in range(7)
+    }
+    dated = revenue.filter("order_date IS NOT NULL")
+    return dated.groupBy(*by).agg(
+        F.min("order_date").alias("first_date"),
+        F.max("order_date").alias("last_date"),
+        *(money.exact_sum(y, factor).alias(name) for name, factor in parts.items()),
+        *(money.stray_sum(y, factor).alias(f"{name}_stray") for name, factor in parts.items()),
+    )
+
+
+def merge_moments(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Moments of several batches added up. A first or last date whose sales all left must be set anew."""
+    return moments.groupBy(*by).agg(
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+        *(F.sum(name).cast(money.AMOUNT_TYPE).alias(name) for name in MOMENTS),
+        *(F.sum(f"{name}_stray").alias(f"{name}_stray") for name in MOMENTS),
+    )
+
+
+def fit_moments(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same fit as `fit_trend` of the dense series, from moments alone.
+
+    Sums over day indexes 0..n-1 are closed forms; shifting day numbers to indexes is one subtraction.
+    """
+
+    def sum_of(name: str) -> Column:
+        return money.joined_sum(F.col(name), F.col(f"{name}_stray"))
+
+    n = (F.datediff("last_date", "first_date") + 1).cast("double")
+    first = F.unix_date("first_date")
+    exact = F.col("weighted") - F.col("total") * first
+    strays = F.col("weighted_stray") - F.coalesce("total_stray", F.lit(0.0)) * first
+    weighted, total = money.joined_sum(exact, strays), sum_of("total")
+    days = n * (n - 1) / 2
+    squares = (n - 1) * n * (2 * n - 1) / 6
+    slope = F.coalesce(F.try_divide(n * weighted - days * total, n * squares - days * days), F.lit(0.0))
+    whole, rest = F.floor(n / 7), n % 7
+    means = []
+    for d in range(7):
+        after = F.pmod(F.lit(d) - F.weekday("first_date"), F.lit(7))
+        seen = whole + F.when(after < rest, 1).otherwise(0)
+        means.append(F.when(seen > 0, sum_of(f"weekday_{d}") / seen))
+    return moments.select(
+        *by,
+        slope.alias("slope"),
+        ((total - slope * days) / n).alias("intercept"),
+        (total / n).alias("mean_revenue"),
+        n.cast("long").alias("training_days"),
+        "last_date",
+        F.array(*means).alias("weekday_means"),
+    )
+
+
 def _floored_mean() -> Column:
     return F.greatest(F.col("mean_revenue"), F.lit(1.0))
 

@@ -22,10 +22,11 @@ CELL_KEYS = ("sales_hour", "province", "category")
 CELL_COUNTS = ("rows", "orders", "units", "counted", "priced")
 
 
-def order_cells(active: DataFrame) -> DataFrame:
-    """One cell row per active order."""
+def order_cells(active: DataFrame, *kept: str) -> DataFrame:
+    """One cell row per active order; ``kept`` columns stay beside it."""
     quantity, price = F.col("quantity"), F.col("unit_price_vnd")
     return active.select(
+        *kept,
         F.date_trunc("hour", "event_ts").alias("sales_hour"),
         "province",
         "category",

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.functions import money
-
-MAX_RANKED = 100_000
+from ordertide.plans.settings import scratch_path
+from ordertide.sinks.files import write_table
 
 
 def _measure_columns() -> list:
@@ -55,20 +55,39 @@ def with_geography(mart: DataFrame, dimension: DataFrame) -> DataFrame:
     return mart.join(dimension, "province", "left")
 
 
-def ranked_provinces(
-    provinces: DataFrame, top: int | None = None, max_rows: int = MAX_RANKED
-) -> DataFrame:
+def value_ranks(values: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """(value, rank) of every distinct value of ``column``, the largest first, NULL last.
+
+    Equal values are counted together before anything is sorted, so a value of a third of all rows is one row.
+    Distinct values are dealt into ``parts`` ranges, each range counts ahead of its own values, and the totals of
+    the ranges, one number each, say how many rows lie in the ranges before. No task sees more than one range.
+    """
+    spark = values.sparkSession
+    counted = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.repartitionByRange(parts, F.desc("value")).withColumn("part", F.spark_partition_id())
+    ranged = write_table(ranged, scratch_path(spark, "ranks"))
+    totals = dict(ranged.groupBy("part").agg(F.sum("rows")).collect())
+    before = [sum(totals.get(p, 0) for p in range(part)) for part in range(max(totals, default=-1) + 1)]
+    ahead = F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), F.col("part"))
+    earlier = Window.partitionBy("part").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    rank = ahead + F.coalesce(F.sum("rows").over(earlier), F.lit(0)) + 1
+    return ranged.select("value", rank.alias("rank"))
+
+
+def ranked_provinces(provinces: DataFrame, top: int | None = None) -> DataFrame:
     """Provinces by revenue, equal revenue sharing a rank; ``top`` keeps the best ranks.
 
     The best ranks come from the ``top`` largest revenues, which Spark finds without a global sort:
-    a revenue has as many ahead of it as there are larger ones among them. Ranking everything sorts
-    the mart in one task, so a mart of more than ``max_rows`` rows is refused.
+    a revenue has as many ahead of it as there are larger ones among them. All ranks come from ranges of
+    revenues, so a mart of any size is ranked without sorting it in one task.
     """
+    same = F.col("revenue_vnd").eqNullSafe(F.col("value"))
     if top is None:
-        if provinces.limit(max_rows + 1).count() > max_rows:
-            raise ValueError(f"More than {max_rows} provinces; ask for the top ones")
-        rank = F.rank().over(Window.orderBy(F.col("revenue_vnd").desc()))
-        return provinces.withColumn("revenue_rank", rank)
+        ranks = value_ranks(provinces, "revenue_vnd")
+        return provinces.join(ranks, same).select(
+            *provinces.columns, F.col("rank").cast("int").alias("revenue_rank")
+        )
     largest = provinces.select(F.struct("revenue_vnd").alias("r")).orderBy(F.desc("r")).limit(top)
     ahead = largest.agg(F.sort_array(F.collect_list("r"), asc=False).alias("all"))
     ranks = (
@@ -76,7 +95,6 @@ def ranked_provinces(
         .groupBy(F.col("r.revenue_vnd").alias("value"))
         .agg((F.min("position") + 1).alias("revenue_rank"))
     )
-    same = F.col("revenue_vnd").eqNullSafe(F.col("value"))
     return provinces.join(ranks, same).drop("value")
 
 

@@ -56,7 +56,12 @@ def dedup_counting_copies(events: DataFrame) -> DataFrame:
 def current_order_state(accepted: DataFrame) -> DataFrame:
     """The latest accepted event of every order, with its order date and revenue."""
     recency = [F.col(name).desc() for name in STATE_RECENCY]
-    return latest_per_key(accepted, ["order_id"], recency).withColumns(
+    return priced_orders(latest_per_key(accepted, ["order_id"], recency))
+
+
+def priced_orders(latest: DataFrame) -> DataFrame:
+    """Latest events of orders with their order date and revenue."""
+    return latest.withColumns(
         {
             "order_date": F.to_date("event_ts"),
             "revenue_vnd": F.col("quantity") * F.col("unit_price_vnd"),

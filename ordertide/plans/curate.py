@@ -12,7 +12,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.contract import (
@@ -33,7 +33,7 @@ from ordertide.plans.settings import (
     require_utc,
     session_settings,
 )
-from ordertide.sinks.files import export_csv, write_report, write_table
+from ordertide.sinks.files import export_csv, write_report
 from ordertide.sources.files import read_bronze
 
 # Published table -> (layer, stored table). The clean and rejected events are the two partitions of
@@ -206,42 +206,52 @@ def write_run(
     Order ``state`` and sales ``cells`` are derived unless they are known already.
     """
     run_id = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%fZ}-{uuid.uuid4().hex[:8]}"
+    numbers: dict[str, float | None] = {}
 
-    def stage(frame: DataFrame, table: str, *partition_by: str) -> DataFrame:
+    def stage(
+        frame: DataFrame, table: str, counts: list[Column], *partition_by: str
+    ) -> DataFrame:
+        """Write a table; what the report needs of it is counted while it is written."""
         layer, stored = TABLES[table]
-        return write_table(frame, layout.run_table(run_id, layer, stored), *partition_by)
-
-    classified = stage(_with_outcome(classified), "order_events_clean", "outcome")
+        path = layout.run_table(run_id, layer, stored)
+        written, found = reconcile.observed_write(frame, path, counts, *partition_by)
+        numbers.update(found)
+        return written
+
+    if occurrences is not None:
+        numbers.update(occurrences.first().asDict())
+    elif bronze is not None:
+        numbers.update(reconcile.bronze_counts(bronze).first().asDict())
+    known = dict(numbers)
+    outcomes = reconcile.classification_columns()
+    classified = stage(_with_outcome(classified), "order_events_clean", outcomes, "outcome")
+    numbers.update(known)  # copies that were counted before the run count
     if state is None:
         state = resolve.current_order_state(_clean(classified))
-    state = stage(state, "current_order_state")
+    state = stage(state, "current_order_state", reconcile.state_columns())
     if cells is None:
         cells = marts.sales_cells(resolve.active_orders(state))
-    cells = stage(cells, "sales_cells")
-    daily, province, velocity = at_once(
+    cells = stage(cells, "sales_cells", reconcile.revenue_columns())
+    daily, _, _ = at_once(
         spark,
-        lambda: stage(marts.daily_sales(cells), "daily_sales"),
-        lambda: stage(marts.province_sales(cells), "province_sales"),
-        lambda: stage(marts.sales_velocity(cells), "sales_velocity"),
+        *(
+            partial(stage, mart(cells), table, reconcile.row_columns(table))
+            for table, mart in (
+                ("daily_sales", marts.daily_sales),
+                ("province_sales", marts.province_sales),
+                ("sales_velocity", marts.sales_velocity),
+            )
+        ),
     )
-    if daily.isEmpty():
+    if not numbers["daily_sales"]:
         raise RuntimeError("Cannot forecast: the daily sales series is empty")
-    outlook = stage(fc.sales_forecast(daily, horizon), "sales_forecast")
-
-    counts = reconcile.quality_counts(
-        bronze=bronze,
-        occurrences=occurrences,
-        classified=classified,
-        state=state,
-        cells=cells,
-        daily=daily,
-        province=province,
-        velocity=velocity,
-        forecast=outlook,
-    )
+    outlook = fc.sales_forecast(daily, horizon)
+    stage(outlook, "sales_forecast", reconcile.row_columns("forecast_rows"))
+
+    counts = reconcile.counts_of(spark, numbers)
     gates = reconcile.release_gates(counts, horizon)
-    numbers = counts.select("*", *reconcile.gate_columns(horizon)).first()
-    report = report_of(numbers, gates.columns)
+    checked = counts.select("*", *reconcile.gate_columns(horizon)).first()
+    report = report_of(checked, gates.columns)
     write_report(spark.createDataFrame([report], REPORT_DDL), layout.report(run_id))
     return run_id, report
 

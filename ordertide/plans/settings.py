@@ -14,6 +14,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Keyed state on the executors' disks with change logs in the checkpoint, so that a commit costs what changed.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state"
+    ".RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 

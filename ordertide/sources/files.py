@@ -31,16 +31,22 @@ def read_event_files(spark: SparkSession, path: str, keep_corrupt: bool = False)
 
 
 def stream_event_files(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    max_files_per_trigger: int | None = None,
+    archive: str | None = None,
 ) -> DataFrame:
     """Streaming form of ``read_event_files`` with the columns bronze stores.
 
     ``source_file`` and ``event_date`` are added; ``event_date`` is the UTC date of the event time.
-    ``raw_record`` is the text of lines that are broken or hold a field of another type.
+    ``raw_record`` is the text of lines that are broken or hold a field of another type. Landed files are moved
+    below ``archive`` when a later batch is planned, so that listings do not grow; without it they stay.
     """
     reader = spark.readStream.schema(_wire_schema(True)).option("recursiveFileLookup", "true")
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.json(path).select(
         *(name for name, _ in ORDER_EVENT_FIELDS),
         F.col("_metadata.file_path").alias("source_file"),

@@ -1,39 +1,36 @@
-"""Marts that follow the stream: each micro-batch refreshes only what it touches.
+"""Marts that follow the stream, on Spark's keyed state.
 
-Logs grow by one directory ``batch_id=i`` per batch:
+One streaming query holds everything that a refresh needs to know in its state store (RocksDB):
 
-* events - events whose winning copy the batch changed, with the new winner,
-* state  - orders the batch may have changed, with their new state (or its removal),
-* cells  - sales cells of those orders after the batch, minus the same before it,
-* counts - occurrences in the batch, and how many event ids were new.
+* winners - per event id the winning copy, and how many copies arrived,
+* parts   - per order and salt the accepted winning events, and the latest of them,
+* orders  - per order the latest event of its parts: the order state,
+* cells   - per hour, province and category the sums over active orders.
 
-Events and state are versioned: the row of the highest batch counts. A mart is the sum of all cell
-rows, so an order that moves to another day or province leaves its old group by subtraction. A batch
-is a function of the batches before it; one that failed half-way overwrites its directories, one that
-is committed is not computed again. Readers stop at the last committed batch.
+Every operator passes on what changed, the old row with sign -1 and the new one with sign +1. So a winner that
+moves to another order, an event that turns bad, or an order that changes its day or province leaves its old place
+by subtraction, and a micro-batch costs what its events touch, however long the history is. Spark commits the state
+of all four operators with the batch; a batch that failed is computed again from the state before it.
 
-What only one batch needs is written to a work directory, which goes when the batch is committed.
-Every ``snapshot_every`` batches the logs are folded, and what only snapshots before the last
-``KEPT_SNAPSHOTS`` need is removed, so the logs hold the folded tables and a bounded number of batches.
+Tables are read from the state of the last committed batch with Spark's state reader. ``publish`` writes them,
+counts, gates, report and exports as a run beside those of full curations, and publishes it in the same log.
 
-``publish`` writes all tables, counts, gates, report and exports as a run beside those of full
-curations, and publishes it in the same log.
-
-A refresh finds its keys by scanning one key column of the events and state logs, and then reads full
-rows only from batches that hold one of them. An event with millions of copies is one row per batch
-that changed it. Only orders that lost a winning event are resolved again from all their events; the
-others compare their state with what arrived.
+Scale. Copies of an event are folded in each Arrow batch before they are shuffled, and so are the changes of a cell.
+The events of an order are dealt over ``SALTS`` parts, so an order of a third of all events spreads over tasks. Only an
+order (part) whose latest event was replaced looks through its other events. State is partitioned by key;
+the first start fixes the number of partitions for the life of a checkpoint.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Sequence
-from functools import partial, reduce
+import decimal
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ordertide.contract import (
     DEFAULT_CONTRACT,
@@ -41,394 +38,388 @@ from ordertide.contract import (
     FORECAST_HORIZON,
     ORDER_EVENT_FIELDS,
     OrderContract,
-    schema_of,
 )
 from ordertide.functions.money import AMOUNT_TYPE
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, quality, reconcile, resolve
 from ordertide.plans import curate
 from ordertide.plans.layout import Layout
-from ordertide.plans.settings import file_system, require_utc
-from ordertide.sources.files import read_parquet_if_exists
-
-# ``present`` is false where an order has no state any more.
-STATE_FIELDS = (
-    *ORDER_EVENT_FIELDS,
-    ("order_date", "date"),
-    ("revenue_vnd", "double"),
-    ("present", "boolean"),
-)
-COUNT_FIELDS = (("occurrences", "long"), ("fresh", "long"))
-SNAPSHOT_EVERY = 50
-KEPT_SNAPSHOTS = 2
-CELL_FIELDS = (
-    ("sales_hour", "timestamp"),
-    ("province", "string"),
-    ("category", "string"),
-    *((name, "long") for name in marts.CELL_COUNTS),
-    ("amount", AMOUNT_TYPE),
-    ("stray", "double"),
+from ordertide.plans.settings import (
+    STATE_STORE,
+    applied,
+    apply_settings,
+    file_system,
+    require_utc,
 )
-KEY_FIELDS = (("order_id", "string"),)
-MARK_FIELDS = (("source", "string"),)
-LOGS = ("events", "state", "cells", "counts")
+from ordertide.streaming.landing import drain
 
+SALTS = 32
+CLOCKS = ("event_ts", "ingest_ts")
+# Clocks are microseconds in the state, so that no Python time zone touches them.
+STATE_FIELDS = tuple((n, "bigint" if n in CLOCKS else kind) for n, kind in ORDER_EVENT_FIELDS)
+BODY = tuple(name for name, _ in STATE_FIELDS if name != "event_id")
+CELL_SUMS = (*((name, "bigint") for name in (*marts.CELL_COUNTS, "strays")), ("amount", AMOUNT_TYPE))
 
-def same_key(names: Sequence[str]) -> Column:
-    """Equality of the aliases ``f`` and ``k`` on ``names``, NULL equal to NULL."""
-    return reduce(
-        Column.__and__, [F.col(f"f.{name}").eqNullSafe(F.col(f"k.{name}")) for name in names]
-    )
 
+def _ddl(*fields: tuple[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in fields)
 
-def semi_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``frame`` whose key, NULL included, occurs in ``keys``.
 
-    An equi-join: Spark broadcasts ``keys`` while they are below the broadcast threshold; beyond it
-    both sides shuffle, and adaptive execution splits hot keys.
-    """
-    return frame.alias("f").join(keys.alias("k"), same_key(on), "left_semi")
+EVENT_DDL = _ddl(*STATE_FIELDS)
+BODY_DDL = _ddl(*(field for field in STATE_FIELDS if field[0] in BODY))
 
 
-def anti_join(frame: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``frame`` whose key, NULL included, does not occur in ``keys``."""
-    return frame.alias("f").join(keys.alias("k"), same_key(on), "left_anti")
+def _rank(value) -> tuple:
+    """Orders values as Spark does: NULL first, NaN last."""
+    if value is None:
+        return (0,)
+    return (2,) if value != value else (1, value)
 
 
-class IncrementalMarts:
-    """The logs under one root and the tables read from them.
+def _ranks(row, names: Sequence[str]) -> tuple:
+    return tuple(_rank(row[name]) for name in names)
 
-    The logs are folded every ``snapshot_every`` batches (None: only by calling `snapshot`). A snapshot
-    rewrites the winning events and the order state, and scans start from it.
-    """
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        contract: OrderContract = DEFAULT_CONTRACT,
-        snapshot_every: int | None = SNAPSHOT_EVERY,
-    ) -> None:
-        self.spark = spark
-        self.root = str(root)
-        self.contract = contract
-        self.snapshot_every = snapshot_every
+class EventWinners(StatefulProcessor):
+    """Per event id the copy ingested last. Passes on the old and the new winner when it changes."""
 
-    # --- logs ---------------------------------------------------------------------------------
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.winner = handle.getValueState("winner", f"{BODY_DDL}, copies bigint")
 
-    def _path(self, log: str) -> str:
-        return f"{self.root}/incremental/{log}"
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names = resolve.EVENT_RECENCY
+        held = self.winner.get()
+        old = None if held is None else dict(zip((*BODY, "copies"), held, strict=True))
+        best, copies = old, old["copies"] if old else 0
+        for row in rows:
+            copies += row["copies"]
+            if best is None or _ranks(row, names) > _ranks(best, names):
+                best = row
+        self.winner.update((*(best[name] for name in BODY), copies))
+        if best is not old:
+            for sign, event in ((-1, old), (1, best)):
+                if event is not None:
+                    yield Row(sign=sign, event_id=key[0], **{name: event[name] for name in BODY})
 
-    def _write(self, frame: DataFrame, log: str, batch_id: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{self._path(log)}/batch_id={batch_id}")
 
-    def _read(self, log: str, fields: tuple, after: int, upto: int) -> DataFrame:
-        """Log rows of the batches ``after`` < id <= ``upto``.
+class LatestMember(StatefulProcessor):
+    """Per key the latest event among its members. Passes on the old and the new one when it changes.
 
-        Batches are consecutive, so their directories are named instead of listing the whole log.
-        """
-        stored = schema_of(*fields, ("batch_id", "long"))
-        path = self._path(log)
-        batches = [f"{path}/batch_id={batch_id}" for batch_id in range(after + 1, upto + 1)]
-        if not batches:
-            return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).option("basePath", path).parquet(*batches)
-
-    def _written(self, frame: DataFrame, log: str, fields: tuple, batch_id: int) -> DataFrame:
-        """Write one batch of a log and read it back: lineage is cut and Spark knows the size."""
-        self._write(frame, log, batch_id)
-        return self._read(log, fields, batch_id - 1, batch_id).drop("batch_id")
-
-    def _mark(self, log: str, batch_id: int, source: str = "") -> None:
-        mark = self.spark.range(0, 1, numPartitions=1).select(F.lit(source).alias("source"))
-        self._write(mark, log, batch_id)
-
-    def _remove(self, path: str) -> None:
-        target, files = file_system(self.spark, path)
-        files.delete(target, True)
-
-    def _remove_before(self, log: str, batch_id: int) -> None:
-        """Remove the directories of a log's batches before ``batch_id``."""
-        target, files = file_system(self.spark, self._path(log))
-        found = files.listStatus(target) if files.exists(target) else []
-        for name in [status.getPath().getName() for status in found]:
-            if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) < batch_id:
-                self._remove(f"{self._path(log)}/{name}")
-
-    def _last_mark(self, log: str, upto: int = sys.maxsize) -> int:
-        """The highest marked batch up to ``upto``, -1 if there is none."""
-        marks = read_parquet_if_exists(
-            self.spark, self._path(log), schema_of(*MARK_FIELDS, ("batch_id", "long"))
+    A change names its member. A removal only counts while the member still is what is to be removed, so
+    the removal and the replacement of one member may come in any order.
+    """
+
+    def __init__(self, name: str, keys: Sequence[str], member: tuple[str, str]):
+        self.name, self.keys, self.member = name, tuple(keys), member
+        self.events = tuple(field for field, _ in STATE_FIELDS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        member = _ddl(("member", self.member[1]))
+        self.members = handle.getMapState(f"{self.name}_members", member, EVENT_DDL)
+        self.latest = handle.getValueState(f"{self.name}_latest", f"{EVENT_DDL}, {member}")
+
+    def _event(self, values) -> dict:
+        return dict(zip(self.events, values, strict=False))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.latest.get()
+        old, holder = (None, None) if held is None else (self._event(held), held[len(self.events)])
+        best, member_of_best, touched = old, holder, False
+        for row in rows:
+            member, event = row[self.member[0]], {name: row[name] for name in self.events}
+            touched |= held is not None and member == holder
+            if row["sign"] > 0:
+                self.members.updateValue((member,), tuple(event.values()))
+                if best is None or self._recency(event) > self._recency(best):
+                    best, member_of_best = event, member
+            elif self.members.containsKey((member,)):
+                stored = self._event(self.members.getValue((member,)))
+                if _ranks(stored, self.events) == _ranks(event, self.events):
+                    self.members.removeKey((member,))
+        if touched and best is old:
+            best = None
+            for member, values in self.members.iterator():
+                event = self._event(values)
+                if best is None or self._recency(event) > self._recency(best):
+                    best, member_of_best = event, member[0]
+        if (old and _ranks(old, self.events)) == (best and _ranks(best, self.events)):
+            return
+        if best is None:
+            self.latest.clear()
+        else:
+            self.latest.update((*best.values(), member_of_best))
+        named = dict(zip(self.keys, key, strict=True))
+        for sign, event in ((-1, old), (1, best)):
+            if event is not None:
+                yield Row(sign=sign, **{**event, **named})
+
+    @staticmethod
+    def _recency(event: dict) -> tuple:
+        return _ranks(event, resolve.STATE_RECENCY)
+
+
+class CellSums(StatefulProcessor):
+    """Per cell the sums of all changes. Passes on the new sums; a cell without orders leaves the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("cell", _ddl(*CELL_SUMS))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names = [name for name, _ in CELL_SUMS]
+        sums = list(self.sums.get() or [0] * len(names))
+        with decimal.localcontext(prec=60):
+            for row in rows:
+                sums = [total + row[name] for total, name in zip(sums, names, strict=True)]
+            cell = dict(zip(names, sums, strict=True))
+            if cell["rows"]:
+                self.sums.update(tuple(sums))
+            else:
+                self.sums.clear()
+            yield Row(**dict(zip(marts.CELL_KEYS, key, strict=True)), **cell)
+
+
+def _folded_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: one row per event id of a batch, its latest copy, and how many copies there were."""
+    for batch in batches:
+        best: dict = {}
+        copies: dict = {}
+        for row in batch.to_pylist():
+            name = row["event_id"]
+            copies[name] = copies.get(name, 0) + 1
+            if name not in best or _ranks(row, resolve.EVENT_RECENCY) > _ranks(best[name], resolve.EVENT_RECENCY):
+                best[name] = row
+        kept = pa.RecordBatch.from_pylist(list(best.values()), schema=batch.schema)
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, pa.array(list(copies.values()), pa.int64())], [*batch.schema.names, "copies"]
         )
-        if marks is None:
-            return -1
-        last = marks.filter(F.col("batch_id") <= upto).agg(F.max("batch_id")).first()[0]
-        return -1 if last is None else last
 
-    def committed_batch(self) -> int:
-        """The last complete batch, -1 before the first."""
-        return self._last_mark("commits")
 
-    def _last_snapshot(self, upto: int) -> int:
-        return self._last_mark("snapshots/commits", upto)
+def _folded_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: the changes of a batch, summed per cell."""
+    names = [name for name, _ in CELL_SUMS]
+    for batch in batches:
+        summed = pa.Table.from_batches([batch]).group_by(list(marts.CELL_KEYS), use_threads=False)
+        sums = summed.aggregate([(name, "sum") for name in names])
+        yield from sums.rename_columns({f"{name}_sum": name for name in names}).select(
+            [*marts.CELL_KEYS, *names]
+        ).cast(batch.schema).to_batches()
 
-    def _versions(self, log: str, fields: tuple, base: int, upto: int) -> DataFrame:
-        """A log up to a batch: the snapshot of batch ``base`` and the batches after that."""
-        later = self._read(log, fields, base, upto)
-        if base < 0:
-            return later
-        return self._read(f"snapshots/{log}", fields, base - 1, base).unionByName(later)
 
-    def _latest(
-        self, versions: DataFrame, key: str, wanted: DataFrame, label: str, batch_id: int
-    ) -> DataFrame:
-        """The latest versions of the ``wanted`` keys.
+def _in_state(events: DataFrame) -> DataFrame:
+    return events.select(*(F.unix_micros(n).alias(n) if n in CLOCKS else F.col(n) for n in EVENT_COLUMNS))
 
-        The first scan reads the key column only. Its hits are written, so that Spark knows their
-        size: while they are small the second scan is filtered by a broadcast instead of shuffling
-        the log, and skips the directories of batches without a hit.
-        """
-        hits = semi_join(versions.select(key, "batch_id"), wanted, [key])
-        hits = hits.groupBy(key).agg(F.max("batch_id").alias("version"))
-        hits = self._written(hits, f"work/{label}", ((key, "string"), ("version", "long")), batch_id)
-        on = same_key([key]) & (F.col("f.batch_id") == F.col("k.version"))
-        return versions.alias("f").join(hits.alias("k"), on, "left_semi").drop("batch_id")
 
-    def snapshot(self) -> int:
-        """Fold the logs up to the last committed batch, to keep scans short.
+def _from_state(value: Column, names: Sequence[str]) -> list[Column]:
+    return [
+        (F.timestamp_micros(value[name]) if name in CLOCKS else value[name]).alias(name) for name in names
+    ]
 
-        Nothing is replaced: readers move to the snapshot once its mark is written, and those of the
-        snapshot before still find it.
-        """
-        upto = self.committed_batch()
-        base = self._last_snapshot(upto)
-        if upto == base:
-            return upto
-        events = self._versions("events", ORDER_EVENT_FIELDS, base, upto)
-        newest = resolve.latest_per_key(events, ["event_id"], [F.col("batch_id").desc()])
-        self._write(newest.drop("batch_id"), "snapshots/events", upto)
-        state = self.order_state().withColumn("present", F.lit(True))
-        self._write(state, "snapshots/state", upto)
-        self._write(self.sales_cells(), "snapshots/cells", upto)
-        counts = self._versions("counts", COUNT_FIELDS, base, upto)
-        summed = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name, _ in COUNT_FIELDS]
-        self._write(counts.agg(*summed), "snapshots/counts", upto)
-        self._mark("snapshots/commits", upto)
-        self._expire()
-        return upto
-
-    def _expire(self) -> None:
-        """Remove what no snapshot from the last ``KEPT_SNAPSHOTS`` on needs."""
-        marks = read_parquet_if_exists(
-            self.spark,
-            self._path("snapshots/commits"),
-            schema_of(*MARK_FIELDS, ("batch_id", "long")),
-        )
-        kept = marks.select("batch_id").orderBy(F.desc("batch_id")).limit(KEPT_SNAPSHOTS).collect()
-        oldest = min(row.batch_id for row in kept)
-        for log in (*LOGS, "commits"):
-            self._remove_before(log, oldest + (log != "commits"))
-        for log in (*LOGS, "commits"):
-            self._remove_before(f"snapshots/{log}", oldest)
 
-    # --- refresh ------------------------------------------------------------------------------
+class IncrementalMarts:
+    """The keyed state under one root and the tables read from it."""
 
-    def _source_of(self, batch_id: int) -> str | None:
-        marks = self._read("commits", MARK_FIELDS, batch_id - 1, batch_id)
-        return marks.first()["source"] if batch_id >= 0 else None
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        contract: OrderContract = DEFAULT_CONTRACT,
+        partitions: int | None = None,
+    ) -> None:
+        """``partitions`` of the state, fixed by the first start; the session's shuffle partitions if not given."""
+        self.spark = spark
+        self.root = str(root)
+        self.contract = contract
+        self.partitions = partitions
+        self.checkpoint = Layout(self.root).checkpoint("incremental_marts")
+        apply_settings(spark, STATE_STORE)  # readers of the state need them as well
 
-    def refresh(self, batch: DataFrame, batch_id: int, source: str = "") -> None:
-        """Take in one micro-batch of the stream ``source``; the function for ``foreachBatch``."""
-        committed = self.committed_batch()
-        if batch_id == committed and self._source_of(committed) == source:
-            return
-        if batch_id != committed + 1:
-            raise RuntimeError(
-                f"Batch {batch_id} does not follow {committed}, the last one in {self.root}:"
-                " a checkpoint and a root belong together, start both anew"
-            )
-        base = self._last_snapshot(batch_id - 1)
-        arrived = resolve.dedup_latest_event(
-            occurrences := self._written(
-                batch.select(*EVENT_COLUMNS), "work/occurrences", ORDER_EVENT_FIELDS, batch_id
-            )
-        )
-        events = self._versions("events", ORDER_EVENT_FIELDS, base, batch_id - 1)
-        known = self._latest(
-            events, "event_id", arrived.select("event_id"), "known_events", batch_id
-        ).persist()
-        changed = self._written(
-            self._new_winners(known, arrived), "events", ORDER_EVENT_FIELDS, batch_id
-        )
-        lost = self._written(
-            semi_join(known, changed, ["event_id"]).select("order_id").distinct(),
-            "work/lost_orders",
-            KEY_FIELDS,
-            batch_id,
+    # --- refresh ------------------------------------------------------------------------------
+
+    def changed_cells(self, events: DataFrame) -> DataFrame:
+        """The stateful plan: a stream of order events to the new sums of every cell that changed."""
+        folded = _in_state(events).mapInArrow(_folded_copies, f"{EVENT_DDL}, copies bigint")
+        signed = f"sign int, {EVENT_DDL}"
+        winners = folded.groupBy("event_id").transformWithState(EventWinners(), signed, "Append", "None")
+        accepted = quality.accepted_events(quality.classify_events(winners, self.contract))
+        salt = F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt")
+        part = LatestMember("part", ("order_id", "salt"), ("event_id", "string"))
+        parts = (
+            accepted.select("*", salt)
+            .groupBy("order_id", "salt")
+            .transformWithState(part, f"{signed}, salt int", "Append", "None")
         )
-        fresh = anti_join(arrived.select("event_id"), known, ["event_id"])
-        counts = reconcile.one_row(
-            reconcile.row_count(occurrences, "occurrences"), reconcile.row_count(fresh, "fresh")
+        order = LatestMember("order", ("order_id",), ("salt", "int"))
+        orders = parts.groupBy("order_id").transformWithState(order, signed, "Append", "None")
+        changes = self._signed_cells(orders).mapInArrow(
+            _folded_cells, f"sales_hour bigint, province string, category string, {_ddl(*CELL_SUMS)}"
         )
-        self._write(counts, "counts", batch_id)
-        known.unpersist()
-
-        gained = self._accepted(changed)
-        touched = gained.select("order_id").unionByName(lost).distinct()
-        states = self._versions("state", STATE_FIELDS, base, batch_id - 1)
-        before = self._latest(states, "order_id", touched, "known_orders", batch_id)
-        before = before.filter("present").drop("present").persist()
-        unharmed = anti_join(before, lost, ["order_id"]).select(*EVENT_COLUMNS)
-        candidates = unharmed.unionByName(gained)
-        if not lost.isEmpty():
-            events = self._versions("events", ORDER_EVENT_FIELDS, base, batch_id)
-            theirs = self._events_of(lost, events, batch_id)
-            candidates = candidates.unionByName(self._accepted(theirs))
-        after = resolve.current_order_state(candidates)
-        state = self._written(
-            self._state_changes(before, after), "state", STATE_FIELDS, batch_id
+        return changes.groupBy(*marts.CELL_KEYS).transformWithState(
+            CellSums(),
+            f"sales_hour bigint, province string, category string, {_ddl(*CELL_SUMS)}",
+            "Append",
+            "None",
         )
-        now = state.filter("present")
-        self._write(self._cell_changes(before, now), "cells", batch_id)
-        before.unpersist()
-        self._mark("commits", batch_id, source)
-        self._remove(self._path("work"))
-        if self.snapshot_every and (batch_id + 1) % self.snapshot_every == 0:
-            self.snapshot()
-
-    def _accepted(self, events: DataFrame) -> DataFrame:
-        return quality.accepted_events(quality.classify_events(events, self.contract))
 
     @staticmethod
-    def _new_winners(known: DataFrame, arrived: DataFrame) -> DataFrame:
-        """Arrived copies that beat the known winner. An exact copy of it does not."""
-        both = known.withColumn("new", F.lit(False)).unionByName(
-            arrived.withColumn("new", F.lit(True))
-        )
-        recency = [F.col(name).desc() for name in resolve.EVENT_RECENCY]
-        winners = resolve.latest_per_key(both, ["event_id"], [*recency, F.col("new").asc()])
-        return winners.filter("new").drop("new")
-
-    def _events_of(self, orders: DataFrame, versions: DataFrame, batch_id: int) -> DataFrame:
-        """Winning events that belong to ``orders`` now. Any version may have named them."""
-        named = self._written(
-            semi_join(versions.select("event_id", "order_id"), orders, ["order_id"])
-            .select("event_id")
-            .distinct(),
-            "work/named_events",
-            (("event_id", "string"),),
-            batch_id,
+    def _signed_cells(orders: DataFrame) -> DataFrame:
+        """What each changed order state adds to its cell or takes from it."""
+        dated = orders.withColumn("event_ts", F.timestamp_micros("event_ts"))
+        cells = marts.order_cells(resolve.active_orders(dated), "sign")
+        # Doubles outside the decimal range cannot be subtracted again: they are counted, and readers
+        # rebuild the cells that hold any.
+        strays = F.col("stray").isNotNull().cast("long").alias("strays")
+        sums = cells.select("sign", *marts.CELL_KEYS, *marts.CELL_COUNTS, strays, "amount")
+        return sums.select(
+            F.unix_micros("sales_hour").alias("sales_hour"),
+            "province",
+            "category",
+            *(
+                (F.coalesce(name, F.lit(0)) * F.col("sign")).cast(kind).alias(name)
+                for name, kind in CELL_SUMS
+            ),
         )
-        current = self._latest(versions, "event_id", named, "events_of_lost", batch_id)
-        return semi_join(current, orders, ["order_id"])
 
-    @staticmethod
-    def _state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-        """New state rows, and the old row marked as removed where an order has no state any more."""
-        both = before.withColumn("present", F.lit(False)).unionByName(
-            after.withColumn("present", F.lit(True))
-        )
-        return resolve.latest_per_key(both, ["order_id"], [F.col("present").desc()])
+    def start(
+        self,
+        events: DataFrame,
+        trigger: dict | None = None,
+        on_change: Callable[[DataFrame, int], None] | None = None,
+    ) -> StreamingQuery:
+        """Follow a stream of order events.
+
+        ``on_change`` gets the changed cells of every micro-batch and its id, like a ``foreachBatch`` function; if it
+        raises, the batch is not committed and is computed again after a restart. ``trigger`` holds the arguments of
+        ``DataStreamWriter.trigger``.
+        """
+        require_utc(events.sparkSession)
+        writer = self.changed_cells(events).writeStream.option("checkpointLocation", self.checkpoint)
+        writer = writer.outputMode("append").queryName(f"incremental marts of {self.root}")
+        if on_change is None:
+            writer = writer.format("noop")
+        else:
+            hours = F.timestamp_micros("sales_hour")
+            writer = writer.foreachBatch(lambda cells, i: on_change(cells.withColumn("sales_hour", hours), i))
+        sizes = {} if self.partitions is None else {"spark.sql.shuffle.partitions": str(self.partitions)}
+        with applied(self.spark, sizes):  # the query keeps the settings it is started with
+            return (writer.trigger(**trigger) if trigger else writer).start()
+
+    def refresh(
+        self, events: DataFrame, on_change: Callable[[DataFrame, int], None] | None = None
+    ) -> dict[str, int | None]:
+        """Take in all that the stream has to offer now, then stop; batch id and input rows."""
+        return drain(self.start(events, {"availableNow": True}, on_change))
 
-    @staticmethod
-    def _cell_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-        def cells(state: DataFrame) -> DataFrame:
-            return marts.order_cells(resolve.active_orders(state))
+    # --- tables -------------------------------------------------------------------------------
 
-        # A stray amount is only a mark here: readers rebuild the cells that carry one.
-        negated = {name: -F.col(name) for name in (*marts.CELL_COUNTS, "amount")}
-        changes = cells(after).unionByName(cells(before).withColumns(negated))
-        return marts.sum_cells(changes, *marts.CELL_KEYS)
+    def committed_batch(self) -> int:
+        """The last batch whose state is committed, -1 before the first."""
+        target, files = file_system(self.spark, f"{self.checkpoint}/commits")
+        found = files.listStatus(target) if files.exists(target) else []
+        names = [status.getPath().getName() for status in found]
+        return max((int(name) for name in names if name.isdigit()), default=-1)
+
+    def _state(self, variable: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
+        """(key, value) of a state variable as of the last committed batch; ``fields`` are those of both."""
+        if self.committed_batch() < 0:
+            return self.spark.createDataFrame([], _ddl(*fields)).select(
+                F.struct("*").alias("key"), F.struct("*").alias("value")
+            )
+        operators = self.spark.read.format("state-metadata").load(self.checkpoint)
+        named = F.get_json_object("operatorProperties", "$.stateVariables[*].stateName")
+        operator = operators.filter(named.contains(f'"{variable}"') | (named == variable)).first()
+        reader = self.spark.read.format("statestore").option("operatorId", operator["operatorId"])
+        return reader.option("stateVarName", variable).load(self.checkpoint)
+
+    def winning_events(self) -> DataFrame:
+        """The winning copy of every event, with its rejection reason and the copies it stands for."""
+        state = self._state("winner", (*STATE_FIELDS, (resolve.COPIES, "bigint")))
+        events = state.select(
+            F.col("key.event_id").alias("event_id"),
+            *_from_state(F.col("value"), BODY),
+            F.col(f"value.{resolve.COPIES}").alias(resolve.COPIES),
+        ).select(*EVENT_COLUMNS, resolve.COPIES)
+        return quality.classify_events(events, self.contract)
 
-    # --- tables -------------------------------------------------------------------------------
+    def classified_events(self) -> DataFrame:
+        return self.winning_events().drop(resolve.COPIES)
+
+    def rejected_events(self) -> DataFrame:
+        return quality.rejected_events(self.classified_events())
 
     def order_state(self) -> DataFrame:
         """Current order state as of the last committed batch."""
-        upto = self.committed_batch()
-        versions = self._versions("state", STATE_FIELDS, self._last_snapshot(upto), upto)
-        latest = resolve.latest_per_key(versions, ["order_id"], [F.col("batch_id").desc()])
-        return latest.filter("present").drop("present", "batch_id")
+        state = self._state("order_latest", STATE_FIELDS)
+        return resolve.priced_orders(state.select(*_from_state(F.col("value"), EVENT_COLUMNS)))
 
     def sales_cells(self) -> DataFrame:
         """Sales cells as of the last committed batch."""
-        upto = self.committed_batch()
-        changes = self._versions("cells", CELL_FIELDS, self._last_snapshot(upto), upto)
-        summed = marts.sum_cells(changes.drop("batch_id"), *marts.CELL_KEYS).filter("rows > 0")
-        marked = summed.filter("stray IS NOT NULL").select(*marts.CELL_KEYS)
+        state = self._state("cell", (*STATE_FIELDS, *CELL_SUMS, ("sales_hour", "bigint")))
+        hour = F.timestamp_micros("key.sales_hour").alias("sales_hour")
+        stray = F.lit(None).cast("double").alias("stray")
+        sums = [F.col(f"value.{name}").alias(name) for name in (*marts.CELL_COUNTS, "amount")]
+        cells = state.select(hour, "key.province", "key.category", *sums, stray, "value.strays")
+        marked = cells.filter("strays > 0").select(*marts.CELL_KEYS)
         if marked.isEmpty():
-            return summed
-        # Doubles outside the decimal range cannot be subtracted again, so those cells are rebuilt.
-        orders = marts.order_cells(resolve.active_orders(self.order_state()))
-        rebuilt = marts.sum_cells(semi_join(orders, marked, marts.CELL_KEYS), *marts.CELL_KEYS)
-        return summed.filter("stray IS NULL").unionByName(rebuilt)
-
-    def classified_events(self) -> DataFrame:
-        """The winning copy of every event as of the last committed batch, with its rejection reason."""
-        upto = self.committed_batch()
-        versions = self._versions("events", ORDER_EVENT_FIELDS, self._last_snapshot(upto), upto)
-        latest = resolve.latest_per_key(versions, ["event_id"], [F.col("batch_id").desc()])
-        return quality.classify_events(latest.drop("batch_id"), self.contract)
-
-    def rejected_events(self) -> DataFrame:
-        return quality.rejected_events(self.classified_events())
+            return cells.drop("strays")
+        orders = marts.order_cells(resolve.active_orders(self.order_state())).alias("o")
+        same = [F.col(f"o.{name}").eqNullSafe(F.col(f"m.{name}")) for name in marts.CELL_KEYS]
+        rebuilt = marts.sum_cells(orders.join(marked.alias("m"), same, "left_semi"), *marts.CELL_KEYS)
+        return cells.filter("strays = 0").drop("strays").unionByName(rebuilt)
 
     def occurrence_counts(self) -> DataFrame:
         """One row: all occurrences taken in, and those beyond the first of an event id."""
-        upto = self.committed_batch()
-        counts = self._versions("counts", COUNT_FIELDS, self._last_snapshot(upto), upto)
-        taken, fresh = (F.coalesce(F.sum(name), F.lit(0)) for name, _ in COUNT_FIELDS)
-        return counts.agg(taken.alias("bronze"), (taken - fresh).alias("surplus_copies"))
+        copies = F.col(resolve.COPIES)
+        return self.winning_events().agg(
+            F.coalesce(F.sum(copies), F.lit(0)).alias("bronze"),
+            F.coalesce(F.sum(copies - 1), F.lit(0)).alias("surplus_copies"),
+        )
+
+    def daily_sales(self) -> DataFrame:
+        return marts.daily_sales(self.sales_cells())
+
+    def province_sales(self) -> DataFrame:
+        return marts.province_sales(self.sales_cells())
+
+    def sales_velocity(self) -> DataFrame:
+        return marts.sales_velocity(self.sales_cells())
+
+    def sales_forecast(
+        self, horizon: int = FORECAST_HORIZON, by: Sequence[str] = ()
+    ) -> DataFrame:
+        """Fitted anew on every read: the daily mart is small."""
+        return fc.sales_forecast(self.daily_sales(), horizon, by)
+
+    # --- publication --------------------------------------------------------------------------
 
     def publish(
         self,
         root: str,
         *,
+        arrived: int | None = None,
         horizon: int = FORECAST_HORIZON,
         export_dir: str | None = None,
         stream: dict | None = None,
     ) -> dict:
         """Publish the last committed batch under ``root`` like a full curation; its report.
 
-        Nothing is resolved again: winners, order state and cells are those of the logs.
+        Nothing is resolved again: winners, order state and cells are those of the state. ``arrived``, the rows
+        that the stream read in all (see `ordertide.streaming.progress`), is held against the copies counted in the
+        state by the gate on occurrences. A crash before the end publishes nothing and leaves the state as it was;
+        publish again.
         """
         layout = Layout(str(root))
+        occurrences = self.occurrence_counts()
+        if arrived is not None:
+            occurrences = occurrences.withColumn("bronze", F.lit(arrived).cast("long"))
         run_id, report = curate.write_run(
             self.spark,
             layout,
-            self.classified_events().withColumn(resolve.COPIES, F.lit(1).cast("long")),
+            self.winning_events(),
             horizon,
             partial(curate.quality_report, stream=stream),
-            occurrences=self.occurrence_counts(),
+            occurrences=occurrences,
             state=self.order_state(),
             cells=self.sales_cells(),
         )
         curate.release(self.spark, layout, run_id, report, export_dir)
         return report
-
-    def daily_sales(self) -> DataFrame:
-        return marts.daily_sales(self.sales_cells())
-
-    def province_sales(self) -> DataFrame:
-        return marts.province_sales(self.sales_cells())
-
-    def sales_velocity(self) -> DataFrame:
-        return marts.sales_velocity(self.sales_cells())
-
-    def sales_forecast(
-        self, horizon: int = FORECAST_HORIZON, by: Sequence[str] = ()
-    ) -> DataFrame:
-        """Fitted anew on every read: the daily mart is small."""
-        return fc.sales_forecast(self.daily_sales(), horizon, by)
-
-
-def start_incremental(
-    events: DataFrame, target: IncrementalMarts, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Refresh ``target`` with every micro-batch of a stream of order events."""
-    require_utc(events.sparkSession)
-    writer = (
-        events.writeStream.foreachBatch(lambda batch, i: target.refresh(batch, i, str(checkpoint)))
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ordertide.contract import DEFAULT_TOPIC
+from ordertide.contract import DEFAULT_TOPIC, EVENT_COLUMNS
 from ordertide.plans.layout import Layout
-from ordertide.plans.settings import require_utc
+from ordertide.plans.settings import STATE_STORE, apply_settings, require_utc
 from ordertide.sources.files import (
     FILE_BRONZE_SCHEMA,
+    RAW,
     read_parquet_if_exists,
     stream_event_files,
 )
 from ordertide.sources.kafka import records_to_bronze, stream_records
+from ordertide.streaming.progress import recorded_progress
 
 POLL_SECONDS = 1
 FILES_PER_DATE = 8
@@ -31,6 +33,21 @@ def gather_dates(events: DataFrame, files_per_date: int | None) -> DataFrame:
     return events.repartition("event_date", salt)
 
 
+def drop_replays(events: DataFrame, within: str) -> DataFrame:
+    """Drop exact copies of events that arrived up to ``within`` before.
+
+    Time is that of arrival, so no row is ever late: what came longer ago is forgotten, and its copy lands once
+    more. A copy that differs in any field is another row; which one counts is decided in silver, as without this.
+    """
+    apply_settings(events.sparkSession, STATE_STORE)
+    arrived = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return arrived.dropDuplicatesWithinWatermark([*EVENT_COLUMNS, RAW]).drop("_arrived")
+
+
+def landing_name(path: str) -> str:
+    return f"landing to {path}"
+
+
 def start_bronze_append(
     events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -45,6 +62,7 @@ def start_bronze_append(
         events.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
+        .queryName(landing_name(path))
         .partitionBy("event_date")
         .outputMode("append")
     )
@@ -81,23 +99,31 @@ def land_file_stream(
     max_files_per_trigger: int | None = None,
     files_per_date: int | None = FILES_PER_DATE,
     count_bronze: bool = False,
+    replays_within: str | None = None,
+    archive: str | None = None,
+    metrics: str | None = None,
 ) -> dict[str, int | None]:
     """Land every file not seen before exactly once, then stop.
 
     ``files_per_date`` bounds the files a micro-batch writes per date, at the price of a shuffle;
     None saves it where input files hold few dates. ``rows_landed`` is what the stream read;
     ``count_bronze`` counts the bronze rows before and after, which opens all footers.
+    ``replays_within`` drops exact copies that arrive so soon after the first (see `drop_replays`); a checkpoint
+    keeps the choice it was started with. ``archive`` is where landed files go, ``metrics`` a table of all batches.
     """
     layout = Layout(str(root))
     before = bronze_rows(spark, layout.file_bronze) if count_bronze else None
-    events = stream_event_files(spark, str(incoming), max_files_per_trigger)
-    query = start_bronze_append(
-        gather_dates(events, files_per_date),
-        layout.file_bronze,
-        layout.checkpoint("file_orders_to_bronze"),
-        {"availableNow": True},
-    )
-    progress = drain(query)
+    events = stream_event_files(spark, str(incoming), max_files_per_trigger, archive)
+    if replays_within is not None:
+        events = drop_replays(events, replays_within)
+    with recorded_progress(spark, metrics, [landing_name(layout.file_bronze)]):
+        query = start_bronze_append(
+            gather_dates(events, files_per_date),
+            layout.file_bronze,
+            layout.checkpoint("file_orders_to_bronze"),
+            {"availableNow": True},
+        )
+        progress = drain(query)
     after = bronze_rows(spark, layout.file_bronze) if count_bronze else None
     return {
         "rows_before": before,
@@ -115,15 +141,36 @@ def stream_from_kafka(
     topic: str = DEFAULT_TOPIC,
     trigger: dict | None = None,
     files_per_date: int | None = FILES_PER_DATE,
+    replays_within: str | None = None,
+    metrics: str | None = None,
     **options: str,
 ) -> None:
-    """Land a topic until stopped (or until drained, with an availableNow trigger)."""
+    """Land a topic until stopped (or until drained, with an availableNow trigger).
+
+    Every batch is recorded in the table ``metrics`` while the stream runs.
+    """
+    records = records_to_bronze(stream_records(spark, bootstrap, topic, **options))
+    follow_records(spark, records, root, trigger, files_per_date, replays_within, metrics)
+
+
+def follow_records(
+    spark: SparkSession,
+    records: DataFrame,
+    root: str,
+    trigger: dict | None = None,
+    files_per_date: int | None = FILES_PER_DATE,
+    replays_within: str | None = None,
+    metrics: str | None = None,
+) -> None:
+    """Append decoded records (see `records_to_bronze`) to the topic's bronze until the stream ends."""
     layout = Layout(str(root))
-    records = stream_records(spark, bootstrap, topic, **options)
-    query = start_bronze_append(
-        gather_dates(records_to_bronze(records), files_per_date),
-        layout.kafka_bronze,
-        layout.checkpoint("kafka_orders_to_bronze"),
-        trigger,
-    )
-    query.awaitTermination()
+    if replays_within is not None:
+        records = drop_replays(records, replays_within)
+    with recorded_progress(spark, metrics, [landing_name(layout.kafka_bronze)]):
+        query = start_bronze_append(
+            gather_dates(records, files_per_date),
+            layout.kafka_bronze,
+            layout.checkpoint("kafka_orders_to_bronze"),
+            trigger,
+        )
+        query.awaitTermination()

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 from events import as_dicts, event, frame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ordertide.contract import DEFAULT_CONTRACT
@@ -137,7 +138,7 @@ def test_rejected_latest_event_leaves_the_older_accepted_one(spark):
 
 def test_null_event_type_is_neither_active_nor_cancelled(spark):
     current = state(spark, [event("e1", event_type=None), event("e2", order_id="O2")])
-    assert as_dicts(reconcile.state_counts(current)) == [
+    assert as_dicts(current.agg(*reconcile.state_columns())) == [
         {"current": 2, "active": 1, "cancelled": 0}
     ]
 
@@ -271,8 +272,22 @@ def test_top_provinces_with_ties_and_nulls(spark):
         want = every.filter(F.col("revenue_rank") <= top)
         assert sorted(map(repr, best.collect())) == sorted(map(repr, want.collect()))
     assert measures.ranked_provinces(mart.limit(0), top=3).count() == 0
-    with pytest.raises(ValueError, match="top"):
-        measures.ranked_provinces(mart, max_rows=60)
+    window = F.rank().over(Window.orderBy(F.desc("revenue_vnd")))
+    expected = mart.withColumn("revenue_rank", window)
+    assert sorted(map(repr, every.collect())) == sorted(map(repr, expected.collect()))
+    assert measures.ranked_provinces(mart.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_ranks_of_many_values_are_exact(spark, parts):
+    """A third of all rows share one value, which is one row before anything is sorted."""
+    mart = spark.range(120_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5.5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(50_000)) / 7).alias("v")
+    )
+    ranks = measures.value_ranks(mart, "v", parts).toPandas().sort_values("value", ascending=False)
+    counts = mart.groupBy("v").count().toPandas().sort_values("v", ascending=False)
+    assert (ranks["value"].to_numpy() == counts["v"].to_numpy()).all()
+    assert (ranks["rank"].to_numpy() == counts["count"].cumsum().to_numpy() - counts["count"].to_numpy() + 1).all()
 
 
 @pytest.mark.parametrize(

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from events import as_dicts, event, frame, write_jsonl
 from pyspark.errors import AnalysisException
@@ -17,7 +18,8 @@ from ordertide.sinks.files import write_event_files
 from ordertide.sinks.kafka import publish_events
 from ordertide.sources.files import read_bronze, read_event_files, stream_event_files
 from ordertide.sources.kafka import records_to_bronze
-from ordertide.streaming.incremental import IncrementalMarts, start_incremental
+from ordertide.streaming import incremental
+from ordertide.streaming.incremental import IncrementalMarts
 from ordertide.streaming.landing import (
     bronze_rows,
     drain,
@@ -247,111 +249,142 @@ def assert_matches_recompute(target, events):
     assert rows_of(target.sales_velocity()) == rows_of(marts.sales_velocity(cells))
 
 
+def follow(spark, target, incoming, rows, name, on_change=None):
+    """Write ``rows`` as one more file and let the marts take in what is new."""
+    write_jsonl(incoming / f"{name}.jsonl", rows)
+    stream = stream_event_files(spark, str(incoming), max_files_per_trigger=1)
+    return target.refresh(stream, on_change)
+
+
 def test_incremental_marts_equal_the_full_recompute(spark, tmp_path):
     rows = list(random_events(seed=1))
-    target = IncrementalMarts(spark, tmp_path / "inc", snapshot_every=2)
+    target, incoming = IncrementalMarts(spark, tmp_path / "inc", partitions=2), tmp_path / "in"
     for i, start in enumerate(range(0, len(rows), 100)):
-        target.refresh(frame(spark, rows[start : start + 100]), i)
-        if i == 1:
-            assert target.snapshot() == 1, "already folded"
+        assert follow(spark, target, incoming, rows[start : start + 100], i)["input_rows"] == 100
+        assert target.committed_batch() == i
         if i in (0, 1, 3):
             assert_matches_recompute(target, frame(spark, rows[: start + 100]))
-    # Replaying the last batch, as after a failure, changes nothing.
-    target.refresh(frame(spark, rows[300:]), 3)
+    # Every event again: nothing changes but the number of copies.
+    changed = []
+    follow(spark, target, incoming, rows, "again", lambda cells, i: changed.extend(cells.collect()))
+    assert not changed
     assert_matches_recompute(target, frame(spark, rows))
 
 
-def test_readers_ignore_a_batch_that_did_not_commit(spark, tmp_path):
-    target = IncrementalMarts(spark, tmp_path / "inc")
-    target.refresh(frame(spark, [event("e1")]), 0)
-    before = rows_of(target.daily_sales())
-    target._write(batch_tables(frame(spark, [event("e2", order_id="O2")]))[1], "cells", 1)
-    assert rows_of(target.daily_sales()) == before
-
-
-def test_a_new_checkpoint_cannot_overwrite_the_logs_of_another(spark, tmp_path):
-    target = IncrementalMarts(spark, tmp_path / "inc")
-    for batch_id in (0, 1):
-        target.refresh(frame(spark, [event(f"e{batch_id}")]), batch_id)
-    for batch_id in (0, 3):
-        with pytest.raises(RuntimeError, match="belong together"):
-            target.refresh(frame(spark, [event("e2")]), batch_id)
-
-
 def test_empty_incremental_tables(spark, tmp_path):
-    target = IncrementalMarts(spark, tmp_path / "inc")
+    target = IncrementalMarts(spark, tmp_path / "inc", partitions=2)
     assert target.committed_batch() == -1
     assert target.order_state().isEmpty() and target.daily_sales().isEmpty()
+    assert target.rejected_events().isEmpty() and tuple(target.occurrence_counts().first()) == (0, 0)
 
 
 def test_incremental_marts_follow_a_stream(spark, tmp_path):
     incoming = tmp_path / "incoming"
     for day, rows in history():
         day_file(incoming, day, rows)
-    target = IncrementalMarts(spark, tmp_path / "inc")
+    target = IncrementalMarts(spark, tmp_path / "inc", partitions=2)
     for _ in range(2):
-        stream = stream_event_files(spark, str(incoming), max_files_per_trigger=3)
-        checkpoint = str(tmp_path / "checkpoint")
-        drain(start_incremental(stream, target, checkpoint, {"availableNow": True}))
+        target.refresh(stream_event_files(spark, str(incoming), max_files_per_trigger=3))
         assert target.committed_batch() == 2
         assert_matches_recompute(target, read_event_files(spark, str(incoming)))
 
 
-def test_committed_batches_are_not_computed_again(spark, tmp_path):
-    target = IncrementalMarts(spark, tmp_path / "inc")
-    target.refresh(frame(spark, [event("e1")]), 0, "a")
-    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "inc").glob("**/*.parquet")}
-    target.refresh(frame(spark, [event("e1")]), 0, "a")
-    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "inc").glob("**/*.parquet")} == files
-    with pytest.raises(RuntimeError, match="belong together"):
-        target.refresh(frame(spark, [event("e9")]), 0, "another checkpoint")
+def test_an_order_leaves_its_old_cell_and_may_lose_its_last_event(spark, tmp_path):
+    target, incoming = IncrementalMarts(spark, tmp_path / "inc", partitions=2), tmp_path / "in"
+    first = [event("e1", province="Ha Noi"), event("e2", order_id="O2")]
+    follow(spark, target, incoming, first, "a")
+    # e1 moves to another province, a later copy of e2 names another order.
+    later = {"ingest_ts": "2025-02-01T00:00:00+00:00"}
+    moved = [event("e1", province="Da Nang", **later), event("e2", order_id="O3", **later)]
+    changed = []
+    follow(spark, target, incoming, moved, "b", lambda cells, i: changed.extend(cells.collect()))
+    assert {r.province for r in target.province_sales().collect()} == {"Ha Noi", "Da Nang"}
+    assert {r.order_id for r in target.order_state().collect()} == {"O1", "O3"}
+    assert_matches_recompute(target, frame(spark, first + moved))
+    gone = [r for r in changed if r["rows"] == 0]
+    assert all(r.amount == 0 for r in gone) and len(changed) >= 1
+    # The copy of e1 that now wins is bad: its order is gone, and so is its cell.
+    bad = [event("e1", quantity=0, ingest_ts="2025-03-01T00:00:00+00:00")]
+    follow(spark, target, incoming, bad, "c")
+    assert {r.order_id for r in target.order_state().collect()} == {"O3"}
+    assert_matches_recompute(target, frame(spark, first + moved + bad))
+
+
+def test_a_batch_that_failed_is_computed_again(spark, tmp_path):
+    """A crash after the state was written and before the batch was committed."""
+    rows = list(random_events(seed=2))
+    target, incoming = IncrementalMarts(spark, tmp_path / "inc", partitions=2), tmp_path / "in"
+    follow(spark, target, incoming, rows[:200], "a")
+    before = rows_of(target.daily_sales())
 
+    def crash(cells, batch_id):
+        assert cells.count() > 0  # all state of the batch is written by now
+        raise RuntimeError("crash")
 
-def test_logs_are_folded_and_what_is_folded_goes(spark, tmp_path):
-    rows = list(random_events(seed=2))
-    target = IncrementalMarts(spark, tmp_path / "inc", snapshot_every=2)
-    for i in range(8):
-        target.refresh(frame(spark, rows[i * 40 : i * 40 + 40]), i)
-    logs = tmp_path / "inc" / "incremental"
-    assert not (logs / "work").exists()
-    for log in ("events", "state", "cells", "counts", "commits"):
-        assert len(list((logs / log).glob("batch_id=*"))) <= 3, log
-        assert len(list((logs / "snapshots" / log).glob("batch_id=*"))) == 2, log
-    assert target.committed_batch() == 7
-    assert_matches_recompute(target, frame(spark, rows[:320]))
+    with pytest.raises(Exception, match="crash"):
+        follow(spark, target, incoming, rows[200:], "b", crash)
+    assert target.committed_batch() == 0 and rows_of(target.daily_sales()) == before
+    target.refresh(stream_event_files(spark, str(incoming), max_files_per_trigger=1))
+    assert target.committed_batch() == 1
+    assert_matches_recompute(target, frame(spark, rows))
+    assert target.occurrence_counts().first()["bronze"] == len(rows)
+
+
+def test_a_hot_order_and_a_hot_event_spread(spark, tmp_path):
+    """A third of all events in one order, and a third of all occurrences copies of one event."""
+    rows = [event(f"e{i}", order_id="hot" if i % 2 else f"O{i}", event_ts=f"2025-01-01T{i % 24:02d}:00:00+00:00") for i in range(300)]
+    rows += [event("e1", order_id="hot", ingest_ts=f"2025-01-07T00:00:{i % 60:02d}+00:00") for i in range(150)]
+    target = IncrementalMarts(spark, tmp_path / "inc", partitions=2)
+    follow(spark, target, tmp_path / "in", rows, "a")
+    assert_matches_recompute(target, frame(spark, rows))
+    parts = target._state("part_latest", ()).filter("key.order_id = 'hot'")
+    assert parts.count() == incremental.SALTS
+    batch = pa.RecordBatch.from_pylist(incremental._in_state(frame(spark, rows)).toArrow().to_pylist())
+    folded = next(incremental._folded_copies(iter([batch])))
+    assert folded.num_rows == 300 and max(folded.column("copies").to_pylist()) == 151
 
 
 def test_incremental_rejects_and_counts_equal_the_full_run(spark, tmp_path):
     rows = list(random_events(seed=3))
-    target = IncrementalMarts(spark, tmp_path / "inc", snapshot_every=3)
-    for i, start in enumerate(range(0, len(rows), 100)):
-        target.refresh(frame(spark, rows[start : start + 100]), i)
+    target = IncrementalMarts(spark, tmp_path / "inc", partitions=2)
+    for i, start in enumerate(range(0, len(rows), 200)):
+        follow(spark, target, tmp_path / "in", rows[start : start + 200], i)
     events = frame(spark, rows)
     classified = quality.classify_events(resolve.dedup_counting_copies(events))
+    assert rows_of(target.winning_events()) == rows_of(classified)
     expected = quality.rejected_events(classified.drop("copies"))
     assert rows_of(target.rejected_events()) == rows_of(expected)
     surplus = classified.selectExpr("sum(copies - 1)").first()[0]
     assert tuple(target.occurrence_counts().first()) == (len(rows), surplus)
 
 
-def test_publication_from_the_logs(spark, tmp_path):
-    target = IncrementalMarts(spark, tmp_path / "inc")
-    target.refresh(frame(spark, [event("e1"), event("e1"), event("e2", order_id="O2", quantity=0)]), 0)
-    report = target.publish(tmp_path / "data")
+def test_publication_from_the_state(spark, tmp_path, monkeypatch):
+    target, incoming, data = IncrementalMarts(spark, tmp_path / "inc", partitions=2), tmp_path / "in", tmp_path / "data"
+    follow(spark, target, incoming, [event("e1"), event("e1"), event("e2", order_id="O2", quantity=0)], "a")
+    report = target.publish(data, arrived=3)
     assert all(report["assertions"].values())
     assert report["events"] == {
         "bronze": 3, "deduplicated": 2, "duplicates": 1, "accepted": 1, "quarantined": 1,
     }
-    target.refresh(frame(spark, [event("e3", order_id="O3")]), 1)
-    first = latest_run(spark, tmp_path / "data")
-    target.publish(tmp_path / "data")
-    assert latest_run(spark, tmp_path / "data") != first
-    assert open_table(spark, tmp_path / "data", "daily_sales").first()["orders"] == 2
-    assert open_table(spark, tmp_path / "data", "order_events_rejected").count() == 1
-    # A winner that is lost from the log fails the occurrence gate and is not published.
-    lost = target.classified_events
-    target.classified_events = lambda: lost().filter("event_id <> 'e3'")
-    published = latest_run(spark, tmp_path / "data")
+    follow(spark, target, incoming, [event("e3", order_id="O3")], "b")
+    first = latest_run(spark, data)
+
+    # A crash between the commit of the state and the publication: readers stay where they were.
+    def crash(*args, **options):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as broken:
+        broken.setattr("ordertide.plans.curate.export_tables", crash)
+        with pytest.raises(RuntimeError, match="crash"):
+            target.publish(data)
+    assert latest_run(spark, data) == first
+    # A new process finds the committed state and publishes it.
+    IncrementalMarts(spark, tmp_path / "inc", partitions=2).publish(data, arrived=4)
+    assert latest_run(spark, data) != first
+    assert open_table(spark, data, "daily_sales").first()["orders"] == 2
+    assert open_table(spark, data, "order_events_rejected").count() == 1
+    # An occurrence that the stream read and the state does not have fails the gate.
+    published = latest_run(spark, data)
     with pytest.raises(GateFailure):
-        target.publish(tmp_path / "data")
-    assert latest_run(spark, tmp_path / "data") == published
+        target.publish(data, arrived=5)
+    assert latest_run(spark, data) == published
