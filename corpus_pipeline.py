@@ -17,11 +17,8 @@ from ordertide.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that too many texts of their source hold.
-
-    The limit is a number of texts, not a share, so that a line is judged alike in small and large sources.
-    """
-    return clean_documents(docs, max_share=0.0)
+    """Documents that pass the quality rules, without the lines that too many texts of their source hold."""
+    return clean_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
