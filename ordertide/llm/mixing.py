@@ -159,7 +159,14 @@ def copies(units: DataFrame, label: str) -> DataFrame:
         .withColumn("whole", whole.cast("int"))
         .withColumn("chance", F.greatest(F.col("ratio") - whole, F.lit(0.0)))
         .withColumn("source_hash", F.xxhash64(F.col("source").isNull(), "source"))
-        .withColumn("bucket", F.pmod("order", n_groups))
+    )
+    # Rows alike share their order. Where they are more than a group holds, they are dealt by row.
+    alike = units.groupBy(F.col("order").alias("many")).agg(F.count("*").alias("n")).filter(F.col("n") > GROUP)
+    dealt = F.when(F.col("many").isNotNull(), F.xxhash64("order", "row")).otherwise(F.col("order"))
+    planned = (
+        planned.join(alike.select("many"), F.col("order") == F.col("many"), "left")
+        .withColumn("bucket", F.pmod(dealt, n_groups))
+        .drop("many")
     )
     planned = stored(planned, f"{label}-planned")
     most = sources.agg(F.coalesce(F.max(F.ceil(F.col("documents") / GROUP)), F.lit(1))).first()[0]
@@ -182,13 +189,10 @@ def copies(units: DataFrame, label: str) -> DataFrame:
     return planned.join(extra, "row").withColumn("copies", F.col("whole") + F.col("extra"))
 
 
-def _units(docs: DataFrame, id_col: Column, text: Column, source: Column) -> DataFrame:
-    # Null ids are told apart by their row, so that many of them do not share a group.
-    row = F.monotonically_increasing_id()
-    order = F.when(id_col.isNull(), F.xxhash64(text, row)).otherwise(F.xxhash64(id_col, text))
+def _units(docs: DataFrame, row: Column, id_col: Column, text: Column, source: Column) -> DataFrame:
     return docs.select(
         row.alias("row"),
-        order.alias("order"),
+        F.xxhash64(id_col, text).alias("order"),
         source.alias("source"),
         count_words(text).alias("size"),
         id_col.alias("doc_id"),
@@ -203,7 +207,9 @@ def mixture(
     label: str = "mixing",
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, and the words taken."""
-    units = stored(_units(docs, F.col(id_col), F.col(text_col), F.col(source_col)), f"{label}-units")
+    row = F.monotonically_increasing_id()
+    units = _units(docs, row, F.col(id_col), F.col(text_col), F.col(source_col))
+    units = stored(units, f"{label}-units")
     taken = (F.col("size") * F.col("copies")).cast("bigint")
     return copies(units, label).select(
         "doc_id", "size", "source_size", "target", "copies", taken.alias("taken")
@@ -221,12 +227,7 @@ def mixed_documents(docs: DataFrame, label: str = "mixing") -> DataFrame:
     row = F.monotonically_increasing_id().alias("row")
     whole = stored(docs.select(row, F.struct("*").alias("doc")), f"{label}-docs")
     doc = F.col("doc")
-    units = whole.select(
-        "row",
-        F.xxhash64(doc["doc_id"], doc["text"]).alias("order"),
-        doc["source"].alias("source"),
-        count_words(doc["text"]).alias("size"),
-    )
+    units = _units(whole, F.col("row"), doc["doc_id"], doc["text"], doc["source"]).drop("doc_id")
     counts = copies(stored(units, f"{label}-units"), label).filter("copies > 0").select("row", "copies")
     taken = F.explode(F.sequence(F.lit(1), "copies")).alias(copy)
     return whole.join(counts, "row").select("doc", taken).select("doc.*", copy)

@@ -22,12 +22,7 @@ worded AS (
          len(regexp_extract_all(line, '{WORD}')) AS n
   FROM lines WHERE regexp_matches(line, '{WORD}')),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT text) AS n_texts FROM docs GROUP BY source),
-bad AS (
-  SELECT w.source, w.plain
-  FROM (SELECT source, plain, count(DISTINCT text) AS n FROM worded GROUP BY source, plain) w
-  JOIN hosts h ON h.source IS NOT DISTINCT FROM w.source
-  WHERE w.n > 8 AND w.n > 0.10 * h.n_texts),
+bad AS (SELECT source, plain FROM worded GROUP BY source, plain HAVING count(DISTINCT text) > 8),
 removed AS (
   SELECT w.rid, sum(w.n) AS n_removed
   FROM worded w JOIN bad b ON b.source IS NOT DISTINCT FROM w.source AND b.plain = w.plain

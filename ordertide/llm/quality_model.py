@@ -8,7 +8,8 @@ Labels come only from rows outside the hold-out fold, at most about ``TRAIN_ROWS
 the id); language, source and id are never inputs.
 
 Defined results: a null text is scored as an empty one. Rows without a label, or with a null one, are scored and
-not learnt from; several labels of one id are averaged. Without any label every score is 0.5; with labels of one
+not learnt from; several labels of one id are averaged, and of several texts of one id the one with the least
+statistics teaches. Without any label every score is 0.5; with labels of one
 kind only, that kind's. A null id counts as the text '' in the hold-out rule. Repeated rows stay. An empty table
 gives an empty result. Other columns are not read.
 
@@ -185,7 +186,8 @@ def _statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         rows = [statistics(text.as_py()) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "statistics"]
+            [batch.column("id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))],
+            ["id", "label", "statistics"],
         )
 
 
@@ -212,8 +214,12 @@ def train(
     sample = known.filter(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(keep * 1_000_000))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # The sample has about train_rows rows at most, of two numbers each.
-    learnt = texts.join(F.broadcast(sample), F.col("id") == F.col("labelled")).select("label", "text")
-    found = learnt.mapInArrow(_statistic_rows, "label double, statistics array<double>").toArrow()
+    learnt = texts.join(F.broadcast(sample), F.col("id") == F.col("labelled")).select("id", "label", "text")
+    id_type = texts.schema["id"].dataType.simpleString()
+    measured = learnt.mapInArrow(_statistic_rows, f"id {id_type}, label double, statistics array<double>")
+    # An id that repeats teaches one of its texts, so what is collected keeps the bound of the sample.
+    found = measured.groupBy("id").agg(F.first("label").alias("label"), F.min("statistics").alias("statistics"))
+    found = found.select("label", "statistics").toArrow()
     rows = np.array(found["statistics"].to_pylist()).reshape(-1, WIDTH)
     marks = found["label"].to_numpy()
     order = np.lexsort([*rows.T, marks])  # the same trees in whatever order the rows arrive

@@ -3,10 +3,10 @@
 Everything is a DataFrame expression; no Python runs on the executors.
 
 Lines are normalised (runs of white space become one blank, A-Z lower case, digits 0) and hashed with
-their host. A line is boilerplate if more than ``max(min_docs, max_share * documents)`` different
-texts of its host hold it; exact copies of a text count once, so a group of copies does not make its
-own lines boilerplate. Boilerplate lines are removed, and a document that loses more than
-``max_removed`` of its words is rejected, as is one that fails the base rules.
+their host. A line is boilerplate if more than ``max_docs`` different texts of its host hold it: a number, not a
+share, so that a line is judged alike in small and large hosts and however much else a host holds. Exact copies of a
+text count once, so a group of copies does not make its own lines boilerplate. Boilerplate lines are removed, and
+a document that loses more than ``max_removed`` of its words is rejected, as is one that fails the base rules.
 
 Defined results: a null or empty text has no words and fails the base rules. Null hosts form one host.
 Rows are judged by id, host and text, so repeated rows get the same verdict and each stays one row. An
@@ -27,7 +27,7 @@ from ordertide.llm.common import GAP, count_words, let, lower_ascii, stored, wor
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8  # fixed: the base rules
 SYMBOL = "[#*$%&|<>]"  # fixed
-MIN_DOCS, MAX_SHARE, MAX_REMOVED = 8, 0.10, 0.5
+MAX_DOCS, MAX_REMOVED = 8, 0.5
 
 A_WORD = r"[^\x20\x09-\x0D]"
 NOT_PLAIN = r"[1-9]|[\x09-\x0D]|  "
@@ -134,19 +134,10 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def boilerplate_lines(lines: DataFrame, texts: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """``line`` hashes above the limit.
-
-    ``lines`` has host_hash, line and text_hash, ``texts`` has host_hash and text_hash.
-    """
-    counts = lines.groupBy("host_hash", "line").agg(F.count_distinct("text_hash").alias("n"))
-    hosts = texts.groupBy("host_hash").agg(F.count_distinct("text_hash").alias("n_texts"))
-    return (
-        counts.filter(F.col("n") > min_docs)
-        .join(hosts, "host_hash")
-        .filter(F.col("n") > max_share * F.col("n_texts"))
-        .select("line")
-    )
+def boilerplate_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """``line`` hashes (with their host) that more than ``max_docs`` texts hold; ``lines`` has line and text_hash."""
+    counts = lines.groupBy("line").agg(F.count_distinct("text_hash").alias("n"))
+    return counts.filter(F.col("n") > max_docs).select("line")
 
 
 def quality_rules(
@@ -154,8 +145,7 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    min_docs: int = MIN_DOCS,
-    max_share: float = MAX_SHARE,
+    max_docs: int = MAX_DOCS,
     max_removed: float = MAX_REMOVED,
     label: str = "quality-rules",
 ) -> DataFrame:
@@ -177,8 +167,8 @@ def quality_rules(
         ),
         label,
     )
-    lines = measured.select("row", "host_hash", "text_hash", F.inline("lines"))
-    bad = boilerplate_lines(lines, measured, min_docs, max_share)
+    lines = measured.select("row", "text_hash", F.inline("lines"))
+    bad = boilerplate_lines(lines, max_docs)
     lost = (
         lines.select("row", "line", "words")
         .join(bad, "line")

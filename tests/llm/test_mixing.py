@@ -101,3 +101,30 @@ def test_flight_keeps_documents_and_words_and_expectation():
         assert set(landed) <= {0.0, 1.0}
         mean += landed / 300
     assert abs(mean.mean() - 0.37) < 0.01
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_alike_do_not_share_a_group(spark, monkeypatch, doc_id):
+    """A third of all rows are one row repeated: no group holds more than a few times GROUP of them."""
+    from pyspark.sql import functions as F
+
+    from ordertide.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 64)
+    planned = []
+    write = mixing.stored
+
+    def kept(frame, label):
+        out = write(frame, label)
+        if label.endswith("-planned"):
+            planned.append(out)
+        return out
+
+    monkeypatch.setattr(mixing, "stored", kept)
+    rows = [(i, f"own text {i}", "a") for i in range(4000)] + [(doc_id, "the same text", "a")] * 2000
+    docs = documents(spark, rows)
+    mix = mixed_documents(docs)
+    words = sum(len(r.text.split()) for r in mix.select("text").collect())
+    assert abs(words - 1.5 * 18_000) <= 6
+    sizes = planned[0].groupBy("source_hash", "bucket").agg(F.count("*").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 2 * 64

@@ -36,6 +36,19 @@ def test_awkward_rows(spark):
     assert all(r.score > 0.9 for r in score_quality(same, one_kind).collect())
 
 
+def test_an_id_that_repeats_teaches_once(spark, monkeypatch):
+    """A third of all rows have one labelled id: what is collected stays one row per label."""
+    from ordertide.llm import quality_model
+
+    collected = []
+    learn = quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda rows, marks: collected.append(len(rows)) or learn(rows, marks))
+    docs = documents(spark, [(i, f"text {i} of many") for i in range(40)] + [(7, f"again {i}") for i in range(20)] * 2)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    assert score_quality(docs, labels).count() == 80
+    assert len(collected) == 1 and collected[0] <= 40
+
+
 def test_statistics_of_empty_and_long_texts():
     assert statistics(None) == statistics(b"") and len(statistics(b"")) == WIDTH
     assert all(np.isfinite(statistics(t)).all() for t in (b"", b" \n", b"a", "é\n" .encode() * 100_000))

@@ -30,13 +30,12 @@ def plain(line):
 
 def brute(rows):
     """Verdicts of (doc_id, text, source) rows."""
-    texts, holders = {}, {}
+    holders = {}
     for _, text, source in rows:
-        texts.setdefault(source, set()).add(text or "")
         for line in (text or "").split("\n"):
             if WORD.search(line):
                 holders.setdefault((source, plain(line)), set()).add(text)
-    bad = {k for k, v in holders.items() if len(v) > 8 and len(v) > 0.10 * len(texts[k[0]])}
+    bad = {k for k, v in holders.items() if len(v) > 8}
     for doc_id, text, source in rows:
         lines = (text or "").split("\n")
         gone = sum(len(WORD.findall(x)) for x in lines if (source, plain(x)) in bad)
