@@ -1,23 +1,28 @@
 """Personal data: fixed patterns, and spans a character-level BiLSTM with CRF transitions adds.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The labeller is trained in numpy on windows
-of a bounded sample of documents, labelled with the patterns' spans; some are rewritten in ways the patterns
-miss (a phone number without its plus, ``(at)`` or ``[at]`` in an address) and keep their label. It reads
-overlapping windows around every digit, ``@`` or ``(at)``, as each kind of span has one. A window is decoded by
-Viterbi; of a character's tags the one from the window with most context counts, so a span is the same
+of a bounded sample of documents, labelled with the patterns' spans. Each span is also taken out of its text, written
+in another form (other separators, prefixes, brackets, spelled-out ``at`` and ``dot``) and set between words of its
+document in new order, so that neither the form nor the sentence can be learnt by heart; numbers that are no personal
+data (dates, prices, versions, ranges) are set there as well, unlabelled. It reads overlapping windows around every
+digit, ``@``, bracketed ``at`` and the word ``dot``, in any case: a text without any of these is not read. A window is
+decoded by Viterbi; of a character's tags the one from the window with most context counts, so a span is the same
 wherever windows fall. Added spans that touch a pattern's span, or lack the digits of their kind, are dropped.
 
 Defined results: a null or empty text has no spans. Without any labelled span in the sample nothing is added.
 Repeated rows stay. An empty table gives an empty result. Other columns are not read.
 
 Scale: one pass over the texts, no shuffle; whole texts are searched in linear time. The sample has at most
-about ``SAMPLE_DOCS`` documents, of which ``TRAIN_WINDOWS`` windows are collected; the model has a few kilobytes.
+about ``SAMPLE_DOCS`` documents, read once; ``TRAIN_WINDOWS`` of their windows are collected. The model has a few
+kilobytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -26,8 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordertide.llm.common import stored
+
 KINDS = ("email", "ip", "card", "phone")  # fixed: their order in results
-SAMPLE_DOCS, TRAIN_WINDOWS = 20_000, 800
+NONE = "none"
+SAMPLE_DOCS, TRAIN_WINDOWS = 20_000, 6_000
 LENGTH, STRIDE, REACH = 64, 32, 32
 
 # --- patterns ------------------------------------------------------------------------------------
@@ -43,9 +51,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGITS = re.compile("[^0-9]+")
 
 
-HINTS = (*"0123456789@", "(at)", "[at]")  # every span has one
-
-
 def digits_of(text: str) -> str:
     return NOT_DIGITS.sub("", text)
 
@@ -68,13 +73,9 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, done))
 
 
-def _hinted(text: str) -> bool:
-    return any(hint in text for hint in HINTS)
-
-
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by kind and start."""
-    if not _hinted(text):
+    if not any(hint in text for hint in "0123456789@"):
         return []
     found = list(_emails(text))
     for m in IP.finditer(text):
@@ -92,21 +93,25 @@ def base_spans(text: str) -> list[Span]:
 
 # --- windows -------------------------------------------------------------------------------------
 
-HINT = re.compile("[0-9@]|[(]at[)]|[\\[]at[]]")
+HINT = re.compile(r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]|(?<![a-z])dot(?![a-z])", re.IGNORECASE)
+AT = re.compile(r"@|(?<![a-z])at(?![a-z])", re.IGNORECASE)
+DOT = re.compile(r"[.]|(?<![a-z])dot(?![a-z])", re.IGNORECASE)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PAD, LETTER, DIGIT, BLANK, BREAK, OTHER = range(6)
-SYMBOLS = 6 + len(PUNCTUATION)
+SYMBOLS = 6 + len(PUNCTUATION) + 26
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begins kind k, 2 + 2k is inside
 _CODES = np.full(128, OTHER)
 for _c in range(128):
     _s = chr(_c)
     _CODES[_c] = (
-        LETTER if _s.isalpha() else DIGIT if _s.isdigit() else BREAK if _s in "\n\r" else BLANK if _s.isspace()
+        6 + len(PUNCTUATION) + ord(_s.lower()) - ord("a") if _s.isalpha()
+        else DIGIT if _s.isdigit() else BREAK if _s in "\n\r" else BLANK if _s.isspace()
         else 6 + PUNCTUATION.index(_s) if _s in PUNCTUATION else OTHER
-    )
+    )
 
 
 def encoded(text: str) -> np.ndarray:
+    """A number per character: letters by name whatever their case, other scripts as one, digits as one."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     return np.where(points < 128, _CODES[np.minimum(points, 127)], LETTER)
 
@@ -114,8 +119,6 @@ def encoded(text: str) -> np.ndarray:
 def windows_of(text: str) -> list[int]:
     """Starts of overlapping windows that cover the surroundings of every hint."""
     starts: list[int] = []
-    if not _hinted(text):
-        return starts
     begin = end = -1
     for m in HINT.finditer(text):
         low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -254,23 +257,24 @@ class Labeller:
         return (whole - score).mean(), slopes
 
     def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.015):
-        """Adam over shuffled batches."""
+        """Adam over shuffled batches, with steps that shrink to none."""
         rng = np.random.default_rng(11)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step = 0
+        step, steps = 0, epochs * -(-len(codes) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(codes))
             for low in range(0, len(order), batch):
                 at = order[low : low + batch]
                 _, slopes = self.loss(codes[at], tags[at])
                 step += 1
+                pace = rate * (1 - step / (steps + 1))
                 for k, slope in slopes.items():
                     slope = np.clip(slope, -5, 5)
                     first[k] = 0.9 * first[k] + 0.1 * slope
                     second[k] = 0.999 * second[k] + 0.001 * slope**2
                     scale = np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8
-                    self.w[k] -= rate * first[k] / (1 - 0.9**step) / scale
+                    self.w[k] -= pace * first[k] / (1 - 0.9**step) / scale
         return self
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -321,10 +325,11 @@ def reconciled(n: int, starts: list[int], tags: np.ndarray) -> list[Span]:
 def _plausible(kind: str, text: str) -> bool:
     n = len(digits_of(text))
     if kind == "email":
-        return HINT.search(text) is not None and "." in text and len(text) >= 6
+        return AT.search(text) is not None and DOT.search(text) is not None and len(text) >= 6
     if kind == "ip":
-        return text.count(".") == 3 and 4 <= n <= 12
-    return 16 <= n <= 19 if kind == "card" else 8 <= n <= 15
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 16 <= n <= 19 and luhn(digits_of(text)) if kind == "card" else 8 <= n <= 15
 
 
 def all_spans(texts: list[str], model: Labeller | None, batch: int = 256) -> list[tuple[list[Span], list[Span]]]:
@@ -371,47 +376,100 @@ def all_spans(texts: list[str], model: Labeller | None, batch: int = 256) -> lis
 # --- training ------------------------------------------------------------------------------------
 
 
-def rewritten(text: str, spans: list[Span], draw: int) -> tuple[str, list[Span]]:
-    """Some spans in forms the patterns do not know; the others move along."""
-    pieces, moved, at, shift = [], [], 0, 0
-    for kind, start, end in sorted(spans, key=lambda s: s[1]):
-        if start < at:
-            continue
-        old = new = text[start:end]
-        if kind == "phone" and draw % 3 == 0:
-            new = old.removeprefix("+")
-        elif kind == "email" and draw % 3 == 0:
-            new = old.replace("@", ("(at)", "[at]", " (at) ", " [at] ")[draw // 3 % 4])
-        pieces += [text[at:start], new]
-        moved.append((kind, start + shift, start + shift + len(new)))
-        shift += len(new) - len(old)
-        at = end
-        draw = draw * 31 + 7
-    return "".join([*pieces, text[at:]]), moved
-
-
-def training_windows(text: str, draw: int) -> list[tuple[list[int], list[int], bool]]:
-    """(codes, tags, whether it has a span) of the windows of a text and of a rewritten copy."""
+# Forms that training draws from; many others are combinations of these.
+ATS = ("(at)", "[at]", " (at) ", " [at] ", "(AT)", " [AT] ", "{at}", "<at>", " at ", " AT ")
+DOTS = (".", ".", " . ", "(dot)", " [dot] ")
+SPELLED = (" dot ", " DOT ", " (dot) ")
+BETWEEN = {"ip": (" . ", ". ", " .", "[.]", "(.)", "{.}", " dot "), "card": (".", "/", "_", "  ", " - ", ":", " : "), "phone": (" ", "-", ".", "/", "")}
+TOP_LEVEL = ("com", "org", "net", "de", "fr", "es", "info", "io")
+PREFIXES = ("", "0", "00", "(0", "+")
+NUMBERS = ("##/##/20##", "20##-##-##", "##.##.20##", "##/##/20## ##:##", "20##-##-## ##:##:##", "##:##", "#.#.#", "#,###.##", "##-##", "#### ####", "No. ######", "#.##", "(##)", "20##", "v#.#.##", "at the dot", "dot by dot", "the dot at")
+
+
+def _address(text: str, words: list[str], rng: random.Random) -> list[str]:
+    """The two sides of an address, or two like them made of a document's words."""
+    plain = [w.lower() for w in rng.choices(words, k=4) if w.isascii() and w.isalpha()] if words else []
+    if len(plain) < 3 or rng.random() < 0.1:
+        return text.split("@", 1)
+    local = rng.choice((plain[0], f"{plain[0]}{rng.choice('._-')}{plain[1]}", f"{plain[0][:1]}.{plain[1]}", f"{plain[0]}{rng.randrange(100)}"))
+    host = rng.choice((plain[2], f"{plain[2]}-{plain[1]}", f"{plain[0]}.{plain[2]}"))
+    return [local, f"{host}.{rng.choice(TOP_LEVEL)}"]
+
+
+def rewritten(kind: str, text: str, words: list[str], rng: random.Random) -> str:
+    """A span's text in another form."""
+    if kind == "email":
+        local, domain = _address(text, words, rng)
+        at = rng.choice(ATS)
+        return f"{local}{at}{domain.replace('.', rng.choice(SPELLED if at.strip().lower() == 'at' else DOTS))}"
+    if kind == "ip":
+        return rng.choice(BETWEEN["ip"]).join(str(rng.randrange(rng.choice((10, 100, 256)))) for _ in range(4))
+    digits, pieces = digits_of(text), []
+    joint = rng.choice(BETWEEN[kind])
+    if kind == "card":
+        return joint.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    digits = "".join(str(rng.randrange(10)) for _ in range(rng.randint(7, 12)))
+    while digits:
+        cut = min(len(digits), rng.choice((2, 3, 3, 4, 5, 8)))
+        cut = len(digits) if len(digits) - cut == 1 else cut
+        pieces.append(digits[:cut])
+        digits = digits[cut:]
+    prefix = rng.choice(PREFIXES)
+    if prefix in ("00", "+") and rng.random() < 0.7:  # a country's code by itself
+        pieces.insert(0, f"{rng.randrange(10, 99)}")
+    first = f"{prefix}{pieces[0]}" + (")" if prefix.startswith("(") else "")
+    if prefix == "00" and rng.random() < 0.2:
+        first = f"00 {pieces[0]}"
+    return joint.join([first, *pieces[1:]])
+
+
+def resettled(kind: str | None, text: str, words: list[str], rng: random.Random) -> tuple[str, list[Span]]:
+    """``text`` between some of ``words`` in new order, as a text of its own with its span (none without a kind)."""
+    before = " ".join(rng.choices(words, k=rng.randint(0, 7))) if words else ""
+    after = " ".join(rng.choices(words, k=rng.randint(0, 7))) if words else ""
+    start = f"{before}{rng.choice((' ', ': ', ' (', chr(10)))}" if before else ""
+    end = f"{rng.choice((' ', '. ', ', ', ') ', chr(10)))}{after}" if after else rng.choice(("", "."))
+    spans = [(kind, len(start), len(start) + len(text))] if kind else []
+    return f"{start}{text}{end}", spans
+
+
+def training_texts(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
+    """A text as it is, and its spans and as many numbers of no interest in other forms and surroundings."""
+    yield text, spans
+    rng = random.Random(zlib.crc32(text.encode()))
+    words = [w for w in text.split() if not HINT.search(w)]
+    for kind, start, end in spans:
+        for form in (text[start:end], *(rewritten(kind, text[start:end], words, rng) for _ in range(6))):
+            yield resettled(kind, form, words, rng)
+    for _ in range(1 + 2 * len(spans)):
+        number = re.sub("#", lambda _: str(rng.randrange(10)), rng.choice(NUMBERS))
+        yield resettled(None, number, words, rng)
+
+
+def training_windows(text: str) -> list[tuple[list[int], list[int], str]]:
+    """(codes, tags, kind of the first span or NONE) of the windows of all texts that training makes of one."""
     found = []
-    for version, spans in ((text, base_spans(text)), rewritten(text, base_spans(text), 3 * draw)):
+    for version, spans in training_texts(text, base_spans(text)):
         codes, tags = encoded(version), _tags(len(version), spans)
         for start in windows_of(version):
             part = np.zeros(LENGTH, np.int64)
             piece = tags[start : start + LENGTH]
             part[: len(piece)] = piece
-            found.append((_padded(codes, start).tolist(), part.tolist(), bool(part.any())))
+            first = part[part > 0][:1]
+            kind = KINDS[(first[0] - 1) // 2] if len(first) else NONE
+            found.append((_padded(codes, start).tolist(), part.tolist(), kind))
     return found
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = pa.list_(pa.int64())
-    schema = pa.schema([("order", pa.int64()), ("span", pa.bool_()), ("codes", numbers), ("tags", numbers)])
+    schema = pa.schema([("order", pa.int64()), ("kind", pa.string()), ("codes", numbers), ("tags", numbers)])
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
-            for i, (codes, tags, span) in enumerate(training_windows(text or "", len(text or ""))):
+            for i, (codes, tags, kind) in enumerate(training_windows(text or "")):
                 name = hashlib.blake2b(f"{i}:{codes}".encode(), digest_size=7).digest()
-                rows.append({"order": int.from_bytes(name, "big"), "span": span, "codes": codes, "tags": tags})
+                rows.append({"order": int.from_bytes(name, "big"), "kind": kind, "codes": codes, "tags": tags})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
@@ -421,15 +479,14 @@ def train(docs: DataFrame, text_col: str, sample_docs: int, windows: int) -> Lab
     keep = min(1.0, sample_docs / max(hinted.count(), 1))
     sample = hinted.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(keep * 1_000_000))
     rows = sample.mapInArrow(
-        _training_rows, "order bigint, span boolean, codes array<bigint>, tags array<bigint>"
-    ).dropDuplicates(["order"])
-    half = windows // 2
-    chosen = [
-        r
-        for span in (True, False)
-        for r in rows.filter(F.col("span") == span).orderBy("order").limit(half).collect()
-    ]
-    if not any(r.span for r in chosen):
+        _training_rows, "order bigint, kind string, codes array<bigint>, tags array<bigint>"
+    )
+    rows = stored(rows, "personal-data-windows").dropDuplicates(["order"])  # all shares are read from there
+    chosen = []
+    for kind in (*KINDS, NONE):  # half without a span, the rest in equal parts, random by the order
+        share = windows // 2 if kind == NONE else windows // (2 * len(KINDS))
+        chosen += rows.filter(F.col("kind") == kind).orderBy("order").limit(share).collect()
+    if all(r.kind == NONE for r in chosen):
         return None
     return Labeller().fit(np.array([r.codes for r in chosen]), np.array([r.tags for r in chosen]))
 
@@ -491,7 +548,8 @@ def _mask(model: Labeller | None, text_at: int, length_at: int | None):
             columns = list(batch.columns)
             columns[text_at] = pa.array(clean, columns[text_at].type)
             if length_at is not None:
-                columns[length_at] = pa.array([None if t is None else len(t) for t in clean], pa.int64())
+                lengths = pa.array([None if t is None else len(t) for t in clean], pa.int64())
+                columns[length_at] = lengths.cast(columns[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return batches
