@@ -3,14 +3,17 @@
 A tree builder reads the tags: it closes what the standard lets authors leave open (p, li, dt, dd, option, table
 parts), ignores end tags that match nothing, and takes script, style and the like as raw text. Rendering
 walks the tree once. It leaves out what is not shown (head, scripts, ``hidden``, ``display: none``, closed
-dialogs and details), collapses white space except in ``pre``, keeps lines and blank lines between blocks, marks
-list items and indents nested lists, and sets table cells in aligned columns.
+dialogs and details, what a drawing only defines), collapses white space except in ``pre``, keeps lines and blank
+lines between blocks, numbers or marks list items and indents nested lists, shows formulas, the text of drawings
+and the labels of buttons, and sets table cells in aligned columns, with cells that span columns or rows in their
+place.
 
 Defined results: a null or empty page gives an empty text, a page without tags its text. Unclosed comments, raw
 text and tags reach to the end. Repeated rows stay. An empty table gives an empty result. Other columns are
 not read.
 
-Scale: one pass over the pages, no shuffle. Reading and rendering use no recursion, and columns are padded to
+Scale: one pass over the pages, no shuffle. Reading and rendering use no recursion. Where padding a table's
+columns to their widest cells would make it over ``PADDING`` times as long as its words, columns are padded to
 ``WIDEST`` characters at most, so time and memory follow the page.
 """
 
@@ -25,16 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDEST = 40
+WIDEST, PADDING = 40, 4
+ROMAN = (
+    (1000, 10_000, "m"), (500, 1000, "d"), (100, 500, "c"), (50, 100, "l"), (10, 50, "x"), (5, 10, "v"), (1, 5, "i"),
+)
+ROMAN_SHORT = (("dcccc", "cm"), ("cccc", "cd"), ("lxxxx", "xc"), ("xxxx", "xl"), ("viiii", "ix"), ("iiii", "iv"))
 GAP = "  "
 
 # Fixed by the standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 UNSHOWN = frozenset(
-    "head script style title template noscript noembed noframes iframe object video audio canvas svg math datalist "
-    "meta link base param source track area map".split()
+    "head script style title template noscript noembed noframes iframe object video audio canvas datalist "
+    "meta link base param source track area".split()
 )
+# Inside drawings only text elements and embedded pages show text; formulas do not show their annotations.
+DRAWN = frozenset("text foreignobject".split())
+NOT_DRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
+ANNOTATIONS = frozenset("annotation annotation-xml".split())
+BUTTONS = frozenset("submit reset button".split())
 PARAGRAPHS = frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr fieldset xmp listing".split()
 )
@@ -66,6 +78,7 @@ BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
 BLANKS = re.compile("[ \t\n\f\r]+")
+COMMENT_END = re.compile("--!?>")
 
 
 class Node:
@@ -122,7 +135,8 @@ class Builder:
         if self.open[-1].tag == "head":
             self._cut(len(self.open) - 1)
 
-    def start(self, tag: str, attributes: dict[str, str]) -> None:
+    def start(self, tag: str, attributes: dict[str, str], closed: bool = False) -> None:
+        """An opening tag; one ``closed`` by a slash has no content inside drawings and formulas."""
         if tag == "html":
             self.root.attributes = attributes | self.root.attributes
             return
@@ -134,7 +148,7 @@ class Builder:
             self._end_implied(*ENDED_BY[tag], once=tag in ("li", "dt", "dd", "option"))
         node = Node(tag, attributes)
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not (closed and (self.counts["svg"] or self.counts["math"] or tag in ("svg", "math"))):
             self._push(node)
 
     def _end_implied(self, ended: set[str], limits: set[str], once: bool) -> None:
@@ -179,9 +193,12 @@ def parsed(page: str) -> Node:
             builder.text(page[at:])
             return builder.root
         if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
             builder.text(page[at:start])
-            at = len(page) if end < 0 else end + 3
+            if page.startswith((">", "->"), start + 4):  # an empty comment
+                at = page.index(">", start) + 1
+            else:
+                end = COMMENT_END.search(page, start + 4)
+                at = end.end() if end else len(page)
             continue
         if page[start + 1 : start + 2] in ("!", "?"):
             end = page.find(">", start)
@@ -208,8 +225,10 @@ def parsed(page: str) -> Node:
         if m[1]:
             builder.end(tag)
             continue
-        builder.start(tag, _attributes(m[3]) if m[3].strip(" \t\n\f\r/") else {})
-        if tag in RAW:
+        attributes = _attributes(m[3]) if m[3].strip(" \t\n\f\r/") else {}
+        closed = m[3].endswith("/")
+        builder.start(tag, attributes, closed)
+        if tag in RAW and not (closed and builder.open[-1].tag != tag):
             close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             builder.raw(page[at : close.start() if close else len(page)], tag)
             at = close.start() if close else len(page)
@@ -296,14 +315,30 @@ class Page:
 
 
 class Table:
+    """Cells in rows and columns; a cell that spans rows keeps its columns in the rows below."""
+
     def __init__(self) -> None:
         self.rows: list[list[str]] = []
         self.captions: list[str] = []
+        self.held: dict[int, int] = {}  # rows for which a column is still taken from above
+
+    def group(self) -> None:
+        """A new group of rows: no cell reaches into it."""
+        self.held = {}
+
+    def row(self) -> None:
+        self.held = {column: n - 1 for column, n in self.held.items() if n > 0}
+        self.rows.append([])
 
-    def add(self, cell: str, span: int) -> None:
+    def add(self, cell: str, columns: int, rows: int) -> None:
         if not self.rows:
-            self.rows.append([])
-        self.rows[-1] += [cell] + [""] * (span - 1)
+            self.row()
+        row = self.rows[-1]
+        while self.held.get(len(row), -1) >= 0:
+            row.append("")
+        if rows > 1:
+            self.held |= {len(row) + i: rows - 1 for i in range(columns)}
+        row += [cell] + [""] * (columns - 1)
 
     def result(self) -> str:
         rows = [[cell.split("\n") for cell in row] for row in self.rows if any(row)]
@@ -312,35 +347,74 @@ class Table:
             for i, cell in enumerate(row):
                 if i == len(widths):
                     widths.append(0)
-                widths[i] = max(widths[i], min(WIDEST, max(map(len, cell))))
-        lines = [line for caption in self.captions if caption for line in caption.split("\n")]
+                widths[i] = max(widths[i], max(map(len, cell)))
+        lines = sum(max(map(len, row)) for row in rows)
+        words = sum(len(line) for row in rows for cell in row for line in cell)
+        if lines * sum(widths) > PADDING * words + 10_000:  # a few very wide cells among many rows
+            widths = [min(width, WIDEST) for width in widths]
+        text = [line for caption in self.captions if caption for line in caption.split("\n")]
         for row in rows:
             for k in range(max(map(len, row))):
                 cells = (cell[k] if k < len(cell) else "" for cell in row)
-                lines.append(GAP.join(c.ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip())
-        return "\n".join(lines)
+                pairs = zip(cells, widths, strict=False)  # a column without any text takes no room
+                text.append(GAP.join(c.ljust(w) for c, w in pairs if w).rstrip())
+        return "\n".join(text)
+
+
+def _number(node: Node, name: str, default: int) -> int:
+    value = node.attributes.get(name, "").strip()
+    digits = value.removeprefix("-")
+    return int(value) if digits.isascii() and digits.isdigit() and len(digits) < 9 else default
+
+
+def _columns(node: Node) -> int:
+    return min(max(_number(node, "colspan", 1), 1), 1000)
+
+
+def _rows(node: Node) -> int:
+    rows = _number(node, "rowspan", 1)
+    return 65_534 if rows == 0 else min(max(rows, 1), 65_534)  # 0: to the end of the group
 
 
-def _span(node: Node) -> int:
-    value = node.attributes.get("colspan", "1")
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+def _marker(kind: str, n: int) -> str:
+    """What stands before an item: its number in the list's style, or a dash."""
+    if kind == "-":
+        return "- "
+    text = str(n)
+    if kind in "aA" and n > 0:
+        text, left = "", n
+        while left:
+            left, digit = divmod(left - 1, 26)
+            text = chr(ord("a") + digit) + text
+    elif kind in "iI" and 0 < n < 4000:
+        text = "".join(
+            letters * (n % above // value) if value in (1000, 100, 10, 1) else letters * (n % above >= value)
+            for value, above, letters in ROMAN
+        )
+        for long, short in ROMAN_SHORT:
+            text = text.replace(long, short)
+    return f"{text.upper() if kind in 'AI' else text}. "
 
 
 def rendered(root: Node) -> str:
     """The text of a tree."""
     pages, tables = [Page()], [Table()]
-    lists: list[tuple[str, int]] = []
+    lists: list[list] = []  # kind, number of the next item, step
+    indents: list[str] = []  # of open items, the line start outside them
     kept = 0  # depth of pre elements
+    drawn: list[bool] = []  # of open drawings and their text elements, whether text shows
+    formulas = 0
     work: list[tuple[Node | str, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
         page = pages[-1]
         if isinstance(node, str):
-            page.kept(node) if kept else page.flow(node)
+            if not drawn or drawn[-1]:
+                page.kept(node) if kept else page.flow(node)
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node):
+            if not shown(node) or (drawn and tag in NOT_DRAWN) or (formulas and tag in ANNOTATIONS):
                 continue
             if tag == "br":
                 page.br()
@@ -354,28 +428,46 @@ def rendered(root: Node) -> str:
             if tag in ("pre", "xmp", "listing", "textarea"):
                 kept += 1
             elif tag in ("ul", "menu", "dir"):
-                lists.append(("-", 0))
+                lists.append(["-", 0, 1])
             elif tag == "ol":
-                first = node.attributes.get("start", "1")
-                lists.append(("1", int(first) if first.isascii() and first.isdigit() and len(first) < 9 else 1))
+                kind = node.attributes.get("type", "1")
+                items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+                backwards = "reversed" in node.attributes
+                first = _number(node, "start", items if backwards else 1)
+                lists.append([kind if kind in ("a", "A", "i", "I") else "1", first, -1 if backwards else 1])
             elif tag == "li":
-                kind, n = lists[-1] if lists else ("-", 0)
-                page.marker = f"{n}. " if kind == "1" else "- "
+                kind, n, step = lists[-1] if lists else ("-", 0, 1)
+                n = _number(node, "value", n)
+                indents.append(page.indent)
+                page.marker = _marker(kind, n)
                 page.indent += " " * len(page.marker)
                 if lists:
-                    lists[-1] = (kind, n + 1)
+                    lists[-1][1] = n + step
             elif tag in ("dd", "blockquote"):
                 page.indent += "  "
             elif tag == "table":
                 tables.append(Table())
+            elif tag in ("thead", "tbody", "tfoot"):
+                tables[-1].group()
             elif tag == "tr":
-                tables[-1].rows.append([])
+                tables[-1].row()
             elif tag in ("td", "th", "caption"):
                 pages.append(Page())
             elif tag == "img" and node.attributes.get("alt"):
                 page.flow(node.attributes["alt"])
+            elif tag == "input" and node.attributes.get("type", "").lower() in BUTTONS:
+                page.flow(node.attributes.get("value", ""))
+            elif tag == "svg":
+                drawn.append(False)
+            elif drawn and tag in DRAWN:
+                page.line()
+                drawn.append(True)
+            elif tag == "math":
+                formulas += 1
             work.append((node, True))
             children = node.children
+            if tag in ("pre", "listing", "textarea") and children and isinstance(children[0], str):
+                children = [re.sub(r"^\r?\n", "", children[0]), *children[1:]]  # it belongs to the tag
             if tag == "details" and "open" not in node.attributes:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             work += [(child, False) for child in reversed(children)]
@@ -385,19 +477,24 @@ def rendered(root: Node) -> str:
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag == "li":
-            page.marker = ""
-            kind, n = lists[-1] if lists else ("-", 1)
-            page.indent = page.indent[: -len(f"{n - 1}. " if kind == "1" else "- ")]
+            page.marker, page.indent = "", indents.pop()
         elif tag in ("dd", "blockquote"):
             page.indent = page.indent[:-2]
         elif tag in ("td", "th"):
-            tables[-1].add(pages.pop().result(), _span(node))
+            tables[-1].add(pages.pop().result(), _columns(node), _rows(node))
         elif tag == "caption":
             tables[-1].captions.append(pages.pop().result())
         elif tag == "table":
             text = tables.pop().result()
             if text:
                 page.kept(text)
+        elif tag == "svg":
+            drawn.pop()
+        elif drawn and tag in DRAWN:
+            drawn.pop()
+            page.line()
+        elif tag == "math":
+            formulas -= 1
         if tag in BLOCKS and tag not in ("tr", "caption"):
             nested = tag in ("ul", "ol", "menu", "dir") and lists
             page.line(1 if nested or tag not in PARAGRAPHS else 2)
