@@ -241,6 +241,22 @@ in_time AS (
         (SELECT date_trunc('millisecond', max(event_ts)) - INTERVAL 10 DAY FROM sold WHERE first_to_arrive))
 """
 
+# What the second half of the month of arrival changes in the winners, or the orders, of the first.
+_HALVES = f"""WITH {ACTIVITY.replace('bronze AS', 'whole AS')},
+arrived AS (SELECT *, day(ingest_ts) > 15 AS fresh FROM whole)"""
+
+
+def _changed(key: str, rows: str, recency: str, columns: str) -> str:
+    return f"""{_HALVES}{rows}
+SELECT {columns} FROM candidates
+QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {recency}, fresh) = 1 AND fresh"""
+
+
+_RECENCY = (
+    "ingest_ts DESC, event_ts DESC, order_id DESC, customer_id DESC, product_id DESC, category DESC,"
+    " province DESC, quantity DESC, unit_price_vnd DESC, event_type DESC"
+)
+
 ORACLES: dict[str, str] = {
     "bronze_events": _lineitem("SELECT *, CAST(event_ts AS DATE) AS event_date FROM bronze"),
     "dedup_latest_event": _lineitem("SELECT * FROM deduped"),
@@ -341,6 +357,22 @@ ORACLES: dict[str, str] = {
         "SELECT order_date AS date, revenue_vnd, 'history' AS kind FROM history UNION ALL "
         "SELECT CAST(forecast_date AS DATE), forecast_revenue_vnd, 'forecast' FROM forecast"
     ),
+    "bucketed_changed_events": _changed(
+        "event_id", ", candidates AS (SELECT * FROM arrived)", _RECENCY, "* EXCLUDE (fresh)"
+    ),
+    "bucketed_changed_orders": _changed(
+        "order_id",
+        f""",
+resolved AS (
+  SELECT * FROM arrived
+  QUALIFY row_number() OVER (PARTITION BY fresh, event_id ORDER BY {_RECENCY}) = 1),
+candidates AS (
+  SELECT * FROM resolved
+  WHERE CASE WHEN quantity <= 0 THEN 1 WHEN unit_price_vnd <= 0 THEN 1 WHEN NOT ({_LISTED_PROV}) THEN 1
+             WHEN event_type NOT IN ('created', 'updated', 'cancelled') THEN 1 END IS NULL)""",
+        "event_ts DESC, ingest_ts DESC, event_id DESC",
+        "* EXCLUDE (fresh), CAST(event_ts AS DATE) AS order_date, quantity * unit_price_vnd AS revenue_vnd",
+    ),
     "payload_roundtrip": _activity("SELECT * FROM bronze"),
     "multi_source_bronze": (
         f"WITH {LINEITEM.replace('bronze AS', 'files AS')}, {ACTIVITY}"

@@ -12,6 +12,7 @@ from ordertide.functions.payload import decode_payload, encode_payload
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, measures, quality, reconcile, resolve
 from ordertide.plans import mapping
+from ordertide.plans.bucketed import changed_orders, changed_winners, write_bucketed
 from ordertide.plans.curate import (
     GateFailure,
     curate_and_publish,
@@ -380,6 +381,39 @@ def outlook_series(spark, sf_dir):
     return measures.outlook_series(fc.daily_revenue(daily), fc.sales_forecast(daily))
 
 
+# --- history in buckets -----------------------------------------------------------------------
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events of the first and of the second half of the month of arrival."""
+    events = mapping.activity_events(spark, sf_dir)
+    first = F.dayofmonth("ingest_ts") <= 15
+    return events.filter(first), events.filter(~first)
+
+
+def _bucketed(frame: DataFrame, key: str) -> DataFrame:
+    path = scratch_path(frame.sparkSession, "buckets")
+    return write_bucketed(frame, path.rpartition("/")[2].replace("-", "_"), path, key, 8)
+
+
+@query
+def bucketed_changed_events(spark, sf_dir):
+    """Winners that the second half changes, resolved against a bucketed first half."""
+    before, after = _halves(spark, sf_dir)
+    return changed_winners(_bucketed(resolve.dedup_latest_event(before), "event_id"), after)
+
+
+@query
+def bucketed_changed_orders(spark, sf_dir):
+    def accepted(events: DataFrame) -> DataFrame:
+        resolved = resolve.dedup_latest_event(events)
+        return quality.accepted_events(quality.classify_events(resolved, ACTIVITY_CONTRACT))
+
+    before, after = _halves(spark, sf_dir)
+    state = _bucketed(resolve.current_order_state(accepted(before)), "order_id")
+    return changed_orders(state, accepted(after))
+
+
 # --- payload and several sources --------------------------------------------------------------
 
 

@@ -89,3 +89,34 @@ def test_no_history_gives_no_rows(spark):
     empty = spark.createDataFrame([], DDL)
     assert fc.sales_forecast(empty).count() == 0
     assert fc.sales_forecast(empty, by=["province"]).count() == 0
+
+
+def test_moments_of_batches_add_up_to_the_fit(spark):
+    """Batches of a daily mart, changes that take back what an earlier batch brought, several series."""
+    rows = [(d, name, v) for name, sales in SERIES.items() for d, v in sales.items()]
+    late = [(d, name, v / 7) for d, name, v in rows[::3]]
+    wrong = [(d, name, 99.5) for d, name, _ in rows[1::5]]
+    batches = [rows[::2], rows[1::2], wrong, late, [(d, name, -v) for d, name, v in wrong]]
+    by = ["province"]
+    moments = None
+    for batch in batches:
+        part = fc.series_moments(spark.createDataFrame(batch, DDL), by)
+        moments = part if moments is None else fc.merge_moments(moments.unionByName(part), by)
+    found = {r.province: r for r in fc.fit_moments(moments, by).collect()}
+    mart = spark.createDataFrame(rows + late, DDL)
+    fitted = fc.fit_trend(fc.dense_daily_series(fc.daily_revenue(mart, by), by), by)
+    for want in fitted.collect():
+        got = found[want.province]
+        assert got.training_days == want.training_days and got.last_date == want.last_date
+        assert [got.slope, got.intercept, got.mean_revenue] == pytest.approx(
+            [want.slope, want.intercept, want.mean_revenue], rel=1e-9, abs=1e-6
+        )
+        for a, b in zip(got.weekday_means, want.weekday_means, strict=True):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-9))
+
+
+def test_moments_of_nothing_and_of_values_beyond_decimals(spark):
+    assert fc.fit_moments(fc.series_moments(spark.createDataFrame([], DDL), ["province"]), ["province"]).count() == 0
+    odd = spark.createDataFrame([(MONDAY, "a", 1e30), (MONDAY + timedelta(1), "a", 2.5), (None, "a", 7.0)], DDL)
+    fit = fc.fit_moments(fc.series_moments(odd)).first()
+    assert fit.mean_revenue == pytest.approx(5e29) and fit.training_days == 2

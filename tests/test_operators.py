@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ordertide.contract import DEFAULT_CONTRACT
 from ordertide.operators import marts, measures, quality, reconcile, resolve
+from ordertide.plans.bucketed import changed_winners
 
 
 def classify(spark, rows):
@@ -326,3 +327,14 @@ def test_exact_amounts_are_decimals(spark):
         )
     )
     assert row == {"amount": Decimal("0.30000000"), "stray": None}
+
+
+def test_history_is_only_beaten_by_newer_rows(spark):
+    """Also the row of the NULL key; an exact copy is no change."""
+    later = {"ingest_ts": "2025-02-01T00:00:00+00:00"}
+    history = resolve.dedup_latest_event(frame(spark, [event("e1"), event("e2", **later), event(None), event("e4")]))
+    arrived = frame(spark, [event("e1", **later), event("e2"), event(None, **later), event("e3"), event("e4")])
+    changed = changed_winners(history, arrived).collect()
+    assert sorted(r.event_id or "" for r in changed) == ["", "e1", "e3"]
+    nothing = frame(spark, [event("e4"), event(None)])
+    assert changed_winners(history, nothing).isEmpty()

@@ -7,12 +7,15 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry_module
 from checks.queries import QUERIES
+from ordertide.contract import EVENT_COLUMNS
 from ordertide.operators import resolve
 from ordertide.plans import mapping
+from ordertide.plans.bucketed import changed_orders, changed_winners, write_bucketed
+from ordertide.plans.settings import applied
 
 SF_DIR = "/root/testdata/sf0.001"
 # Queries that run jobs of their own and then read files back.
-PREFIXES = ("stream_", "incremental_", "curated_", "exported_", "replayed_")
+PREFIXES = ("stream_", "incremental_", "curated_", "exported_", "replayed_", "bucketed_")
 STREAMS = {name for name in QUERIES if name.startswith(PREFIXES)} | {
     "quality_report",
     "failed_quality_report",
@@ -104,3 +107,25 @@ def test_filters_on_the_dedup_key_reach_the_scan(spark, tmp_path, capsys):
     frame(spark, [event("e1"), event("e2")]).write.parquet(str(tmp_path / "t"))
     resolved = dedup_latest_event(spark.read.parquet(str(tmp_path / "t")))
     assert "EqualTo(event_id,e1)" in plan_of(capsys, resolved.filter("event_id = 'e1'"))
+
+
+@pytest.mark.parametrize(("key", "resolved"), [("event_id", changed_winners), ("order_id", changed_orders)])
+def test_bucketed_history_is_not_shuffled(spark, tmp_path, capsys, key, resolved):
+    """Only the batch moves: every exchange of the join lies above a scan of the batch."""
+    state = resolve.current_order_state(resolve.dedup_latest_event(mapping.activity_events(spark, SF_DIR)))
+    columns = state.columns if key == "order_id" else EVENT_COLUMNS
+    history = write_bucketed(state.select(*columns), f"history_{key}", str(tmp_path / key), key, 8)
+    batch = mapping.activity_events(spark, SF_DIR).limit(100)
+    batch.write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    with applied(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        changed = resolved(history, batch.filter(f"{key} IS NOT NULL"))
+        plan = plan_of(capsys, changed)
+    details = plan.split("\n\n\n")[1]
+    bucketed = [b for b in details.split("\n\n") if "Batched: true" in b and f"/{key}" in b]
+    assert len([b for b in bucketed if "Bucketed: true" in b]) >= 1
+    tree = tree_of(plan)
+    join = tree[tree.index("SortMergeJoin") :]
+    side = join.split("Scan parquet")  # the batch, then the history of the join
+    assert "Exchange" in side[0] and "Exchange" not in side[1].split("Union")[0]
+    spark.sql(f"DROP TABLE history_{key}")

@@ -18,15 +18,18 @@ from ordertide.sinks.files import write_event_files
 from ordertide.sinks.kafka import publish_events
 from ordertide.sources.files import read_bronze, read_event_files, stream_event_files
 from ordertide.sources.kafka import records_to_bronze
-from ordertide.streaming import incremental
+from ordertide.streaming import incremental, velocity
 from ordertide.streaming.incremental import IncrementalMarts
 from ordertide.streaming.landing import (
     bronze_rows,
     drain,
+    follow_records,
     land_file_stream,
+    landing_name,
     start_bronze_append,
     stream_from_kafka,
 )
+from ordertide.streaming.progress import arrived_rows, read_progress, recorded_progress
 
 
 def day_file(incoming, day, rows):
@@ -207,6 +210,132 @@ def test_kafka_ends_reach_the_connector(spark, tmp_path):
         publish_events(frame(spark, [event("e1")]), "broker:9092")
 
 
+# --- progress, replays, archive ------------------------------------------------------------------
+
+
+def test_every_batch_of_a_running_stream_is_recorded_once(spark, tmp_path):
+    """A stream on a clock, stopped and started again from its checkpoint."""
+    incoming, layout = tmp_path / "incoming", Layout(str(tmp_path / "data"))
+    days = list(history())
+    name = landing_name(layout.file_bronze)
+    for part in (days[:5], days[5:]):
+        for day, rows in part:
+            day_file(incoming, day, rows)
+        with recorded_progress(spark, tmp_path / "progress", [name]):
+            query = start_bronze_append(
+                stream_event_files(spark, str(incoming), max_files_per_trigger=1),
+                layout.file_bronze,
+                layout.checkpoint("file_orders_to_bronze"),
+                {"processingTime": "200 milliseconds"},
+            )
+            query.processAllAvailable()
+            query.stop()
+        # Another stream of the session is not part of the table.
+        land_file_stream(spark, incoming, tmp_path / f"other-{len(part)}")
+    batches = read_progress(spark, tmp_path / "progress").orderBy("batch_id").collect()
+    assert [b.batch_id for b in batches] == list(range(8))
+    assert [b.input_rows for b in batches] == [26] * 8 and {b.name for b in batches} == {name}
+    assert len({b.run_id for b in batches}) == 2 and len({b.query_id for b in batches}) == 1
+    assert arrived_rows(read_progress(spark, tmp_path / "progress")) == bronze_rows(spark, layout.file_bronze)
+
+
+def test_a_topic_records_its_batches_until_it_ends(spark, tmp_path):
+    encode_payload(frame(spark, [event("e1"), event("e2")])).select("value").write.text(str(tmp_path / "topic"))
+    records = spark.readStream.schema("value string").text(str(tmp_path / "topic"))
+    follow_records(
+        spark, records_to_bronze(kafka_like(records)), str(tmp_path), {"availableNow": True}, metrics=str(tmp_path / "progress")
+    )
+    assert arrived_rows(read_progress(spark, tmp_path / "progress")) == 2
+
+
+def test_replayed_files_stop_before_bronze_and_state_stays_bounded(spark, tmp_path):
+    incoming, root = tmp_path / "incoming", tmp_path / "data"
+    first = [event("e1"), event("e1"), event("e1", ingest_ts="2025-02-01T00:00:00+00:00"), "{broken", "{broken"]
+    write_jsonl(incoming / "a.jsonl", first)
+    write_jsonl(incoming / "b.jsonl", [*first, event("old", ingest_ts="1999-01-01T00:00:00+00:00")])
+    land_file_stream(spark, incoming, root, max_files_per_trigger=1, replays_within="1 day")
+    write_jsonl(incoming / "c.jsonl", [event("e1"), event("e3")])  # again, after a restart
+    land_file_stream(spark, incoming, root, replays_within="1 day")
+    bronze = read_bronze(spark, Layout(str(root)).bronze_sources)
+    ids = sorted((r.event_id or "", str(r.ingest_ts)[:4]) for r in bronze.collect())
+    assert ids == [("", "None"), ("e1", "2025"), ("e1", "2025"), ("e3", "2025"), ("old", "1999")]
+    assert resolve.dedup_latest_event(bronze).filter("event_id = 'e1'").first().ingest_ts.month == 2
+
+    # What came longer ago than the bound leaves the state, however much has arrived.
+    incoming, root = tmp_path / "many", tmp_path / "bounded"
+    for k in range(6):
+        write_jsonl(incoming / f"{k}.jsonl", [event(f"{k}/{i}") for i in range(50)])
+        land_file_stream(spark, incoming, root, replays_within="0 seconds", metrics=tmp_path / "state")
+    state = read_progress(spark, tmp_path / "state").orderBy("batch_id").collect()
+    assert arrived_rows(read_progress(spark, tmp_path / "state")) == 300
+    assert max(b.state_rows for b in state) <= 100
+    assert bronze_rows(spark, Layout(str(root)).file_bronze) == 300
+
+
+def test_archived_files_are_not_listed_and_not_landed_again(spark, tmp_path):
+    incoming, root, archive = tmp_path / "incoming", tmp_path / "data", tmp_path / "archive"
+    for k in range(3):
+        write_jsonl(incoming / f"{k}.jsonl", [event(f"{k}/{i}") for i in range(4)])
+        landed = land_file_stream(spark, incoming, root, archive=str(archive))
+        assert landed["input_rows"] == 4
+    left = sorted(p.name for p in incoming.glob("*.jsonl"))
+    moved = sorted(p.name for p in archive.glob("**/*.jsonl"))
+    assert left == ["2.jsonl"] and moved == ["0.jsonl", "1.jsonl"]
+    assert land_file_stream(spark, incoming, root, archive=str(archive))["input_rows"] == 0
+    bronze = read_bronze(spark, Layout(str(root)).bronze_sources)
+    assert bronze.count() == 12 and bronze.select("event_id").distinct().count() == 12
+
+
+# --- velocity preview -----------------------------------------------------------------------------
+
+
+def test_sketches_of_hours_merge_within_their_bound(spark):
+    """50,000 orders in 48 hours, each in two of them, and a third of all rows in one hour."""
+    events = spark.range(150_000).select(
+        F.concat(F.lit("e"), "id").alias("event_id"),
+        F.concat(F.lit("O"), F.col("id") % 50_000).alias("order_id"),
+        F.lit("Ha Noi").alias("province"),
+        F.lit(1).alias("quantity"),
+        F.lit(2.5).alias("unit_price_vnd"),
+        F.lit("created").alias("event_type"),
+        F.when(F.col("id") < 50_000, F.lit(0)).otherwise(F.col("id") % 48).alias("hour"),
+    )
+    start = F.to_timestamp(F.lit("2025-01-06 00:00:00"))
+    hours = velocity.hourly_preview(events.withColumn("event_ts", F.timestamp_add("HOUR", "hour", start)))
+    day = F.to_date("sales_hour").alias("day")
+    days = velocity.merged_orders(hours, day)
+    total = velocity.merged_orders(days).first()["orders"]
+    exact = {r.day: r.n for r in events.groupBy((F.col("hour") >= 24).alias("day")).agg(F.countDistinct("order_id").alias("n")).collect()}
+    for row, want in zip(days.orderBy("day").collect(), (exact[False], exact[True]), strict=True):
+        assert abs(row["orders"] - want) <= 3 * velocity.STANDARD_ERROR * want
+    assert abs(total - 50_000) <= 3 * velocity.STANDARD_ERROR * 50_000
+    assert hours.agg(F.sum("events")).first()[0] == 150_000
+    assert max(len(r.orders_sketch) for r in hours.collect()) <= 2 ** velocity.SKETCH_BITS + 64
+
+
+def test_the_preview_updates_hours_and_counts_late_rows(spark, tmp_path):
+    incoming, out, checkpoint = tmp_path / "in", str(tmp_path / "hours"), str(tmp_path / "checkpoint")
+
+    def feed(name, rows):
+        write_jsonl(incoming / f"{name}.jsonl", rows)
+        with recorded_progress(spark, tmp_path / "progress", [velocity.preview_name(out)]):
+            stream = stream_event_files(spark, str(incoming))
+            drain(velocity.start_velocity_preview(stream, out, checkpoint, "2 hours", trigger={"availableNow": True}))
+        hours = velocity.read_hours(spark, out)
+        table = {r.sales_hour.hour: r.events for r in hours.collect()}
+        return table, velocity.late_rows(hours, read_progress(spark, tmp_path / "progress"))
+
+    def at(hour, n, **fields):
+        return event(f"{hour}/{n}", order_id=f"O{hour}/{n}", event_ts=f"2025-01-06T{hour:02d}:30:00+00:00", **fields)
+
+    assert feed("a", [at(8, 0), at(10, 0), at(10, 1, event_type="cancelled"), at(10, 2, quantity=0)]) == ({8: 1, 10: 1}, 0)
+    # The watermark is 08:30: hour 8 is open until 09:00, hour 7 has ended.
+    assert feed("b", [at(8, 1), at(7, 0), at(12, 0)]) == ({8: 2, 10: 1, 12: 1}, 1)
+    assert feed("c", [at(8, 2), at(11, 0)]) == ({8: 2, 10: 1, 11: 1, 12: 1}, 2)
+    preview = velocity.velocity_preview(velocity.read_hours(spark, out)).filter("hour(sales_hour) = 8").first()
+    assert preview.approximate and preview.orders_per_hour == 2
+
+
 # --- incremental marts ------------------------------------------------------------------------
 
 
