@@ -201,9 +201,14 @@ def decontaminate(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any other columns) that share no window with the benchmark."""
+    """The rows of ``docs`` (doc_id, text and any other columns) that share no window with the benchmark.
+
+    The list of those that do is written first, so that Spark knows its size: it is broadcast while it is below the
+    session's threshold, and texts then stay where they are.
+    """
     marked = decontaminate(docs, benchmark).filter("contaminated")
     marked = marked.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    marked = stored(marked.distinct(), "winnowing-marked")
     whole = docs.select(F.struct("*").alias("doc"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (text_hash(F.col("doc.text")) == F.col("hash"))
     return whole.join(marked, same, "left_anti").select("doc.*")
