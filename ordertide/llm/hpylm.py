@@ -7,42 +7,73 @@ that of the start. Pairs share the parent u and all share the root, whose base i
 one unknown. A context that no training text has gives the probabilities of its parent.
 
 Seating. A sweep takes each dish's customers out of its restaurant, seats them anew one by one given the parent's
-predictive probability (beyond 64 in blocks of 1/32 of those seated), and passes the tables up as customers of the
+predictive probability (beyond 256 in blocks of 1/128 of those seated), and passes the tables up as customers of the
 parent; the totals of all restaurants are those before the sweep. After ``BURN_IN`` sweeps, predictive
-probabilities are averaged over ``SAMPLES`` sweeps. Draws are seeded by level, sweep and sorted keys.
+probabilities are averaged over ``SAMPLES`` sweeps. Draws are seeded by sweep and part, in the root by the first
+word of an Arrow batch, so they follow the number of parts and the batch size of the session.
 
 Defined results: a null or empty text is one end token. A null id counts as the text '' in the hold-out rule.
 Repeated rows are scored, and learnt from, each. Without training rows all probabilities are the unknown's.
 An empty table gives an empty result. Other columns are not read. Words and contexts are told apart by 64-bit
 hashes.
 
-Scale: counts are summed within Arrow batches before they are shuffled. Dishes, restaurants and their totals are
-stored tables joined by context; none is gathered in a task or the driver, so the model grows with the corpus. A
-dish with one customer always has one table: such dishes are counted once and stay out of the sweeps. Scores of
-keys that make up at least one ``1 / HOT`` of all tokens (so HOT rows at most, whatever the corpus) are broadcast
-and added up while texts are read; other tokens join the model by key, and none of those keys can be hot.
+Scale: tokens are dealt by the word before them into parts of about ``PART_TOKENS``, as compressed columns of numbers
+in a small dictionary, about six bytes a token; a word before more tokens than that is spread over several parts. A
+part holds whole restaurants and sweeps them as arrays; what leaves it are counts of words for the root, and the totals
+of restaurants that are spread. Dishes of one customer, most of all, are not sampled (they always have one table).
+Texts are read three times: for the words, for the model, and for the scores, whose tokens meet the model in
+their part and leave as sums per text. Tables of a sweep are deleted when the next one is written. The model grows
+with the corpus, and nothing that does is broadcast or gathered in one task or the driver.
 """
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ordertide.llm.common import stored
-from ordertide.llm.wordhash import BLOCK_BYTES, NOT_BLANK, Words, joined
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ordertide.llm.common import text_hash
+from ordertide.llm.restaurants import (
+    DISCOUNT,
+    END,
+    STRENGTH,
+    Dishes,
+    Lookup,
+    Root,
+    Seats,
+    gathered,
+    packed,
+    part_numbers,
+    predictive,
+    seat,
+    token_probabilities,
+    unpacked,
+)
+from ordertide.llm.wordhash import BLOCK_BYTES, NOT_BLANK, Words
+from ordertide.plans.settings import file_system, scratch_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2  # fixed
 BURN_IN, SAMPLES = 2, 2
-DISCOUNT = (0.6, 0.7, 0.8)  # root, one word, two words
-STRENGTH = (10.0, 5.0, 2.0)
-HOT = 1 << 20
-TASK_ROWS = 500_000  # dishes that a task seats
-END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
+PART_TOKENS = 2_000_000
+MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
+GROUPS = 4  # blocks of texts that are dealt together
+
+# Rows of what parts exchange. A kind names what the row is.
+BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT = range(7)
+ROW = (
+    "part int, kind int, sample int, name bigint, customers bigint, tables bigint, p array<double>, blob binary"
+)
+_ROW = pa.schema(
+    [("part", pa.int32()), ("kind", pa.int32()), ("sample", pa.int32())]
+    + [(name, pa.int64()) for name in ("name", "customers", "tables")]
+    + [("p", pa.list_(pa.float64())), ("blob", pa.binary())]
+)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,18 +81,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(key) % FOLDS == HELD_OUT_FOLD
 
 
-# --- tokens and their restaurants ----------------------------------------------------------------
+# --- tokens ---------------------------------------------------------------------------------------
 
 
-def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about BLOCK_BYTES, with the index of the first."""
-    group, size, first = [], 0, 0
+def _groups(texts: list[bytes | None], size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``size`` bytes, with the index of the first."""
+    group, held, first = [], 0, 0
     for i, text in enumerate(texts):
         group.append(text or b"")
-        size += len(group[-1])
-        if size >= BLOCK_BYTES:
+        held += len(group[-1])
+        if held >= size:
             yield first, group
-            group, size, first = [], 0, i + 1
+            group, held, first = [], 0, i + 1
     if group:
         yield first, group
 
@@ -78,481 +109,341 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, counts
 
 
-def contexts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every token the word before it, and its restaurant: the two words before it, or END for a first word."""
-    last = np.concatenate([np.array([END]), found[:-1]])
-    before = np.concatenate([np.array([END, END]), found[:-2]])[: len(found)]
-    return last, np.where(last == END, END, joined(before, last))
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, group in _groups(batch.column("text").to_pylist()):
             words, n = np.unique(tokens(group)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["name", "n"])
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """Rows with the given columns; the others are null."""
+    n = len(next(c for c in columns.values() if isinstance(c, (list, np.ndarray, pa.Array))))
+    arrays = []
+    for field in _ROW:
+        value = columns.get(field.name)
+        if isinstance(value, np.ndarray) and value.dtype == np.uint64:
+            value = value.view(np.int64)
+        if value is None:
+            arrays.append(pa.nulls(n, field.type))
+        elif isinstance(value, (list, np.ndarray, pa.Array)):
+            arrays.append(pa.array(value, field.type))
+        else:
+            arrays.append(pa.array(np.full(n, value), field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=_ROW)
+
+
+def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool):
+    """Arrow function: texts to blocks of tokens, one row per part. For scores the blocks name their texts."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_numpy()
+            for first, group in _groups(batch.column("text").to_pylist(), GROUPS * BLOCK_BYTES):
+                found, counts = tokens(group)
+                names, word = np.unique(found, return_inverse=True)
+                end = np.searchsorted(names, END)
+                last = np.concatenate([[end], word[:-1]])
+                before = np.concatenate([[end, end], word[:-2]])[: len(word)]
+                text = np.repeat(np.arange(len(group)), counts)
+                learnt = ~held[first : first + len(group)][text]
+                part = part_numbers(names[last], found, parts, frequent)
+                # Equal neighbours compress; the order inside a part does not matter.
+                order = np.lexsort((before, last, part))
+                edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+                numbers, blobs = [], []
+                for low, high in zip(edges[:-1], edges[1:], strict=True):
+                    at = order[low:high]
+                    used = np.unique(np.concatenate([word[at], last[at], before[at]]))
+                    columns = [names[used], *(np.searchsorted(used, c[at]) for c in (word, last, before)), learnt[at]]
+                    if with_texts:
+                        own, of_text = np.unique(text[at], return_inverse=True)
+                        columns += [of_text, [ids[first + i] for i in own], hashes[first + own], counts[own]]
+                    numbers.append(int(part[at[0]]))
+                    blobs.append(packed(*columns))
+                yield _rows(part=numbers, kind=BLOCK, blob=blobs)
+
+    return batches
+
+
+# --- parts ----------------------------------------------------------------------------------------
+
+
+def _left(part: int, seats: Seats) -> Iterator[pa.RecordBatch]:
+    """What a part hands on after its customers are seated."""
+    yield _rows(part=[part], kind=STATE, blob=[seats.packed()])
+    if len(seats.words):
+        yield _rows(part=np.full(len(seats.words), part), kind=PASSED, name=seats.words, customers=seats.passed())
+    names, customers, tables = seats.shared()
+    if len(names):
+        yield _rows(part=np.full(len(names), part), kind=SHARED, name=names, customers=customers, tables=tables)
+
+
+def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(list(batches), schema=_ROW)
+
+
+def _opened(frequent: np.ndarray):
+    """Arrow function of a part: its blocks to its first state, and the words it will ask for."""
+
+    def opened(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        held = gathered([unpacked(b.as_py()) for b in rows["blob"]])
+        dishes = Dishes(held)
+        found = list(_left(part, Seats.first(held, dishes, frequent)))
+        found.append(_rows(part=np.full(len(held.names), part), kind=NEED, name=held.names))
+        settled = np.bincount((dishes.pairs % dishes.size)[~dishes.active], minlength=dishes.size)
+        which = np.flatnonzero(settled)
+        if len(which):
+            found.append(_rows(kind=SETTLED, name=held.names[which], customers=settled[which]))
+        return _table(found)
+
+    return opened
+
+
+def _kind(rows: pa.Table, kind: int, sample: int | None = None) -> pa.Table:
+    which = rows["kind"].to_numpy() == kind
+    if sample is not None:
+        which &= rows["sample"].to_numpy() == sample
+    return rows.filter(pa.array(which))
+
+
+def _names(rows: pa.Table) -> np.ndarray:
+    return rows["name"].to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _seats_by_name(rows: pa.Table) -> Lookup:
+    return Lookup(_names(rows), *(rows[c].to_numpy().astype(np.int64) for c in ("customers", "tables")))
+
+
+def _swept(turn: int, customers: int, tables: int, uniform: float):
+    """Arrow function of a part: its state, and the seats of the root and of shared restaurants, to its next state."""
+
+    def swept(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        blobs = _kind(rows, STATE)["blob"]
+        if not len(blobs):
+            return _ROW.empty_table()
+        seats = Seats.unpacked(blobs[0].as_py())
+        root = Root(_seats_by_name(_kind(rows, ROOT)), customers, tables, uniform)
+        seats.sweep(root, _seats_by_name(_kind(rows, SHARED)), np.random.default_rng([1, turn, part]))
+        return _table(_left(part, seats))
 
+    return swept
 
-def _dish_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts:
-        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        for first, group in _groups(batch.column("text").to_pylist()):
-            found, counts = tokens(group)
-            last, place = contexts(found)
-            _, index, inverse = np.unique(joined(found, place), return_index=True, return_inverse=True)
-            learnt = np.repeat(train[first : first + len(group)], counts)
+
+def _scored(samples: int, frequent: np.ndarray, n: int, v: int, unknown: list[float], id_type: pa.DataType):
+    """Arrow function of a part: its blocks and the model to sums per text."""
+    schema = pa.schema(
+        [("doc_id", id_type), *((c, pa.int64()) for c in ("text_hash", "n_tokens", "here", "known"))]
+        + [(c, pa.float64()) for c in ("base", "score")]
+    )
+
+    def scored(rows: pa.Table) -> pa.Table:
+        blocks = [unpacked(b.as_py()) for b in _kind(rows, BLOCK)["blob"]]
+        if not blocks:
+            return schema.empty_table()
+        held = gathered([b[:5] for b in blocks])
+        dishes = Dishes(held)
+        root = _kind(rows, ROOT)
+        counts = Lookup(_names(root), root["customers"].to_numpy().astype(np.int64))
+        times = counts.of(held.names)[1][0]
+        p = root["p"].combine_chunks().flatten().to_numpy().reshape(-1, samples)
+        averaged = np.zeros(len(held.word))
+        for i in range(samples):
+            listed, (base,) = Lookup(_names(root), p[:, i]).of(held.names)
+            base = np.where(listed, base, unknown[i])
+            seats = Seats.unpacked(_kind(rows, STATE, i)["blob"][0].as_py())
+            shared = _seats_by_name(_kind(rows, SHARED, i))
+            averaged += token_probabilities(held, dishes, seats, base, shared, frequent) / samples
+        values = (times > 0)[held.word], np.log10((times[held.word] + 1) / (n + v + 1)), np.log10(averaged)
+        out, low = [], 0
+        for block in blocks:
+            high = low + len(block[1])
+            here = slice(low, high)
+            sums = [np.bincount(block[5], weights=x[here], minlength=len(block[6])) for x in values]
             columns = [
-                found[index].view(np.int64),
-                last[index].view(np.int64),
-                place[index].view(np.int64),
-                np.bincount(inverse, weights=learnt).astype(np.int64),
-                np.bincount(inverse),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], ["word", "last", "place", "train", "total"]
-            )
-
-
-# --- seating -------------------------------------------------------------------------------------
-
-
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables that ``customers`` of one dish take; ``weight`` is (strength + discount * tables) * parent."""
-    tables = (customers > 0).astype(np.int64)
-    active = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(active):
-        step = np.minimum(max(1, seated // 32), customers[active] - seated)
-        new = weight[active]
-        chance = new / (new + seated - discount * tables[active])
-        tables[active] += rng.binomial(step, np.clip(chance, 0.0, 1.0))
-        seated += max(1, seated // 32)
-        active = active[customers[active] > seated]
-    return tables
-
-
-class Seating:
-    """The sampler in memory, for all words and K + 2 = ``size`` contexts; the tables' sampler is held against it."""
-
-    def __init__(self, word: np.ndarray, place: np.ndarray, train: np.ndarray, n_words: int, size: int):
-        self.word, self.place, self.size = word, place, size
-        inner, outer = place // size, place % size
-        keys = word * size + inner
-        below = inner > 0
-        self.mid_keys, index = np.unique(keys[below], return_inverse=True)
-        self.mid_of = np.full(len(word), -1)
-        self.mid_of[below] = index
-        self.mid_word, self.mid_place = self.mid_keys // size, self.mid_keys % size * size
-        self.leaf = outer > 0
-        self.customers = np.where(self.leaf, train, 0)
-        self.direct_mid = self._sum(index, np.where(outer[below] == 0, train[below], 0), len(self.mid_keys))
-        self.direct_root = self._sum(word, np.where(place == 0, train, 0), n_words)
-        self.tables = (self.customers > 0).astype(np.int64)
-        self._pass_up()
-        self.mid_tables = (self.mid_customers > 0).astype(np.int64)
-        self._pass_up()
-        self.root_tables = (self.root_customers > 0).astype(np.int64)
-
-    @staticmethod
-    def _sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(index, weights=values, minlength=n).astype(np.int64)
-
-    def _pass_up(self) -> None:
-        """Tables become customers of the parent."""
-        leaves = self.leaf
-        self.mid_customers = self.direct_mid + self._sum(
-            self.mid_of[leaves], self.tables[leaves], len(self.mid_keys)
-        )
-        if hasattr(self, "mid_tables"):
-            self.root_customers = self.direct_root + self._sum(
-                self.mid_word, self.mid_tables, len(self.direct_root)
-            )
-
-    def totals(self) -> np.ndarray:
-        """Customers and tables of every restaurant, from these words."""
-        sums = np.zeros((2, self.size * self.size), np.int64)
-        for place, customers, tables in (
-            (np.zeros(len(self.direct_root), np.int64), self.root_customers, self.root_tables),
-            (self.mid_place, self.mid_customers, self.mid_tables),
-            (self.place[self.leaf], self.customers[self.leaf], self.tables[self.leaf]),
-        ):
-            sums[0] += self._sum(place, customers, sums.shape[1])
-            sums[1] += self._sum(place, tables, sums.shape[1])
-        return sums
-
-    def _predict(self, level, customers, tables, place, parent, totals):
-        d, s = DISCOUNT[level], STRENGTH[level]
-        mass = np.maximum(customers - d * tables, 0.0)
-        return (mass + (s + d * totals[1][place]) * parent) / (s + totals[0][place])
-
-    def sweep(self, totals: np.ndarray, uniform: float, rng) -> None:
-        """Seat all customers anew, from the deepest restaurants up, given everybody's totals."""
-
-        def weight(level, place, parent):
-            return (STRENGTH[level] + DISCOUNT[level] * totals[1][place]) * parent
-
-        leaves = np.flatnonzero(self.leaf & (self.customers > 0))
-        root, mid, _ = self.predictions(totals, uniform)
-        mids = self.mid_of[leaves]
-        left = np.maximum(self.mid_customers[mids] - self.tables[leaves], 0)  # own tables leave the parent first
-        there = np.minimum(self.mid_tables[mids], left)
-        parent = self._predict(1, left, there, self.mid_place[mids], root[self.mid_word[mids]], totals)
-        self.tables[leaves] = seat(
-            self.customers[leaves], weight(2, self.place[leaves], parent), DISCOUNT[2], rng
-        )
-        self._pass_up()
-        left = np.maximum(self.root_customers[self.mid_word] - self.mid_tables, 0)
-        there = np.minimum(self.root_tables[self.mid_word], left)
-        parent = self._predict(0, left, there, np.zeros(len(left), np.int64), uniform, totals)
-        self.mid_tables = seat(self.mid_customers, weight(1, self.mid_place, parent), DISCOUNT[1], rng)
-        self._pass_up()
-        base = np.full(len(self.direct_root), weight(0, 0, uniform))
-        self.root_tables = seat(self.root_customers, base, DISCOUNT[0], rng)
-
-    def predictions(self, totals: np.ndarray, uniform: float):
-        """Probabilities of the words at the root, below one word, and in every dish's own restaurant."""
-        zero = np.zeros(len(self.direct_root), np.int64)
-        root = self._predict(0, self.root_customers, self.root_tables, zero, uniform, totals)
-        mid = self._predict(
-            1, self.mid_customers, self.mid_tables, self.mid_place, root[self.mid_word], totals
-        )
-        own = root[self.word].copy()
-        below = self.mid_of >= 0
-        own[below] = mid[self.mid_of[below]]
-        leaf = self.leaf
-        own[leaf] = self._predict(2, self.customers[leaf], self.tables[leaf], self.place[leaf], own[leaf], totals)
-        return root, mid, own
-
-
-class State(NamedTuple):
-    """Customers and tables of the dishes that can change, by (place, word), (last, word) and word."""
-
-    leaves: DataFrame
-    pairs: DataFrame
-    roots: DataFrame
-
-
-def _predictive(level: int, customers, tables, all_customers, all_tables, parent) -> Column:
-    """The probability of a dish, from its restaurant's totals and its parent's probability."""
-    d, s = DISCOUNT[level], STRENGTH[level]
-    mass = F.greatest(customers - d * tables, F.lit(0.0))
-    return (mass + (s + d * all_tables) * parent) / (s + all_customers)
-
-
-def _weight(level: int, all_tables, parent) -> Column:
-    return (STRENGTH[level] + DISCOUNT[level] * all_tables) * parent
-
-
-def _col(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
-
-
-def _without_own(customers: str, tables: str) -> tuple[Column, Column]:
-    """The parent's customers and tables of a dish whose own tables have left it."""
-    left = F.greatest(F.col(customers) - F.col("tables"), F.lit(0))
-    return left, F.least(F.col(tables), left)
-
-
-def _seated(rows: DataFrame, keys: list[str], level: int, turn: int, n: int, label: str) -> DataFrame:
-    """``rows`` with the tables that their customers take, given ``weight``. The same rows give the same tables."""
+                pa.array(block[6], id_type), pa.array(block[7]), pa.array(block[8]),
+                pa.array(np.bincount(block[5], minlength=len(block[6]))), pa.array(sums[0].astype(np.int64)),
+                pa.array(sums[1]), pa.array(sums[2]),
+            ]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+            low = high
+        return pa.Table.from_batches(out, schema=schema)
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            customers, weight = (batch.column(c).to_numpy() for c in ("customers", "weight"))
-            first = [batch.column(k).to_numpy()[:1].view(np.uint64) for k in keys] if len(customers) else []
-            rng = np.random.default_rng([level, turn, len(customers), *(int(f[0]) for f in first)])
-            columns = [batch.column(c) for c in kept]
-            tables = seat(customers, weight, DISCOUNT[level], rng)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(tables)], [*kept, "tables"])
-
-    kept = [c for c in rows.columns if c != "weight"]
-    schema = ", ".join(f"{c} bigint" for c in [*kept, "tables"])
-    ordered = rows.repartition(1 + n // TASK_ROWS, *keys).sortWithinPartitions(*keys)
-    return stored(ordered.mapInArrow(batches, schema), f"{label}-seats{level}")
-
-
-class Model:
-    """The restaurants of ``dishes`` (word, last, place, train, total); ``words`` has the training counts."""
-
-    def __init__(self, dishes: DataFrame, words: DataFrame, n: int, v: int, label: str):
-        self.dishes, self.words, self.n, self.v, self.label = dishes, words, n, v, label
-        self.uniform = 1.0 / (v + 1)
-        direct = F.col("place") == int(END.astype(np.int64))
-        self.many, own = ~direct & (F.col("train") > 1), F.when(direct, 0).otherwise(F.col("train"))
-        self.own = own.cast("bigint")
-        self.places = stored(
-            dishes.filter(~direct)
-            .groupBy("place")
-            .agg(F.sum("train").alias("all_customers"), F.sum((F.col("train") == 1).cast("bigint")).alias("alone")),
-            f"{label}-places",
-        )
-        fixed = F.when(direct, F.col("train")).otherwise((F.col("train") == 1).cast("bigint"))
-        self.pairs = stored(
-            dishes.groupBy("last", "word").agg(
-                F.sum(fixed).alias("fixed"), F.sum(self.many.cast("bigint")).alias("many")
-            ),
-            f"{label}-pairs",
-        )
-        self.active = (F.col("fixed") > 1) | (F.col("many") > 0)
-        self.settled = ~self.active & (F.col("fixed") == 1)
-        self.lasts = stored(
-            self.pairs.filter(self.settled).groupBy("last").agg(F.count("*").alias("alone")), f"{label}-lasts"
-        )
-
-    def start(self) -> State:
-        """One table for every dish that has customers."""
-        one = F.lit(1).cast("bigint").alias("tables")
-        leaves = (
-            self.dishes.filter(self.many)
-            .join(self.places.select("place", "alone"), "place")
-            .select("word", "last", "place", "alone", F.col("train").alias("customers"), one)
-        )
-        pairs = self.pairs.filter(self.active).select(
-            "last", "word", "fixed", (F.col("fixed") + F.col("many")).alias("customers"), one
-        )
-        settled, active = (F.sum(c.cast("bigint")) for c in (self.settled, self.active))
-        roots = self.pairs.groupBy("word").agg(settled.alias("settled"), active.alias("active"))
-        roots = roots.select("word", "settled", (F.col("settled") + F.col("active")).alias("customers"), one)
-        frames = leaves, pairs, roots.filter("customers > 0")
-        return State(*(stored(f, f"{self.label}-seats{2 - i}") for i, f in enumerate(frames)))
-
-    def _last_totals(self, state: State, suffix: str = "") -> DataFrame:
-        """Customers and tables of every one-word restaurant."""
-        alone = self.lasts.select("last", F.col("alone").alias("customers"), F.col("alone").alias("tables"))
-        return (
-            state.pairs.select("last", "customers", "tables")
-            .unionByName(alone)
-            .groupBy("last")
-            .agg(F.sum("customers").alias(f"all_customers{suffix}"), F.sum("tables").alias(f"all_tables{suffix}"))
-        )
-
-    @staticmethod
-    def _root_totals(state: State) -> tuple[int, int]:
-        sums = state.roots.agg(F.sum("customers"), F.sum("tables")).first()
-        return sums[0] or 0, sums[1] or 0
-
-    def sweep(self, state: State, turn: int) -> State:
-        """Seat all customers anew, from the deepest restaurants up, given everybody's totals."""
-        root = [F.lit(x) for x in self._root_totals(state)]
-        roots = state.roots.select(
-            "word", F.col("customers").alias("root_customers"), F.col("tables").alias("root_tables")
-        )
-        pairs = stored(
-            state.pairs.join(self._last_totals(state), "last").join(roots, "word"), f"{self.label}-parents"
-        )
-        share = _predictive(0, F.col("root_customers"), F.col("root_tables"), *root, F.lit(self.uniform))
-        parents = pairs.select(
-            "last",
-            "word",
-            F.col("customers").alias("mid_customers"),
-            F.col("tables").alias("mid_tables"),
-            "all_customers",
-            "all_tables",
-            share.alias("share"),
-        )
-        totals = state.leaves.groupBy("place").agg(F.sum("tables").alias("place_tables"))
-        left = _without_own("mid_customers", "mid_tables")
-        parent = _predictive(1, *left, F.col("all_customers"), F.col("all_tables"), F.col("share"))
-        weight = _weight(2, F.col("alone") + F.col("place_tables"), parent).alias("weight")
-        leaves = _seated(
-            state.leaves.join(totals, "place")
-            .join(parents, ["last", "word"])
-            .select("word", "last", "place", "alone", "customers", weight),
-            ["place", "word"], 2, turn, state.leaves.count(), self.label,
-        )
-
-        passed = leaves.groupBy("last", "word").agg(F.sum("tables").alias("passed"))
-        left = _without_own("root_customers", "root_tables")
-        parent = _predictive(0, *left, *root, F.lit(self.uniform))
-        customers = (F.col("fixed") + _col("passed")).alias("customers")
-        weight = _weight(1, F.col("all_tables"), parent).alias("weight")
-        pairs = _seated(
-            pairs.join(passed, ["last", "word"], "left").select("last", "word", "fixed", customers, weight),
-            ["last", "word"], 1, turn, state.pairs.count(), self.label,
-        )
-
-        passed = pairs.groupBy("word").agg(F.sum("tables").alias("passed"))
-        customers = (F.col("settled") + _col("passed")).alias("customers")
-        weight = _weight(0, root[1], F.lit(self.uniform)).alias("weight")
-        roots = _seated(
-            state.roots.join(passed, "word", "left").select("word", "settled", customers, weight),
-            ["word"], 0, turn, state.roots.count(), self.label,
-        )
-        return State(leaves, pairs, roots)
-
-    def _pair_probabilities(self, samples: list[State]) -> DataFrame:
-        """``mid0``, ``mid1`` ... of every (last, word), and the training count of the word."""
-        pairs, lasts, roots = self.pairs.select("last", "word", "fixed"), None, self.words
-        for i, state in enumerate(samples):
-            seats = state.pairs.select(
-                "last", "word", F.col("customers").alias(f"customers{i}"), F.col("tables").alias(f"tables{i}")
-            )
-            pairs = pairs.join(seats, ["last", "word"], "left")
-            totals = self._last_totals(state, str(i))
-            lasts = totals if lasts is None else lasts.join(totals, "last")
-            base = _predictive(
-                0, F.col("customers"), F.col("tables"), *map(F.lit, self._root_totals(state)), F.lit(self.uniform)
-            )
-            roots = roots.join(state.roots.select("word", base.alias(f"root{i}")), "word")
-        mids = []
-        for i, state in enumerate(samples):
-            unknown = _predictive(0, F.lit(0), F.lit(0), *map(F.lit, self._root_totals(state)), F.lit(self.uniform))
-            customers, tables = (F.coalesce(f"{c}{i}", "fixed") for c in ("customers", "tables"))
-            totals = _col(f"all_customers{i}"), _col(f"all_tables{i}")
-            mids.append(_predictive(1, customers, tables, *totals, F.coalesce(F.col(f"root{i}"), unknown)).alias(f"mid{i}"))
-        return (
-            pairs.join(lasts, "last", "left")
-            .join(roots, "word", "left")
-            .select("last", "word", _col("n").alias("n"), *mids)
-        )
-
-    def scores(self, samples: list[State]) -> DataFrame:
-        """(key, total, known, base, score) of every word in every restaurant where some text has it."""
-        names = [f"tables{i}" for i in range(len(samples))]
-        rows = self.dishes.select("word", "last", "place", "train", "total", self.own.alias("own"))
-        once = rows.filter(~self.many).withColumns({name: F.col("own") for name in names})
-        more, places = rows.filter(self.many), self.places
-        for i, state in enumerate(samples):
-            seats = state.leaves.select("word", "last", "place", F.col("tables").alias(names[i]))
-            more = more.join(seats, ["word", "last", "place"])
-            totals = state.leaves.groupBy("place").agg(F.sum("tables").alias(f"place_tables{i}"))
-            places = places.join(totals, "place", "left")
-        both = (
-            once.unionByName(more)
-            .join(places, "place", "left")
-            .join(self._pair_probabilities(samples), ["last", "word"])
-        )
-        averaged = F.lit(0.0)
-        for i, name in enumerate(names):
-            tables = _col("alone") + _col(f"place_tables{i}")
-            p = _predictive(2, F.col("own"), F.col(name), _col("all_customers"), tables, F.col(f"mid{i}"))
-            averaged = averaged + p / len(samples)
-        n = F.col("n")
-        return both.select(
-            "word",
-            "place",
-            "total",
-            (n > 0).alias("known"),
-            F.log10((n + 1) / F.lit(self.n + self.v + 1)).alias("base"),
-            F.log10(averaged).alias("score"),
-        ).mapInArrow(_keyed, "key bigint, total bigint, known boolean, base double, score double")
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        word, place = (batch.column(c).to_numpy().view(np.uint64) for c in ("word", "place"))
-        names = ["total", "known", "base", "score"]
-        columns = [pa.array(joined(word, place).view(np.int64)), *(batch.column(c) for c in names)]
-        yield pa.RecordBatch.from_arrays(columns, ["key", *names])
+    return scored
 
 
-# --- scoring -------------------------------------------------------------------------------------
+# --- the model ------------------------------------------------------------------------------------
 
 
-def _score_texts(hot):
-    """Per text: its number of tokens, sums over its hot keys, and its other keys."""
+class Scratch:
+    """Tables of a run under one label, each deleted when it is done with."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, f"{self.label}-{name}")
+        frame.write.parquet(path)
+        stored = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[id(stored)] = (path, stored)
+        return stored
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables, and let Spark clean up the shuffles that wrote them."""
+        for frame in frames:
+            target, files = file_system(self.spark, self.paths.pop(id(frame))[0])
+            files.delete(target, True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def _root_seats(rows: DataFrame, turn: int, customers: int, tables: int, uniform: float) -> DataFrame:
+    """(name, n, settled, customers, tables) with the tables that the root's customers take."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known, base, score = hot.value
         for batch in parts:
-            for first, group in _groups(batch.column("text").to_pylist()):
-                found, counts = tokens(group)
-                wanted = joined(found, contexts(found)[1]).view(np.int64)
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                hit = keys[at] == wanted
-                text_of = np.repeat(np.arange(len(group)), counts)
-                sums = [
-                    np.bincount(text_of, weights=np.where(hit, values[at], 0), minlength=len(group))
-                    for values in (known, base, score)
-                ]
-                rest = np.bincount(text_of, weights=~hit, minlength=len(group)).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
-                part = batch.slice(first, len(group))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        pa.array(counts),
-                        pa.array(sums[0].astype(np.int64)),
-                        pa.array(sums[1]),
-                        pa.array(sums[2]),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(wanted[~hit])),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"],
-                )
+            held = batch.column("customers").to_numpy()
+            weight = np.full(len(held), (STRENGTH[0] + DISCOUNT[0] * tables) * uniform)
+            first = batch.column("name").to_numpy()[:1].view(np.uint64).tolist()
+            seated = seat(held, weight, DISCOUNT[0], np.random.default_rng([0, turn, len(held), *first]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seated)], [*batch.schema.names, "tables"])
+
+    schema = "name bigint, n bigint, settled bigint, customers bigint, tables bigint"
+    return rows.sortWithinPartitions("name").mapInArrow(batches, schema)
+
+
+def _totals(root: DataFrame) -> tuple[int, int]:
+    sums = root.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first()
+    return sums[0], sums[1]
+
+
+def _asked(needs: DataFrame, root: DataFrame, p: Column) -> DataFrame:
+    """The root's numbers of the words that each part asked for, as rows."""
+    return needs.join(root, "name").select(
+        "part", F.lit(ROOT).alias("kind"), F.lit(0).alias("sample"), "name", "customers", "tables",
+        p.alias("p"), F.lit(None).cast("binary").alias("blob"),
+    )
 
-    return batches
+
+def _shared(state: DataFrame, sample: int) -> DataFrame:
+    """Totals of shared restaurants, for every part that holds some of their dishes."""
+    rows = state.filter(F.col("kind") == SHARED)
+    sums = rows.groupBy("name").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"))
+    return rows.select("part", "name").join(sums, "name").select(
+        "part", F.lit(SHARED).alias("kind"), F.lit(sample).alias("sample"), "name", "customers", "tables",
+        F.lit(None).cast("array<double>").alias("p"), F.lit(None).cast("binary").alias("blob"),
+    )
+
+
+def _states(state: DataFrame, sample: int) -> DataFrame:
+    return state.filter(F.col("kind") == STATE).withColumn("sample", F.lit(sample))
 
 
 def score_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    part_tokens: int = PART_TOKENS,
     label: str = "hpylm",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, label)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         held_out(F.col(id_col)).alias("held_out"),
+        text_hash(F.col(text_col)).alias("text_hash"),
         F.col(text_col).cast("binary").alias("text"),
     )
-    train = rows.filter(~F.col("held_out")).select("text")
-    words = stored(
-        train.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")),
-        f"{label}-words",
-    )
+    learnt = rows.filter(~F.col("held_out")).select("text")
+    counted = learnt.mapInArrow(_word_counts, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    words = scratch.keep(counted, "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counted = (
-        rows.select("held_out", "text")
-        .mapInArrow(_dish_counts, "word bigint, last bigint, place bigint, train bigint, total bigint")
-        .groupBy("word", "last", "place")
-        .agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
+    uniform = 1.0 / (v + 1)
+    parts = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / part_tokens))
+    often = words.filter(F.col("n") > max(part_tokens // 2, n // MOST_SPREAD)).orderBy("name").collect()
+    pairs = sorted((r["name"] % (1 << 64), 2 * math.ceil(r["n"] / part_tokens)) for r in often)
+    frequent = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+
+    def in_parts(*frames: DataFrame):
+        union = frames[0]
+        for frame in frames[1:]:
+            union = union.unionByName(frame)
+        return union.groupBy("part")
+
+    blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=False), ROW)
+    opened = scratch.keep(in_parts(blocks).applyInArrow(_opened(frequent[0]), ROW), "opened")
+    scratch.drop()
+    kind = F.col("kind")
+    passed = F.sum(F.when(kind == PASSED, F.col("customers")))
+    settled = F.sum(F.when(kind == SETTLED, F.col("customers")))
+    first = opened.groupBy("name").agg(
+        F.coalesce(settled, F.lit(0)).alias("settled"), F.coalesce(passed, F.lit(0)).alias("passed")
+    )
+    customers = (F.col("settled") + F.col("passed")).alias("customers")
+    root = scratch.keep(
+        words.join(first, "name").select("name", "n", "settled", customers, F.lit(1).cast("bigint").alias("tables")),
+        "root",
     )
-    restaurants = Model(stored(counted, f"{label}-dishes"), words, n, v, label)
-    states = [restaurants.start()]
+    needs = scratch.keep(opened.filter(kind == NEED).select("part", "name"), "needs")
+    asked = scratch.keep(opened.filter(kind == PASSED).select("part", "name"), "asked")
+    state = scratch.keep(opened.filter(kind.isin(STATE, SHARED)), "state")
+    scratch.drop(opened, words)
+
+    nothing = F.lit(None).cast("array<double>")
+    samples = []
     for turn in range(BURN_IN + SAMPLES):
-        states.append(restaurants.sweep(states[-1], turn))
-    model = stored(restaurants.scores(states[-SAMPLES:]), f"{label}-model")
-
-    floor = (model.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]) / HOT
-    common_keys = model.filter(F.col("total") >= floor).orderBy("key").toArrow()  # HOT rows at most
-    arrays = [common_keys[c].to_numpy() for c in ("key", "known", "base", "score")]
-    if not len(arrays[0]):
-        arrays = [np.zeros(1, np.int64), np.zeros(1), np.zeros(1), np.zeros(1)]
-    hot = spark.sparkContext.broadcast(arrays)
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    sums = "known bigint, base double, score double"
-    scored = rows.mapInArrow(
-        _score_texts(hot),
-        f"doc_id {id_type}, held_out boolean, n_tokens bigint, {sums}, rest array<bigint>",
+        totals = _totals(root)
+        moved = in_parts(_states(state, 0), _asked(asked, root, nothing), _shared(state, 0))
+        after = scratch.keep(moved.applyInArrow(_swept(turn, *totals, uniform), ROW), "state")
+        passed = after.filter(kind == PASSED).groupBy("name").agg(F.sum("customers").alias("passed"))
+        customers = (F.col("settled") + F.coalesce("passed", F.lit(0))).alias("customers")
+        held = root.join(passed, "name", "left").select("name", "n", "settled", customers)
+        moved = scratch.keep(_root_seats(held, turn, *totals, uniform), "root")
+        if turn <= BURN_IN:  # before that, no sample needs it
+            scratch.drop(state, root)
+        state, root = after, moved
+        if turn >= BURN_IN:
+            samples.append((state, root, _totals(root)))
+
+    chances, known, models = [], None, []
+    for i, (state, root, totals) in enumerate(samples):
+        d, s = DISCOUNT[0], STRENGTH[0]
+        mass = F.greatest(F.col("customers") - d * F.col("tables"), F.lit(0.0))
+        p = ((mass + (s + d * totals[1]) * uniform) / (s + totals[0])).alias(f"p{i}")
+        here = root.select("name", F.col("n").alias("customers"), p) if known is None else root.select("name", p)
+        known = here if known is None else known.join(here, "name")
+        chances.append(predictive(0, 0, 0, *totals, uniform))
+        models += [_states(state, i), _shared(state, i)]
+    known = known.withColumn("tables", F.lit(0).cast("bigint"))
+    chance = F.array(*(F.col(f"p{i}") for i in range(len(samples))))
+    blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=True), ROW)
+    found = in_parts(blocks, _asked(needs, known, chance), *models)
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    sums = found.applyInArrow(
+        _scored(len(samples), frequent[0], n, v, [float(c) for c in chances], id_type),
+        f"doc_id {id_kind}, text_hash bigint, n_tokens bigint, here bigint, known bigint, base double, score double",
     )
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), f"{label}-texts")
-    rare = model.filter(F.col("total") < floor).select("key", "known", "base", "score")
-    others = (
-        scored.select("row", F.explode("rest").alias("key"))
-        .join(rare, "key")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("known").cast("bigint")).alias("known_2"),
-            F.sum("base").alias("base_2"),
-            F.sum("score").alias("score_2"),
-        )
+    # Rows alike are summed together and get their share each.
+    whole = sums.groupBy("doc_id", "text_hash").agg(
+        F.first("n_tokens").alias("n_tokens"),
+        *(F.sum(c).alias(c) for c in ("here", "known", "base", "score")),
     )
-    def both(name: str) -> Column:
-        return F.col(name) + F.coalesce(f"{name}_2", F.lit(0))
-
-    return (
-        scored.drop("rest")
-        .join(others, "row", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            both("known").cast("bigint").alias("n_known"),
-            F.lit(n).cast("bigint").alias("train_tokens"),
-            both("base").alias("base_score"),
-            both("score").alias("score"),
-            F.pow(F.lit(10.0), -both("score") / F.col("n_tokens")).alias("perplexity"),
-        )
+    whole = scratch.keep(whole, "scores").alias("s")
+    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_hash") == F.col("s.text_hash"))
+    copies = F.col("here") / F.col("n_tokens")
+    result = rows.drop("text").alias("r").join(whole, same).select(
+        "r.doc_id",
+        "held_out",
+        "n_tokens",
+        F.round(F.col("known") / copies).cast("bigint").alias("n_known"),
+        F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base") / copies).alias("base_score"),
+        (F.col("score") / copies).alias("score"),
     )
+    scratch.drop(*{id(f): f for state, root, _ in samples for f in (state, root)}.values(), needs, asked)
+    return result.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -1,0 +1,100 @@
+"""The sampler of the language model in memory, plainly: what the parts of the operator are held against."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ordertide.llm.restaurants import DISCOUNT, STRENGTH, seat
+
+
+class Seating:
+    """For all words and K + 2 = ``size`` contexts."""
+
+    def __init__(self, word: np.ndarray, place: np.ndarray, train: np.ndarray, n_words: int, size: int):
+        self.word, self.place, self.size = word, place, size
+        inner, outer = place // size, place % size
+        keys = word * size + inner
+        below = inner > 0
+        self.mid_keys, index = np.unique(keys[below], return_inverse=True)
+        self.mid_of = np.full(len(word), -1)
+        self.mid_of[below] = index
+        self.mid_word, self.mid_place = self.mid_keys // size, self.mid_keys % size * size
+        self.leaf = outer > 0
+        self.customers = np.where(self.leaf, train, 0)
+        self.direct_mid = self._sum(index, np.where(outer[below] == 0, train[below], 0), len(self.mid_keys))
+        self.direct_root = self._sum(word, np.where(place == 0, train, 0), n_words)
+        self.tables = (self.customers > 0).astype(np.int64)
+        self._pass_up()
+        self.mid_tables = (self.mid_customers > 0).astype(np.int64)
+        self._pass_up()
+        self.root_tables = (self.root_customers > 0).astype(np.int64)
+
+    @staticmethod
+    def _sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(index, weights=values, minlength=n).astype(np.int64)
+
+    def _pass_up(self) -> None:
+        """Tables become customers of the parent."""
+        leaves = self.leaf
+        self.mid_customers = self.direct_mid + self._sum(
+            self.mid_of[leaves], self.tables[leaves], len(self.mid_keys)
+        )
+        if hasattr(self, "mid_tables"):
+            self.root_customers = self.direct_root + self._sum(
+                self.mid_word, self.mid_tables, len(self.direct_root)
+            )
+
+    def totals(self) -> np.ndarray:
+        """Customers and tables of every restaurant, from these words."""
+        sums = np.zeros((2, self.size * self.size), np.int64)
+        for place, customers, tables in (
+            (np.zeros(len(self.direct_root), np.int64), self.root_customers, self.root_tables),
+            (self.mid_place, self.mid_customers, self.mid_tables),
+            (self.place[self.leaf], self.customers[self.leaf], self.tables[self.leaf]),
+        ):
+            sums[0] += self._sum(place, customers, sums.shape[1])
+            sums[1] += self._sum(place, tables, sums.shape[1])
+        return sums
+
+    def _predict(self, level, customers, tables, place, parent, totals):
+        d, s = DISCOUNT[level], STRENGTH[level]
+        mass = np.maximum(customers - d * tables, 0.0)
+        return (mass + (s + d * totals[1][place]) * parent) / (s + totals[0][place])
+
+    def sweep(self, totals: np.ndarray, uniform: float, rng) -> None:
+        """Seat all customers anew, from the deepest restaurants up, given everybody's totals."""
+
+        def weight(level, place, parent):
+            return (STRENGTH[level] + DISCOUNT[level] * totals[1][place]) * parent
+
+        leaves = np.flatnonzero(self.leaf & (self.customers > 0))
+        root, mid, _ = self.predictions(totals, uniform)
+        mids = self.mid_of[leaves]
+        left = np.maximum(self.mid_customers[mids] - self.tables[leaves], 0)  # own tables leave the parent first
+        there = np.minimum(self.mid_tables[mids], left)
+        parent = self._predict(1, left, there, self.mid_place[mids], root[self.mid_word[mids]], totals)
+        self.tables[leaves] = seat(
+            self.customers[leaves], weight(2, self.place[leaves], parent), DISCOUNT[2], rng
+        )
+        self._pass_up()
+        left = np.maximum(self.root_customers[self.mid_word] - self.mid_tables, 0)
+        there = np.minimum(self.root_tables[self.mid_word], left)
+        parent = self._predict(0, left, there, np.zeros(len(left), np.int64), uniform, totals)
+        self.mid_tables = seat(self.mid_customers, weight(1, self.mid_place, parent), DISCOUNT[1], rng)
+        self._pass_up()
+        base = np.full(len(self.direct_root), weight(0, 0, uniform))
+        self.root_tables = seat(self.root_customers, base, DISCOUNT[0], rng)
+
+    def predictions(self, totals: np.ndarray, uniform: float):
+        """Probabilities of the words at the root, below one word, and in every dish's own restaurant."""
+        zero = np.zeros(len(self.direct_root), np.int64)
+        root = self._predict(0, self.root_customers, self.root_tables, zero, uniform, totals)
+        mid = self._predict(
+            1, self.mid_customers, self.mid_tables, self.mid_place, root[self.mid_word], totals
+        )
+        own = root[self.word].copy()
+        below = self.mid_of >= 0
+        own[below] = mid[self.mid_of[below]]
+        leaf = self.leaf
+        own[leaf] = self._predict(2, self.customers[leaf], self.tables[leaf], self.place[leaf], own[leaf], totals)
+        return root, mid, own

@@ -6,9 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import awkward, documents, empty
+from seating import Seating
 
 from ordertide.llm import queries
-from ordertide.llm.hpylm import Seating, score_texts, seat
+from ordertide.llm.hpylm import score_texts
+from ordertide.llm.restaurants import Dishes, Seats, gathered, seat
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -46,14 +48,54 @@ def test_counts_and_base_scores_equal_brute_force(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
-def test_shuffled_and_broadcast_scores_agree(spark, monkeypatch):
+def test_scores_do_not_depend_on_the_parts(spark):
+    """One part, or many with the commonest words before a token spread over several of them."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    columns = ["doc_id", "n_known", "score"]
-    first = {r.doc_id: r for r in score_texts(docs).select(columns).collect()}
-    monkeypatch.setattr("ordertide.llm.hpylm.HOT", 50)
-    for r in score_texts(docs).select(columns).collect():
-        assert r.n_known == first[r.doc_id].n_known
-        assert r.score == pytest.approx(first[r.doc_id].score)
+    whole = {r.doc_id: r for r in score_texts(docs).collect()}
+    total = sum(r.score for r in whole.values())
+    for part_tokens in (20_000, 1_500):
+        found = score_texts(docs, part_tokens=part_tokens).collect()
+        assert len(found) == len(whole)
+        for r in found:
+            one = whole[r.doc_id]
+            assert (r.n_tokens, r.n_known) == (one.n_tokens, one.n_known)
+            assert r.base_score == pytest.approx(one.base_score, rel=1e-9)
+            assert r.score == pytest.approx(one.score, rel=0.1, abs=2)  # other draws
+        assert sum(r.score for r in found) == pytest.approx(total, rel=0.005)
+
+
+def test_rows_alike_and_long_texts(spark):
+    """A third of all rows are one row, learnt from as often as it occurs; one text is longer than a block."""
+    alike = [(7, "the same text over and over")] * 60
+    long = " ".join(f"w{i % 5000}" for i in range(900_000))
+    rows = [*alike, *((i, f"own text {i} of many") for i in range(100, 220)), (3, long)]
+    found = score_texts(documents(spark, rows), part_tokens=100_000).collect()
+    assert len(found) == len(rows)
+    same = {tuple(r) for r in found if r.doc_id == 7}
+    assert len(same) == 1 and next(iter(same))[2] == 7
+    counts = Counter(w for i, text in rows if not out(i) for w in brute_tokens(text))
+    big = next(r for r in found if r.doc_id == 3)
+    assert big.n_tokens == 900_001 and big.train_tokens == sum(counts.values())
+
+
+def test_shared_restaurants_have_the_totals_of_all_parts():
+    """Seats of one last spread over three parts: totals, shared, are those of one part with all its tokens."""
+    rng = np.random.default_rng(4)
+    names = np.sort(rng.integers(1, 1 << 62, 40).astype(np.uint64))
+    word, before = rng.integers(0, 40, 3000), rng.integers(0, 40, 3000)
+    last = np.full(3000, 5)
+
+    def seats(at):
+        held = gathered([[names, word[at], last[at], before[at], np.ones(at.sum(), bool)]])
+        return Seats.first(held, Dishes(held), names[5:6])
+
+    one = seats(np.ones(3000, bool)).shared()
+    parts = [seats(word % 3 == k).shared() for k in range(3)]
+    sums = {}
+    for part in parts:
+        for name, *totals in zip(*part, strict=True):
+            sums[name] = np.add(sums.get(name, 0), totals)
+    assert {k: tuple(v) for k, v in sums.items()} == {n: (c, t) for n, c, t in zip(*one, strict=True)}
 
 
 def test_awkward_rows(spark):
