@@ -6,32 +6,32 @@ long ones the one with the longer host). For every url the candidate strings an
 digested (XXH64), found in the sorted array by binary search, and confirmed against the stored full strings, so
 that a collision of digests cannot decide. A url without an entry gets ``default``.
 
-The array is memory-mapped: workers keep one copy on disk, pages of which are shared.
+The array is one file that Spark copies to every executor once; its Python workers map it and share its pages.
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no entry. An entry listed
 with several verdicts is blocked if one of them blocks; null entries and entries without a slash are refused.
 Repeated rows stay. An empty table gives an empty result; an empty list lets everything through. Extra columns
 do not matter.
 
-Scale: pages are read once, only their id and url. Up to ``max_bytes`` the list is broadcast; beyond, distinct
+Scale: pages are read once, only their id and url. Up to ``max_bytes`` the list goes to every executor; beyond, distinct
 candidates and list are dealt by digest into shards, each probed the same way where it lies.
 """
 
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.llm.common import lower_ascii, stored
+from ordertide.plans.settings import file_system, scratch_path
 
 ALLOW, BLOCK = "allow", "block"
 MAX_BYTES = 64 << 20
@@ -48,18 +48,30 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 # --- the array -----------------------------------------------------------------------------------
 
 
+def array_bytes(entries: list[str], verdicts: list[str], names: list[str]) -> bytes:
+    """The array as bytes: its length, sorted digests, ends of strings, places of verdicts in ``names``, strings."""
+    raw = [e.encode() for e in entries]
+    digests = np.array([xxhash.xxh64_intdigest(e) for e in raw], np.uint64)
+    order = np.argsort(digests, kind="stable")
+    ends = np.cumsum([len(raw[i]) for i in order], dtype=np.int64)
+    codes = np.array([names.index(verdicts[i]) for i in order], np.uint16)
+    length = np.array([len(raw)], np.int64)
+    return b"".join([length.tobytes(), digests[order].tobytes(), ends.tobytes(), codes.tobytes(), *(raw[i] for i in order)])
+
+
 class DigestArray:
-    """Sorted digests with their strings, as memory-mapped files that vanish with the process."""
-
-    def __init__(self, entries: list[str], values: list[str]):
-        raw = [e.encode() for e in entries]
-        digests = np.array([xxhash.xxh64_intdigest(e) for e in raw], np.uint64)
-        order = np.argsort(digests, kind="stable")
-        ends = np.cumsum([len(raw[i]) for i in order], dtype=np.int64)
-        self.digests = _mapped(digests[order].tobytes(), np.uint64)
-        self.ends = _mapped(ends.tobytes(), np.int64)
-        self.strings = _mapped(b"".join(raw[i] for i in order), np.uint8)
-        self.values = [values[i] for i in order]
+    """Sorted digests with their strings and verdicts, as views of bytes in memory or of a mapped file."""
+
+    def __init__(self, data: np.ndarray, names: list[str]):
+        n = int(data[:8].view(np.int64)[0])
+        self.digests = data[8 : 8 + 8 * n].view(np.uint64)
+        self.ends = data[8 + 8 * n : 8 + 16 * n].view(np.int64)
+        self.codes = data[8 + 16 * n : 8 + 18 * n].view(np.uint16)
+        self.strings = data[8 + 18 * n :]
+        self.names = names
+
+    def value(self, at: int) -> str:
+        return self.names[self.codes[at]]
 
     def probe(self, candidates: list[str]) -> list[int]:
         """For every candidate its place in the array, or -1."""
@@ -76,24 +88,28 @@ class DigestArray:
         return found.tolist()
 
 
-def _mapped(data: bytes, kind) -> np.ndarray:
-    if not data:
-        return np.empty(0, kind)
-    with tempfile.TemporaryFile() as file:  # the mapping outlives the closed, nameless file
-        file.write(data)
-        file.flush()
-        return np.memmap(file, dtype=kind, mode="r")
+def _shipped(spark: SparkSession, data: bytes, label: str) -> str:
+    """Write the array to the shared folder and have Spark copy it to the executors; the file's name there."""
+    path = scratch_path(spark, f"{label}-array")
+    target, files = file_system(spark, path)
+    stream = files.create(target, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    spark.sparkContext.addFile(str(target.toString()))
+    return target.getName()
 
 
 _ARRAYS: dict[str, DigestArray] = {}
 
 
-def _array_of(broadcast, name: str) -> DigestArray:
-    """The array of the broadcast list ``name``, mapped once per Python worker."""
-    if name not in _ARRAYS:
+def _array_of(file: str, names: list[str]) -> DigestArray:
+    """The array in ``file``, mapped once per Python worker."""
+    if file not in _ARRAYS:
         _ARRAYS.clear()
-        _ARRAYS[name] = DigestArray(*broadcast.value)
-    return _ARRAYS[name]
+        _ARRAYS[file] = DigestArray(np.memmap(SparkFiles.get(file), np.uint8, "r"), names)
+    return _ARRAYS[file]
 
 
 # --- probing -------------------------------------------------------------------------------------
@@ -121,11 +137,9 @@ def _rank(entry: str) -> tuple[int, int]:
     return len(entry), entry.index("/")
 
 
-def _probe_batches(shape, broadcast):
-    name = uuid.uuid4().hex
-
+def _probe_batches(shape, file: str, names: list[str]):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = _array_of(broadcast, name)
+        array = _array_of(file, names)
         for batch in parts:
             pairs = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
             listed = [candidates(h, p, shape) for h, p in pairs]
@@ -136,7 +150,7 @@ def _probe_batches(shape, broadcast):
                 hits = [(e, at) for e, at in zip(entries, places, strict=False) if at >= 0] if entries else []
                 best = max(hits, key=lambda hit: _rank(hit[0]), default=None)
                 rules.append(best and best[0])
-                verdicts.append(best and array.values[best[1]])
+                verdicts.append(best and array.value(best[1]))
             columns = [batch.column(c) for c in ("id", "host", "path")]
             columns += [pa.array(rules, pa.string()), pa.array(verdicts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "host", "path", "rule", "verdict"])
@@ -146,13 +160,16 @@ def _probe_batches(shape, broadcast):
 
 def _probe_shard(key: tuple, wanted: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
     entries = wanted["entry"].tolist()
-    array = DigestArray(listed["entry"].tolist(), listed["verdict"].tolist())
-    hits = [(e, array.values[at]) for e, at in zip(entries, array.probe(entries), strict=True) if at >= 0]
+    verdicts = listed["verdict"].tolist()
+    names = list(dict.fromkeys(verdicts))
+    data = array_bytes(listed["entry"].tolist(), verdicts, names)
+    array = DigestArray(np.frombuffer(data, np.uint8), names)
+    hits = [(e, array.value(at)) for e, at in zip(entries, array.probe(entries), strict=True) if at >= 0]
     return pd.DataFrame(hits, columns=["entry", "verdict"])
 
 
 def _probed_in_shards(urls: DataFrame, entries: DataFrame, shape, shards: int, label: str) -> DataFrame:
-    """The same for a list that is too large to broadcast."""
+    """The same for a list that is too large for every executor."""
     rows = stored(urls.withColumn("row", F.monotonically_increasing_id()), f"{label}-urls")
     listed = rows.select("row", "host", "path").mapInArrow(
         _candidate_rows(shape), "row bigint, entries array<string>"
@@ -196,12 +213,13 @@ def filter_urls(
     shape = (facts.labels, facts.paths)
     if facts.bytes <= max_bytes:
         found = listed.toArrow()
-        broadcast = pages.sparkSession.sparkContext.broadcast(
-            (found["entry"].to_pylist(), found["verdict"].to_pylist())
-        )
+        verdicts = found["verdict"].to_pylist()
+        names = list(dict.fromkeys(verdicts))
+        data = array_bytes(found["entry"].to_pylist(), verdicts, names)
+        file = _shipped(pages.sparkSession, data, label)
         id_type = urls.schema["id"].dataType.simpleString()
         result = urls.mapInArrow(
-            _probe_batches(shape, broadcast),
+            _probe_batches(shape, file, names),
             f"id {id_type}, host string, path string, rule string, verdict string",
         )
     else:

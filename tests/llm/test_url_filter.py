@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ordertide.llm.queries import URL_RULES
-from ordertide.llm.url_filter import DigestArray, filter_urls
+from ordertide.llm.url_filter import DigestArray, array_bytes, filter_urls
 
 PAGES = "page_id bigint, url string, host string, row string"
 URLS = [
@@ -54,7 +57,7 @@ def run(spark, urls, rules, **options):
 
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 20])
-def test_broadcast_and_shards_equal_brute_force(spark, max_bytes):
+def test_one_array_and_shards_equal_brute_force(spark, max_bytes):
     rng = random.Random(1)
     rules = [*URL_RULES, ("a.com/", "block"), ("b.a.com/x", "allow"), ("b.a.com/xy/z", "block")]
     hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "q.org", "example.org", "m.example.org", "net"]
@@ -75,6 +78,31 @@ def test_empty_list_empty_table_and_bad_entries(spark):
 
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr("ordertide.llm.url_filter.xxhash.xxh64_intdigest", lambda raw: len(raw))
-    array = DigestArray(["aa", "bb", "c"], ["1", "2", "3"])
-    found = [array.values[at] if at >= 0 else None for at in array.probe(["bb", "aa", "cc", "c", "d"])]
+    names = ["1", "2", "3"]
+    data = array_bytes(["aa", "bb", "c"], names, names)
+    array = DigestArray(np.frombuffer(data, np.uint8), names)
+    found = [array.value(at) if at >= 0 else None for at in array.probe(["bb", "aa", "cc", "c", "d"])]
     assert found == ["2", "1", None, "3", None]
+
+
+def test_workers_of_an_executor_map_one_file(spark):
+    """The list is shipped as a file, not with the tasks: no worker holds a copy of its own."""
+    from pyspark import SparkFiles
+
+    rules = [(f"h{i}.example.org/p{i}/", "block") for i in range(50_000)]
+    assert run(spark, ["http://a.h7.example.org/p7/x", "http://h7.example.org/p8/"], rules) == [
+        ("a.h7.example.org", "/p7/x", "h7.example.org/p7/", "block"),
+        ("h7.example.org", "/p8/", None, "allow"),
+    ]
+    name = max(Path(SparkFiles.getRootDirectory()).glob("url-filter-array-*"), key=lambda p: p.stat().st_mtime).name
+
+    def mapped(rows):
+        from ordertide.llm.url_filter import _array_of
+
+        for batch in rows:
+            array = _array_of(name, ["block"])
+            same = isinstance(array.digests.base, np.memmap) and not array.digests.flags.writeable
+            yield pa.RecordBatch.from_pydict({"same": [same and len(array.digests) == 50_000] * batch.num_rows})
+
+    found = spark.range(8, numPartitions=8).mapInArrow(mapped, "same boolean").collect()
+    assert [r.same for r in found] == [True] * 8
