@@ -23,7 +23,8 @@ part holds whole restaurants and sweeps them as arrays; what leaves it are count
 of restaurants that are spread. Dishes of one customer, most of all, are not sampled (they always have one table).
 Texts are read three times: for the words, for the model, and for the scores, whose tokens meet the model in
 their part and leave as sums per text. Tables of a sweep are deleted when the next one is written. The model grows
-with the corpus, and nothing that does is broadcast or gathered in one task or the driver.
+with the corpus, and nothing that does is broadcast or gathered in one task or the driver: parts ask the root for the
+numbers of their words by a join, but for the ``COMMON`` most frequent ones, which are broadcast.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ from ordertide.plans.settings import file_system, scratch_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2  # fixed
 BURN_IN, SAMPLES = 2, 2
-PART_TOKENS = 2_000_000
+PART_TOKENS = 3_000_000
+COMMON = 1 << 18  # words whose root numbers go to all parts; the others are asked for
 MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
 GROUPS = 4  # blocks of texts that are dealt together
 
@@ -150,13 +152,16 @@ def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool
                 learnt = ~held[first : first + len(group)][text]
                 part = part_numbers(names[last], found, parts, frequent)
                 # Equal neighbours compress; the order inside a part does not matter.
-                order = np.lexsort((before, last, part))
+                order = np.argsort((part * len(names) + last) * len(names) + before)
                 edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
                 numbers, blobs = [], []
                 for low, high in zip(edges[:-1], edges[1:], strict=True):
                     at = order[low:high]
-                    used = np.unique(np.concatenate([word[at], last[at], before[at]]))
-                    columns = [names[used], *(np.searchsorted(used, c[at]) for c in (word, last, before)), learnt[at]]
+                    used = np.zeros(len(names), bool)
+                    for column in (word, last, before):
+                        used[column[at]] = True
+                    place = np.cumsum(used) - 1
+                    columns = [names[used], *(place[c[at]] for c in (word, last, before)), learnt[at]]
                     if with_texts:
                         own, of_text = np.unique(text[at], return_inverse=True)
                         columns += [of_text, [ids[first + i] for i in own], hashes[first + own], counts[own]]
@@ -184,7 +189,7 @@ def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(list(batches), schema=_ROW)
 
 
-def _opened(frequent: np.ndarray):
+def _opened(frequent: np.ndarray, common):
     """Arrow function of a part: its blocks to its first state, and the words it will ask for."""
 
     def opened(rows: pa.Table) -> pa.Table:
@@ -192,7 +197,9 @@ def _opened(frequent: np.ndarray):
         held = gathered([unpacked(b.as_py()) for b in rows["blob"]])
         dishes = Dishes(held)
         found = list(_left(part, Seats.first(held, dishes, frequent)))
-        found.append(_rows(part=np.full(len(held.names), part), kind=NEED, name=held.names))
+        asked = held.names[~np.isin(held.names, common.value)]
+        if len(asked):
+            found.append(_rows(part=np.full(len(asked), part), kind=NEED, name=asked))
         settled = np.bincount((dishes.pairs % dishes.size)[~dishes.active], minlength=dishes.size)
         which = np.flatnonzero(settled)
         if len(which):
@@ -233,8 +240,10 @@ def _swept(turn: int, customers: int, tables: int, uniform: float):
     return swept
 
 
-def _scored(samples: int, frequent: np.ndarray, n: int, v: int, unknown: list[float], id_type: pa.DataType):
-    """Arrow function of a part: its blocks and the model to sums per text."""
+def _scored(
+    samples: int, frequent: np.ndarray, n: int, v: int, unknown: list[float], common, id_type: pa.DataType
+):
+    """Arrow function of a part: its blocks and the model to sums per text. ``common`` has names, counts and chances."""
     schema = pa.schema(
         [("doc_id", id_type), *((c, pa.int64()) for c in ("text_hash", "n_tokens", "here", "known"))]
         + [(c, pa.float64()) for c in ("base", "score")]
@@ -247,12 +256,14 @@ def _scored(samples: int, frequent: np.ndarray, n: int, v: int, unknown: list[fl
         held = gathered([b[:5] for b in blocks])
         dishes = Dishes(held)
         root = _kind(rows, ROOT)
-        counts = Lookup(_names(root), root["customers"].to_numpy().astype(np.int64))
-        times = counts.of(held.names)[1][0]
+        names = np.concatenate([_names(root), common.value[0]])
+        counts = np.concatenate([root["customers"].to_numpy().astype(np.int64), common.value[1]])
+        times = Lookup(names, counts).of(held.names)[1][0]
         p = root["p"].combine_chunks().flatten().to_numpy().reshape(-1, samples)
+        p = np.concatenate([p, common.value[2]])
         averaged = np.zeros(len(held.word))
         for i in range(samples):
-            listed, (base,) = Lookup(_names(root), p[:, i]).of(held.names)
+            listed, (base,) = Lookup(names, p[:, i]).of(held.names)
             base = np.where(listed, base, unknown[i])
             seats = Seats.unpacked(_kind(rows, STATE, i)["blob"][0].as_py())
             shared = _seats_by_name(_kind(rows, SHARED, i))
@@ -374,8 +385,13 @@ def score_texts(
             union = union.unionByName(frame)
         return union.groupBy("part")
 
+    # The most frequent words, COMMON at most whatever the corpus, are known to every part.
+    most = words.filter(F.col("n") > 1).orderBy(F.desc("n"), "name").limit(COMMON).select("name")
+    most = scratch.keep(most, "common")
+    names = np.sort(most.toArrow()["name"].to_numpy().view(np.uint64))
+    common = spark.sparkContext.broadcast(names)
     blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=False), ROW)
-    opened = scratch.keep(in_parts(blocks).applyInArrow(_opened(frequent[0]), ROW), "opened")
+    opened = scratch.keep(in_parts(blocks).applyInArrow(_opened(frequent[0], common), ROW), "opened")
     scratch.drop()
     kind = F.col("kind")
     passed = F.sum(F.when(kind == PASSED, F.col("customers")))
@@ -418,14 +434,18 @@ def score_texts(
         known = here if known is None else known.join(here, "name")
         chances.append(predictive(0, 0, 0, *totals, uniform))
         models += [_states(state, i), _shared(state, i)]
+    listed = known.join(most, "name").toArrow()
+    order = np.argsort(listed["name"].to_numpy().view(np.uint64))
+    columns = [listed[c].to_numpy()[order] for c in ("customers", *(f"p{i}" for i in range(len(samples))))]
+    found = spark.sparkContext.broadcast((names, columns[0], np.stack(columns[1:], axis=1)))
     known = known.withColumn("tables", F.lit(0).cast("bigint"))
     chance = F.array(*(F.col(f"p{i}") for i in range(len(samples))))
     blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=True), ROW)
-    found = in_parts(blocks, _asked(needs, known, chance), *models)
+    dealt = in_parts(blocks, _asked(needs, known, chance), *models)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
-    sums = found.applyInArrow(
-        _scored(len(samples), frequent[0], n, v, [float(c) for c in chances], id_type),
+    sums = dealt.applyInArrow(
+        _scored(len(samples), frequent[0], n, v, [float(c) for c in chances], found, id_type),
         f"doc_id {id_kind}, text_hash bigint, n_tokens bigint, here bigint, known bigint, base double, score double",
     )
     # Rows alike are summed together and get their share each.
@@ -445,5 +465,5 @@ def score_texts(
         (F.col("base") / copies).alias("base_score"),
         (F.col("score") / copies).alias("score"),
     )
-    scratch.drop(*{id(f): f for state, root, _ in samples for f in (state, root)}.values(), needs, asked)
+    scratch.drop(*{id(f): f for state, root, _ in samples for f in (state, root)}.values(), needs, asked, most)
     return result.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

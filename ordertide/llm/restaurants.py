@@ -26,22 +26,40 @@ BLOCKS = 128  # beyond twice as many customers, those of a dish are seated in bl
 # --- packing -------------------------------------------------------------------------------------
 
 
-def _narrow(values):
-    """Whole numbers from zero in the fewest bytes that hold them; others as they are."""
-    if isinstance(values, np.ndarray) and values.dtype.kind == "i" and len(values) and values.min() >= 0:
-        return values.astype(np.min_scalar_type(values.max()))
-    return values
+def _plain(values):
+    """An array as (type, bytes): whole numbers in the fewest bytes that hold them, sorted ones as differences, and
+    the first bytes of all numbers, then the second and so on, as equal bytes in a row compress."""
+    if not isinstance(values, np.ndarray) or values.dtype.kind not in "iu" or not len(values):
+        return values
+    sorted_ = bool((values[1:] >= values[:-1]).all())
+    if sorted_:
+        values = np.concatenate([values[:1], np.diff(values)])
+    if values.dtype.kind == "u" or values.min() >= 0:
+        values = values.astype(np.min_scalar_type(values.max()))
+    columns = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return sorted_, values.dtype.str, columns.tobytes()
+
+
+def _restored(value, kind: str):
+    if not isinstance(value, tuple):
+        return value
+    sorted_, dtype, raw = value
+    size = np.dtype(dtype).itemsize
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    numbers = numbers.astype(np.uint64 if kind == "u" else np.int64)
+    return np.cumsum(numbers, dtype=numbers.dtype) if sorted_ else numbers
 
 
 def packed(*values) -> bytes:
-    raw = pickle.dumps([_narrow(v) for v in values], protocol=5)
+    """Arrays of whole numbers (int64 or uint64), and other values, compressed."""
+    kinds = [v.dtype.kind if isinstance(v, np.ndarray) else "" for v in values]
+    raw = pickle.dumps([(kind, _plain(v)) for kind, v in zip(kinds, values, strict=True)], protocol=5)
     return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
 
 
 def unpacked(blob: bytes) -> list:
     values = pickle.loads(ZSTD.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
-    small = [isinstance(v, np.ndarray) and v.dtype.kind == "u" and v.itemsize < 8 for v in values]
-    return [v.astype(np.int64) if s else v for v, s in zip(values, small, strict=True)]
+    return [_restored(value, kind) for kind, value in values]
 
 
 # --- tokens of a part -----------------------------------------------------------------------------
@@ -70,7 +88,7 @@ class Tokens(NamedTuple):
 
 def gathered(blocks: list[list]) -> Tokens:
     """The tokens of several blocks (names, word, last, before, learnt)."""
-    names = np.unique(np.concatenate([END[None], *(b[0] for b in blocks)]))
+    names = np.unique(np.concatenate([END[None], *(b[0] for b in blocks)]))  # of all blocks
     at = [np.searchsorted(names, b[0]) for b in blocks]
     word, last, before = (
         np.concatenate([a[b[i]] for a, b in zip(at, blocks, strict=True)]) if blocks else np.empty(0, np.int64)
