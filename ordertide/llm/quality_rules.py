@@ -214,7 +214,12 @@ def clean_documents(docs: DataFrame, **options) -> DataFrame:
     text, host = F.col("doc.text"), F.col("doc.source")
     rest = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("bad"), _line_hash(x, host)))
     cleaned = F.when(F.col("bad").isNull(), text).otherwise(F.array_join(rest, "\n"))
-    changed = {"text": cleaned, "n_chars": F.length(cleaned).cast("long")}
+    changed = {"text": cleaned, "n_chars": F.length(cleaned)}
     return joined.select(
-        *[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+        *(
+            changed[field.name].cast(field.dataType).alias(field.name)
+            if field.name in changed
+            else F.col(f"doc.`{field.name}`")
+            for field in docs.schema
+        )
     )

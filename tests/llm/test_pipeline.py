@@ -1,5 +1,6 @@
 import pytest
-from helpers import documents
+from helpers import awkward, documents, empty
+from pyspark.sql import functions as F
 from test_decontaminate import brute as brute_hits
 from test_mixing import brute_targets
 from test_pii import brute as brute_spans
@@ -95,6 +96,20 @@ def test_mixing(steps):
         assert abs(taken.get(source, 0) - target) <= 2 * largest[source]
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_empty_and_awkward_tables(spark, name, stage):
+    """Null ids, texts and sources, repeated rows, a long text, clashing columns, and a narrow n_chars."""
+    narrow = F.col("n_chars").cast("int")
+    docs = awkward(spark).withColumn("n_chars", narrow)
+    kept = stage(spark, docs, SF_DIR)
+    added = ["copy"] if name == "source_mixing" else []
+    assert kept.columns == docs.columns + added
+    assert [f.dataType for f in kept.schema][: len(docs.columns)] == [f.dataType for f in docs.schema]
+    assert all(r.n_chars == len(r.text) for r in kept.collect() if r.text is not None)
+    nothing = stage(spark, empty(spark).withColumn("n_chars", narrow), SF_DIR)
+    assert nothing.count() == 0 and nothing.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def test_run_gives_the_rows_of_the_stages(spark, steps):
     found = corpus_pipeline.run(spark, SF_DIR).collect()
     assert sorted(map(repr, found)) == sorted(map(repr, steps["source_mixing"][1].collect()))
