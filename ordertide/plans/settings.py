@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import cache
+from pathlib import Path
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
@@ -53,6 +55,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers of this session find this package where the driver found it.
+
+    For sessions that run beside the code. Where it is installed on the executors, the path does no harm.
+    """
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    home = str(Path(__file__).resolve().parents[2])
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+
+
 def session_settings(
     input_bytes: int, partition_bytes: int = 256 << 20, max_blocks: int = 4_000_000_000
 ) -> dict[str, str]:

@@ -49,6 +49,7 @@ from ordertide.plans.settings import (
     applied,
     apply_settings,
     file_system,
+    let_workers_import,
     require_utc,
 )
 from ordertide.streaming.landing import drain
@@ -232,6 +233,7 @@ class IncrementalMarts:
         self.partitions = partitions
         self.checkpoint = Layout(self.root).checkpoint("incremental_marts")
         apply_settings(spark, STATE_STORE)  # readers of the state need them as well
+        let_workers_import(spark)
 
     # --- refresh ------------------------------------------------------------------------------
 
