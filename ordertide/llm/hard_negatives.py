@@ -333,7 +333,8 @@ def hard_negatives(
 
     ``is_anchor`` is a condition on ``id``. ``rank`` counts the negatives of one anchor and positive from 1.
     """
-    rows = stored(vectors.select(F.monotonically_increasing_id().alias("rid"), "id", "label", "vector"), f"{label}-rows")
+    numbered = vectors.select(F.monotonically_increasing_id().alias("rid"), "id", "label", "vector")
+    rows = stored(numbered, f"{label}-rows")
     counts = rows.agg(F.count("*").alias("rows"), F.count_if(is_anchor).alias("anchors")).first()
     sharded, n_shards = shards(rows, counts["rows"], shard_rows)
     sharded = stored(sharded, f"{label}-shards")
@@ -344,7 +345,10 @@ def hard_negatives(
     near = _searched(sharded, n_shards, asked, n_chunks, positives)
     best = stored(
         _merged(near, ["anchor"], positives).select(
-            "anchor", (F.col("rank") - 1).alias("place"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")
+            "anchor",
+            (F.col("rank") - 1).alias("place"),
+            F.col("id").alias("positive_id"),
+            F.col("score").alias("positive_score"),
         ),
         f"{label}-positives",
     )

@@ -65,13 +65,13 @@ TEMPLATES = (
         <<optional>> as published by the Free Software Foundation <<end>> , version 3
         <<optional>> or <<optional>> (at your option) <<end>> any later version <<end>>"""),
     ("gpl-3.0", """
-        <<optional>> This program <<end>> is free software: you can redistribute it and/or modify it under the terms of the GNU General
-        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-        option) any later version."""),
+        <<optional>> This program <<end>> is free software: you can redistribute it and/or modify it under the
+        terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of
+        the License, or (at your option) any later version."""),
     ("gpl-2.0", """
-        <<optional>> This program <<end>> is free software; you can redistribute it and/or modify it under the terms of the GNU General
-        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
-        option) any later version."""),
+        <<optional>> This program <<end>> is free software; you can redistribute it and/or modify it under the
+        terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of
+        the License, or (at your option) any later version."""),
     ("mpl-2.0", """
         This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
         <<optional>> If a copy of the MPL was not distributed with this file, You can obtain one at

@@ -380,10 +380,18 @@ def all_spans(texts: list[str], model: Labeller | None, batch: int = 256) -> lis
 ATS = ("(at)", "[at]", " (at) ", " [at] ", "(AT)", " [AT] ", "{at}", "<at>", " at ", " AT ")
 DOTS = (".", ".", " . ", "(dot)", " [dot] ")
 SPELLED = (" dot ", " DOT ", " (dot) ")
-BETWEEN = {"ip": (" . ", ". ", " .", "[.]", "(.)", "{.}", " dot "), "card": (".", "/", "_", "  ", " - ", ":", " : "), "phone": (" ", "-", ".", "/", "")}
+BETWEEN = {
+    "ip": (" . ", ". ", " .", "[.]", "(.)", "{.}", " dot "),
+    "card": (".", "/", "_", "  ", " - ", ":", " : "),
+    "phone": (" ", "-", ".", "/", ""),
+}
 TOP_LEVEL = ("com", "org", "net", "de", "fr", "es", "info", "io")
 PREFIXES = ("", "0", "00", "(0", "+")
-NUMBERS = ("##/##/20##", "20##-##-##", "##.##.20##", "##/##/20## ##:##", "20##-##-## ##:##:##", "##:##", "#.#.#", "#,###.##", "##-##", "#### ####", "No. ######", "#.##", "(##)", "20##", "v#.#.##", "at the dot", "dot by dot", "the dot at")
+NUMBERS = (
+    "##/##/20##", "20##-##-##", "##.##.20##", "##/##/20## ##:##", "20##-##-## ##:##:##", "##:##", "#.#.#",
+    "#,###.##", "##-##", "#### ####", "No. ######", "#.##", "(##)", "20##", "v#.#.##", "at the dot",
+    "dot by dot", "the dot at",
+)
 
 
 def _address(text: str, words: list[str], rng: random.Random) -> list[str]:
@@ -391,7 +399,8 @@ def _address(text: str, words: list[str], rng: random.Random) -> list[str]:
     plain = [w.lower() for w in rng.choices(words, k=4) if w.isascii() and w.isalpha()] if words else []
     if len(plain) < 3 or rng.random() < 0.1:
         return text.split("@", 1)
-    local = rng.choice((plain[0], f"{plain[0]}{rng.choice('._-')}{plain[1]}", f"{plain[0][:1]}.{plain[1]}", f"{plain[0]}{rng.randrange(100)}"))
+    joined = f"{plain[0]}{rng.choice('._-')}{plain[1]}"
+    local = rng.choice((plain[0], joined, f"{plain[0][:1]}.{plain[1]}", f"{plain[0]}{rng.randrange(100)}"))
     host = rng.choice((plain[2], f"{plain[2]}-{plain[1]}", f"{plain[0]}.{plain[2]}"))
     return [local, f"{host}.{rng.choice(TOP_LEVEL)}"]
 

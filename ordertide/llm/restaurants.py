@@ -65,7 +65,9 @@ def unpacked(blob: bytes) -> list:
 # --- tokens of a part -----------------------------------------------------------------------------
 
 
-def part_numbers(last: np.ndarray, word: np.ndarray, parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def part_numbers(
+    last: np.ndarray, word: np.ndarray, parts: int, frequent: tuple[np.ndarray, np.ndarray]
+) -> np.ndarray:
     """The part of each token; the lasts of ``frequent`` (sorted) are spread by word over so many parts."""
     home = (mixed(last) >> np.uint64(8)) % np.uint64(parts)
     names, widths = frequent

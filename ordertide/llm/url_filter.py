@@ -56,7 +56,8 @@ def array_bytes(entries: list[str], verdicts: list[str], names: list[str]) -> by
     ends = np.cumsum([len(raw[i]) for i in order], dtype=np.int64)
     codes = np.array([names.index(verdicts[i]) for i in order], np.uint16)
     length = np.array([len(raw)], np.int64)
-    return b"".join([length.tobytes(), digests[order].tobytes(), ends.tobytes(), codes.tobytes(), *(raw[i] for i in order)])
+    numbers = [length, digests[order], ends, codes]
+    return b"".join([*(column.tobytes() for column in numbers), *(raw[i] for i in order)])
 
 
 class DigestArray:
