@@ -56,7 +56,9 @@ COUNT_DDL = ", ".join(
 ) + ", revenue_vnd double"
 
 
-def observed_write(frame: DataFrame, path: str, columns: Sequence[Column], *partition_by: str) -> tuple[DataFrame, dict]:
+def observed_write(
+    frame: DataFrame, path: str, columns: Sequence[Column], *partition_by: str
+) -> tuple[DataFrame, dict]:
     """Write a table and count it in the same pass; the table read back, and its numbers.
 
     The counts are taken where the rows are written, in the stage that returns to the driver, so a task that

@@ -17,7 +17,10 @@ from ordertide.operators import resolve
 def bucketed_table(
     spark: SparkSession, name: str, path: str, columns: str, key: str, buckets: int
 ) -> DataFrame:
-    """Register the bucketed Parquet table at ``path`` under ``name``; ``columns`` is DDL. Its files stay if it is dropped."""
+    """Register the bucketed Parquet table at ``path`` under ``name``; ``columns`` is DDL.
+
+    Its files stay if the table is dropped.
+    """
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
         f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
