@@ -69,3 +69,41 @@ def test_flattened_trees_equal_walking_them():
                 at = 2 * at + (1 if row[feature[at]] <= cut[at] else 2)
             total += value[at]
         assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_splits_are_the_best_of_all_candidates():
+    """Every split of a grown tree has the gain of the best one among all features and cuts, tried one by one."""
+    from ordertide.llm.quality_model import LEAST_ROWS, RIDGE, _cuts, _grow
+
+    rng = np.random.default_rng(8)
+    rows = np.round(rng.normal(size=(600, 5)), 1)  # with ties
+    labels = (rows[:, 1] + 0.5 * rows[:, 3] + rng.normal(size=600) > 0.4).astype(float)
+    cuts = [_cuts(rows[:, f]) for f in range(5)]
+    bins = np.stack([np.searchsorted(c, rows[:, f], "left") for f, c in enumerate(cuts)], axis=1)
+    slope, curve = 0.5 - labels, np.full(600, 0.25)
+    feature, cut, value, leaf = _grow(bins, cuts, slope, curve)
+
+    def gain(inside, f, c):
+        left = inside & (rows[:, f] <= c)
+        right = inside & ~left
+        if left.sum() < LEAST_ROWS or right.sum() < LEAST_ROWS:
+            return 0.0
+        parts = [slope[m].sum() ** 2 / (curve[m].sum() + RIDGE) for m in (left, right, inside)]
+        return parts[0] + parts[1] - parts[2]
+
+    members, split = {0: np.ones(600, bool)}, 0
+    for node in range(2**DEPTH - 1):
+        inside = members[node]
+        best = max(gain(inside, f, c) for f in range(5) for c in cuts[f])
+        if np.isfinite(cut[node]):
+            split += 1
+            assert gain(inside, feature[node], cut[node]) == pytest.approx(best)
+        else:
+            assert best <= 1e-9
+        right = rows[:, feature[node]] > cut[node]
+        members[2 * node + 1], members[2 * node + 2] = inside & ~right, inside & right
+    assert split > 5
+    for node in range(2**DEPTH - 1, 2 ** (DEPTH + 1) - 1):
+        at = members[node]
+        assert (leaf[at] == node).all()
+        assert np.sign(value[node]) == -np.sign(round(slope[at].sum(), 9)) if at.any() else value[node] == 0
