@@ -47,13 +47,13 @@ from ordertide.llm.restaurants import (
     Dishes,
     Lookup,
     Root,
+    Scorer,
     Seats,
     gathered,
     packed,
     part_numbers,
     predictive,
     seat,
-    token_probabilities,
     unpacked,
 )
 from ordertide.llm.wordhash import BLOCK_BYTES, NOT_BLANK, Words
@@ -61,13 +61,13 @@ from ordertide.plans.settings import file_system, scratch_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2  # fixed
 BURN_IN, SAMPLES = 2, 2
-PART_TOKENS = 3_000_000
-COMMON = 1 << 18  # words whose root numbers go to all parts; the others are asked for
+PART_TOKENS = 2_000_000
+COMMON, SLICES = 1 << 18, 16  # words whose numbers parts and the root exchange as arrays, cut into slices
 MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
 GROUPS = 4  # blocks of texts that are dealt together
 
 # Rows of what parts exchange. A kind names what the row is.
-BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT = range(7)
+BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT, PASSED_COMMON, SETTLED_COMMON = range(9)
 ROW = (
     "part int, kind int, sample int, name bigint, customers bigint, tables bigint, p array<double>, blob binary"
 )
@@ -175,16 +175,41 @@ def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool
 # --- parts ----------------------------------------------------------------------------------------
 
 
-def _left(part: int, seats: Seats) -> Iterator[pa.RecordBatch]:
+def _counts(part: int, names: np.ndarray, counts: np.ndarray, common: np.ndarray, kinds: tuple[int, int]):
+    """Counts of words as rows: those of common words as slices of one array, the others one by one."""
+    at = np.searchsorted(common, names)
+    listed = common[np.minimum(at, len(common) - 1)] == names if len(common) else np.zeros(len(names), bool)
+    whole = np.zeros(len(common), np.int64)
+    whole[at[listed]] = counts[listed]
+    slices = np.array_split(whole, SLICES)
+    yield _rows(part=[part] * SLICES, kind=kinds[1], name=list(range(SLICES)), blob=[packed(x) for x in slices])
+    if not listed.all():
+        rest = names[~listed]
+        yield _rows(part=np.full(len(rest), part), kind=kinds[0], name=rest, customers=counts[~listed])
+
+
+def _left(part: int, seats: Seats, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What a part hands on after its customers are seated."""
     yield _rows(part=[part], kind=STATE, blob=[seats.packed()])
-    if len(seats.words):
-        yield _rows(part=np.full(len(seats.words), part), kind=PASSED, name=seats.words, customers=seats.passed())
+    yield from _counts(part, seats.words, seats.passed(), common, (PASSED, PASSED_COMMON))
     names, customers, tables = seats.shared()
     if len(names):
         yield _rows(part=np.full(len(names), part), kind=SHARED, name=names, customers=customers, tables=tables)
 
 
+def _summed(rows: pa.Table) -> pa.Table:
+    """Arrow function of one slice: the arrays of all parts added up."""
+    total = sum(unpacked(b.as_py())[0] for b in rows["blob"])
+    return pa.Table.from_pydict({"name": rows["name"][:1], "blob": pa.array([packed(total)], pa.binary())})
+
+
+def _common_counts(rows: DataFrame, kind: int) -> np.ndarray:
+    """Counts of the common words over all parts."""
+    slices = rows.filter(F.col("kind") == kind).select("name", "blob").groupBy("name")
+    found = slices.applyInArrow(_summed, "name bigint, blob binary").collect()  # SLICES rows, COMMON numbers at most
+    return np.concatenate([np.empty(0, np.int64), *(unpacked(r.blob)[0] for r in sorted(found))])
+
+
 def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(list(batches), schema=_ROW)
 
@@ -196,14 +221,13 @@ def _opened(frequent: np.ndarray, common):
         part = rows["part"][0].as_py()
         held = gathered([unpacked(b.as_py()) for b in rows["blob"]])
         dishes = Dishes(held)
-        found = list(_left(part, Seats.first(held, dishes, frequent)))
+        found = list(_left(part, Seats.first(held, dishes, frequent), common.value))
         asked = held.names[~np.isin(held.names, common.value)]
         if len(asked):
             found.append(_rows(part=np.full(len(asked), part), kind=NEED, name=asked))
         settled = np.bincount((dishes.pairs % dishes.size)[~dishes.active], minlength=dishes.size)
         which = np.flatnonzero(settled)
-        if len(which):
-            found.append(_rows(kind=SETTLED, name=held.names[which], customers=settled[which]))
+        found += _counts(part, held.names[which], settled[which], common.value, (SETTLED, SETTLED_COMMON))
         return _table(found)
 
     return opened
@@ -224,8 +248,11 @@ def _seats_by_name(rows: pa.Table) -> Lookup:
     return Lookup(_names(rows), *(rows[c].to_numpy().astype(np.int64) for c in ("customers", "tables")))
 
 
-def _swept(turn: int, customers: int, tables: int, uniform: float):
-    """Arrow function of a part: its state, and the seats of the root and of shared restaurants, to its next state."""
+def _swept(turn: int, customers: int, tables: int, uniform: float, common):
+    """Arrow function of a part: its state, and the seats of the root and of shared restaurants, to its next state.
+
+    ``common`` has the names, customers and tables of common words in the root.
+    """
 
     def swept(rows: pa.Table) -> pa.Table:
         part = rows["part"][0].as_py()
@@ -233,9 +260,12 @@ def _swept(turn: int, customers: int, tables: int, uniform: float):
         if not len(blobs):
             return _ROW.empty_table()
         seats = Seats.unpacked(blobs[0].as_py())
-        root = Root(_seats_by_name(_kind(rows, ROOT)), customers, tables, uniform)
+        asked = _kind(rows, ROOT)
+        numbers = (asked[c].to_numpy().astype(np.int64) for c in ("customers", "tables"))
+        listed = [np.concatenate([a, b]) for a, b in zip(numbers, common.value[1:], strict=True)]
+        root = Root(Lookup(np.concatenate([_names(asked), common.value[0]]), *listed), customers, tables, uniform)
         seats.sweep(root, _seats_by_name(_kind(rows, SHARED)), np.random.default_rng([1, turn, part]))
-        return _table(_left(part, seats))
+        return _table(_left(part, seats, common.value[0]))
 
     return swept
 
@@ -261,19 +291,19 @@ def _scored(
         times = Lookup(names, counts).of(held.names)[1][0]
         p = root["p"].combine_chunks().flatten().to_numpy().reshape(-1, samples)
         p = np.concatenate([p, common.value[2]])
-        averaged = np.zeros(len(held.word))
+        scorer = Scorer(held.names, dishes, frequent)
         for i in range(samples):
             listed, (base,) = Lookup(names, p[:, i]).of(held.names)
-            base = np.where(listed, base, unknown[i])
             seats = Seats.unpacked(_kind(rows, STATE, i)["blob"][0].as_py())
-            shared = _seats_by_name(_kind(rows, SHARED, i))
-            averaged += token_probabilities(held, dishes, seats, base, shared, frequent) / samples
-        values = (times > 0)[held.word], np.log10((times[held.word] + 1) / (n + v + 1)), np.log10(averaged)
+            scorer.add(seats, np.where(listed, base, unknown[i]), _seats_by_name(_kind(rows, SHARED, i)))
         out, low = [], 0
         for block in blocks:
             high = low + len(block[1])
-            here = slice(low, high)
-            sums = [np.bincount(block[5], weights=x[here], minlength=len(block[6])) for x in values]
+            word, last, before = (column[low:high] for column in (held.word, held.last, held.before))
+            times_here = times[word]
+            chances = scorer.averaged(word, last, before)
+            values = times_here > 0, np.log10((times_here + 1) / (n + v + 1)), np.log10(chances)
+            sums = [np.bincount(block[5], weights=x, minlength=len(block[6])) for x in values]
             columns = [
                 pa.array(block[6], id_type), pa.array(block[7]), pa.array(block[8]),
                 pa.array(np.bincount(block[5], minlength=len(block[6]))), pa.array(sums[0].astype(np.int64)),
@@ -311,15 +341,15 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def _root_seats(rows: DataFrame, turn: int, customers: int, tables: int, uniform: float) -> DataFrame:
-    """(name, n, settled, customers, tables) with the tables that the root's customers take."""
+def _root_seats(rows: DataFrame, turn: int, weight: float) -> DataFrame:
+    """``rows`` (name, n, settled, customers) of the root with the tables that customers take."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             held = batch.column("customers").to_numpy()
-            weight = np.full(len(held), (STRENGTH[0] + DISCOUNT[0] * tables) * uniform)
             first = batch.column("name").to_numpy()[:1].view(np.uint64).tolist()
-            seated = seat(held, weight, DISCOUNT[0], np.random.default_rng([0, turn, len(held), *first]))
+            rng = np.random.default_rng([0, turn, len(held), *first])
+            seated = seat(held, np.full(len(held), weight), DISCOUNT[0], rng)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seated)], [*batch.schema.names, "tables"])
 
     schema = "name bigint, n bigint, settled bigint, customers bigint, tables bigint"
@@ -358,6 +388,7 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     part_tokens: int = PART_TOKENS,
+    common_words: int = COMMON,
     label: str = "hpylm",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
@@ -386,66 +417,77 @@ def score_texts(
         return union.groupBy("part")
 
     # The most frequent words, COMMON at most whatever the corpus, are known to every part.
-    most = words.filter(F.col("n") > 1).orderBy(F.desc("n"), "name").limit(COMMON).select("name")
-    most = scratch.keep(most, "common")
-    names = np.sort(most.toArrow()["name"].to_numpy().view(np.uint64))
-    common = spark.sparkContext.broadcast(names)
+    most = scratch.keep(words.filter(F.col("n") > 1).orderBy(F.desc("n"), "name").limit(common_words), "common")
+    listed = most.toArrow()
+    names = listed["name"].to_numpy().view(np.uint64)
+    by_name = np.argsort(names)
+    names, common_n = names[by_name], listed["n"].to_numpy()[by_name]
+    rare = scratch.keep(words.join(most.select("name"), "name", "left_anti"), "rare")
+    single = rare.filter(F.col("n") == 1).count()  # of one customer, who always has one table
     blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=False), ROW)
+    common = spark.sparkContext.broadcast(names)
     opened = scratch.keep(in_parts(blocks).applyInArrow(_opened(frequent[0], common), ROW), "opened")
-    scratch.drop()
+    scratch.drop(words, most)
     kind = F.col("kind")
     passed = F.sum(F.when(kind == PASSED, F.col("customers")))
     settled = F.sum(F.when(kind == SETTLED, F.col("customers")))
-    first = opened.groupBy("name").agg(
+    first = opened.filter(kind.isin(PASSED, SETTLED)).groupBy("name").agg(
         F.coalesce(settled, F.lit(0)).alias("settled"), F.coalesce(passed, F.lit(0)).alias("passed")
     )
     customers = (F.col("settled") + F.col("passed")).alias("customers")
-    root = scratch.keep(
-        words.join(first, "name").select("name", "n", "settled", customers, F.lit(1).cast("bigint").alias("tables")),
-        "root",
-    )
+    one = F.lit(1).cast("bigint").alias("tables")
+    root = rare.filter(F.col("n") > 1).join(first, "name").select("name", "n", "settled", customers, one)
+    root = scratch.keep(root, "root")
+    common_settled = _common_counts(opened, SETTLED_COMMON)
+    seats = common_settled + _common_counts(opened, PASSED_COMMON), np.ones(len(names), np.int64)
     needs = scratch.keep(opened.filter(kind == NEED).select("part", "name"), "needs")
     asked = scratch.keep(opened.filter(kind == PASSED).select("part", "name"), "asked")
     state = scratch.keep(opened.filter(kind.isin(STATE, SHARED)), "state")
-    scratch.drop(opened, words)
+    scratch.drop(opened)
 
     nothing = F.lit(None).cast("array<double>")
     samples = []
     for turn in range(BURN_IN + SAMPLES):
-        totals = _totals(root)
+        totals = [a + int(b.sum()) + single for a, b in zip(_totals(root), seats, strict=True)]
+        shipped = spark.sparkContext.broadcast((names, *seats))
         moved = in_parts(_states(state, 0), _asked(asked, root, nothing), _shared(state, 0))
-        after = scratch.keep(moved.applyInArrow(_swept(turn, *totals, uniform), ROW), "state")
+        after = scratch.keep(moved.applyInArrow(_swept(turn, *totals, uniform, shipped), ROW), "state")
+        weight = (STRENGTH[0] + DISCOUNT[0] * totals[1]) * uniform
+        held = common_settled + _common_counts(after, PASSED_COMMON)
+        draws = np.random.default_rng([2, turn])
+        seats = held, seat(held, np.full(len(held), weight), DISCOUNT[0], draws)
         passed = after.filter(kind == PASSED).groupBy("name").agg(F.sum("customers").alias("passed"))
         customers = (F.col("settled") + F.coalesce("passed", F.lit(0))).alias("customers")
         held = root.join(passed, "name", "left").select("name", "n", "settled", customers)
-        moved = scratch.keep(_root_seats(held, turn, *totals, uniform), "root")
+        moved = scratch.keep(_root_seats(held, turn, weight), "root")
         if turn <= BURN_IN:  # before that, no sample needs it
             scratch.drop(state, root)
         state, root = after, moved
         if turn >= BURN_IN:
-            samples.append((state, root, _totals(root)))
-
-    chances, known, models = [], None, []
-    for i, (state, root, totals) in enumerate(samples):
-        d, s = DISCOUNT[0], STRENGTH[0]
-        mass = F.greatest(F.col("customers") - d * F.col("tables"), F.lit(0.0))
-        p = ((mass + (s + d * totals[1]) * uniform) / (s + totals[0])).alias(f"p{i}")
-        here = root.select("name", F.col("n").alias("customers"), p) if known is None else root.select("name", p)
-        known = here if known is None else known.join(here, "name")
-        chances.append(predictive(0, 0, 0, *totals, uniform))
+            totals = [a + int(b.sum()) + single for a, b in zip(_totals(root), seats, strict=True)]
+            samples.append((state, root, seats, totals))
+
+    # Root probabilities: of rare words in a table, of common ones and of unknown ones as numbers.
+    known, models, chances, unknown = rare.withColumnRenamed("n", "customers"), [], [], []
+    d, s = DISCOUNT[0], STRENGTH[0]
+    for i, (state, root, seats, totals) in enumerate(samples):
+        held = root.select("name", F.col("customers").alias(f"c{i}"), F.col("tables").alias(f"t{i}"))
+        known = known.join(held, "name", "left")
+        own = F.coalesce(f"c{i}", F.lit(1)), F.coalesce(f"t{i}", F.lit(1))
+        mass = F.greatest(own[0] - d * own[1], F.lit(0.0))
+        known = known.withColumn(f"p{i}", (mass + (s + d * totals[1]) * uniform) / (s + totals[0]))
+        chances.append(predictive(0, *seats, *totals, uniform))
+        unknown.append(float(predictive(0, 0, 0, *totals, uniform)))
         models += [_states(state, i), _shared(state, i)]
-    listed = known.join(most, "name").toArrow()
-    order = np.argsort(listed["name"].to_numpy().view(np.uint64))
-    columns = [listed[c].to_numpy()[order] for c in ("customers", *(f"p{i}" for i in range(len(samples))))]
-    found = spark.sparkContext.broadcast((names, columns[0], np.stack(columns[1:], axis=1)))
     known = known.withColumn("tables", F.lit(0).cast("bigint"))
     chance = F.array(*(F.col(f"p{i}") for i in range(len(samples))))
+    found = spark.sparkContext.broadcast((names, common_n, np.stack(chances, axis=1)))
     blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=True), ROW)
     dealt = in_parts(blocks, _asked(needs, known, chance), *models)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
     sums = dealt.applyInArrow(
-        _scored(len(samples), frequent[0], n, v, [float(c) for c in chances], found, id_type),
+        _scored(len(samples), frequent[0], n, v, unknown, found, id_type),
         f"doc_id {id_kind}, text_hash bigint, n_tokens bigint, here bigint, known bigint, base double, score double",
     )
     # Rows alike are summed together and get their share each.
@@ -465,5 +507,5 @@ def score_texts(
         (F.col("base") / copies).alias("base_score"),
         (F.col("score") / copies).alias("score"),
     )
-    scratch.drop(*{id(f): f for state, root, _ in samples for f in (state, root)}.values(), needs, asked, most)
+    scratch.drop(*{id(f): f for state, root, *_ in samples for f in (state, root)}.values(), needs, asked, rare)
     return result.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

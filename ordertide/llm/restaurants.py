@@ -286,46 +286,50 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.
 # --- scores ---------------------------------------------------------------------------------------
 
 
-def token_probabilities(
-    tokens: Tokens, dishes: Dishes, seats: Seats, base: np.ndarray, shared: Lookup, frequent: np.ndarray
-) -> np.ndarray:
-    """The model's probability of every token, under one sample; ``base`` has the root's for every name."""
-    size = dishes.size
-
-    def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[at] == wanted, at
-
-    tables, customers = np.ones(len(dishes.pairs), np.int64), np.ones(len(dishes.pairs), np.int64)
-    tables[dishes.active], customers[dishes.active] = seats.tables, seats.customers
-    dish_tables = np.ones(len(dishes.dishes), np.int64)
-    dish_tables[dishes.n > 1] = seats.leaf_tables
-    is_shared = np.isin(tokens.names, frequent)
-
-    last_of = dishes.pairs // size
-    totals = tuple(np.bincount(last_of, weights=v, minlength=size) for v in (customers, tables))
-    all_last = shared.instead(tokens.names, is_shared, totals)
-    known, pair = found(dishes.pairs, tokens.last * size + tokens.word)
-    p = predictive(
-        1,
-        np.where(known, customers[pair], 0) if len(customers) else 0,
-        np.where(known, tables[pair], 0) if len(tables) else 0,
-        all_last[0][tokens.last],
-        all_last[1][tokens.last],
-        base[tokens.word],
-    )
-    inner = tokens.names[tokens.last] != END
-    count = len(dishes.places)
-    totals = tuple(np.bincount(dishes.dish_place, weights=v, minlength=count) for v in (dishes.n, dish_tables))
-    seen, place = found(dishes.places, tokens.last * size + tokens.before)
-    all_place = [np.where(seen, t[place], 0) if count else np.zeros(len(p)) for t in totals]
-    if is_shared.any():
-        spread = is_shared[tokens.last]
-        names = joined(tokens.names[tokens.before], tokens.names[tokens.last])
-        all_place = shared.instead(names, spread, all_place)
-    there, dish = found(dishes.dishes, pair * size + tokens.before)
-    there &= known
-    own = [np.where(there, v[dish], 0) if len(v) else np.zeros(len(p)) for v in (dishes.n, dish_tables)]
-    return np.where(inner, predictive(2, *own, *all_place, p), p)
+class Scorer:
+    """Probabilities of a part's tokens; what does not depend on a sample is looked up once per run of tokens."""
+
+    def __init__(self, names: np.ndarray, dishes: Dishes, frequent: np.ndarray):
+        self.names, self.dishes = names, dishes
+        self.is_shared = np.isin(names, frequent)
+        self.samples: list[tuple] = []
+
+    def add(self, seats: Seats, base: np.ndarray, shared: Lookup) -> None:
+        """One more sample; ``base`` has the root's probability of every name."""
+        dishes, size = self.dishes, self.dishes.size
+        customers, tables = np.ones(len(dishes.pairs), np.int64), np.ones(len(dishes.pairs), np.int64)
+        customers[dishes.active], tables[dishes.active] = seats.customers, seats.tables
+        dish_tables = np.ones(len(dishes.dishes), np.int64)
+        dish_tables[dishes.n > 1] = seats.leaf_tables
+        last_of, places = dishes.pairs // size, len(dishes.places)
+        last = tuple(np.bincount(last_of, weights=v, minlength=size) for v in (customers, tables))
+        place = tuple(np.bincount(dishes.dish_place, weights=v, minlength=places) for v in (dishes.n, dish_tables))
+        last = shared.instead(self.names, self.is_shared, last)
+        self.samples.append((base, shared, last, place, customers, tables, dish_tables))
+
+    @staticmethod
+    def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Places of ``wanted`` in ``keys``; one behind the last where there is none."""
+        at = np.searchsorted(keys, wanted)
+        listed = keys[np.minimum(at, len(keys) - 1)] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        return np.where(listed, at, len(keys))
+
+    def averaged(self, word: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The mean probability of each token over the samples."""
+        dishes, size = self.dishes, self.dishes.size
+        pair = self._found(dishes.pairs, last * size + word)
+        place = self._found(dishes.places, last * size + before)
+        dish = self._found(dishes.dishes, np.where(pair < len(dishes.pairs), pair, -1) * size + before)
+        inner = self.names[last] != END
+        spread = self.is_shared[last]
+        places = joined(self.names[before], self.names[last]) if spread.any() else None
+        total = np.zeros(len(word))
+        for base, shared, all_last, all_place, customers, tables, dish_tables in self.samples:
+            own = (np.append(v, 0)[pair] for v in (customers, tables))
+            p = predictive(1, *own, all_last[0][last], all_last[1][last], base[word])
+            totals = tuple(np.append(t, 0)[place] for t in all_place)
+            if places is not None:
+                totals = shared.instead(places, spread, totals)
+            own = (np.append(v, 0)[dish] for v in (dishes.n, dish_tables))
+            total += np.where(inner, predictive(2, *own, *totals, p), p)
+        return total / len(self.samples)
