@@ -61,7 +61,7 @@ from ordertide.plans.settings import file_system, scratch_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2  # fixed
 BURN_IN, SAMPLES = 2, 2
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
 COMMON, SLICES = 1 << 18, 16  # words whose numbers parts and the root exchange as arrays, cut into slices
 MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
 GROUPS = 4  # blocks of texts that are dealt together
@@ -281,9 +281,12 @@ def _scored(
 
     def scored(rows: pa.Table) -> pa.Table:
         blocks = [unpacked(b.as_py()) for b in _kind(rows, BLOCK)["blob"]]
+        rows = rows.filter(pa.array(rows["kind"].to_numpy() != BLOCK))
         if not blocks:
             return schema.empty_table()
         held = gathered([b[:5] for b in blocks])
+        lengths = [len(b[1]) for b in blocks]
+        blocks = [b[5:] for b in blocks]  # the tokens themselves are in ``held`` now
         dishes = Dishes(held)
         root = _kind(rows, ROOT)
         names = np.concatenate([_names(root), common.value[0]])
@@ -297,16 +300,16 @@ def _scored(
             seats = Seats.unpacked(_kind(rows, STATE, i)["blob"][0].as_py())
             scorer.add(seats, np.where(listed, base, unknown[i]), _seats_by_name(_kind(rows, SHARED, i)))
         out, low = [], 0
-        for block in blocks:
-            high = low + len(block[1])
+        for (of_text, ids, hashes, counts), length in zip(blocks, lengths, strict=True):
+            high = low + length
             word, last, before = (column[low:high] for column in (held.word, held.last, held.before))
             times_here = times[word]
             chances = scorer.averaged(word, last, before)
             values = times_here > 0, np.log10((times_here + 1) / (n + v + 1)), np.log10(chances)
-            sums = [np.bincount(block[5], weights=x, minlength=len(block[6])) for x in values]
+            sums = [np.bincount(of_text, weights=x, minlength=len(ids)) for x in values]
             columns = [
-                pa.array(block[6], id_type), pa.array(block[7]), pa.array(block[8]),
-                pa.array(np.bincount(block[5], minlength=len(block[6]))), pa.array(sums[0].astype(np.int64)),
+                pa.array(ids, id_type), pa.array(hashes), pa.array(counts),
+                pa.array(np.bincount(of_text, minlength=len(ids))), pa.array(sums[0].astype(np.int64)),
                 pa.array(sums[1]), pa.array(sums[2]),
             ]
             out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
