@@ -61,7 +61,7 @@ from ordertide.plans.settings import file_system, scratch_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2  # fixed
 BURN_IN, SAMPLES = 2, 2
-PART_TOKENS = 1_000_000
+PART_TOKENS = 1_500_000
 COMMON, SLICES = 1 << 18, 16  # words whose numbers parts and the root exchange as arrays, cut into slices
 MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
 GROUPS = 4  # blocks of texts that are dealt together
@@ -430,6 +430,7 @@ def score_texts(
     blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=False), ROW)
     common = spark.sparkContext.broadcast(names)
     opened = scratch.keep(in_parts(blocks).applyInArrow(_opened(frequent[0], common), ROW), "opened")
+    del blocks
     scratch.drop(words, most)
     kind = F.col("kind")
     passed = F.sum(F.when(kind == PASSED, F.col("customers")))
