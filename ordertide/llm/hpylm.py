@@ -67,7 +67,7 @@ MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more
 GROUPS = 4  # blocks of texts that are dealt together
 
 # Rows of what parts exchange. A kind names what the row is.
-BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT, PASSED_COMMON, SETTLED_COMMON = range(9)
+BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT, PASSED_COMMON, SETTLED_COMMON, SAMPLE = range(10)
 ROW = (
     "part int, kind int, sample int, name bigint, customers bigint, tables bigint, p array<double>, blob binary"
 )
@@ -265,7 +265,8 @@ def _swept(turn: int, customers: int, tables: int, uniform: float, common):
         listed = [np.concatenate([a, b]) for a, b in zip(numbers, common.value[1:], strict=True)]
         root = Root(Lookup(np.concatenate([_names(asked), common.value[0]]), *listed), customers, tables, uniform)
         seats.sweep(root, _seats_by_name(_kind(rows, SHARED)), np.random.default_rng([1, turn, part]))
-        return _table(_left(part, seats, common.value[0]))
+        sample = _rows(part=[part], kind=SAMPLE, blob=[packed(seats.tables, seats.leaf_tables)])
+        return _table([*_left(part, seats, common.value[0]), sample])
 
     return swept
 
@@ -297,8 +298,8 @@ def _scored(
         scorer = Scorer(held.names, dishes, frequent)
         for i in range(samples):
             listed, (base,) = Lookup(names, p[:, i]).of(held.names)
-            seats = Seats.unpacked(_kind(rows, STATE, i)["blob"][0].as_py())
-            scorer.add(seats, np.where(listed, base, unknown[i]), _seats_by_name(_kind(rows, SHARED, i)))
+            tables = unpacked(_kind(rows, SAMPLE, i)["blob"][0].as_py())
+            scorer.add(*tables, np.where(listed, base, unknown[i]), _seats_by_name(_kind(rows, SHARED, i)))
         out, low = [], 0
         for (of_text, ids, hashes, counts), length in zip(blocks, lengths, strict=True):
             high = low + length
@@ -382,8 +383,8 @@ def _shared(state: DataFrame, sample: int) -> DataFrame:
     )
 
 
-def _states(state: DataFrame, sample: int) -> DataFrame:
-    return state.filter(F.col("kind") == STATE).withColumn("sample", F.lit(sample))
+def _of_kind(state: DataFrame, kind: int, sample: int) -> DataFrame:
+    return state.filter(F.col("kind") == kind).withColumn("sample", F.lit(sample))
 
 
 def score_texts(
@@ -454,7 +455,7 @@ def score_texts(
     for turn in range(BURN_IN + SAMPLES):
         totals = [a + int(b.sum()) + single for a, b in zip(_totals(root), seats, strict=True)]
         shipped = spark.sparkContext.broadcast((names, *seats))
-        moved = in_parts(_states(state, 0), _asked(asked, root, nothing), _shared(state, 0))
+        moved = in_parts(_of_kind(state, STATE, 0), _asked(asked, root, nothing), _shared(state, 0))
         after = scratch.keep(moved.applyInArrow(_swept(turn, *totals, uniform, shipped), ROW), "state")
         weight = (STRENGTH[0] + DISCOUNT[0] * totals[1]) * uniform
         held = common_settled + _common_counts(after, PASSED_COMMON)
@@ -464,12 +465,13 @@ def score_texts(
         customers = (F.col("settled") + F.coalesce("passed", F.lit(0))).alias("customers")
         held = root.join(passed, "name", "left").select("name", "n", "settled", customers)
         moved = scratch.keep(_root_seats(held, turn, weight), "root")
-        if turn <= BURN_IN:  # before that, no sample needs it
-            scratch.drop(state, root)
+        if turn >= BURN_IN:  # of a sample only the tables are needed, and the totals of shared restaurants
+            totals = [a + int(b.sum()) + single for a, b in zip(_totals(moved), seats, strict=True)]
+            tables = scratch.keep(after.filter(kind.isin(SAMPLE, SHARED)), "sample")
+            samples.append((tables, moved, seats, totals))
+        scratch.drop(state, *([root] if turn <= BURN_IN else []))
         state, root = after, moved
-        if turn >= BURN_IN:
-            totals = [a + int(b.sum()) + single for a, b in zip(_totals(root), seats, strict=True)]
-            samples.append((state, root, seats, totals))
+    scratch.drop(state)
 
     # Root probabilities: of rare words in a table, of common ones and of unknown ones as numbers.
     known, models, chances, unknown = rare.withColumnRenamed("n", "customers"), [], [], []
@@ -482,7 +484,7 @@ def score_texts(
         known = known.withColumn(f"p{i}", (mass + (s + d * totals[1]) * uniform) / (s + totals[0]))
         chances.append(predictive(0, *seats, *totals, uniform))
         unknown.append(float(predictive(0, 0, 0, *totals, uniform)))
-        models += [_states(state, i), _shared(state, i)]
+        models += [_of_kind(state, SAMPLE, i), _shared(state, i)]
     known = known.withColumn("tables", F.lit(0).cast("bigint"))
     chance = F.array(*(F.col(f"p{i}") for i in range(len(samples))))
     found = spark.sparkContext.broadcast((names, common_n, np.stack(chances, axis=1)))

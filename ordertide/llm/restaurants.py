@@ -294,13 +294,16 @@ class Scorer:
         self.is_shared = np.isin(names, frequent)
         self.samples: list[tuple] = []
 
-    def add(self, seats: Seats, base: np.ndarray, shared: Lookup) -> None:
-        """One more sample; ``base`` has the root's probability of every name."""
+    def add(self, pair_tables: np.ndarray, leaf_tables: np.ndarray, base: np.ndarray, shared: Lookup) -> None:
+        """One more sample: tables of active pairs and of leaves; ``base`` has the root's probability of every name."""
         dishes, size = self.dishes, self.dishes.size
-        customers, tables = np.ones(len(dishes.pairs), np.int64), np.ones(len(dishes.pairs), np.int64)
-        customers[dishes.active], tables[dishes.active] = seats.customers, seats.tables
+        tables = np.ones(len(dishes.pairs), np.int64)
+        tables[dishes.active] = pair_tables
         dish_tables = np.ones(len(dishes.dishes), np.int64)
-        dish_tables[dishes.n > 1] = seats.leaf_tables
+        dish_tables[dishes.n > 1] = leaf_tables
+        leaf = dishes.dish_pair[dishes.n > 1]
+        passed = np.bincount(leaf, weights=leaf_tables, minlength=len(dishes.pairs)).astype(np.int64)
+        customers = dishes.fixed + passed
         last_of, places = dishes.pairs // size, len(dishes.places)
         last = tuple(np.bincount(last_of, weights=v, minlength=size) for v in (customers, tables))
         place = tuple(np.bincount(dishes.dish_place, weights=v, minlength=places) for v in (dishes.n, dish_tables))
