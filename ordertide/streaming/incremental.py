@@ -16,14 +16,17 @@ Tables are read from the state of the last committed batch with Spark's state re
 counts, gates, report and exports as a run beside those of full curations, and publishes it in the same log.
 
 Scale. Copies of an event are folded in each Arrow batch before they are shuffled, and so are the changes of a cell.
-The events of an order are dealt over ``SALTS`` parts, so an order of a third of all events spreads over tasks. Only an
-order (part) whose latest event was replaced looks through its other events. State is partitioned by key;
-the first start fixes the number of partitions for the life of a checkpoint.
+Event ids, order parts and orders are dealt into ``BUCKETS`` buckets, and a bucket is one entry of the state: a first
+load of a long history reads and writes it in a few calls for many events, and 1,000 events touch 1,000 buckets
+of some events each. Parts and orders append their changes and read them back only when a latest event is lost.
+The events of an order are dealt over ``SALTS`` parts, so an order of a third of all events spreads over tasks. State is
+partitioned by bucket; the first start fixes the number of partitions and of buckets for the life of a checkpoint.
 """
 
 from __future__ import annotations
 
 import decimal
+import json
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
@@ -55,10 +58,12 @@ from ordertide.plans.settings import (
 from ordertide.streaming.landing import drain
 
 SALTS = 32
+# Groups of event ids, of order parts and of orders that share a state entry, fixed for the life of a checkpoint.
+BUCKETS = 1 << 16
+CHUNK = 1000  # lines of one text
 CLOCKS = ("event_ts", "ingest_ts")
 # Clocks are microseconds in the state, so that no Python time zone touches them.
 STATE_FIELDS = tuple((n, "bigint" if n in CLOCKS else kind) for n, kind in ORDER_EVENT_FIELDS)
-BODY = tuple(name for name, _ in STATE_FIELDS if name != "event_id")
 CELL_SUMS = (*((name, "bigint") for name in (*marts.CELL_COUNTS, "strays")), ("amount", AMOUNT_TYPE))
 
 
@@ -67,7 +72,10 @@ def _ddl(*fields: tuple[str, str]) -> str:
 
 
 EVENT_DDL = _ddl(*STATE_FIELDS)
-BODY_DDL = _ddl(*(field for field in STATE_FIELDS if field[0] in BODY))
+# In the state and between its operators an event is a line: numbers and its JSON, which holds no tab and no line end,
+# with tabs between them. Up to CHUNK lines are one value, so Python copies few values and reads JSON only to compare.
+LINES_DDL = "lines string"
+NUMBERS = {"winner": resolve.COPIES, "part_latest": "salt", "order_latest": "salt"}  # of the lines that are read
 
 
 def _rank(value) -> tuple:
@@ -77,86 +85,163 @@ def _rank(value) -> tuple:
     return (2,) if value != value else (1, value)
 
 
-def _ranks(row, names: Sequence[str]) -> tuple:
-    return tuple(_rank(row[name]) for name in names)
+def _fields(event: str) -> dict:
+    fields = json.loads(event)
+    price = fields.get("unit_price_vnd")
+    if isinstance(price, str):  # JSON has no numbers for NaN and infinities
+        fields["unit_price_vnd"] = float(price)
+    return fields
+
+
+def _ranks(fields: dict, names: Sequence[str]) -> tuple:
+    return tuple(_rank(fields.get(name)) for name in names)
+
+
+def _texts(lines: Sequence[str]) -> list[tuple[str]]:
+    return [("\n".join(lines[start : start + CHUNK]),) for start in range(0, len(lines), CHUNK)]
+
+
+def _replace(state, lines: Sequence[str]) -> None:
+    """What a list state holds, one text a message."""
+    state.clear()
+    for text in _texts(lines):
+        state.appendValue(text)
+
+
+def _lines(texts) -> Iterator[list[str]]:
+    """Lines of a list state or of rows with a column of lines, each as its fields."""
+    for text in texts:
+        for line in text[-1].split("\n"):
+            yield line.split("\t")
 
 
 class EventWinners(StatefulProcessor):
-    """Per event id the copy ingested last. Passes on the old and the new winner when it changes."""
+    """Per bucket of event ids the copy of each event ingested last. Passes on old and new winners that change.
+
+    Lines taken in and held: copies, event; passed on: sign, event.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.winner = handle.getValueState("winner", f"{BODY_DDL}, copies bigint")
+        self.winners = handle.getListState("winner", LINES_DDL)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        names = resolve.EVENT_RECENCY
-        held = self.winner.get()
-        old = None if held is None else dict(zip((*BODY, "copies"), held, strict=True))
-        best, copies = old, old["copies"] if old else 0
+        held: dict = {}
+        for copies, event in _lines(self.winners.get()):
+            held[json.loads(event).get("event_id")] = (event, int(copies))
+        found: dict = {}
         for row in rows:
-            copies += row["copies"]
-            if best is None or _ranks(row, names) > _ranks(best, names):
-                best = row
-        self.winner.update((*(best[name] for name in BODY), copies))
-        if best is not old:
-            for sign, event in ((-1, old), (1, best)):
-                if event is not None:
-                    yield Row(sign=sign, event_id=key[0], **{name: event[name] for name in BODY})
+            name, event, copies = row["event_id"], row["event"], row[resolve.COPIES]
+            known = found.get(name) or held.get(name)
+            if known is not None:
+                best, before = known
+                later = event != best and self._recency(event) > self._recency(best)
+                event, copies = event if later else best, before + copies
+            found[name] = (event, copies)
+        _replace(self.winners, [f"{copies}\t{event}" for event, copies in {**held, **found}.values()])
+        changes = []
+        for name, (event, _) in found.items():
+            old = held[name][0] if name in held else None
+            if event != old:
+                if old is not None:
+                    changes.append(f"-1\t{old}")
+                changes.append(f"1\t{event}")
+        for (text,) in _texts(changes):
+            yield Row(lines=text)
+
+    @staticmethod
+    def _recency(event: str) -> tuple:
+        return _ranks(_fields(event), resolve.EVENT_RECENCY)
 
 
 class LatestMember(StatefulProcessor):
-    """Per key the latest event among its members. Passes on the old and the new one when it changes.
+    """Per key the latest event among its members, for the keys of a bucket. Passes on old and new ones that change.
+
+    ``keys`` and ``member`` are fields of the event, or ``salt``. Lines taken in, kept as changes and passed on: sign,
+    salt, event; of the latest events: salt, event.
 
     A change names its member. A removal only counts while the member still is what is to be removed, so
     the removal and the replacement of one member may come in any order.
+
+    Changes are appended to the state as they come, and only read when the latest event of a key was removed or
+    when more than half of them are removals; then what is left of them replaces them.
     """
 
-    def __init__(self, name: str, keys: Sequence[str], member: tuple[str, str]):
+    def __init__(self, name: str, keys: Sequence[str], member: str):
         self.name, self.keys, self.member = name, tuple(keys), member
-        self.events = tuple(field for field, _ in STATE_FIELDS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        member = _ddl(("member", self.member[1]))
-        self.members = handle.getMapState(f"{self.name}_members", member, EVENT_DDL)
-        self.latest = handle.getValueState(f"{self.name}_latest", f"{EVENT_DDL}, {member}")
-
-    def _event(self, values) -> dict:
-        return dict(zip(self.events, values, strict=False))
+        self.changes = handle.getListState(f"{self.name}_changes", LINES_DDL)
+        self.latest = handle.getListState(f"{self.name}_latest", LINES_DDL)
+        self.size = handle.getValueState(f"{self.name}_size", "changes bigint, removals bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.latest.get()
-        old, holder = (None, None) if held is None else (self._event(held), held[len(self.events)])
-        best, member_of_best, touched = old, holder, False
+        held: dict = {}
+        for salt, event in _lines(self.latest.get()):
+            named, *entry = self._entry(salt, event)
+            held[named] = tuple(entry)
+        best, touched, pending = dict(held), set(), []
+        changes, removals = self.size.get() or (0, 0)
         for row in rows:
-            member, event = row[self.member[0]], {name: row[name] for name in self.events}
-            touched |= held is not None and member == holder
-            if row["sign"] > 0:
-                self.members.updateValue((member,), tuple(event.values()))
-                if best is None or self._recency(event) > self._recency(best):
-                    best, member_of_best = event, member
-            elif self.members.containsKey((member,)):
-                stored = self._event(self.members.getValue((member,)))
-                if _ranks(stored, self.events) == _ranks(event, self.events):
-                    self.members.removeKey((member,))
-        if touched and best is old:
-            best = None
-            for member, values in self.members.iterator():
-                event = self._event(values)
-                if best is None or self._recency(event) > self._recency(best):
-                    best, member_of_best = event, member[0]
-        if (old and _ranks(old, self.events)) == (best and _ranks(best, self.events)):
-            return
-        if best is None:
-            self.latest.clear()
-        else:
-            self.latest.update((*best.values(), member_of_best))
-        named = dict(zip(self.keys, key, strict=True))
-        for sign, event in ((-1, old), (1, best)):
-            if event is not None:
-                yield Row(sign=sign, **{**event, **named})
-
-    @staticmethod
-    def _recency(event: dict) -> tuple:
-        return _ranks(event, resolve.STATE_RECENCY)
+            pending.append(row["line"])
+            sign, salt, event = row["line"].split("\t")
+            changes, removals = changes + 1, removals + (sign == "-1")
+            if len(pending) == CHUNK:
+                self.changes.appendValue(("\n".join(pending),))
+                pending = []
+            named, member, *entry = self._entry(salt, event)
+            if named in held and held[named][0] == member:
+                touched.add(named)
+            if sign == "1" and (named not in best or entry[-1] > best[named][-1]):
+                best[named] = (member, *entry)
+        if pending:
+            self.changes.appendValue(("\n".join(pending),))
+        # Keys that lost their latest event and got no later one.
+        lost = {named for named in touched if best[named] is held[named]}
+        compact = changes > 64 and 2 * removals > changes
+        if lost or compact:
+            members = self._members(None if compact else lost)
+            for named in lost:
+                left = members.get(named)
+                if left:
+                    best[named] = max(left.values(), key=lambda entry: entry[-1])
+                else:
+                    del best[named]
+            if compact:
+                kept = [f"1\t{salt}\t{event}" for left in members.values() for _, salt, event, _ in left.values()]
+                _replace(self.changes, kept)
+                changes, removals = len(kept), 0
+        self.size.update((changes, removals))
+        signed = []
+        for named in held | best:
+            old, new = held.get(named), best.get(named)
+            if (old and old[2]) != (new and new[2]):
+                for sign, entry in ((-1, old), (1, new)):
+                    if entry is not None:
+                        signed.append(f"{sign}\t{entry[1]}\t{entry[2]}")
+        if signed:
+            _replace(self.latest, [f"{salt}\t{event}" for _, salt, event, _ in best.values()])
+        for (text,) in _texts(signed):
+            yield Row(lines=text)
+
+    def _entry(self, salt: str, event: str) -> tuple:
+        """Key, member, salt, event and recency of an event."""
+        fields = json.loads(event)
+        named = tuple(salt if name == "salt" else fields.get(name) for name in self.keys)
+        member = salt if self.member == "salt" else fields.get(self.member)
+        return named, member, salt, event, _ranks(fields, resolve.STATE_RECENCY)
+
+    def _members(self, wanted: set | None) -> dict:
+        """What is left of the changes: per key, of those ``wanted`` or of all, the entry of every member."""
+        members: dict = {}
+        for sign, salt, event in _lines(self.changes.get()):
+            named, member, *entry = self._entry(salt, event)
+            if wanted is None or named in wanted:
+                left = members.setdefault(named, {})
+                if sign == "1":
+                    left[member] = (member, *entry)
+                elif member in left and left[member][2] == event:
+                    del left[member]
+        return members
 
 
 class CellSums(StatefulProcessor):
@@ -182,16 +267,18 @@ class CellSums(StatefulProcessor):
 def _folded_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: one row per event id of a batch, its latest copy, and how many copies there were."""
     for batch in batches:
+        events = batch.column("event")
         best: dict = {}
         copies: dict = {}
-        for row in batch.to_pylist():
-            name = row["event_id"]
+        for i, name in enumerate(batch.column("event_id").to_pylist()):
             copies[name] = copies.get(name, 0) + 1
-            if name not in best or _ranks(row, resolve.EVENT_RECENCY) > _ranks(best[name], resolve.EVENT_RECENCY):
-                best[name] = row
-        kept = pa.RecordBatch.from_pylist(list(best.values()), schema=batch.schema)
+            if copies[name] == 1:
+                best[name] = i
+            elif EventWinners._recency(events[i].as_py()) > EventWinners._recency(events[best[name]].as_py()):
+                best[name] = i
+        kept = batch.take(pa.array(best.values(), pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [*kept.columns, pa.array(list(copies.values()), pa.int64())], [*batch.schema.names, "copies"]
+            [*kept.columns, pa.array(copies.values(), pa.int64())], [*batch.schema.names, resolve.COPIES]
         )
 
 
@@ -207,13 +294,30 @@ def _folded_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _in_state(events: DataFrame) -> DataFrame:
-    return events.select(*(F.unix_micros(n).alias(n) if n in CLOCKS else F.col(n) for n in EVENT_COLUMNS))
+    """Event id and the whole event as JSON; fields that are NULL are left out of it."""
+    fields = (F.unix_micros(n).alias(n) if n in CLOCKS else F.col(n) for n in EVENT_COLUMNS)
+    return events.select("event_id", F.to_json(F.struct(*fields)).alias("event"))
+
+
+def _from_lines(texts: DataFrame, *numbers: str) -> DataFrame:
+    """One row per line of the column ``lines``: its ``numbers`` and its ``event`` as text."""
+    lines = texts.select(F.explode(F.split("lines", "\n")).alias("line"))
+    fields = F.split("line", "\t")
+    names = [(name, "bigint") for name in numbers] + [("event", "string")]
+    return lines.select(*(F.get(fields, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)))
+
+
+def _read_events(texts: DataFrame, *kept: str) -> DataFrame:
+    """The ``kept`` columns and the fields of the JSON column ``event``, each text read once."""
+    return texts.select(*kept, F.inline(F.array(F.from_json("event", EVENT_DDL))))
 
 
-def _from_state(value: Column, names: Sequence[str]) -> list[Column]:
-    return [
-        (F.timestamp_micros(value[name]) if name in CLOCKS else value[name]).alias(name) for name in names
-    ]
+def _on_clock(events: DataFrame, *clocks: str) -> DataFrame:
+    return events.withColumns({name: F.timestamp_micros(name) for name in clocks})
+
+
+def _bucket(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 class IncrementalMarts:
@@ -239,19 +343,30 @@ class IncrementalMarts:
 
     def changed_cells(self, events: DataFrame) -> DataFrame:
         """The stateful plan: a stream of order events to the new sums of every cell that changed."""
-        folded = _in_state(events).mapInArrow(_folded_copies, f"{EVENT_DDL}, copies bigint")
-        signed = f"sign int, {EVENT_DDL}"
-        winners = folded.groupBy("event_id").transformWithState(EventWinners(), signed, "Append", "None")
-        accepted = quality.accepted_events(quality.classify_events(winners, self.contract))
-        salt = F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt")
-        part = LatestMember("part", ("order_id", "salt"), ("event_id", "string"))
+        folded = _in_state(events).mapInArrow(
+            _folded_copies, f"event_id string, event string, {resolve.COPIES} bigint"
+        )
+        winners = (
+            folded.select(_bucket("event_id"), "*")
+            .groupBy("bucket")
+            .transformWithState(EventWinners(), LINES_DDL, "Append", "None")
+        )
+        read = _read_events(_from_lines(winners, "sign"), "sign", "event")
+        accepted = quality.accepted_events(quality.classify_events(read, self.contract))
+        salt = F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).alias("salt")
+        line = F.concat_ws("\t", "sign", "salt", "event").alias("line")
         parts = (
-            accepted.select("*", salt)
-            .groupBy("order_id", "salt")
-            .transformWithState(part, f"{signed}, salt int", "Append", "None")
+            accepted.select("sign", "order_id", salt, "event")
+            .select(_bucket("order_id", "salt"), line)
+            .groupBy("bucket")
+            .transformWithState(LatestMember("part", ("order_id", "salt"), "event_id"), LINES_DDL, "Append", "None")
+        )
+        latest = _read_events(_from_lines(parts, "sign", "salt"), "sign", "salt", "event")
+        orders = (
+            latest.select(_bucket("order_id"), line)
+            .groupBy("bucket")
+            .transformWithState(LatestMember("order", ("order_id",), "salt"), LINES_DDL, "Append", "None")
         )
-        order = LatestMember("order", ("order_id",), ("salt", "int"))
-        orders = parts.groupBy("order_id").transformWithState(order, signed, "Append", "None")
         changes = self._signed_cells(orders).mapInArrow(
             _folded_cells, f"sales_hour bigint, province string, category string, {_ddl(*CELL_SUMS)}"
         )
@@ -265,7 +380,7 @@ class IncrementalMarts:
     @staticmethod
     def _signed_cells(orders: DataFrame) -> DataFrame:
         """What each changed order state adds to its cell or takes from it."""
-        dated = orders.withColumn("event_ts", F.timestamp_micros("event_ts"))
+        dated = _on_clock(_read_events(_from_lines(orders, "sign", "salt"), "sign"), "event_ts")
         cells = marts.order_cells(resolve.active_orders(dated), "sign")
         # Doubles outside the decimal range cannot be subtracted again: they are counted, and readers
         # rebuild the cells that hold any.
@@ -321,7 +436,10 @@ class IncrementalMarts:
         return max((int(name) for name in names if name.isdigit()), default=-1)
 
     def _state(self, variable: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
-        """(key, value) of a state variable as of the last committed batch; ``fields`` are those of both."""
+        """(key, value) of a state variable as of the last committed batch; ``fields`` are those of both.
+
+        Of a state of lines both are the event of a line, with its number before it.
+        """
         if self.committed_batch() < 0:
             return self.spark.createDataFrame([], _ddl(*fields)).select(
                 F.struct("*").alias("key"), F.struct("*").alias("value")
@@ -330,16 +448,17 @@ class IncrementalMarts:
         named = F.get_json_object("operatorProperties", "$.stateVariables[*].stateName")
         operator = operators.filter(named.contains(f'"{variable}"') | (named == variable)).first()
         reader = self.spark.read.format("statestore").option("operatorId", operator["operatorId"])
-        return reader.option("stateVarName", variable).load(self.checkpoint)
+        state = reader.option("stateVarName", variable).load(self.checkpoint)
+        if "list_element" not in state.columns:
+            return state
+        number = NUMBERS[variable]
+        events = _read_events(_from_lines(state.select("list_element.lines"), number), number)
+        return events.select(F.struct("*").alias("key"), F.struct("*").alias("value"))
 
     def winning_events(self) -> DataFrame:
         """The winning copy of every event, with its rejection reason and the copies it stands for."""
-        state = self._state("winner", (*STATE_FIELDS, (resolve.COPIES, "bigint")))
-        events = state.select(
-            F.col("key.event_id").alias("event_id"),
-            *_from_state(F.col("value"), BODY),
-            F.col(f"value.{resolve.COPIES}").alias(resolve.COPIES),
-        ).select(*EVENT_COLUMNS, resolve.COPIES)
+        winners = self._state("winner", (*STATE_FIELDS, (resolve.COPIES, "bigint"))).select("value.*")
+        events = _on_clock(winners, *CLOCKS).select(*EVENT_COLUMNS, resolve.COPIES)
         return quality.classify_events(events, self.contract)
 
     def classified_events(self) -> DataFrame:
@@ -350,8 +469,8 @@ class IncrementalMarts:
 
     def order_state(self) -> DataFrame:
         """Current order state as of the last committed batch."""
-        state = self._state("order_latest", STATE_FIELDS)
-        return resolve.priced_orders(state.select(*_from_state(F.col("value"), EVENT_COLUMNS)))
+        latest = self._state("order_latest", STATE_FIELDS).select("value.*")
+        return resolve.priced_orders(_on_clock(latest, *CLOCKS).select(*EVENT_COLUMNS))
 
     def sales_cells(self) -> DataFrame:
         """Sales cells as of the last committed batch."""

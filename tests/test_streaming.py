@@ -473,6 +473,32 @@ def test_a_hot_order_and_a_hot_event_spread(spark, tmp_path):
     assert folded.num_rows == 300 and max(folded.column("copies").to_pylist()) == 151
 
 
+def test_a_bucket_of_the_state_holds_many_events(spark, tmp_path, monkeypatch):
+    """A long history takes as many state entries as there are buckets, and removals leave the state."""
+    monkeypatch.setattr(incremental, "BUCKETS", 4)
+    monkeypatch.setattr(incremental, "CHUNK", 50)
+    target, incoming, rows = IncrementalMarts(spark, tmp_path / "inc", partitions=2), tmp_path / "in", []
+    for copy in range(4):  # every copy moves its events to another province, the last events of orders among them
+        provinces = ["Ha Noi", "Da Nang", "Can Tho", "UNKNOWN"]
+        rows += [
+            event(
+                f"e\t{i}\n" if i % 7 else None,
+                order_id=f"O{(i + copy) % 90}",
+                province=provinces[(i + copy) % 4],
+                ingest_ts=f"2025-02-0{copy + 1}T00:00:{i % 60:02d}+00:00",
+            )
+            for i in range(600)
+        ]
+        progress = []
+        write_jsonl(incoming / f"{copy}.jsonl", rows[-600:])
+        query = target.start(stream_event_files(spark, str(incoming)), {"availableNow": True})
+        query.awaitTermination()
+        progress += [operator.numRowsTotal for operator in query.lastProgress.stateOperators]
+        assert max(progress) <= 3 * 4 + 2 * 90, progress
+        assert_matches_recompute(target, frame(spark, rows))
+    assert target.occurrence_counts().first()["bronze"] == len(rows)
+
+
 def test_incremental_rejects_and_counts_equal_the_full_run(spark, tmp_path):
     rows = list(random_events(seed=3))
     target = IncrementalMarts(spark, tmp_path / "inc", partitions=2)
