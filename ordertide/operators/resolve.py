@@ -43,13 +43,13 @@ def dedup_counting_copies(events: DataFrame) -> DataFrame:
     """``dedup_latest_event`` with ``copies``, the occurrences each surviving row stands for.
 
     Copies are counted while they are collapsed, so their sum tells whether an occurrence got lost.
-    Partial aggregates run before the shuffle, so a hot event id costs one row per map task.
+    Partial aggregates run before the shuffle, so a hot event id costs one row per map task. What ranks a copy is
+    all of it, so the aggregate holds each copy once.
     """
     columns = events.columns
     provenance = [name for name in columns if name not in EVENT_COLUMNS]
     recency = F.struct(*[n for n in EVENT_RECENCY if n in columns], *provenance)
-    latest = F.max_by(F.struct(*[n for n in columns if n != "event_id"]), recency).alias("latest")
-    grouped = events.groupBy("event_id").agg(latest, F.count("*").alias(COPIES))
+    grouped = events.groupBy("event_id").agg(F.max(recency).alias("latest"), F.count("*").alias(COPIES))
     return grouped.select("event_id", "latest.*", COPIES).select(*columns, COPIES)
 
 
