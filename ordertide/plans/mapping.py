@@ -30,11 +30,12 @@ def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = read_table(spark, sf_dir, "customer").join(
         read_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")
     )
+    # Orders find their place before the lines do: there are fewer of them, and lines are shuffled once less.
+    orders = read_table(spark, sf_dir, "orders").join(place, F.expr("o_custkey = c_custkey"))
     lines = (
         read_table(spark, sf_dir, "lineitem")
-        .join(read_table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
-        .join(place, F.expr("o_custkey = c_custkey"))
         .join(read_table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(orders, F.expr("l_orderkey = o_orderkey"))
     )
     shipped = F.col("l_shipdate").cast("timestamp")
     on_the_hour = F.timestamp_add("HOUR", F.expr("int(l_partkey % 24)"), shipped)

@@ -62,6 +62,18 @@ def test_top_provinces_need_no_window_over_all_rows(spark, capsys):
     assert not re.search(r"Window \(\d+\)\n +\+- .*Sort \(\d+\)\n +\+- Exchange SinglePartition", plan)
 
 
+def test_lines_move_twice_to_find_part_order_and_place(spark):
+    with applied(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        events = mapping.lineitem_events(spark, SF_DIR)
+        lines = events._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "Scan parquet" in line and "l_orderkey" in line)
+    depth, moves = re.search(r"\w", lines[at]).start(), 0
+    for line in reversed(lines[:at]):  # what stands above the scan of the lines
+        if line.strip() and (start := re.search(r"\w", line).start()) < depth:
+            depth, moves = start, moves + ("Exchange hashpartitioning" in line)
+    assert moves == 2
+
+
 def test_copies_are_counted_before_the_shuffle(spark, capsys):
     events = mapping.activity_events(spark, SF_DIR)
     plan = tree_of(plan_of(capsys, resolve.dedup_counting_copies(events)))
