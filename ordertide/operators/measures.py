@@ -84,6 +84,8 @@ def ranked_provinces(provinces: DataFrame, top: int | None = None) -> DataFrame:
     """
     same = F.col("revenue_vnd").eqNullSafe(F.col("value"))
     if top is None:
+        # Ranks and rows both read the mart: it is computed once.
+        provinces = write_table(provinces, scratch_path(provinces.sparkSession, "provinces"))
         ranks = value_ranks(provinces, "revenue_vnd")
         return provinces.join(ranks, same).select(
             *provinces.columns, F.col("rank").cast("int").alias("revenue_rank")

@@ -74,6 +74,11 @@ def test_lines_move_twice_to_find_part_order_and_place(spark):
     assert moves == 2
 
 
+def test_ranked_provinces_compute_the_mart_once(spark, capsys):
+    """Ranks and rows are joined from what was stored, not from two runs over all lines."""
+    assert "l_orderkey" not in plan_of(capsys, QUERIES["ranked_provinces"](spark, SF_DIR))
+
+
 def test_copies_are_counted_before_the_shuffle(spark, capsys):
     events = mapping.activity_events(spark, SF_DIR)
     plan = tree_of(plan_of(capsys, resolve.dedup_counting_copies(events)))
