@@ -38,6 +38,8 @@ from ordertide.sources.files import read_bronze
 
 # Bytes as they are stored and shuffled. Sorted for a deduplication, rows take about eight times as much in a task.
 PARTITION_BYTES = 32 << 20
+# Stored bytes of a scan task. It sorts its rows as well before copies are collapsed, decoded from compressed Parquet.
+SPLIT_BYTES = 8 << 20
 
 # Published table -> (layer, stored table). The clean and rejected events are the two partitions of
 # one stored table, so one job resolves the events and writes both.
@@ -150,7 +152,7 @@ def curate_and_publish(
     layout = Layout(str(root))
     if settings is None:
         size = sum(path_bytes(spark, path) for path in layout.bronze_sources)
-        settings = session_settings(size, PARTITION_BYTES)
+        settings = session_settings(size, PARTITION_BYTES, split_bytes=SPLIT_BYTES)
     with applied(spark, settings):
         run_id, report = _curate(
             spark, layout, contract, horizon, enforce_required, quarantine_missing,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ordertide.contract import DEFAULT_TOPIC, EVENT_COLUMNS
 from ordertide.plans.layout import Layout
-from ordertide.plans.settings import STATE_STORE, apply_settings, require_utc
+from ordertide.plans.settings import STATE_STORE, applied, apply_settings, path_bytes, require_utc
 from ordertide.sources.files import (
     FILE_BRONZE_SCHEMA,
     RAW,
@@ -20,6 +22,9 @@ from ordertide.streaming.progress import recorded_progress
 
 POLL_SECONDS = 1
 FILES_PER_DATE = 8
+# Shuffled bytes a landing task sorts by date, about eight times as much in its memory.
+PARTITION_BYTES = 32 << 20
+MAX_PARTITIONS = 4096
 
 
 def gather_dates(events: DataFrame, files_per_date: int | None) -> DataFrame:
@@ -33,6 +38,20 @@ def gather_dates(events: DataFrame, files_per_date: int | None) -> DataFrame:
     return events.repartition("event_date", salt)
 
 
+def landing_settings(spark: SparkSession, incoming: str) -> dict[str, str]:
+    """Shuffle settings of a stateless landing of the files under ``incoming``.
+
+    JSON lines are shuffled as about a quarter of their bytes. Eight times as many partitions as these need keep dates
+    apart that meet by chance, and adaptive execution merges small ones, so files that landed before cost little.
+    """
+    partitions = math.ceil(path_bytes(spark, incoming) / (PARTITION_BYTES // 2))
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(fixed, min(partitions, MAX_PARTITIONS))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+    }
+
+
 def drop_replays(events: DataFrame, within: str) -> DataFrame:
     """Drop exact copies of events that arrived up to ``within`` before.
 
@@ -114,15 +133,19 @@ def land_file_stream(
     layout = Layout(str(root))
     before = bronze_rows(spark, layout.file_bronze) if count_bronze else None
     events = stream_event_files(spark, str(incoming), max_files_per_trigger, archive)
-    if replays_within is not None:
+    sizes = {}
+    if replays_within is None:
+        sizes = landing_settings(spark, str(incoming))
+    else:  # keyed state has the partitions of its first start
         events = drop_replays(events, replays_within)
     with recorded_progress(spark, metrics, [landing_name(layout.file_bronze)]):
-        query = start_bronze_append(
-            gather_dates(events, files_per_date),
-            layout.file_bronze,
-            layout.checkpoint("file_orders_to_bronze"),
-            {"availableNow": True},
-        )
+        with applied(spark, sizes):  # the query keeps the settings it is started with
+            query = start_bronze_append(
+                gather_dates(events, files_per_date),
+                layout.file_bronze,
+                layout.checkpoint("file_orders_to_bronze"),
+                {"availableNow": True},
+            )
         progress = drain(query)
     after = bronze_rows(spark, layout.file_bronze) if count_bronze else None
     return {

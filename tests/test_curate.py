@@ -25,6 +25,8 @@ from ordertide.plans.layout import Layout
 from ordertide.plans.settings import applied, apply_settings, scratch_path, session_settings
 from ordertide.sources.files import read_bronze, read_province_dimension
 from ordertide.operators.measures import with_geography
+from ordertide.sinks import files
+from ordertide.streaming import landing
 from ordertide.streaming.landing import land_file_stream
 
 
@@ -312,3 +314,30 @@ def test_a_task_of_a_run_sorts_a_bounded_share_of_bronze(spark, tmp_path, monkey
     # A copy is held once while its latest is looked for.
     plan = resolve.dedup_counting_copies(frame(spark, [event("e1")]))._jdf.queryExecution().optimizedPlan()
     assert "max_by" not in plan.toString()
+
+
+def test_a_task_of_a_landing_sorts_a_bounded_share_of_its_files(spark, tmp_path, monkeypatch):
+    """1.6 GB of JSON lines were dealt into the session's shuffle partitions, however many bytes each got."""
+    seen = []
+
+    def spied(spark, settings):
+        seen.append(settings)
+        return applied(spark, settings)
+
+    for module in (landing, files):
+        monkeypatch.setattr(module, "applied", spied)
+    monkeypatch.setattr(landing, "path_bytes", lambda spark, path: 1600 << 20)
+    files.write_event_files(frame(spark, [event("e1"), event("e2")]), str(tmp_path / "incoming"))
+    assert int(seen[0]["spark.sql.maxConcurrentOutputFileWriters"]) > 31  # dates of a month side by side, not sorted
+    land_file_stream(spark, tmp_path / "incoming", tmp_path / "data")
+    assert int(seen[1]["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) == 100
+    assert read_bronze(spark, Layout(str(tmp_path / "data")).bronze_sources).count() == 2
+    land_file_stream(spark, tmp_path / "incoming", tmp_path / "again", replays_within="1 day")
+    assert seen[2] == {}
+
+
+def test_a_scan_task_of_a_run_reads_less_than_a_reducer(spark):
+    """Rows are sorted in the scan as well, decoded from compressed files."""
+    scan = session_settings(1 << 30, curate.PARTITION_BYTES, split_bytes=curate.SPLIT_BYTES)
+    assert int(scan["spark.sql.files.maxPartitionBytes"]) == 8 << 20
+    assert scan["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(32 << 20)
