@@ -15,7 +15,8 @@ of all four operators with the batch; a batch that failed is computed again from
 Tables are read from the state of the last committed batch with Spark's state reader. ``publish`` writes them,
 counts, gates, report and exports as a run beside those of full curations, and publishes it in the same log.
 
-Scale. Copies of an event are folded in each Arrow batch before they are shuffled, and so are the changes of a cell.
+Scale. Copies of an event are folded by the task that reads them, before they are shuffled, and so are the changes of a
+cell. A row that goes into the state holds the lines of one bucket that a task has at hand, not one event.
 Event ids, order parts and orders are dealt into ``BUCKETS`` buckets, and a bucket is one entry of the state: a first
 load of a long history reads and writes it in a few calls for many events, and 1,000 events touch 1,000 buckets
 of some events each. Parts and orders append their changes and read them back only when a latest event is lost.
@@ -59,8 +60,10 @@ from ordertide.streaming.landing import drain
 
 SALTS = 32
 # Groups of event ids, of order parts and of orders that share a state entry, fixed for the life of a checkpoint.
-BUCKETS = 1 << 16
-CHUNK = 1000  # lines of one text
+BUCKETS = 1 << 14
+CHUNK = 1000  # lines of one text in the state
+# Lines that a task gathers to pack those of a bucket, at most so many bytes, and lines of a shuffled row.
+PACKED, PACKED_BYTES, ROW_LINES = 1 << 17, 128 << 20, 100
 CLOCKS = ("event_ts", "ingest_ts")
 # Clocks are microseconds in the state, so that no Python time zone touches them.
 STATE_FIELDS = tuple((n, "bigint" if n in CLOCKS else kind) for n, kind in ORDER_EVENT_FIELDS)
@@ -75,6 +78,7 @@ EVENT_DDL = _ddl(*STATE_FIELDS)
 # In the state and between its operators an event is a line: numbers and its JSON, which holds no tab and no line end,
 # with tabs between them. Up to CHUNK lines are one value, so Python copies few values and reads JSON only to compare.
 LINES_DDL = "lines string"
+PACKED_DDL = f"bucket int, {LINES_DDL}"
 NUMBERS = {"winner": resolve.COPIES, "part_latest": "salt", "order_latest": "salt"}  # of the lines that are read
 
 
@@ -97,8 +101,25 @@ def _ranks(fields: dict, names: Sequence[str]) -> tuple:
     return tuple(_rank(fields.get(name)) for name in names)
 
 
-def _texts(lines: Sequence[str]) -> list[tuple[str]]:
-    return [("\n".join(lines[start : start + CHUNK]),) for start in range(0, len(lines), CHUNK)]
+def _value(event: str, name: str):
+    """A text or clock of an event, found without reading the other fields.
+
+    Quotes inside of texts are escaped, so a name in quotes before a colon is that of a field.
+    """
+    mark = f'"{name}":'
+    start = event.find(mark)
+    if start < 0:
+        return None
+    start += len(mark)
+    if event[start] == '"':
+        text = event[start + 1 : event.find('"', start + 1)]
+        return json.loads(event)[name] if "\\" in text else text
+    stop = event.find(",", start)
+    return int(event[start : stop if stop > 0 else -1])
+
+
+def _texts(lines: Sequence[str], size: int = CHUNK) -> list[tuple[str]]:
+    return [("\n".join(lines[start : start + size]),) for start in range(0, len(lines), size)]
 
 
 def _replace(state, lines: Sequence[str]) -> None:
@@ -127,10 +148,10 @@ class EventWinners(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held: dict = {}
         for copies, event in _lines(self.winners.get()):
-            held[json.loads(event).get("event_id")] = (event, int(copies))
+            held[_value(event, "event_id")] = (event, int(copies))
         found: dict = {}
-        for row in rows:
-            name, event, copies = row["event_id"], row["event"], row[resolve.COPIES]
+        for number, event in _lines(rows):
+            name, copies = _value(event, "event_id"), int(number)
             known = found.get(name) or held.get(name)
             if known is not None:
                 best, before = known
@@ -179,20 +200,23 @@ class LatestMember(StatefulProcessor):
         for salt, event in _lines(self.latest.get()):
             named, *entry = self._entry(salt, event)
             held[named] = tuple(entry)
-        best, touched, pending = dict(held), set(), []
+        best, touched, pending, waiting = dict(held), set(), [], 0
         changes, removals = self.size.get() or (0, 0)
         for row in rows:
-            pending.append(row["line"])
-            sign, salt, event = row["line"].split("\t")
-            changes, removals = changes + 1, removals + (sign == "-1")
-            if len(pending) == CHUNK:
+            lines = row[-1].split("\n")
+            pending.append(row[-1])
+            waiting += len(lines)
+            if waiting >= CHUNK:
                 self.changes.appendValue(("\n".join(pending),))
-                pending = []
-            named, member, *entry = self._entry(salt, event)
-            if named in held and held[named][0] == member:
-                touched.add(named)
-            if sign == "1" and (named not in best or entry[-1] > best[named][-1]):
-                best[named] = (member, *entry)
+                pending, waiting = [], 0
+            for line in lines:
+                sign, salt, event = line.split("\t")
+                changes, removals = changes + 1, removals + (sign == "-1")
+                named, member, *entry = self._entry(salt, event)
+                if named in held and held[named][0] == member:
+                    touched.add(named)
+                if sign == "1" and (named not in best or entry[-1] > best[named][-1]):
+                    best[named] = (member, *entry)
         if pending:
             self.changes.appendValue(("\n".join(pending),))
         # Keys that lost their latest event and got no later one.
@@ -225,10 +249,9 @@ class LatestMember(StatefulProcessor):
 
     def _entry(self, salt: str, event: str) -> tuple:
         """Key, member, salt, event and recency of an event."""
-        fields = json.loads(event)
-        named = tuple(salt if name == "salt" else fields.get(name) for name in self.keys)
-        member = salt if self.member == "salt" else fields.get(self.member)
-        return named, member, salt, event, _ranks(fields, resolve.STATE_RECENCY)
+        named = tuple(salt if name == "salt" else _value(event, name) for name in self.keys)
+        member = salt if self.member == "salt" else _value(event, self.member)
+        return named, member, salt, event, tuple(_rank(_value(event, name)) for name in resolve.STATE_RECENCY)
 
     def _members(self, wanted: set | None) -> dict:
         """What is left of the changes: per key, of those ``wanted`` or of all, the entry of every member."""
@@ -282,6 +305,40 @@ def _folded_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of several batches as one."""
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACKED or sum(b.nbytes for b in held) >= PACKED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _packed(buckets: Sequence[int], lines: Sequence[str]) -> pa.RecordBatch:
+    held: dict = {}
+    for bucket, line in zip(buckets, lines, strict=True):
+        held.setdefault(bucket, []).append(line)
+    texts = [(bucket, text) for bucket, found in held.items() for (text,) in _texts(found, ROW_LINES)]
+    columns = [pa.array((bucket for bucket, _ in texts), pa.int32()), pa.array((text for _, text in texts), pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "lines"])
+
+
+def _packed_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: events and their buckets to rows of lines, the copies of an event folded."""
+    for folded in _folded_copies(_gathered(batches)):
+        counted = zip(folded.column(resolve.COPIES).to_pylist(), folded.column("event").to_pylist(), strict=True)
+        yield _packed(folded.column("bucket").to_pylist(), [f"{copies}\t{event}" for copies, event in counted])
+
+
+def _packed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: lines and their buckets to rows of lines."""
+    for batch in _gathered(batches):
+        yield _packed(batch.column("bucket").to_pylist(), batch.column("line").to_pylist())
+
+
 def _folded_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: the changes of a batch, summed per cell."""
     names = [name for name, _ in CELL_SUMS]
@@ -343,11 +400,10 @@ class IncrementalMarts:
 
     def changed_cells(self, events: DataFrame) -> DataFrame:
         """The stateful plan: a stream of order events to the new sums of every cell that changed."""
-        folded = _in_state(events).mapInArrow(
-            _folded_copies, f"event_id string, event string, {resolve.COPIES} bigint"
-        )
         winners = (
-            folded.select(_bucket("event_id"), "*")
+            _in_state(events)
+            .select(_bucket("event_id"), "*")
+            .mapInArrow(_packed_copies, PACKED_DDL)
             .groupBy("bucket")
             .transformWithState(EventWinners(), LINES_DDL, "Append", "None")
         )
@@ -358,12 +414,14 @@ class IncrementalMarts:
         parts = (
             accepted.select("sign", "order_id", salt, "event")
             .select(_bucket("order_id", "salt"), line)
+            .mapInArrow(_packed_lines, PACKED_DDL)
             .groupBy("bucket")
             .transformWithState(LatestMember("part", ("order_id", "salt"), "event_id"), LINES_DDL, "Append", "None")
         )
         latest = _read_events(_from_lines(parts, "sign", "salt"), "sign", "salt", "event")
         orders = (
             latest.select(_bucket("order_id"), line)
+            .mapInArrow(_packed_lines, PACKED_DDL)
             .groupBy("bucket")
             .transformWithState(LatestMember("order", ("order_id",), "salt"), LINES_DDL, "Append", "None")
         )

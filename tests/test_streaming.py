@@ -1,5 +1,6 @@
 """Landing, replay, several sources and the incremental marts."""
 
+import json
 import random
 import time
 
@@ -499,6 +500,28 @@ def test_a_bucket_of_the_state_holds_many_events(spark, tmp_path, monkeypatch):
     assert target.occurrence_counts().first()["bronze"] == len(rows)
 
 
+def test_a_row_for_the_state_holds_the_lines_of_a_bucket(spark):
+    """Every event was a row that Python read field by field; fields are found in an event without reading it all."""
+    rows = [event(f"e{i}", order_id=f"O{i % 3}") for i in range(1000)] + [event("e1")] * 2
+    events = incremental._in_state(frame(spark, rows)).withColumn("bucket", F.expr("int(substring(event_id, 2)) % 4"))
+    batches = events.select("bucket", "event_id", "event").toArrow().to_batches(max_chunksize=100)
+    packed = [row for batch in incremental._packed_copies(iter(batches)) for row in batch.to_pylist()]
+    assert len(packed) <= 4 * (1000 // 4 // incremental.ROW_LINES + 1)
+    lines = [line.split("\t") for row in packed for line in row["lines"].split("\n")]
+    assert len(lines) == 1000 and sum(int(copies) for copies, _ in lines) == 1002
+
+    awkward = ['a","order_id":"x', "back\\slash", "tab\tline\n", '"event_ts":5', "é", "", None]
+    rows = [event(name, order_id=other, event_type=name) for name in awkward for other in awkward]
+    rows += [event("early", event_ts="1960-01-01T00:00:00.000001+00:00")]
+    for (text,) in incremental._in_state(frame(spark, rows)).select("event").collect():
+        for name in ("event_id", "order_id", "event_ts", "ingest_ts"):
+            assert incremental._value(text, name) == json.loads(text).get(name)
+    no_clock = frame(spark, [event("e")]).withColumn("ingest_ts", F.lit(None).cast("timestamp"))
+    (text,) = incremental._in_state(no_clock).select("event").first()
+    assert incremental._value(text, "event_ts") == json.loads(text)["event_ts"]
+    assert incremental._value(text, "ingest_ts") is None
+
+
 def test_incremental_rejects_and_counts_equal_the_full_run(spark, tmp_path):
     rows = list(random_events(seed=3))
     target = IncrementalMarts(spark, tmp_path / "inc", partitions=2)
