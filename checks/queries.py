@@ -8,6 +8,7 @@ from functools import partial, wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordertide.contract import EVENT_COLUMNS
 from ordertide.functions.payload import decode_payload, encode_payload
 from ordertide.operators import forecast as fc
 from ordertide.operators import marts, measures, quality, reconcile, resolve
@@ -477,10 +478,12 @@ def _incoming(
     files: int | None = None,
     change: Callable[[DataFrame], DataFrame] = lambda e: e,
 ) -> tuple[str, str]:
-    """The events table as JSON lines under a new scratch path; returns (incoming, root)."""
+    """The events table as JSON lines under a new scratch path, ``files`` per date; returns (incoming, root)."""
     root = scratch_path(spark, "run")
     events = change(mapping.activity_events(spark, sf_dir))
-    write_event_files(events if files is None else events.repartition(files), f"{root}/incoming")
+    if files is not None:  # by as many tasks as the session has partitions
+        events = events.repartition(F.to_date("event_ts"), F.pmod(F.xxhash64(*EVENT_COLUMNS), F.lit(files)))
+    write_event_files(events, f"{root}/incoming")
     return f"{root}/incoming", root
 
 
