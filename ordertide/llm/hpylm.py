@@ -65,6 +65,7 @@ PART_TOKENS = 1_500_000
 COMMON, SLICES = 1 << 18, 16  # words whose numbers parts and the root exchange as arrays, cut into slices
 MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
 GROUPS = 4  # blocks of texts that are dealt together
+HELD_WORDS = 1 << 20  # distinct words whose counts a task adds up before it hands them on
 
 # Rows of what parts exchange. A kind names what the row is.
 BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT, PASSED_COMMON, SETTLED_COMMON, SAMPLE = range(10)
@@ -102,20 +103,53 @@ def _groups(texts: list[bytes | None], size: int = BLOCK_BYTES) -> Iterator[tupl
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of several texts in a row, and the number of tokens of each."""
     words = Words(b" ".join(texts), NOT_BLANK)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    text_of = np.searchsorted(bounds, words.starts, "right")
-    counts = np.bincount(text_of, minlength=len(texts)) + 1
+    own = np.diff(np.searchsorted(words.starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+    text_of, counts = np.repeat(np.arange(len(texts)), own), own + 1
     found = np.empty(words.count + len(texts), np.uint64)
     found[np.arange(words.count) + text_of] = words.hashes
     found[np.cumsum(counts) - 1] = END
     return found, counts
 
 
+def _added(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, sorted, and the sums of their counts."""
+    order = np.argsort(words)
+    words = words[order]
+    firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
+    return words[firsts], np.add.reduceat(counts[order], firsts) if len(firsts) else counts
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: texts to words and their counts, those of a task added up while they are few enough."""
+    held, size = [], 0
     for batch in batches:
         for _, group in _groups(batch.column("text").to_pylist()):
-            words, n = np.unique(tokens(group)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["name", "n"])
+            held.append(np.unique(tokens(group)[0], return_counts=True))
+            size += len(held[-1][0])
+            if size >= 2 * HELD_WORDS:
+                held = [_added(*(np.concatenate(columns) for columns in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size >= HELD_WORDS:
+                    yield _counted(*held.pop())
+                    size = 0
+    if held:
+        yield _counted(*_added(*(np.concatenate(columns) for columns in zip(*held, strict=True))))
+
+
+def _counted(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["name", "n"])
+
+
+def _renumbered(size: int, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The numbers below ``size`` that occur, sorted, and the columns as places among them."""
+    if size > 16 * len(columns[0]):  # few of many
+        used = np.unique(np.concatenate(columns))
+        return used, [np.searchsorted(used, column) for column in columns]
+    listed = np.zeros(size, bool)
+    for column in columns:
+        listed[column] = True
+    place = np.cumsum(listed, dtype=np.int32) - np.int32(1)
+    return np.flatnonzero(listed), [place[column] for column in columns]
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -138,6 +172,8 @@ def _rows(**columns) -> pa.RecordBatch:
 def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool):
     """Arrow function: texts to blocks of tokens, one row per part. For scores the blocks name their texts."""
 
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
@@ -145,27 +181,33 @@ def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool
             for first, group in _groups(batch.column("text").to_pylist(), GROUPS * BLOCK_BYTES):
                 found, counts = tokens(group)
                 names, word = np.unique(found, return_inverse=True)
-                end = np.searchsorted(names, END)
-                last = np.concatenate([[end], word[:-1]])
-                before = np.concatenate([[end, end], word[:-2]])[: len(word)]
-                text = np.repeat(np.arange(len(group)), counts)
-                learnt = ~held[first : first + len(group)][text]
-                part = part_numbers(names[last], found, parts, frequent)
+                size, end = len(names), np.searchsorted(names, END)
+                word = word.astype(np.int32)
+                last, before = np.full_like(word, end), np.full_like(word, end)
+                last[1:], before[2:] = word[:-1], word[:-2]
+                text = np.repeat(np.arange(len(group), dtype=np.int32), counts)
+                learnt = ~held[first : first + len(group)]
+                part = part_numbers(names, names, parts, none)[last]
+                spread = np.flatnonzero(np.isin(names, frequent[0])[last])
+                part[spread] = part_numbers(names[last[spread]], found[spread], parts, frequent)
+                del found
                 # Equal neighbours compress; the order inside a part does not matter.
-                order = np.argsort((part * len(names) + last) * len(names) + before)
-                edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+                for column in (last, before):
+                    part *= size
+                    part += column
+                order = np.argsort(part)
+                del part
                 numbers, blobs = [], []
-                for low, high in zip(edges[:-1], edges[1:], strict=True):
-                    at = order[low:high]
-                    used = np.zeros(len(names), bool)
-                    for column in (word, last, before):
-                        used[column[at]] = True
-                    place = np.cumsum(used) - 1
-                    columns = [names[used], *(place[c[at]] for c in (word, last, before)), learnt[at]]
+                for number in np.flatnonzero(np.diff(bounds)).tolist():
+                    at = order[bounds[number] : bounds[number + 1]]
+                    used, columns = _renumbered(size, *(c[at] for c in (word, last, before)))
+                    texts = text[at]
+                    columns = [names[used], *columns, learnt[texts]]
                     if with_texts:
-                        own, of_text = np.unique(text[at], return_inverse=True)
+                        own, (of_text,) = _renumbered(len(group), texts)
                         columns += [of_text, [ids[first + i] for i in own], hashes[first + own], counts[own]]
-                    numbers.append(int(part[at[0]]))
+                    numbers.append(number)
                     blobs.append(packed(*columns))
                 yield _rows(part=numbers, kind=BLOCK, blob=blobs)
 

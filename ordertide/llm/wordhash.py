@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK_BYTES = 4 << 20  # of texts taken together
-HASH_BYTES = 256 << 10  # hashed at a time; a byte takes about fifty bytes of working memory
+HASH_BYTES = 256 << 10  # hashed at a time
+LONG = 512  # bytes of a word beyond which it is hashed by itself
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 GAP = 32  # the byte that separates words in a normalised text
 
@@ -28,10 +29,8 @@ def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * _BASE + second)
 
 
-def _powers(n: int) -> np.ndarray:
-    powers = np.full(n, _BASE, np.uint64)
-    powers[0] = 1
-    return np.multiply.accumulate(powers)
+# Which bytes of eight belong to a word that has 0 to 8 bytes left.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Words:
@@ -52,17 +51,25 @@ class Words:
             first = last
 
     def _hash(self, first: int, last: int) -> np.ndarray:
-        """Polynomial hashes of the words ``first`` to ``last``."""
+        """Hashes of the words ``first`` to ``last``: of their lengths and of eight bytes after the other."""
         low, high = int(self.starts[first]), int(self.ends[last - 1])
-        values = np.frombuffer(self.plain, np.uint8)[low:high].astype(np.uint64) + np.uint64(1)
-        lengths = self.ends[first:last] - self.starts[first:last]
-        offsets = self.starts[first:last] - low
-        room = np.diff(offsets, append=high - low)
-        place = np.arange(high - low) - np.repeat(offsets, room)
-        powers = _powers(int(lengths.max()) + 1)
-        own = place < np.repeat(lengths, room)
-        terms = np.where(own, values * powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
-        return mixed(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64))
+        starts = self.starts[first:last] - low
+        lengths = self.ends[first:last] - low - starts
+        raw = self.plain[low:high] + bytes(8)
+        eights = np.ndarray(high - low, "<u8", raw, strides=(1,))  # those from every byte on
+        hashes = lengths.astype(np.uint64)
+        at, left, done = np.flatnonzero(lengths <= LONG), lengths[lengths <= LONG], 0
+        while len(at):
+            held = eights[starts[at] + done] & _LEFT[np.minimum(left, 8)]
+            hashes[at] = joined(hashes[at], held)
+            more = left > 8
+            at, left, done = at[more], left[more] - 8, done + 8
+        for i in np.flatnonzero(lengths > LONG):
+            word = raw[starts[i] : starts[i] + lengths[i]]
+            held = np.frombuffer(word + bytes(-len(word) % 8), "<u8")
+            places = np.arange(1, len(held) + 1, dtype=np.uint64) * _BASE
+            hashes[i] = joined(hashes[i : i + 1], mixed(held + places).sum(keepdims=True))[0]
+        return hashes
 
     def grams(self, size: int) -> np.ndarray:
         """Hashes of all runs of ``size`` words."""

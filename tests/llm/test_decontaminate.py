@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -87,3 +88,13 @@ def test_word_hashes_do_not_depend_on_place_or_blocks(monkeypatch):
     by_word = dict(zip(words, large.hashes, strict=True))
     assert len(set(by_word.values())) == len(by_word)
     assert all(by_word[w] == h for w, h in zip(words, large.hashes, strict=True))
+
+
+def test_hashing_a_long_word_takes_little_memory():
+    text = "".join(random.Random(9).choices("abc", k=2 << 20)).encode()
+    tracemalloc.start()
+    found = [Words(b"a " + word, NOT_BLANK).hashes[1] for word in (text, text[:-1], b"x" + text[1:])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found)) == 3
+    assert peak < 32 * len(text)

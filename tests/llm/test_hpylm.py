@@ -4,13 +4,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, empty
 from seating import Seating
 
 from ordertide.llm import queries
-from ordertide.llm.hpylm import score_texts
-from ordertide.llm.restaurants import Dishes, Seats, gathered, seat
+from ordertide.llm.hpylm import _dealt, _word_counts, score_texts, tokens
+from ordertide.llm.restaurants import Dishes, Seats, gathered, part_numbers, seat, unpacked
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -214,3 +215,43 @@ def test_tables_agree_with_the_sampler_in_memory(spark):
     for r in score_texts(documents(spark, rows)).collect():
         text = dict(rows)[r.doc_id]
         assert r.score == pytest.approx(sum(score[k] for k in dishes(text)), rel=0.05)
+
+
+def test_a_task_counts_each_word_once(monkeypatch):
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(200)).encode() for _ in range(50)] + [None]
+    monkeypatch.setattr("ordertide.llm.hpylm._groups", lambda texts, size=0: ((i, [t or b""]) for i, t in enumerate(texts)))
+    batches = [pa.RecordBatch.from_pydict({"text": texts[:20]}), pa.RecordBatch.from_pydict({"text": texts[20:]})]
+    expected = Counter(tokens([t or b"" for t in texts])[0].view(np.int64).tolist())
+    found = [row for b in _word_counts(iter(batches)) for row in b.to_pylist()]
+    assert {r["name"]: r["n"] for r in found} == expected and len(found) == len(expected)
+    monkeypatch.setattr("ordertide.llm.hpylm.HELD_WORDS", 100)  # more words than a task holds
+    found = Counter()
+    for b in _word_counts(iter(batches)):
+        found.update({r["name"]: r["n"] for r in b.to_pylist()})
+    assert found == expected
+
+
+@pytest.mark.parametrize("parts", [3, 5000])
+def test_tokens_are_dealt_with_their_neighbours_and_texts(parts):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 40))).encode() for _ in range(60)]
+    word, counts = tokens(texts)
+    end = word[counts[0] - 1]
+    frequent = np.sort(word[:1]), np.array([4])
+    batch = pa.RecordBatch.from_pydict(
+        {"held_out": [i % 7 == 2 for i in range(60)], "doc_id": list(range(60)), "text_hash": [0] * 60, "text": texts}
+    )
+    found = Counter()
+    for rows in _dealt(parts, frequent, with_texts=True)(iter([batch])):
+        for row in rows.to_pylist():
+            names, *numbers, learnt, of_text, ids, _, lengths = unpacked(row["blob"])
+            columns = (names[n].tolist() for n in numbers)
+            where = [ids[i] for i in of_text]
+            found.update((row["part"], *t) for t in zip(*columns, learnt.tolist(), where, lengths[of_text].tolist()))
+    last = np.concatenate([[end], word[:-1]])
+    before = np.concatenate([[end, end], word[:-2]])
+    text = np.repeat(np.arange(60), counts)
+    part = part_numbers(last, word, parts, frequent)
+    columns = (part, word, last, before, text % 7 != 2, text, counts[text])
+    assert found == Counter(zip(*(c.tolist() for c in columns), strict=True))
