@@ -9,8 +9,8 @@ one unknown. A context that no training text has gives the probabilities of its
 Seating. A sweep takes each dish's customers out of its restaurant, seats them anew one by one given the parent's
 predictive probability (beyond 256 in blocks of 1/128 of those seated), and passes the tables up as customers of the
 parent; the totals of all restaurants are those before the sweep. After ``BURN_IN`` sweeps, predictive
-probabilities are averaged over ``SAMPLES`` sweeps. Draws are seeded by sweep and part, in the root by the first
-word of an Arrow batch, so they follow the number of parts and the batch size of the session.
+probabilities are averaged over ``SAMPLES`` sweeps. Draws are seeded by sweep and part, in the root by sweep and
+shard, so they follow the number of parts.
 
 Defined results: a null or empty text is one end token. A null id counts as the text '' in the hold-out rule.
 Repeated rows are scored, and learnt from, each. Without training rows all probabilities are the unknown's.
@@ -18,28 +18,29 @@ An empty table gives an empty result. Other columns are not read. Words and cont
 hashes.
 
 Scale: tokens are dealt by the word before them into parts of about ``PART_TOKENS``, as compressed columns of numbers
-in a small dictionary, about six bytes a token; a word before more tokens than that is spread over several parts. A
-part holds whole restaurants and sweeps them as arrays; what leaves it are counts of words for the root, and the totals
-of restaurants that are spread. Dishes of one customer, most of all, are not sampled (they always have one table).
-Texts are read three times: for the words, for the model, and for the scores, whose tokens meet the model in
-their part and leave as sums per text. Tables of a sweep are deleted when the next one is written. The model grows
-with the corpus, and nothing that does is broadcast or gathered in one task or the driver: parts ask the root for the
-numbers of their words by a join, but for the ``COMMON`` most frequent ones, which are broadcast.
+in a small dictionary, whose most frequent words are numbers themselves; a word before more tokens than that is spread
+over several parts. A part holds whole restaurants and sweeps them as arrays; what leaves it are counts of words for
+the root, and the totals of restaurants that are spread. Dishes of one customer, most of all, are not sampled (they
+always have one table). Texts are read three times: for the words, for the model, and for the scores, whose tokens
+meet the model in their part and leave as sums per text. Tables of a sweep are deleted when the next one is written.
+The model grows with the corpus, and nothing that does is broadcast or gathered in one task or the driver: the root
+lies in shards, ranges of word hashes. A part names its words to each shard once; from then on the two exchange plain
+arrays in that order, a row for a part and a shard. The ``COMMON`` most frequent words are broadcast.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ordertide.llm.common import text_hash
 from ordertide.llm.restaurants import (
     DISCOUNT,
     END,
@@ -49,7 +50,10 @@ from ordertide.llm.restaurants import (
     Root,
     Scorer,
     Seats,
+    distinct,
+    distinct_hashes,
     gathered,
+    ordered,
     packed,
     part_numbers,
     predictive,
@@ -64,18 +68,26 @@ BURN_IN, SAMPLES = 2, 2
 PART_TOKENS = 1_500_000
 COMMON, SLICES = 1 << 18, 16  # words whose numbers parts and the root exchange as arrays, cut into slices
 MOST_SPREAD = 1 << 16  # words that may be spread over parts: those before more than this share of all tokens
-GROUPS = 4  # blocks of texts that are dealt together
+GROUPS = 2  # blocks of texts that are dealt together
 HELD_WORDS = 1 << 20  # distinct words whose counts a task adds up before it hands them on
-
-# Rows of what parts exchange. A kind names what the row is.
-BLOCK, STATE, NEED, PASSED, SETTLED, SHARED, ROOT, PASSED_COMMON, SETTLED_COMMON, SAMPLE = range(10)
-ROW = (
-    "part int, kind int, sample int, name bigint, customers bigint, tables bigint, p array<double>, blob binary"
-)
+SHARD_WORDS = 1 << 20  # words, of all parts together, that a shard of the root answers
+NUMBERS = np.uint64(1 << 32)  # hashes are no smaller, so that smaller ones are numbers of common words
+
+NO_TOTALS = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # names, customers, tables
+
+# Rows of what parts, and shards of the root, exchange. A kind names what the row is; ``name`` is a shard's number,
+# that of a slice, or that of texts that are dealt together.
+BLOCK, STATE, SHARED, SAMPLE, PASSED_COMMON, SETTLED_COMMON = range(6)
+WORDS, PASSED = 6, 7  # from a part to a shard
+SEATS, ACTIVE, LINK = 8, 9, 10  # of a shard, the latter two for a part
+ROOT = 11  # from a shard to a part
+SUMS = 12  # from a part to a group of texts
+FIXED = 1 << 32  # sums of logarithms are handed on in whole parts of this
+ROW = "part int, kind int, sample int, name bigint, customers bigint, tables bigint, blob binary"
 _ROW = pa.schema(
     [("part", pa.int32()), ("kind", pa.int32()), ("sample", pa.int32())]
     + [(name, pa.int64()) for name in ("name", "customers", "tables")]
-    + [("p", pa.list_(pa.float64())), ("blob", pa.binary())]
+    + [("blob", pa.binary())]
 )
 
 
@@ -87,7 +99,7 @@ def held_out(doc_id: Column) -> Column:
 # --- tokens ---------------------------------------------------------------------------------------
 
 
-def _groups(texts: list[bytes | None], size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(texts: Iterable[bytes | None], size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``size`` bytes, with the index of the first."""
     group, held, first = [], 0, 0
     for i, text in enumerate(texts):
@@ -108,7 +120,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found = np.empty(words.count + len(texts), np.uint64)
     found[np.arange(words.count) + text_of] = words.hashes
     found[np.cumsum(counts) - 1] = END
-    return found, counts
+    return np.maximum(found, NUMBERS), counts
 
 
 def _added(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +135,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: texts to words and their counts, those of a task added up while they are few enough."""
     held, size = [], 0
     for batch in batches:
-        for _, group in _groups(batch.column("text").to_pylist()):
+        for _, group in _groups(text.as_py() for text in batch.column("text")):
             held.append(np.unique(tokens(group)[0], return_counts=True))
             size += len(held[-1][0])
             if size >= 2 * HELD_WORDS:
@@ -169,47 +181,79 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ROW)
 
 
-def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool):
-    """Arrow function: texts to blocks of tokens, one row per part. For scores the blocks name their texts."""
+def _ranked(names: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``names`` (sorted): first those that are common (sorted), by their rank, then the others by name.
+
+    With it the names in that order, but ranks instead of common ones.
+    """
+    listed = _listed(names, common)
+    ranks = rank[np.searchsorted(common, names[listed])]
+    by_rank = np.argsort(ranks)
+    order = np.concatenate([np.flatnonzero(listed)[by_rank], np.flatnonzero(~listed)])
+    return order, np.concatenate([ranks[by_rank], names[~listed]])
+
+
+def _named(block: list, ranked: np.ndarray) -> list:
+    """A block with names instead of the numbers of common words."""
+    names = block[0].copy()
+    few = int(np.searchsorted(names, NUMBERS))
+    names[:few] = ranked[names[:few].astype(np.int64)]
+    return [names, *block[1:]]
+
+
+def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool, ranked=None):
+    """Arrow function: texts to blocks of tokens, one row per part. For scores the blocks name their texts.
+
+    ``ranked`` (broadcast) has the common words, most frequent first: their places are their numbers.
+    """
 
     none = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = ranked.value if ranked else none[0]
+        context, group_number = TaskContext.get(), 0
+        first_number = context.partitionId() << 32 if context else 0
+        rank = np.argsort(common)
+        common, rank = common[rank], rank.astype(np.uint64)
         for batch in rows:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_numpy()
-            for first, group in _groups(batch.column("text").to_pylist(), GROUPS * BLOCK_BYTES):
+            ids = batch.column("doc_id").to_pylist()
+            texts_of = (text.as_py() for text in batch.column("text"))
+            for first, group in _groups(texts_of, GROUPS * BLOCK_BYTES):
                 found, counts = tokens(group)
-                names, word = np.unique(found, return_inverse=True)
-                size, end = len(names), np.searchsorted(names, END)
-                word = word.astype(np.int32)
+                names, word = distinct_hashes(found)
+                order, numbered = _ranked(names, common, rank)
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                size, end = len(names), place[np.searchsorted(names, END)]
+                names, word = names[order], place[word]
                 last, before = np.full_like(word, end), np.full_like(word, end)
                 last[1:], before[2:] = word[:-1], word[:-2]
                 text = np.repeat(np.arange(len(group), dtype=np.int32), counts)
                 learnt = ~held[first : first + len(group)]
                 part = part_numbers(names, names, parts, none)[last]
-                spread = np.flatnonzero(np.isin(names, frequent[0])[last])
+                spread = np.flatnonzero(np.isin(names, frequent[0])[last]) if len(frequent[0]) else none[1]
                 part[spread] = part_numbers(names[last[spread]], found[spread], parts, frequent)
                 del found
                 # Equal neighbours compress; the order inside a part does not matter.
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-                for column in (last, before):
-                    part *= size
-                    part += column
-                order = np.argsort(part)
+                order = ordered(last.astype(np.int64) * size + before)
+                part = part[order].astype(np.min_scalar_type(parts))
+                order = order[np.argsort(part, kind="stable")]
                 del part
                 numbers, blobs = [], []
                 for number in np.flatnonzero(np.diff(bounds)).tolist():
                     at = order[bounds[number] : bounds[number + 1]]
                     used, columns = _renumbered(size, *(c[at] for c in (word, last, before)))
                     texts = text[at]
-                    columns = [names[used], *columns, learnt[texts]]
+                    columns = [numbered[used], *columns, learnt[texts]]
                     if with_texts:
                         own, (of_text,) = _renumbered(len(group), texts)
-                        columns += [of_text, [ids[first + i] for i in own], hashes[first + own], counts[own]]
+                        columns += [of_text, [ids[first + i] for i in own], own, counts[own]]
                     numbers.append(number)
                     blobs.append(packed(*columns))
-                yield _rows(part=numbers, kind=BLOCK, blob=blobs)
+                yield _rows(part=numbers, kind=BLOCK, name=first_number + group_number, blob=blobs)
+                group_number += 1
 
     return batches
 
@@ -217,26 +261,38 @@ def _dealt(parts: int, frequent: tuple[np.ndarray, np.ndarray], with_texts: bool
 # --- parts ----------------------------------------------------------------------------------------
 
 
-def _counts(part: int, names: np.ndarray, counts: np.ndarray, common: np.ndarray, kinds: tuple[int, int]):
-    """Counts of words as rows: those of common words as slices of one array, the others one by one."""
-    at = np.searchsorted(common, names)
-    listed = common[np.minimum(at, len(common) - 1)] == names if len(common) else np.zeros(len(names), bool)
+def _common_tables(part: int, names: np.ndarray, counts: np.ndarray, common: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Counts of the common words among ``names`` as slices of one array."""
     whole = np.zeros(len(common), np.int64)
-    whole[at[listed]] = counts[listed]
+    listed = _listed(names, common)
+    whole[np.searchsorted(common, names[listed])] = counts[listed]
     slices = np.array_split(whole, SLICES)
-    yield _rows(part=[part] * SLICES, kind=kinds[1], name=list(range(SLICES)), blob=[packed(x) for x in slices])
-    if not listed.all():
-        rest = names[~listed]
-        yield _rows(part=np.full(len(rest), part), kind=kinds[0], name=rest, customers=counts[~listed])
+    return _rows(part=[part] * SLICES, kind=kind, name=list(range(SLICES)), blob=[packed(x) for x in slices])
+
+
+def _listed(names: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which names are among ``common`` (sorted)."""
+    if not len(common):
+        return np.zeros(len(names), bool)
+    return common[np.minimum(np.searchsorted(common, names), len(common) - 1)] == names
 
 
-def _left(part: int, seats: Seats, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What a part hands on after its customers are seated."""
+def _to_shards(part: int, kind: int, shards: int, names: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns of ``names`` (sorted) as one row per shard that has some of them: shards are ranges of hashes."""
+    ends = np.searchsorted(names, np.array([(i << 64) // shards for i in range(1, shards)], np.uint64))
+    bounds = [0, *ends.tolist(), len(names)]
+    numbers = [i for i in range(shards) if bounds[i] < bounds[i + 1]]
+    blobs = [packed(*(c[bounds[i] : bounds[i + 1]] for c in columns)) for i in numbers]
+    return _rows(part=[part] * len(numbers), kind=kind, name=numbers, blob=blobs)
+
+
+def _left(part: int, seats: Seats, common: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """What a part hands on after its customers are seated, but for the counts of words that are not common."""
     yield _rows(part=[part], kind=STATE, blob=[seats.packed()])
-    yield from _counts(part, seats.words, seats.passed(), common, (PASSED, PASSED_COMMON))
-    names, customers, tables = seats.shared()
-    if len(names):
-        yield _rows(part=np.full(len(names), part), kind=SHARED, name=names, customers=customers, tables=tables)
+    yield _common_tables(part, seats.words, seats.passed(), common, PASSED_COMMON)
+    names, *totals = seats.shared()
+    order = np.argsort(names)
+    yield _to_shards(part, SHARED, shards, names[order], names[order], *(t[order] for t in totals))
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -256,21 +312,27 @@ def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(list(batches), schema=_ROW)
 
 
-def _opened(frequent: np.ndarray, common):
-    """Arrow function of a part: its blocks to its first state, and the words it will ask for."""
+def _opened(frequent: np.ndarray, ranked, shards: int):
+    """Arrow function of a part: its blocks to its first state, and its words with their counts to the root."""
 
     def opened(rows: pa.Table) -> pa.Table:
-        part = rows["part"][0].as_py()
-        held = gathered([unpacked(b.as_py()) for b in rows["blob"]])
+        part, common = rows["part"][0].as_py(), np.sort(ranked.value)
+        held = gathered([_named(unpacked(b.as_py()), ranked.value) for b in rows["blob"]])
         dishes = Dishes(held)
-        found = list(_left(part, Seats.first(held, dishes, frequent), common.value))
-        asked = held.names[~np.isin(held.names, common.value)]
-        if len(asked):
-            found.append(_rows(part=np.full(len(asked), part), kind=NEED, name=asked))
+        seats = Seats.first(held, dishes, frequent)
         settled = np.bincount((dishes.pairs % dishes.size)[~dishes.active], minlength=dishes.size)
-        which = np.flatnonzero(settled)
-        found += _counts(part, held.names[which], settled[which], common.value, (SETTLED, SETTLED_COMMON))
-        return _table(found)
+        passed = np.zeros(dishes.size, np.int64)
+        passed[np.searchsorted(held.names, seats.words)] = seats.passed()
+        n = np.bincount(held.word[held.learnt], minlength=dishes.size)
+        rare = ~_listed(held.names, common)
+        columns = (c[rare] for c in (held.names, n, settled, passed))
+        return _table(
+            [
+                *_left(part, seats, common, shards),
+                _common_tables(part, held.names, settled, common, SETTLED_COMMON),
+                _to_shards(part, WORDS, shards, held.names[rare], *columns),
+            ]
+        )
 
     return opened
 
@@ -282,15 +344,26 @@ def _kind(rows: pa.Table, kind: int, sample: int | None = None) -> pa.Table:
     return rows.filter(pa.array(which))
 
 
-def _names(rows: pa.Table) -> np.ndarray:
-    return rows["name"].to_numpy().astype(np.int64).view(np.uint64)
+def _blobs(rows: pa.Table, kind: int, key: str) -> dict[int, list]:
+    """The arrays of a kind by part or by shard, in that order."""
+    found = _kind(rows, kind)
+    pairs = zip(found[key].to_pylist(), found["blob"].to_pylist(), strict=True)
+    return {k: unpacked(blob) for k, blob in sorted(pairs)}
 
 
-def _seats_by_name(rows: pa.Table) -> Lookup:
-    return Lookup(_names(rows), *(rows[c].to_numpy().astype(np.int64) for c in ("customers", "tables")))
+def _answered(rows: pa.Table, common: list[np.ndarray]) -> list[np.ndarray]:
+    """What the shards answered about a part's words, and then the numbers of common ones."""
+    answers = list(_blobs(rows, ROOT, "name").values())
+    return [np.concatenate([*(a[i] for a in answers), c]) for i, c in enumerate(common)]
 
 
-def _swept(turn: int, customers: int, tables: int, uniform: float, common):
+def _totals_by_name(rows: pa.Table, sample: int) -> Lookup:
+    """The totals of shared restaurants."""
+    found = [*_blobs(_kind(rows, SHARED, sample), SHARED, "name").values()]
+    return Lookup(*(np.concatenate(c) for c in zip(NO_TOTALS, *found, strict=True)))
+
+
+def _swept(turn: int, customers: int, tables: int, uniform: float, common, shards: int):
     """Arrow function of a part: its state, and the seats of the root and of shared restaurants, to its next state.
 
     ``common`` has the names, customers and tables of common words in the root.
@@ -302,66 +375,138 @@ def _swept(turn: int, customers: int, tables: int, uniform: float, common):
         if not len(blobs):
             return _ROW.empty_table()
         seats = Seats.unpacked(blobs[0].as_py())
-        asked = _kind(rows, ROOT)
-        numbers = (asked[c].to_numpy().astype(np.int64) for c in ("customers", "tables"))
-        listed = [np.concatenate([a, b]) for a, b in zip(numbers, common.value[1:], strict=True)]
-        root = Root(Lookup(np.concatenate([_names(asked), common.value[0]]), *listed), customers, tables, uniform)
-        seats.sweep(root, _seats_by_name(_kind(rows, SHARED)), np.random.default_rng([1, turn, part]))
+        names, *numbers = common.value
+        rare = ~_listed(seats.words, names)
+        own = Lookup(np.concatenate([seats.words[rare], names]), *_answered(rows, numbers))
+        root = Root(own, customers, tables, uniform)
+        seats.sweep(root, _totals_by_name(rows, 0), np.random.default_rng([1, turn, part]))
+        passed = _to_shards(part, PASSED, shards, seats.words[rare], seats.passed()[rare])
         sample = _rows(part=[part], kind=SAMPLE, blob=[packed(seats.tables, seats.leaf_tables)])
-        return _table([*_left(part, seats, common.value[0]), sample])
+        return _table([*_left(part, seats, names, shards), passed, sample])
 
     return swept
 
 
 def _scored(
-    samples: int, frequent: np.ndarray, n: int, v: int, unknown: list[float], common, id_type: pa.DataType
+    samples: int, frequent: np.ndarray, n: int, v: int, totals: list[tuple[int, int]], common
 ):
-    """Arrow function of a part: its blocks and the model to sums per text. ``common`` has names, counts and chances."""
-    schema = pa.schema(
-        [("doc_id", id_type), *((c, pa.int64()) for c in ("text_hash", "n_tokens", "here", "known"))]
-        + [(c, pa.float64()) for c in ("base", "score")]
-    )
+    """Arrow function of a part: its blocks and the model to sums per text, a row for each block.
 
+    ``common`` has the common words, most frequent first, and then their names, sorted, their counts and their seats
+    in each sample; ``totals`` are those of the root.
+    """
     def scored(rows: pa.Table) -> pa.Table:
-        blocks = [unpacked(b.as_py()) for b in _kind(rows, BLOCK)["blob"]]
+        ranked, names, *numbers = common.value
+        dealt = _kind(rows, BLOCK)
+        part, numbers_of = rows["part"][0].as_py(), dealt["name"].to_pylist()
+        blocks = [_named(unpacked(b.as_py()), ranked) for b in dealt["blob"]]
         rows = rows.filter(pa.array(rows["kind"].to_numpy() != BLOCK))
         if not blocks:
-            return schema.empty_table()
+            return _ROW.empty_table()
         held = gathered([b[:5] for b in blocks])
         lengths = [len(b[1]) for b in blocks]
         blocks = [b[5:] for b in blocks]  # the tokens themselves are in ``held`` now
         dishes = Dishes(held)
-        root = _kind(rows, ROOT)
-        names = np.concatenate([_names(root), common.value[0]])
-        counts = np.concatenate([root["customers"].to_numpy().astype(np.int64), common.value[1]])
-        times = Lookup(names, counts).of(held.names)[1][0]
-        p = root["p"].combine_chunks().flatten().to_numpy().reshape(-1, samples)
-        p = np.concatenate([p, common.value[2]])
+        asked = np.concatenate([held.names[~_listed(held.names, names)], names])
+        times, *seats = Lookup(asked, *_answered(rows, numbers)).of(held.names)[1]
         scorer = Scorer(held.names, dishes, frequent)
         for i in range(samples):
-            listed, (base,) = Lookup(names, p[:, i]).of(held.names)
+            base = predictive(0, *seats[2 * i : 2 * i + 2], *totals[i], 1.0 / (v + 1))
             tables = unpacked(_kind(rows, SAMPLE, i)["blob"][0].as_py())
-            scorer.add(*tables, np.where(listed, base, unknown[i]), _seats_by_name(_kind(rows, SHARED, i)))
+            scorer.add(*tables, base, _totals_by_name(rows, i))
+        end = int(np.searchsorted(held.names, END))
         out, low = [], 0
-        for (of_text, ids, hashes, counts), length in zip(blocks, lengths, strict=True):
+        for (of_text, ids, own, counts), length in zip(blocks, lengths, strict=True):
             high = low + length
             word, last, before = (column[low:high] for column in (held.word, held.last, held.before))
             times_here = times[word]
             chances = scorer.averaged(word, last, before)
-            values = times_here > 0, np.log10((times_here + 1) / (n + v + 1)), np.log10(chances)
-            sums = [np.bincount(of_text, weights=x, minlength=len(ids)) for x in values]
-            columns = [
-                pa.array(ids, id_type), pa.array(hashes), pa.array(counts),
-                pa.array(np.bincount(of_text, minlength=len(ids))), pa.array(sums[0].astype(np.int64)),
-                pa.array(sums[1]), pa.array(sums[2]),
-            ]
-            out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+            values = times_here > 0, -np.log10((times_here + 1) / (n + v + 1)), -np.log10(chances)
+            known, *logs = (np.bincount(of_text, weights=x, minlength=len(own)) for x in values)
+            ended = np.unique(of_text[word == end])  # the part with the end of a text names it
+            sums = known.astype(np.int64), *(np.rint(x * FIXED).astype(np.int64) for x in logs)
+            out.append(packed(own, *sums, own[ended], counts[ended], [ids[i] for i in ended]))
             low = high
-        return pa.Table.from_batches(out, schema=schema)
+        return _table([_rows(part=part, kind=SUMS, name=numbers_of, blob=out)])
 
     return scored
 
 
+def _texts(id_type: pa.DataType):
+    """Arrow function of texts that were dealt together: the sums of all parts to a row per text."""
+
+    def texts(rows: pa.Table) -> pa.Table:
+        held = list(_blobs(rows, SUMS, "part").values())
+        size = 1 + max(int(own[-1]) for own, *_ in held)
+        sums, n_tokens, doc_ids = np.zeros((3, size), np.int64), np.zeros(size, np.int64), [None] * size
+        for own, known, base, score, ended, counts, ids in held:
+            sums[:, own] += known, base, score
+            n_tokens[ended] = counts
+            for i, doc_id in zip(ended.tolist(), ids, strict=True):
+                doc_ids[i] = doc_id
+        columns = pa.array(doc_ids, id_type), n_tokens, sums[0], -sums[1] / FIXED, -sums[2] / FIXED
+        return pa.table(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), columns, strict=True)))
+
+    return texts
+
+
+# --- the root -------------------------------------------------------------------------------------
+
+
+def _seated(shard: int, n, settled, customers, tables, active: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A shard's seats, and for each part those of its active words, in their order there."""
+    sums = {"customers": [int(customers.sum())], "tables": [int(tables.sum())]}
+    yield _rows(kind=SEATS, name=[shard], blob=[packed(n, settled, customers, tables)], **sums)
+    blobs = [packed(customers[at], tables[at]) for at in active.values()]
+    yield _rows(part=list(active), kind=ROOT, name=[shard] * len(blobs), blob=blobs)
+
+
+def _root_opened(rows: pa.Table) -> pa.Table:
+    """Arrow function of a shard: the words of all parts to its first seats, and where those of each part are."""
+    shard, asked = rows["name"][0].as_py(), _blobs(rows, WORDS, "part")
+    names = distinct(np.concatenate([a[0] for a in asked.values()]))
+    sums, links, active = np.zeros((3, len(names)), np.int64), {}, {}
+    for part, (own, *counts) in asked.items():
+        links[part] = at = np.searchsorted(names, own)
+        sums[:, at] += counts
+        if (counts[2] > 0).any():
+            active[part] = at[counts[2] > 0]
+    n, settled, passed = sums
+    customers = settled + passed
+    found = list(_seated(shard, n, settled, customers, np.minimum(customers, 1), active))
+    for kind, places in ((ACTIVE, active), (LINK, links)):
+        blobs = [packed(at) for at in places.values()]
+        found.append(_rows(part=list(places), kind=kind, name=[shard] * len(blobs), blob=blobs))
+    return _table(found)
+
+
+def _root_swept(turn: int, weight: float):
+    """Arrow function of a shard: its seats and the tables that parts pass up to its next seats."""
+
+    def swept(rows: pa.Table) -> pa.Table:
+        shard = rows["name"][0].as_py()
+        ((n, settled, *_),) = _blobs(rows, SEATS, "name").values()
+        active = {part: at for part, (at,) in _blobs(rows, ACTIVE, "part").items()}
+        customers = settled.copy()
+        for part, (passed,) in _blobs(rows, PASSED, "part").items():
+            customers[active[part]] += passed
+        draws = np.random.default_rng([0, turn, shard])
+        tables = seat(customers, np.full(len(customers), weight), DISCOUNT[0], draws)
+        return _table(_seated(shard, n, settled, customers, tables, active))
+
+    return swept
+
+
+def _root_answers(rows: pa.Table) -> pa.Table:
+    """Arrow function of a shard: for each part the counts of its words and their seats in every sample."""
+    shard = rows["name"][0].as_py()
+    seats = _blobs(rows, SEATS, "sample")
+    numbers = [next(iter(seats.values()))[0], *(c for _, _, *own in seats.values() for c in own)]
+    links = _blobs(rows, LINK, "part")
+    blobs = [packed(*(c[at] for c in numbers)) for (at,) in links.values()]
+    return _table([_rows(part=list(links), kind=ROOT, name=[shard] * len(blobs), blob=blobs)])
+
+
 # --- the model ------------------------------------------------------------------------------------
 
 
@@ -387,48 +532,40 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def _root_seats(rows: DataFrame, turn: int, weight: float) -> DataFrame:
-    """``rows`` (name, n, settled, customers) of the root with the tables that customers take."""
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            held = batch.column("customers").to_numpy()
-            first = batch.column("name").to_numpy()[:1].view(np.uint64).tolist()
-            rng = np.random.default_rng([0, turn, len(held), *first])
-            seated = seat(held, np.full(len(held), weight), DISCOUNT[0], rng)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seated)], [*batch.schema.names, "tables"])
-
-    schema = "name bigint, n bigint, settled bigint, customers bigint, tables bigint"
-    return rows.sortWithinPartitions("name").mapInArrow(batches, schema)
-
-
 def _totals(root: DataFrame) -> tuple[int, int]:
-    sums = root.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first()
-    return sums[0], sums[1]
+    seats = root.filter(F.col("kind") == SEATS)
+    return tuple(seats.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables"))).first())
 
 
-def _asked(needs: DataFrame, root: DataFrame, p: Column) -> DataFrame:
-    """The root's numbers of the words that each part asked for, as rows."""
-    return needs.join(root, "name").select(
-        "part", F.lit(ROOT).alias("kind"), F.lit(0).alias("sample"), "name", "customers", "tables",
-        p.alias("p"), F.lit(None).cast("binary").alias("blob"),
-    )
+def _shared_totals(rows: pa.Table) -> pa.Table:
+    """Arrow function of a shard: what parts hold of shared restaurants to the totals, for each of those parts."""
+    shard, held = rows["name"][0].as_py(), _blobs(rows, SHARED, "part")
+    names = distinct(np.concatenate([names for names, *_ in held.values()]))
+    places = {part: np.searchsorted(names, own) for part, (own, *_) in held.items()}
+    sums = np.zeros((2, len(names)), np.int64)
+    for part, (_, *totals) in held.items():
+        sums[:, places[part]] += totals
+    blobs = [packed(names[at], *sums[:, at]) for at in places.values()]
+    return _table([_rows(part=list(places), kind=SHARED, name=[shard] * len(blobs), blob=blobs)])
 
 
 def _shared(state: DataFrame, sample: int) -> DataFrame:
-    """Totals of shared restaurants, for every part that holds some of their dishes."""
-    rows = state.filter(F.col("kind") == SHARED)
-    sums = rows.groupBy("name").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"))
-    return rows.select("part", "name").join(sums, "name").select(
-        "part", F.lit(SHARED).alias("kind"), F.lit(sample).alias("sample"), "name", "customers", "tables",
-        F.lit(None).cast("array<double>").alias("p"), F.lit(None).cast("binary").alias("blob"),
-    )
+    totals = _grouped("name", _of_kind(state, SHARED)).applyInArrow(_shared_totals, ROW)
+    return totals.withColumn("sample", F.lit(sample))
 
 
-def _of_kind(state: DataFrame, kind: int, sample: int) -> DataFrame:
+def _of_kind(state: DataFrame, kind: int, sample: int = 0) -> DataFrame:
     return state.filter(F.col("kind") == kind).withColumn("sample", F.lit(sample))
 
 
+def _grouped(key: str, *frames: DataFrame):
+    """Rows of several tables by part or by shard."""
+    union = frames[0]
+    for frame in frames[1:]:
+        union = union.unionByName(frame)
+    return union.groupBy(key)
+
+
 def score_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -443,7 +580,6 @@ def score_texts(
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         held_out(F.col(id_col)).alias("held_out"),
-        text_hash(F.col(text_col)).alias("text_hash"),
         F.col(text_col).cast("binary").alias("text"),
     )
     learnt = rows.filter(~F.col("held_out")).select("text")
@@ -456,104 +592,73 @@ def score_texts(
     pairs = sorted((r["name"] % (1 << 64), 2 * math.ceil(r["n"] / part_tokens)) for r in often)
     frequent = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
 
-    def in_parts(*frames: DataFrame):
-        union = frames[0]
-        for frame in frames[1:]:
-            union = union.unionByName(frame)
-        return union.groupBy("part")
-
     # The most frequent words, COMMON at most whatever the corpus, are known to every part.
     most = scratch.keep(words.filter(F.col("n") > 1).orderBy(F.desc("n"), "name").limit(common_words), "common")
     listed = most.toArrow()
-    names = listed["name"].to_numpy().view(np.uint64)
-    by_name = np.argsort(names)
-    names, common_n = names[by_name], listed["n"].to_numpy()[by_name]
-    rare = scratch.keep(words.join(most.select("name"), "name", "left_anti"), "rare")
-    single = rare.filter(F.col("n") == 1).count()  # of one customer, who always has one table
-    blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=False), ROW)
-    common = spark.sparkContext.broadcast(names)
-    opened = scratch.keep(in_parts(blocks).applyInArrow(_opened(frequent[0], common), ROW), "opened")
+    names, common_n = listed["name"].to_numpy().view(np.uint64), listed["n"].to_numpy()
+    by_rank, by_name = np.lexsort((names, -common_n)), np.argsort(names)
+    ranked = spark.sparkContext.broadcast(names[by_rank])
+    names, common_n = names[by_name], common_n[by_name]
+    # A word is in no more parts than it has customers.
+    asked = words.agg(F.coalesce(F.sum(F.least("n", F.lit(parts))), F.lit(0))).first()[0]
+    shards = max(1, math.ceil((asked - int(np.minimum(common_n, parts).sum())) / SHARD_WORDS))
+    blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=False, ranked=ranked), ROW)
+    opened = _grouped("part", blocks).applyInArrow(_opened(frequent[0], ranked, shards), ROW)
     del blocks
+    opened = scratch.keep(opened, "opened")
     scratch.drop(words, most)
     kind = F.col("kind")
-    passed = F.sum(F.when(kind == PASSED, F.col("customers")))
-    settled = F.sum(F.when(kind == SETTLED, F.col("customers")))
-    first = opened.filter(kind.isin(PASSED, SETTLED)).groupBy("name").agg(
-        F.coalesce(settled, F.lit(0)).alias("settled"), F.coalesce(passed, F.lit(0)).alias("passed")
-    )
-    customers = (F.col("settled") + F.col("passed")).alias("customers")
-    one = F.lit(1).cast("bigint").alias("tables")
-    root = rare.filter(F.col("n") > 1).join(first, "name").select("name", "n", "settled", customers, one)
-    root = scratch.keep(root, "root")
+    links = scratch.keep(_grouped("name", _of_kind(opened, WORDS)).applyInArrow(_root_opened, ROW), "root")
     common_settled = _common_counts(opened, SETTLED_COMMON)
     seats = common_settled + _common_counts(opened, PASSED_COMMON), np.ones(len(names), np.int64)
-    needs = scratch.keep(opened.filter(kind == NEED).select("part", "name"), "needs")
-    asked = scratch.keep(opened.filter(kind == PASSED).select("part", "name"), "asked")
     state = scratch.keep(opened.filter(kind.isin(STATE, SHARED)), "state")
     scratch.drop(opened)
 
-    nothing = F.lit(None).cast("array<double>")
-    samples = []
+    root, samples = links, []
     for turn in range(BURN_IN + SAMPLES):
-        totals = [a + int(b.sum()) + single for a, b in zip(_totals(root), seats, strict=True)]
+        totals = [a + int(b.sum()) for a, b in zip(_totals(root), seats, strict=True)]
         shipped = spark.sparkContext.broadcast((names, *seats))
-        moved = in_parts(_of_kind(state, STATE, 0), _asked(asked, root, nothing), _shared(state, 0))
-        after = scratch.keep(moved.applyInArrow(_swept(turn, *totals, uniform, shipped), ROW), "state")
+        moved = _grouped("part", _of_kind(state, STATE), _of_kind(root, ROOT), _shared(state, 0))
+        after = scratch.keep(moved.applyInArrow(_swept(turn, *totals, uniform, shipped, shards), ROW), "state")
+        shipped.destroy()
         weight = (STRENGTH[0] + DISCOUNT[0] * totals[1]) * uniform
         held = common_settled + _common_counts(after, PASSED_COMMON)
         draws = np.random.default_rng([2, turn])
         seats = held, seat(held, np.full(len(held), weight), DISCOUNT[0], draws)
-        passed = after.filter(kind == PASSED).groupBy("name").agg(F.sum("customers").alias("passed"))
-        customers = (F.col("settled") + F.coalesce("passed", F.lit(0))).alias("customers")
-        held = root.join(passed, "name", "left").select("name", "n", "settled", customers)
-        moved = scratch.keep(_root_seats(held, turn, weight), "root")
+        passed = _grouped("name", _of_kind(root, SEATS), _of_kind(links, ACTIVE), _of_kind(after, PASSED))
+        moved = scratch.keep(passed.applyInArrow(_root_swept(turn, weight), ROW), "root")
         if turn >= BURN_IN:  # of a sample only the tables are needed, and the totals of shared restaurants
-            totals = [a + int(b.sum()) + single for a, b in zip(_totals(moved), seats, strict=True)]
+            totals = [a + int(b.sum()) for a, b in zip(_totals(moved), seats, strict=True)]
             tables = scratch.keep(after.filter(kind.isin(SAMPLE, SHARED)), "sample")
             samples.append((tables, moved, seats, totals))
-        scratch.drop(state, *([root] if turn <= BURN_IN else []))
+        scratch.drop(state, *([root] if 0 < turn <= BURN_IN else []))
         state, root = after, moved
     scratch.drop(state)
 
-    # Root probabilities: of rare words in a table, of common ones and of unknown ones as numbers.
-    known, models, chances, unknown = rare.withColumnRenamed("n", "customers"), [], [], []
-    d, s = DISCOUNT[0], STRENGTH[0]
-    for i, (state, root, seats, totals) in enumerate(samples):
-        held = root.select("name", F.col("customers").alias(f"c{i}"), F.col("tables").alias(f"t{i}"))
-        known = known.join(held, "name", "left")
-        own = F.coalesce(f"c{i}", F.lit(1)), F.coalesce(f"t{i}", F.lit(1))
-        mass = F.greatest(own[0] - d * own[1], F.lit(0.0))
-        known = known.withColumn(f"p{i}", (mass + (s + d * totals[1]) * uniform) / (s + totals[0]))
-        chances.append(predictive(0, *seats, *totals, uniform))
-        unknown.append(float(predictive(0, 0, 0, *totals, uniform)))
-        models += [_of_kind(state, SAMPLE, i), _shared(state, i)]
-    known = known.withColumn("tables", F.lit(0).cast("bigint"))
-    chance = F.array(*(F.col(f"p{i}") for i in range(len(samples))))
-    found = spark.sparkContext.broadcast((names, common_n, np.stack(chances, axis=1)))
-    blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=True), ROW)
-    dealt = in_parts(blocks, _asked(needs, known, chance), *models)
+    # The root's numbers of words: of common ones to all parts, of the others to those that have them.
+    models = [f for i, (tables, *_) in enumerate(samples) for f in (_of_kind(tables, SAMPLE, i), _shared(tables, i))]
+    held = [_of_kind(root, SEATS, i) for i, (_, root, *_) in enumerate(samples)]
+    answers = _grouped("name", _of_kind(links, LINK), *held).applyInArrow(_root_answers, ROW)
+    found = names, common_n, *(c for _, _, seats, _ in samples for c in seats)
+    found = spark.sparkContext.broadcast((ranked.value, *found))
+    blocks = rows.mapInArrow(_dealt(parts, frequent, with_texts=True, ranked=ranked), ROW)
+    dealt = _grouped("part", blocks, answers, *models)
+    totals = [totals for *_, totals in samples]
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
-    sums = dealt.applyInArrow(
-        _scored(len(samples), frequent[0], n, v, unknown, found, id_type),
-        f"doc_id {id_kind}, text_hash bigint, n_tokens bigint, here bigint, known bigint, base double, score double",
-    )
-    # Rows alike are summed together and get their share each.
-    whole = sums.groupBy("doc_id", "text_hash").agg(
-        F.first("n_tokens").alias("n_tokens"),
-        *(F.sum(c).alias(c) for c in ("here", "known", "base", "score")),
-    )
-    whole = scratch.keep(whole, "scores").alias("s")
-    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_hash") == F.col("s.text_hash"))
-    copies = F.col("here") / F.col("n_tokens")
-    result = rows.drop("text").alias("r").join(whole, same).select(
-        "r.doc_id",
-        "held_out",
+    sums = dealt.applyInArrow(_scored(len(samples), frequent[0], n, v, totals, found), ROW)
+    columns = f"doc_id {id_kind}, n_tokens bigint, n_known bigint, base_score double, score double"
+    whole = scratch.keep(sums.groupBy("name").applyInArrow(_texts(id_type), columns), "scores")
+    result = whole.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        F.round(F.col("known") / copies).cast("bigint").alias("n_known"),
+        "n_known",
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") / copies).alias("base_score"),
-        (F.col("score") / copies).alias("score"),
+        "base_score",
+        "score",
     )
-    scratch.drop(*{id(f): f for state, root, *_ in samples for f in (state, root)}.values(), needs, asked, rare)
+    for shipped in (found, ranked):
+        shipped.destroy()
+    scratch.drop(*(f for tables, root, *_ in samples for f in (tables, root)), links)
     return result.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

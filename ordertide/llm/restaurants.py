@@ -62,6 +62,63 @@ def unpacked(blob: bytes) -> list:
     return [_restored(value, kind) for kind, value in values]
 
 
+# --- sorting --------------------------------------------------------------------------------------
+# Numbers are sorted much faster than places of numbers, so places are sorted as their last bits.
+
+
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 on."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (64 - bits):
+        return np.argsort(keys, kind="stable")
+    placed = keys.astype(np.uint64)
+    placed <<= np.uint64(bits)
+    placed |= np.arange(len(keys), dtype=np.uint64)
+    placed.sort()
+    placed &= np.uint64((1 << bits) - 1)
+    return placed.view(np.int64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    values = np.sort(values)
+    return values[_firsts(values)]
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    firsts = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=firsts[1:])
+    return firsts
+
+
+def _placed(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, sorted, the place of each value among them, and how often they occur; ``order`` sorts them."""
+    values = values[order]
+    firsts = _firsts(values)
+    place = np.empty(len(values), np.int64)
+    numbers = np.cumsum(firsts)
+    numbers -= 1
+    place[order] = numbers
+    firsts = np.flatnonzero(firsts)
+    return values[firsts], place, np.diff(firsts, append=len(values))
+
+
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers from 0 on, sorted, the place of each number among them, and how often they occur."""
+    return _placed(keys, ordered(keys))
+
+
+def distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the place of each hash among them."""
+    bits = np.uint64(len(hashes).bit_length())
+    order = ordered(hashes >> bits)
+    found = hashes[order]
+    if (found[1:] < found[:-1]).any():  # hashes that differ in their last bits only
+        return np.unique(hashes, return_inverse=True)
+    return _placed(hashes, order)[:2]
+
+
 # --- tokens of a part -----------------------------------------------------------------------------
 
 
@@ -90,7 +147,7 @@ class Tokens(NamedTuple):
 
 def gathered(blocks: list[list]) -> Tokens:
     """The tokens of several blocks (names, word, last, before, learnt)."""
-    names = np.unique(np.concatenate([END[None], *(b[0] for b in blocks)]))  # of all blocks
+    names = distinct(np.concatenate([END[None], *(b[0] for b in blocks)]))  # of all blocks
     at = [np.searchsorted(names, b[0]) for b in blocks]
     word, last, before = (
         np.concatenate([a[b[i]] for a, b in zip(at, blocks, strict=True)]) if blocks else np.empty(0, np.int64)
@@ -112,13 +169,13 @@ class Dishes:
         self.size = size = len(tokens.names)
         end = int(np.searchsorted(tokens.names, END))
         word, last, before = (a[tokens.learnt] for a in (tokens.word, tokens.last, tokens.before))
-        self.pairs, of_pair = np.unique(last * size + word, return_inverse=True)
+        self.pairs, of_pair, _ = distinct_places(last * size + word)
         direct = last == end
         count = len(self.pairs)
-        self.dishes, self.n = np.unique(of_pair[~direct] * size + before[~direct], return_counts=True)
+        self.dishes, _, self.n = distinct_places(of_pair[~direct] * size + before[~direct])
         self.dish_pair = self.dishes // size
         at = (self.pairs[self.dish_pair] // size) * size + self.dishes % size
-        self.places, self.dish_place = np.unique(at, return_inverse=True)
+        self.places, self.dish_place, _ = distinct_places(at)
         single = self.n == 1
         self.fixed = np.bincount(of_pair[direct], minlength=count) + np.bincount(self.dish_pair[single], minlength=count)
         self.many = np.bincount(self.dish_pair[~single], minlength=count)
@@ -308,7 +365,10 @@ class Scorer:
         last = tuple(np.bincount(last_of, weights=v, minlength=size) for v in (customers, tables))
         place = tuple(np.bincount(dishes.dish_place, weights=v, minlength=places) for v in (dishes.n, dish_tables))
         last = shared.instead(self.names, self.is_shared, last)
-        self.samples.append((base, shared, last, place, customers, tables, dish_tables))
+        # What is not there has zeros, behind the last.
+        place, pair = (tuple(np.append(v, 0) for v in both) for both in (place, (customers, tables)))
+        dish = np.append(dishes.n, 0), np.append(dish_tables, 0)
+        self.samples.append((base, shared, last, place, pair, dish))
 
     @staticmethod
     def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -324,15 +384,15 @@ class Scorer:
         place = self._found(dishes.places, last * size + before)
         dish = self._found(dishes.dishes, np.where(pair < len(dishes.pairs), pair, -1) * size + before)
         inner = self.names[last] != END
-        spread = self.is_shared[last]
-        places = joined(self.names[before], self.names[last]) if spread.any() else None
+        spread = np.flatnonzero(self.is_shared[last])
+        places = joined(self.names[before[spread]], self.names[last[spread]])
         total = np.zeros(len(word))
-        for base, shared, all_last, all_place, customers, tables, dish_tables in self.samples:
-            own = (np.append(v, 0)[pair] for v in (customers, tables))
-            p = predictive(1, *own, all_last[0][last], all_last[1][last], base[word])
-            totals = tuple(np.append(t, 0)[place] for t in all_place)
-            if places is not None:
-                totals = shared.instead(places, spread, totals)
-            own = (np.append(v, 0)[dish] for v in (dishes.n, dish_tables))
+        for base, shared, all_last, all_place, of_pair, of_dish in self.samples:
+            p = predictive(1, *(v[pair] for v in of_pair), *(v[last] for v in all_last), base[word])
+            totals = [v[place] for v in all_place]
+            listed, numbers = shared.of(places)
+            for whole, those in zip(totals, numbers, strict=True):
+                whole[spread[listed]] = those[listed]
+            own = (v[dish] for v in of_dish)
             total += np.where(inner, predictive(2, *own, *totals, p), p)
         return total / len(self.samples)

@@ -9,9 +9,19 @@ import pytest
 from helpers import awkward, documents, empty
 from seating import Seating
 
-from ordertide.llm import queries
+from ordertide.llm import hpylm, queries
 from ordertide.llm.hpylm import _dealt, _word_counts, score_texts, tokens
-from ordertide.llm.restaurants import Dishes, Seats, gathered, part_numbers, seat, unpacked
+from ordertide.llm.restaurants import (
+    Dishes,
+    Seats,
+    distinct_hashes,
+    distinct_places,
+    gathered,
+    packed,
+    part_numbers,
+    seat,
+    unpacked,
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -255,3 +265,76 @@ def test_tokens_are_dealt_with_their_neighbours_and_texts(parts):
     part = part_numbers(last, word, parts, frequent)
     columns = (part, word, last, before, text % 7 != 2, text, counts[text])
     assert found == Counter(zip(*(c.tolist() for c in columns), strict=True))
+
+
+class Shipped:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_blocks_number_common_words(monkeypatch):
+    """Blocks of several groups of texts hold ranks instead of hashes of common words, in far fewer bytes."""
+    monkeypatch.setattr("ordertide.llm.hpylm.BLOCK_BYTES", 2000)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(200)).encode() for _ in range(40)]
+    words = np.unique(tokens(texts)[0])
+    ranked = words[np.random.default_rng(0).permutation(len(words))][: len(words) - 50]
+    batch = pa.RecordBatch.from_pydict({"held_out": [False] * 40, "doc_id": list(range(40)), "text": texts})
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def dealt(ranked):
+        found, size, groups = Counter(), 0, set()
+        for rows in _dealt(5, none, with_texts=True, ranked=Shipped(ranked))(iter([batch])):
+            for row in rows.to_pylist():
+                block = hpylm._named(unpacked(row["blob"]), ranked)
+                found.update((row["part"], *block[0][list(n)].tolist()) for n in zip(*block[1:4], strict=True))
+                size += len(packed(unpacked(row["blob"])[0]))
+                groups.add(row["name"])
+        return found, size, groups
+
+    plain, numbered = dealt(none[0]), dealt(ranked)
+    assert numbered[0].keys() == plain[0].keys() and len(numbered[2]) > 5
+    assert numbered[0] == plain[0] and numbered[1] < plain[1] / 2
+
+
+def test_a_part_hands_on_rows_per_shard_not_per_word():
+    """What a part exchanges with the root, and on restaurants that are spread, are a few rows however many words."""
+    rng = np.random.default_rng(6)
+    names = np.unique(rng.integers(1 << 33, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    word, last, before = rng.integers(0, len(names), (3, 30_000)) // np.array([[1], [400], [1]])
+    block = packed(names, word, last, before, np.ones(30_000, bool))
+    rows = pa.Table.from_pydict({"part": [3], "blob": [block]})
+    frequent = names[:1]
+    out = hpylm._opened(frequent, Shipped(np.empty(0, np.uint64)), 4)(rows)
+    assert out.num_rows < 2 * hpylm.SLICES + 10
+    asked = hpylm._kind(out, hpylm.WORDS)
+    roots = [hpylm._root_opened(asked.filter(pa.array(asked["name"].to_numpy() == k))) for k in range(4)]
+    n = np.concatenate([hpylm._blobs(root, hpylm.SEATS, "name")[k][0] for k, root in enumerate(roots)])
+    assert n.sum() == 30_000 and (n > 0).sum() == len(np.unique(word))
+    shared = hpylm._kind(out, hpylm.SHARED)
+    assert 1 <= shared.num_rows <= 4
+
+
+def test_scores_do_not_depend_on_the_shards(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    expected = {r[0]: r[1:] for r in brute([(r.doc_id, r.text) for r in docs.collect()])}
+    one = {r.doc_id: r for r in score_texts(docs, part_tokens=20_000, common_words=50).collect()}
+    monkeypatch.setattr("ordertide.llm.hpylm.SHARD_WORDS", 500)
+    many = score_texts(docs, part_tokens=20_000, common_words=50).collect()
+    assert len(many) == len(expected)
+    for r in many:
+        want = expected[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4]
+        assert r.base_score == pytest.approx(want[4], rel=1e-9)
+    assert sum(r.score for r in many) == pytest.approx(sum(r.score for r in one.values()), rel=0.005)
+
+
+def test_places_among_distinct_values():
+    rng = np.random.default_rng(7)
+    alike = np.uint64(1 << 60) + rng.integers(0, 5, 1000).astype(np.uint64)  # differ in their last bits only
+    for hashes in (alike, rng.integers(0, 1 << 63, 1000).astype(np.uint64)[rng.integers(0, 1000, 3000)], alike[:0]):
+        for found, want in zip(distinct_hashes(hashes), np.unique(hashes, return_inverse=True), strict=True):
+            assert (found == want).all()
+    for keys in (rng.integers(0, 300, 1000), rng.integers(0, 1 << 62, 50)[rng.integers(0, 50, 1000)]):
+        for found, want in zip(distinct_places(keys), np.unique(keys, return_inverse=True, return_counts=True), strict=True):
+            assert (found == want).all()
